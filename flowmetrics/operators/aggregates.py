@@ -28,3 +28,106 @@ def stage_cost_report(metrics: DataFrame, total_label: str = "TOTAL") -> DataFra
         F.grouping("stage").alias("_g"))
     return r.select(F.when(F.col("_g") == 1, F.lit(total_label)).otherwise(F.col("stage"))
                     .alias("stage"), "tokens", "cost", "records")
+
+
+def _ratio(num, den):
+    return (num.cast("double") / den.cast("double"))
+
+
+def run_summary(metrics: DataFrame, snapshots: DataFrame,
+                skip_test_stages=("documentation",)) -> DataFrame:
+    """Per run tokens, cost, tests passed, testable stages, snapshots.
+
+    Testable stages exclude the skip-tests stages (the reference divides by
+    stages - 1 instead, quirk Q4)."""
+    testable = ~F.col("stage").isin(list(skip_test_stages))
+    m = metrics.groupBy("run_id").agg(
+        F.count(F.lit(1)).cast("bigint").alias("stages"),
+        F.sum("tokens_used").cast("bigint").alias("tokens"),
+        F.sum("cost").cast(TOTAL).alias("cost"),
+        F.count(F.when(testable & F.col("tests_pass"), 1)).cast("bigint").alias("tests_passed"),
+        F.count(F.when(testable, 1)).cast("bigint").alias("testable_stages"))
+    s = snapshots.groupBy("run_id").agg(F.count(F.lit(1)).cast("bigint").alias("snapshots"))
+    return (m.join(s, "run_id", "left")
+             .withColumn("snapshots", F.coalesce("snapshots", F.lit(0).cast("bigint"))))
+
+
+def stage_dashboard(metrics: DataFrame) -> DataFrame:
+    """Per stage success rate, mean duration, mean files, cost, runs."""
+    n = F.count(F.lit(1))
+    return metrics.groupBy("stage").agg(
+        n.cast("bigint").alias("records"),
+        F.countDistinct("run_id").cast("bigint").alias("runs"),
+        _ratio(F.count(F.when(F.col("tests_pass"), 1)), n).alias("test_success_rate"),
+        _ratio(F.sum("duration_ms"), n).alias("avg_duration_ms"),
+        _ratio(F.sum("files_modified"), n).alias("avg_files_modified"),
+        F.sum("tokens_used").cast("bigint").alias("tokens"),
+        F.sum("cost").cast(TOTAL).alias("cost"))
+
+
+# Failure classes by the text of the recorded error messages.
+FAILURE_CLASSES = [
+    ("approval_timeout", "Approval timeout for stage"),
+    ("rejected", "rejected by developer"),
+    ("critical_tests", "failed tests"),
+    ("final_suite", "Final test suite failed"),
+    ("iterations_exhausted", "Failed to fix issue after"),
+    ("execution_timeout", "execution timed out"),
+    ("execution_failed", "execution failed"),
+]
+
+
+def failure_class(err) -> "F.Column":
+    expr = None
+    for cls, needle in FAILURE_CLASSES:
+        cond = F.instr(err, needle) > 0
+        expr = F.when(cond, F.lit(cls)) if expr is None else expr.when(cond, F.lit(cls))
+    return expr.otherwise(F.lit("other"))
+
+
+def mask_error(err, stage_names) -> "F.Column":
+    """Mask quoted text, stage names and numbers so equal failures group."""
+    stages = "|".join(s.replace("-", "\\-") for s in sorted(stage_names, key=len, reverse=True))
+    m = F.regexp_replace(err, "'[^']*'", "<q>")
+    m = F.regexp_replace(m, f"\\b({stages}|iteration-[0-9]+|feature-[^ ]+)\\b", "<stage>")
+    return F.regexp_replace(m, "[0-9]+", "<n>")
+
+
+def failure_patterns(metrics: DataFrame, stage_names, k: int = 20) -> DataFrame:
+    """Masked error text with class, counted; top ``k`` by count."""
+    e = metrics.filter(F.col("error").isNotNull()).select(
+        mask_error(F.col("error"), stage_names).alias("pattern"),
+        failure_class(F.col("error")).alias("failure_class"), "run_id")
+    g = e.groupBy("failure_class", "pattern").agg(
+        F.count(F.lit(1)).cast("bigint").alias("occurrences"),
+        F.countDistinct("run_id").cast("bigint").alias("runs"))
+    return g.orderBy(F.col("occurrences").desc(), "pattern", "failure_class").limit(k)
+
+
+def code_churn(metrics: DataFrame) -> DataFrame:
+    """Files and lines per run, per stage and overall (grouping sets)."""
+    g = metrics.groupingSets([["run_id"], ["stage"], []], "run_id", "stage").agg(
+        F.sum("files_modified").cast("bigint").alias("files_modified"),
+        F.sum("lines_added").cast("bigint").alias("lines_added"),
+        F.sum("lines_removed").cast("bigint").alias("lines_removed"),
+        F.grouping_id().alias("_gid"))
+    grain = (F.when(F.col("_gid") == 1, "run").when(F.col("_gid") == 2, "stage")
+             .otherwise("all"))
+    return g.select(grain.alias("grain"), "run_id", "stage", "files_modified", "lines_added",
+                    "lines_removed",
+                    (F.col("lines_added") - F.col("lines_removed")).alias("net_lines"))
+
+
+def slow_stages(metrics: DataFrame, k: int = 20) -> DataFrame:
+    """L1: the ``k`` longest stages, ties by run and seq (TakeOrderedAndProject)."""
+    return (metrics.select("run_id", "seq", "stage", "duration_ms")
+            .orderBy(F.col("duration_ms").desc(), "run_id", "seq").limit(k))
+
+
+def failed_stages(metrics: DataFrame, include_errors: bool = False) -> DataFrame:
+    """Rows with tests_pass = false; ``include_errors`` adds rows with an
+    error (failure rows keep the default tests_pass = true, quirk Q1)."""
+    cond = ~F.col("tests_pass")
+    if include_errors:
+        cond = cond | F.col("error").isNotNull()
+    return metrics.filter(cond).select("run_id", "seq", "stage", "tests_pass", "error", "ts")

@@ -32,6 +32,10 @@ def oracle_binding(name: str) -> str:
 def with_bindings(names, body: str) -> str:
     """``WITH b1 AS (...), b2 AS (...) <body>`` for the oracle."""
     ctes = ",\n".join(f"{n} AS (\n{oracle_binding(n)}\n)" for n in names)
+    if not ctes:
+        return body
+    if body.lstrip().upper().startswith("WITH "):
+        return f"WITH {ctes},\n{body.lstrip()[5:]}"
     return f"WITH {ctes}\n{body}"
 
 

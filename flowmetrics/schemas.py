@@ -251,3 +251,93 @@ def run_id_prefixes_df(spark: SparkSession) -> DataFrame:
 
 def run_id_prefixes_sql() -> str:
     return values_sql(RUN_ID_PREFIXES, ["prefix", "workflow_type"])
+
+
+# ---------------------------------------------------------------------------
+# Stage templates (fixed values): workflow type, order, name, prompt template,
+# requires_approval, critical_path, skip_tests; max_tokens 8000 and
+# temperature 0.3 for all.  Unknown workflow types use "llm-wrapper".
+# ---------------------------------------------------------------------------
+DEFAULT_WORKFLOW_TYPE = "llm-wrapper"
+STAGE_TEMPLATES = [
+    ("llm-wrapper", 1, "scaffold",
+     "Create a TypeScript LLM wrapper library with:\n- Support for OpenAI, Anthropic, and local models\n"
+     "- Type-safe interfaces\n- Streaming support\n- Error handling and retries\n- Cost tracking\n\n"
+     "Setup project structure in {project_path}", False, True, False),
+    ("llm-wrapper", 2, "core-implementation",
+     "Implement core wrapper functionality:\n- Base LLMClient abstract class\n"
+     "- OpenAI provider implementation\n- Anthropic provider implementation\n"
+     "- Unified response format\n- Token counting utilities", True, True, False),
+    ("llm-wrapper", 3, "streaming",
+     "Add streaming support:\n- Server-sent events handling\n- Async iterators for streams\n"
+     "- Backpressure handling\n- Stream cancellation", False, True, False),
+    ("llm-wrapper", 4, "error-handling",
+     "Implement robust error handling:\n- Custom error classes for different failure types\n"
+     "- Exponential backoff with jitter\n- Circuit breaker pattern\n- Request timeout handling\n"
+     "- Rate limit detection and retry", False, False, False),
+    ("llm-wrapper", 5, "testing",
+     "Create comprehensive test suite:\n- Unit tests for each provider\n"
+     "- Integration tests with mock APIs\n- Streaming tests\n- Error handling tests\n"
+     "- Edge case coverage", False, True, False),
+    ("llm-wrapper", 6, "documentation",
+     "Generate complete documentation:\n- README with quick start guide\n"
+     "- API reference for all public methods\n- Usage examples for common scenarios\n"
+     "- Migration guides\n- TypeScript type documentation", False, False, True),
+    ("api", 1, "scaffold",
+     "Create API project structure in {project_path}:\n- FastAPI/Express framework setup\n"
+     "- Database models and migrations\n- Authentication middleware\n- API documentation setup",
+     False, True, False),
+    ("api", 2, "endpoints",
+     "Implement API endpoints:\n- CRUD operations for main resources\n- Input validation\n"
+     "- Error responses\n- Pagination support", True, True, False),
+    ("api", 3, "authentication",
+     "Add authentication and authorization:\n- JWT token handling\n- Role-based access control\n"
+     "- API key management\n- Rate limiting", True, True, False),
+    ("api", 4, "testing",
+     "Create API test suite:\n- Unit tests for handlers\n- Integration tests for endpoints\n"
+     "- Authentication tests\n- Error handling tests", False, True, False),
+    ("frontend", 1, "scaffold",
+     "Create frontend project in {project_path}:\n- React/Vue/Svelte setup\n"
+     "- Component library integration\n- State management setup\n- Build configuration",
+     False, True, False),
+    ("frontend", 2, "components",
+     "Implement UI components:\n- Layout components\n- Form components\n"
+     "- Data display components\n- Navigation components", False, True, False),
+    ("frontend", 3, "pages",
+     "Create application pages:\n- Main dashboard\n- Detail views\n- Forms and editors\n"
+     "- Settings pages", True, True, False),
+    ("frontend", 4, "testing",
+     "Add frontend tests:\n- Component unit tests\n- Integration tests\n- Accessibility tests\n"
+     "- Visual regression tests", False, True, False),
+]
+TEMPLATE_MAX_TOKENS = 8000
+TEMPLATE_TEMPERATURE = 0.3
+
+
+def stage_ordinals(workflow_type: str = DEFAULT_WORKFLOW_TYPE) -> dict[str, int]:
+    return {name: o for wt, o, name, *_ in STAGE_TEMPLATES if wt == workflow_type}
+
+
+def skip_test_stages() -> list[str]:
+    return sorted({name for _, _, name, _, _, _, skip in STAGE_TEMPLATES if skip})
+
+
+def known_stage_names() -> list[str]:
+    seen: list[str] = []
+    for _, _, name, *_ in STAGE_TEMPLATES:
+        if name not in seen:
+            seen.append(name)
+    return seen
+
+
+def templates_df(spark: SparkSession) -> DataFrame:
+    return F.broadcast(spark.createDataFrame(
+        STAGE_TEMPLATES,
+        "workflow_type string, ord int, name string, prompt_template string, "
+        "requires_approval boolean, critical_path boolean, skip_tests boolean"))
+
+
+def templates_sql() -> str:
+    return values_sql(STAGE_TEMPLATES, ["workflow_type", "ord", "name", "prompt_template",
+                                        "requires_approval", "critical_path", "skip_tests"],
+                      {"ord": "INTEGER"})
