@@ -131,3 +131,84 @@ def failed_stages(metrics: DataFrame, include_errors: bool = False) -> DataFrame
     if include_errors:
         cond = cond | F.col("error").isNotNull()
     return metrics.filter(cond).select("run_id", "seq", "stage", "tests_pass", "error", "ts")
+
+
+def command_metrics(commands: DataFrame) -> DataFrame:
+    """Success rate (strict rule) and mean tokens per command category."""
+    from .cost import strict_success
+    cat = F.regexp_extract("command", r"^/([^:]+):", 1)
+    ok = strict_success(F.col("exit_code"), F.col("output"))
+    n = F.count(F.lit(1))
+    return commands.groupBy(cat.alias("category")).agg(
+        n.cast("bigint").alias("invocations"),
+        _ratio(F.count(F.when(ok, 1)), n).alias("success_rate"),
+        _ratio(F.sum("tokens_used"), n).alias("avg_tokens"))
+
+
+def branch_name(idx, feature, dialect: str = "python"):
+    """``feature-<i>-<name>``: every blank to ``-`` and lower case (default),
+    or runs of whitespace to ``-`` with case kept (``collapse``)."""
+    if dialect == "collapse":
+        name = F.regexp_replace(feature, r"\s+", "-")
+    else:
+        name = F.lower(F.replace(feature, F.lit(" "), F.lit("-")))
+    return F.concat(F.lit("feature-"), idx.cast("string"), F.lit("-"), name)
+
+
+def feature_results(feature_runs: DataFrame, dialect: str = "python") -> DataFrame:
+    """One row per feature that returned (raised ones are dropped from the
+    list, as the gather does), with branch and OK / FAILED."""
+    f = feature_runs.filter(~F.col("raised"))
+    return f.select("run_id", "idx", "feature",
+                    branch_name(F.col("idx"), F.col("feature"), dialect).alias("branch"),
+                    "success", F.when(F.col("success"), "OK").otherwise("FAILED").alias("status"),
+                    "tokens_used")
+
+
+def feature_summary(feature_runs: DataFrame) -> DataFrame:
+    """G7 roll-up: per run features returned, OK, failed and raised apart."""
+    return feature_runs.groupBy("run_id").agg(
+        F.count(F.when(~F.col("raised"), 1)).cast("bigint").alias("returned"),
+        F.count(F.when(~F.col("raised") & F.col("success"), 1)).cast("bigint").alias("ok"),
+        F.count(F.when(~F.col("raised") & ~F.col("success"), 1)).cast("bigint").alias("failed"),
+        F.count(F.when(F.col("raised"), 1)).cast("bigint").alias("raised"),
+        F.sum(F.when(~F.col("raised"), F.col("tokens_used"))).cast("bigint").alias("tokens_used"))
+
+
+def parallel_speedup(feature_runs: DataFrame) -> DataFrame:
+    """serial = sum of durations, elapsed = max, speed-up = serial/elapsed."""
+    g = feature_runs.groupBy("run_id").agg(
+        F.count(F.lit(1)).cast("bigint").alias("features"),
+        F.sum("duration_ms").cast("bigint").alias("serial_ms"),
+        F.max("duration_ms").cast("bigint").alias("elapsed_ms"))
+    return g.withColumn("speedup", F.try_divide(F.col("serial_ms").cast("double"),
+                                                F.col("elapsed_ms").cast("double")))
+
+
+def snapshot_history(snapshots: DataFrame) -> DataFrame:
+    """Snapshots per run: count, first and last in creation order."""
+    o = F.struct("ts", "event_id")
+    return snapshots.groupBy("run_id").agg(
+        F.count(F.lit(1)).cast("bigint").alias("snapshots"),
+        F.min_by("snapshot_id", o).alias("first_snapshot"),
+        F.max_by("snapshot_id", o).alias("last_snapshot"),
+        F.max("ts").alias("last_snapshot_ts"))
+
+
+def delivery_results(attempts: DataFrame) -> DataFrame:
+    """A composite notification succeeded if any channel did; channels
+    tried and the (at most a handful of) channels that failed."""
+    return attempts.groupBy("request_id").agg(
+        F.bool_or("ok").alias("delivered"),
+        F.countDistinct("channel").cast("bigint").alias("channels_tried"),
+        F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("channel")))).alias("failed_channels"),
+        F.count(F.lit(1)).cast("bigint").alias("attempts"))
+
+
+def coverage_trend(test_results: DataFrame, grain: str = "month") -> DataFrame:
+    """Mean coverage (nulls ignored) per period and framework."""
+    period = F.to_date(F.date_trunc(grain, "ts"))
+    return test_results.groupBy(period.alias("period"), "framework").agg(
+        F.count(F.lit(1)).cast("bigint").alias("test_runs"),
+        F.count("coverage").cast("bigint").alias("with_coverage"),
+        _ratio(F.sum("coverage"), F.count("coverage")).alias("avg_coverage"))

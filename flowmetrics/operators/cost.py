@@ -76,9 +76,9 @@ def effective_settings(overrides: DataFrame, presets: DataFrame) -> DataFrame:
                  F.col("environment")).otherwise(F.lit(DEFAULT_ENVIRONMENT))
     o = overrides.withColumn("preset", env)
     j = o.join(presets, "preset", "left")
-    mt = F.try_cast(_int_text(F.col("max_tokens")), "bigint")
-    temp = F.try_cast(F.col("temperature"), "double")
-    to = F.try_cast(_int_text(F.col("timeout")), "int")
+    mt = _int_text(F.col("max_tokens")).try_cast("bigint")
+    temp = F.col("temperature").try_cast("double")
+    to = _int_text(F.col("timeout")).try_cast("int")
     return j.select(
         "run_id", "environment", "preset",
         F.coalesce(mt, F.col("preset_max_tokens")).alias("max_tokens"),
