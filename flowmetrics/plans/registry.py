@@ -31,4 +31,4 @@ def query(name: str, oracle: str | None = None, bindings: Sequence[str] = ()):
 
 
 def load_all() -> None:
-    from . import q_costs, q_logs, q_runs  # noqa: F401
+    from . import q_costs, q_io, q_logs, q_runs  # noqa: F401
