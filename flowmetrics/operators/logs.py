@@ -31,11 +31,16 @@ def _errors_if_failed(success, output):
     return F.when(success, F.array().cast("array<string>")).otherwise(F.array(output))
 
 
-def parse_npm(output: Column, rc: Column) -> Column:
+def npm_json(output: Column) -> Column:
+    return F.from_json(output, NPM_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"})
+
+
+def parse_npm(output: Column, rc: Column, parsed: Column | None = None) -> Column:
     """JSON report (success defaults to rc == 0, counts to 0, coverage at
     coverageMap.total.lines.pct); non-JSON text: 0 tests, 1 passed or failed
-    by the return code, the output as error on failure."""
-    j = F.from_json(output, NPM_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    by the return code, the output as error on failure.  ``parsed``: the
+    output already parsed by :func:`npm_json` (parse once, read many)."""
+    j = parsed if parsed is not None else npm_json(output)
     is_json = j.getField("_corrupt_record").isNull() & output.isNotNull()
     ok_rc = rc == 0
     js = _result(F.coalesce(j.getField("success"), ok_rc),
@@ -96,9 +101,13 @@ def parse_test_logs(logs: DataFrame, dialects: dict | None = None) -> DataFrame:
     no or unknown framework -> failed 0/0/1 "No supported test framework
     detected"; an optional boolean ``tool_missing`` column gives 0/0/1
     "<tool> not found"."""
-    dialects = dialects or DIALECTS
+    dialects = dict(dialects or DIALECTS)
     fw = F.lower(F.col("framework"))
     out, rc = F.col("output"), F.col("return_code")
+    if dialects.get("npm") is parse_npm:
+        # parse the JSON once per npm row (a CASE branch would repeat it per field)
+        logs = logs.withColumn("_npm_json", F.when(fw == "npm", npm_json(out)))
+        dialects["npm"] = lambda o, r: parse_npm(o, r, F.col("_npm_json"))
     res = None
     for name, fn in dialects.items():
         res = (F.when(fw == name, fn(out, rc)) if res is None
