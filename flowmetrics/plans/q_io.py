@@ -17,7 +17,9 @@ from ..sources import metrics as MS
 from ..sources import outbox as OB
 from ..streaming import streams as SS
 from . import q_logs
+from ..schemas import activity_timeouts_sql
 from .registry import ORACLES, query
+from .tables import with_bindings
 
 SM = ["b_stage_metrics"]
 RUN_KEYS = T.StructType([T.StructField("run_id", T.LongType()), T.StructField("seq", T.LongType())])
@@ -263,3 +265,71 @@ ORACLES["notification_outbox"] = ORACLES["render_notifications"]
 # the streaming gates must equal the batch sticky gates (wait_ms aside)
 ORACLES["stream_approval_gates"] = ORACLES["approval_gates_sticky"].replace(
     "CASE WHEN failed_before IS NULL THEN (epoch_us(dts) - epoch_us(opened_at)) // 1000 END AS wait_ms\n", "")
+
+
+@query("stream_outbox")
+def _stream_outbox(b):
+    """Gate openings streamed into the outbox by ``foreachBatch``
+    (rendered per channel, written per batch id; replays overwrite)."""
+    from ..operators import notify as N
+    gpath = scratch_path(b.spark, "outbox-gates")
+    b.b_gates.repartition(3).write.parquet(gpath)
+    gs = b.spark.readStream.schema(b.b_gates.schema).option("maxFilesPerTrigger", 1).parquet(gpath)
+    out = scratch_path(b.spark, "outbox-stream")
+    previews = N.file_previews(b.b_file_status)
+    q = (gs.writeStream.foreachBatch(SS.outbox_writer(out, previews))
+         .option("checkpointLocation", scratch_path(b.spark, "outbox-ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return OB.read_outbox(b.spark, out).select("request_id", "channel", "payload")
+
+
+ORACLES["stream_outbox"] = ORACLES["render_notifications"]
+
+ACT = ["b_activity_events"]
+
+
+@query("stream_stuck_activities")
+def _stream_stuck(b):
+    """Scheduled activities with no completion inside their limit, by a
+    stream-stream left outer join with watermarks on both sides."""
+    from ..schemas import activity_timeouts_df
+    ev = b.b_activity_events
+    lim = activity_timeouts_df(b.spark)
+    limit = F.when(F.col("activity") == "execute", F.least(F.col("limit_s"), F.lit(1800))) \
+        .otherwise(F.col("limit_s")).cast("int")
+    sched = ev.join(lim, "activity", "left").select(
+        "activity_id", "run_id", "activity", "scheduled_at", limit.alias("limit_s"))
+    done = ev.filter(F.col("completed_after_s").isNotNull()).select(
+        "activity_id", F.timestamp_add("SECOND", F.col("completed_after_s"), F.col("scheduled_at"))
+        .alias("completed_at"))
+    spath, cpath = scratch_path(b.spark, "sched-src"), scratch_path(b.spark, "done-src")
+    sched.repartition(2).write.parquet(spath)
+    done.repartition(2).write.parquet(cpath)
+    # end-of-input markers on both sides (a sentinel activity far in the future)
+    far = F.lit("2200-01-01 00:00:00").cast(sched.schema["scheduled_at"].dataType)
+    sched.limit(1).select(F.lit(-1).cast("bigint").alias("activity_id"),
+                          F.lit(-1).cast(sched.schema["run_id"].dataType).alias("run_id"),
+                          F.lit("marker").alias("activity"), far.alias("scheduled_at"),
+                          F.lit(0).alias("limit_s")).write.mode("append").parquet(spath)
+    done.limit(1).select(F.lit(-1).cast("bigint").alias("activity_id"),
+                         far.alias("completed_at")).write.mode("append").parquet(cpath)
+    ss = SS.to_event_time(b.spark.readStream.schema(b.spark.read.parquet(spath).schema)
+                          .parquet(spath), "scheduled_at")
+    cs = SS.to_event_time(b.spark.readStream.schema(b.spark.read.parquet(cpath).schema)
+                          .parquet(cpath), "completed_at")
+    r = _run(b, SS.stuck_activities(ss, cs, max_limit_s=900, watermark="1 hour"), "append")
+    return r.filter(F.col("activity_id") >= 0).select(
+        "activity_id", "run_id", "activity",
+        F.col("scheduled_at").cast("timestamp_ntz").alias("scheduled_at"), "limit_s",
+        F.col("completed_at").cast("timestamp_ntz").alias("completed_at"))
+
+
+ORACLES["stream_stuck_activities"] = with_bindings(ACT, f"""
+SELECT activity_id, run_id, activity, scheduled_at, limit_s,
+       CASE WHEN completed_after_s <= 900 THEN scheduled_at + to_seconds(completed_after_s) END AS completed_at
+FROM (SELECT e.*, CAST(CASE WHEN e.activity = 'execute' THEN least(l.limit_s, 1800) ELSE l.limit_s END AS INTEGER)
+             AS limit_s
+      FROM b_activity_events e LEFT JOIN {activity_timeouts_sql()} l ON e.activity = l.activity) x
+WHERE completed_after_s IS NULL OR completed_after_s > limit_s
+""")
