@@ -88,13 +88,18 @@ def _sticky(gates: DataFrame, signals: DataFrame, timeout_s: int) -> DataFrame:
     after = seg.select("run_id", "gate_no", F.col("first").alias("first_in_seg"))
     gk = gk.join(before, ["run_id", "gate_no"], "left").join(after, ["run_id", "gate_no"], "left")
     gk = gk.withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+    # The gate scans below aggregate values derived from the scan above; a
+    # reliable checkpoint (shared checkpoint folder) cuts that lineage so it is
+    # computed once instead of once per branch.  Gate rows are a small slice.
+    gk = gk.checkpoint(eager=True)
 
     decisive = F.when(F.col("cnt") >= 2, F.lit(True)).when(F.col("cnt") == 0, F.lit(False))
     gorder = ["gate_no"]
-    gbucket = hour_bucket("opened_at")
-    sc = prefix_scan(gk, ["run_id"], gorder, gbucket, [("set_mode", "last", decisive)], "upto")
-    sc = prefix_scan(sc, ["run_id"], gorder, gbucket, [("next_sig", "first", F.col("first_in_seg"))],
-                     "from")
+    # verdict carried forward and next signal looked ahead: one scan, two frames
+    gbucket = "_fm_gate_hour"
+    sc = prefix_scan(gk, ["run_id"], gorder, hour_bucket("opened_at"),
+                     [("set_mode", "last", decisive, "upto"),
+                      ("next_sig", "first", F.col("first_in_seg"), "from")], keep_bucket=gbucket)
     flag_set = F.coalesce(F.col("set_mode"), F.lit(True))
     deadline = F.timestamp_add("SECOND", F.lit(timeout_s), F.col("opened_at"))
     waited_ok = F.col("next_sig").isNotNull() & (F.col("next_sig.t") <= deadline)
@@ -103,7 +108,7 @@ def _sticky(gates: DataFrame, signals: DataFrame, timeout_s: int) -> DataFrame:
                .when(decided_sig == "approve", "approved").otherwise("rejected"))
     decided_at = (F.when(flag_set, F.col("opened_at")).when(waited_ok, F.col("next_sig.t"))
                   .otherwise(deadline))
-    dec = sc.select("run_id", "gate_id", "stage", "opened_at", "gate_no",
+    dec = sc.select("run_id", "gate_id", "stage", "opened_at", "gate_no", gbucket,
                     outcome.alias("outcome"), decided_at.alias("decided_at"))
     cut = prefix_scan(dec, ["run_id"], gorder, gbucket,
                       [("failed_before", "max", F.when(F.col("outcome") != "approved", F.lit(1)))],

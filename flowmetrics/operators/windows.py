@@ -22,14 +22,18 @@ TOTAL = "DECIMAL(38,9)"
 RUN_ORDER = ["seq"]
 
 
-def _seq_bucket():
-    # seq follows (ts, event_id), so the hour of ts never decreases along it
-    return hour_bucket("ts")
+RUN_BUCKET = "run_hour"
+
+
+def _bucket(df: DataFrame):
+    """The hour of ts (seq follows ts, so it never decreases along seq);
+    reuse the binding's column when present to keep its partitioning."""
+    return RUN_BUCKET if RUN_BUCKET in df.columns else hour_bucket("ts")
 
 
 def run_progress(metrics: DataFrame) -> DataFrame:
     """Running tokens, cost and tests passed after each stage."""
-    s = prefix_scan(metrics, ["run_id"], RUN_ORDER, _seq_bucket(), [
+    s = prefix_scan(metrics, ["run_id"], RUN_ORDER, _bucket(metrics), [
         ("cum_tokens", "sum", F.col("tokens_used")),
         ("cum_cost", "sum", F.col("cost")),
         ("cum_tests_passed", "count", F.when(F.col("tests_pass"), 1)),
@@ -45,7 +49,7 @@ def cooldowns(metrics: DataFrame, limit: int = COOLDOWN_TOKEN_LIMIT,
               wait_s: int = COOLDOWN_SECONDS) -> DataFrame:
     """A stage waits ``wait_s`` when the never-reset running token total
     exceeds ``limit`` (quirk Q8: every later stage waits too)."""
-    s = prefix_scan(metrics, ["run_id"], RUN_ORDER, _seq_bucket(),
+    s = prefix_scan(metrics, ["run_id"], RUN_ORDER, _bucket(metrics),
                     [("cum_tokens", "sum", F.col("tokens_used"))])
     return s.select("run_id", "seq", "stage", F.col("cum_tokens").cast("bigint").alias("cum_tokens"),
                     F.when(F.col("cum_tokens") > limit, F.lit(wait_s)).otherwise(F.lit(0))
@@ -63,7 +67,7 @@ def cooldown_totals(metrics: DataFrame, limit: int = COOLDOWN_TOKEN_LIMIT,
 def budget_alerts(metrics: DataFrame, limit: str = "1.00") -> DataFrame:
     """The stage at which a run's running cost first exceeds ``limit``."""
     lim = F.lit(limit).cast("decimal(18,9)")
-    s = prefix_scan(metrics, ["run_id"], RUN_ORDER, _seq_bucket(),
+    s = prefix_scan(metrics, ["run_id"], RUN_ORDER, _bucket(metrics),
                     [("cum_cost", "sum", F.col("cost"))])
     prev = F.col("cum_cost") - F.col("cost")
     return s.filter((prev <= lim) & (F.col("cum_cost") > lim)).select(
@@ -73,7 +77,7 @@ def budget_alerts(metrics: DataFrame, limit: str = "1.00") -> DataFrame:
 def stage_timeline(metrics: DataFrame) -> DataFrame:
     """Start and end offsets (and times) of each stage from cumulative
     durations, starting at the run's first timestamp."""
-    s = prefix_scan(metrics, ["run_id"], RUN_ORDER, _seq_bucket(), [
+    s = prefix_scan(metrics, ["run_id"], RUN_ORDER, _bucket(metrics), [
         ("end_offset_ms", "sum", F.col("duration_ms")),
         ("run_start", "min", F.col("ts")),
     ])
@@ -133,7 +137,7 @@ def stage_order_audit(metrics: DataFrame, ordinals: dict[str, int]) -> DataFrame
     """Stages that ran after a later template stage already ran."""
     ordmap = F.create_map(*[x for k, v in ordinals.items() for x in (F.lit(k), F.lit(v))])
     m = metrics.withColumn("ordinal", F.element_at(ordmap, F.col("stage")))
-    s = prefix_scan(m, ["run_id"], RUN_ORDER, _seq_bucket(),
+    s = prefix_scan(m, ["run_id"], RUN_ORDER, _bucket(m),
                     [("prev_max_ordinal", "max", F.col("ordinal"))], frame="before")
     return s.filter(F.col("ordinal") < F.col("prev_max_ordinal")).select(
         "run_id", "seq", "stage", F.col("ordinal").cast("int").alias("ordinal"),
@@ -144,7 +148,7 @@ def failure_context(metrics: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Per error row, tokens / cost / files spent before it and the last
     snapshot at or before it."""
     from .joins import asof_last_snapshot
-    s = prefix_scan(metrics, ["run_id"], RUN_ORDER, _seq_bucket(), [
+    s = prefix_scan(metrics, ["run_id"], RUN_ORDER, _bucket(metrics), [
         ("tokens_before", "sum", F.col("tokens_used")),
         ("cost_before", "sum", F.col("cost")),
         ("files_before", "sum", F.col("files_modified").cast("bigint")),

@@ -53,30 +53,45 @@ def _merge(kind: str, local: Column, carry: Column) -> Column:
     return F.least(local, carry)
 
 
-def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column,
-                aggs: Sequence[tuple[str, str, Column]], frame: str = "upto") -> DataFrame:
-    """Add one column per ``(name, kind, expr)`` holding the aggregate of
-    ``expr`` over the ordered frame of the row's key.
-
-    ``frame``: ``upto`` (rows up to and including this one), ``before``
-    (strictly earlier rows), ``from`` / ``after`` (this and later / strictly
-    later rows).  ``kind``: ``sum``, ``count`` (of non-null), ``max``,
-    ``min``, ``last`` / ``first`` (value of the latest / earliest row in the
-    frame where ``expr`` is not null).  ``order`` must be a total order within
-    a key, and ``bucket`` must never decrease along it.
+def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column | str,
+                aggs: Sequence[tuple], frame: str = "upto",
+                keep_bucket: str | None = None) -> DataFrame:
+    """Add one column per ``(name, kind, expr[, frame])`` holding the
+    aggregate of ``expr`` over the ordered frame of the row's key.
+
+    ``frame`` (default for every agg, or per agg as 4th element): ``upto``
+    (rows up to and including this one), ``before`` (strictly earlier rows),
+    ``from`` / ``after`` (this and later / strictly later rows).  ``kind``:
+    ``sum``, ``count`` (of non-null), ``max``, ``min``, ``last`` / ``first``
+    (value of the latest / earliest row in the frame where ``expr`` is not
+    null).  ``order`` must be a total order within a key, and ``bucket`` must
+    never decrease along it (``bucket`` may name an existing column).
+
+    Plan: one hash shuffle of the rows on ``(keys, bucket)`` for the local
+    windows (none when the input is already partitioned that way, e.g. by a
+    previous scan on the same bucket column); per-bucket totals by partial
+    aggregation on a column-pruned read of the input; a small shuffle of the
+    summary rows by key for the carry window; the join back on
+    ``(keys, bucket)`` with one summary row per bucket.  When the totals
+    depend on an earlier scan's output, cut the lineage first (see the
+    sticky gates) so the earlier scan is not recomputed per branch.
     """
-    if frame not in _FRAMES:
-        raise ValueError(f"frame must be one of {sorted(_FRAMES)}")
     keys = list(keys)
     order_cols = [_c(o) for o in order]
-    lo, hi = _FRAMES[frame]
-    backward = frame in ("upto", "before")
-
-    staged = df.withColumn(_B, bucket)
-    inner: dict[str, tuple[str, Column]] = {}
-    for i, (name, kind, expr) in enumerate(aggs):
+    if isinstance(bucket, str) and bucket in df.columns:
+        b_name, staged = bucket, df
+    else:
+        b_name = keep_bucket or _B
+        staged = df.withColumn(b_name, _c(bucket))
+
+    specs = []
+    for i, a in enumerate(aggs):
+        name, kind, expr = a[0], a[1], a[2]
+        fr = a[3] if len(a) > 3 else frame
         if kind not in _KINDS:
             raise ValueError(f"unknown kind {kind}")
+        if fr not in _FRAMES:
+            raise ValueError(f"frame must be one of {sorted(_FRAMES)}")
         tmp = f"_fm_in{i}"
         if kind in ("last", "first"):
             fields = [o.alias(f"o{j}") for j, o in enumerate(order_cols)] + [expr.alias("v")]
@@ -86,7 +101,7 @@ def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Col
         else:
             val = expr
         staged = staged.withColumn(tmp, val)
-        inner[name] = (kind, F.col(tmp))
+        specs.append((name, kind, F.col(tmp), fr))
 
     def agg_fn(kind: str, c: Column) -> Column:
         if kind in ("sum", "count"):
@@ -95,41 +110,45 @@ def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Col
             return F.max(c)
         return F.min(c)
 
-    local_w = Window.partitionBy(*keys, _B).orderBy(*order_cols).rowsBetween(lo, hi)
     local = staged
-    for name, (kind, c) in inner.items():
-        local = local.withColumn(f"_fm_l_{name}", agg_fn(kind, c).over(local_w))
-
-    totals = staged.groupBy(*keys, _B).agg(
-        *[agg_fn(kind, c).alias(f"_fm_t_{name}") for name, (kind, c) in inner.items()])
-    carry_frame = (Window.unboundedPreceding, -1) if backward else (1, Window.unboundedFollowing)
-    carry_w = Window.partitionBy(*keys).orderBy(_B).rowsBetween(*carry_frame)
-    carry = totals.select(*keys, _B, *[
-        agg_fn(kind, F.col(f"_fm_t_{name}")).over(carry_w).alias(f"_fm_c_{name}")
-        for name, (kind, _) in inner.items()])
-
-    out = local.join(carry, on=keys + [_B], how="left")
-    for name, (kind, _) in inner.items():
+    for name, kind, c, fr in specs:
+        lo, hi = _FRAMES[fr]
+        w = Window.partitionBy(*keys, b_name).orderBy(*order_cols).rowsBetween(lo, hi)
+        local = local.withColumn(f"_fm_l_{name}", agg_fn(kind, c).over(w))
+
+    totals = staged.groupBy(*keys, b_name).agg(
+        *[agg_fn(kind, c).alias(f"_fm_t_{name}") for name, kind, c, _ in specs])
+    carry_cols = []
+    for name, kind, _, fr in specs:
+        back = fr in ("upto", "before")
+        cf = (Window.unboundedPreceding, -1) if back else (1, Window.unboundedFollowing)
+        cw = Window.partitionBy(*keys).orderBy(b_name).rowsBetween(*cf)
+        carry_cols.append(agg_fn(kind, F.col(f"_fm_t_{name}")).over(cw).alias(f"_fm_c_{name}"))
+    carry = totals.select(*keys, b_name, *carry_cols)
+
+    out = local.join(carry, on=keys + [b_name], how="left")
+    for name, kind, _, _ in specs:
         merged = _merge(kind, F.col(f"_fm_l_{name}"), F.col(f"_fm_c_{name}"))
         if kind in ("last", "first"):
             merged = merged.getField("v")
         out = out.withColumn(name, merged)
-    drop = [_B] + [f"_fm_in{i}" for i in range(len(aggs))]
-    drop += [f"_fm_{p}_{n}" for n in inner for p in ("l", "c")]
+    drop = ([_B] if b_name == _B else []) + [f"_fm_in{i}" for i in range(len(aggs))]
+    drop += [f"_fm_{p}_{n}" for n, *_ in specs for p in ("l", "c")]
     return out.drop(*drop)
 
 
-def row_number_scan(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column,
-                    name: str = "seq", dtype: str = "bigint") -> DataFrame:
+def row_number_scan(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column | str,
+                    name: str = "seq", dtype: str = "bigint",
+                    keep_bucket: str | None = None) -> DataFrame:
     """Skew-safe ``row_number() over (partition by keys order by order)``."""
-    return prefix_scan(df, keys, order, bucket, [(name, "count", F.lit(1))], "upto") \
-        .withColumn(name, F.col(name).cast(dtype))
+    return prefix_scan(df, keys, order, bucket, [(name, "count", F.lit(1))], "upto",
+                       keep_bucket=keep_bucket).withColumn(name, F.col(name).cast(dtype))
 
 
 def hour_bucket(ts: str | Column) -> Column:
-    """Bucket for time-ordered scans: the timestamp truncated to the hour
-    (never decreases with ``ts``; no time-zone arithmetic)."""
-    return F.date_trunc("HOUR", _c(ts))
+    """Bucket for time-ordered scans: whole hours since 1970 (never
+    decreases with ``ts``; for TIMESTAMP_NTZ no time-zone arithmetic)."""
+    return F.timestamp_diff("HOUR", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), _c(ts))
 
 
 def int_bucket(c: str | Column, width: int) -> Column:

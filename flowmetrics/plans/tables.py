@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from .binding_sql import BINDING_SQL
 from .scan import hour_bucket, int_bucket, row_number_scan
 
+# hour of ts, kept on per-run bindings so later per-run scans reuse the
+# (run_id, hour) partitioning instead of shuffling the facts again
+RUN_BUCKET = "run_hour"
+
 SOURCE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events", "documents", "embeddings", "pages", "benchmark", "labels",
                  "conversations")
@@ -93,10 +97,11 @@ class Bindings:
                     WHEN event_type = 'error' AND event_id % 10 = 5
                       THEN 'Approval timeout for stage core-implementation' END AS error""",
             "ts")
-        out = row_number_scan(cols, ["run_id"], ["ts", "event_id"], hour_bucket("ts"), "seq")
+        out = row_number_scan(cols, ["run_id"], ["ts", "event_id"], hour_bucket("ts"), "seq",
+                              keep_bucket=RUN_BUCKET)
         return out.select("run_id", "seq", "event_id", "stage", "tokens_used", "cost",
                           "duration_ms", "files_modified", "lines_added", "lines_removed",
-                          "tests_pass", "error", "ts")
+                          "tests_pass", "error", "ts", RUN_BUCKET)
 
     def _build_b_executions(self) -> DataFrame:
         # lead() over consecutive turns == equi self-join on (conv_id, turn + 1)
