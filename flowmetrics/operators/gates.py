@@ -2,8 +2,8 @@
 
 ``independent``: each gate is decided by the first signal of its run in
 ``[opened_at, opened_at + timeout]``; none -> ``timeout`` at the deadline.
-An interval join with an equality key, done as an equi join on
-``(run_id, time bucket)`` so that a hot run only pairs nearby rows.
+An interval join in meaning; computed as a forward scan for the next signal
+(no pairs), which the bucketed range join in ``plans.scan`` would also give.
 
 ``sticky`` (what a real run does): one nullable flag per run, set by every
 signal (last wins), even before a gate opens; a gate opening while the flag
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scan import bucketed_range_join, hour_bucket, micros_between, prefix_scan
+from ..plans.scan import hour_bucket, micros_between, prefix_scan
 from ..schemas import APPROVAL_TIMEOUT_S
 
 
@@ -48,19 +48,25 @@ def approval_gates(gates: DataFrame, signals: DataFrame, timeout_s: int = APPROV
 
 
 def _independent(gates: DataFrame, signals: DataFrame, timeout_s: int) -> DataFrame:
-    g = gates.select("gate_id", "run_id", "stage", "opened_at")
-    s = signals.select("run_id", "signal_id", F.col("ts").alias("s_ts"), "signal")
-    j = bucketed_range_join(g, s, "run_id", "opened_at", "s_ts", width_s=timeout_s,
-                            lower_s=0, upper_s=timeout_s, how="left")
-    first = j.groupBy("gate_id", "run_id", "stage", "opened_at").agg(
-        F.min(F.when(F.col("s_ts").isNotNull(),
-                     F.struct("s_ts", "signal_id", "signal"))).alias("d"))
-    deadline = F.timestamp_add("SECOND", F.lit(timeout_s), F.col("opened_at"))
-    out = first.select(
-        "gate_id", "run_id", "stage", "opened_at",
-        F.when(F.col("d").isNull(), "timeout")
-         .when(F.col("d.signal") == "approve", "approved").otherwise("rejected").alias("outcome"),
-        F.coalesce(F.col("d.s_ts"), deadline).alias("decided_at"))
+    """First signal at or after each gate's opening, decided if within the
+    limit.  A forward ``first`` scan over gates and signals of the run (a
+    gate sorts before a signal of the same instant), so no gate/signal pairs
+    are formed at all, however dense a run is."""
+    g = gates.select("run_id", F.col("opened_at").alias("t"), F.lit(0).alias("kind"),
+                     F.col("gate_id").alias("id"), "stage", F.lit(None).cast("string").alias("signal"))
+    s = signals.select("run_id", F.col("ts").alias("t"), F.lit(1).alias("kind"),
+                       F.col("signal_id").alias("id"), F.lit(None).cast("string").alias("stage"),
+                       "signal")
+    sig = F.when(F.col("kind") == 1, F.struct(F.col("t").alias("t"), F.col("signal").alias("signal")))
+    sc = prefix_scan(g.unionByName(s), ["run_id"], ["t", "kind", "id"], hour_bucket("t"),
+                     [("d", "first", sig, "after")])
+    deadline = F.timestamp_add("SECOND", F.lit(timeout_s), F.col("t"))
+    hit = F.col("d").isNotNull() & (F.col("d.t") <= deadline)
+    out = sc.filter(F.col("kind") == 0).select(
+        F.col("id").alias("gate_id"), "run_id", "stage", F.col("t").alias("opened_at"),
+        F.when(~hit, "timeout").when(F.col("d.signal") == "approve", "approved")
+         .otherwise("rejected").alias("outcome"),
+        F.when(hit, F.col("d.t")).otherwise(deadline).alias("decided_at"))
     return _finish(out)
 
 

@@ -163,7 +163,9 @@ def new_files(file_status: DataFrame) -> DataFrame:
     name = F.element_at(F.split(F.col("path"), " "), -1)
     before = file_status.filter(F.col("phase") == "before") \
         .select("run_id", name.alias("name")).distinct()
-    after = file_status.filter(F.col("phase") == "after").select("run_id", name.alias("name"))
+    # count per (run, file) first: partial aggregation collapses a hot run's
+    # repeated names before the anti join shuffles them
+    after = (file_status.filter(F.col("phase") == "after").select("run_id", name.alias("name"))
+             .groupBy("run_id", "name").agg(F.count(F.lit(1)).cast("bigint").alias("occurrences")))
     d = after.join(before, ["run_id", "name"], "left_anti").filter(F.col("name") != "")
-    return d.groupBy("run_id", F.col("name").alias("path")).agg(
-        F.count(F.lit(1)).cast("bigint").alias("occurrences"))
+    return d.select("run_id", F.col("name").alias("path"), "occurrences")
