@@ -166,34 +166,46 @@ def failure_context(metrics: DataFrame, snapshots: DataFrame) -> DataFrame:
 def iteration_outcomes(iterations: DataFrame, max_iterations: int = MAX_ITERATIONS) -> DataFrame:
     """Iterations until the first passing one, capped at ``max_iterations``.
 
-    One aggregation per issue (partial, skew-safe): the first passing
-    iteration decides; back-off ``min(5 i, 30)`` s follows every failing
-    iteration, the last one included (quirk Q7)."""
+    Iteration numbers are positions 1..max, so one partial aggregation per
+    issue holds everything: per position k whether it passed and its tokens
+    (``max_iterations`` small conditional aggregates, no lists, no join
+    back).  Back-off ``min(5 i, 30)`` s follows every failing iteration, the
+    last one included (quirk Q7)."""
     capped = iterations.filter(F.col("iteration") <= max_iterations)
+    ks = range(1, max_iterations + 1)
+    it = F.col("iteration")
     g = capped.groupBy("issue_id").agg(
-        F.min(F.when(F.col("tests_pass"), F.col("iteration"))).alias("first_pass"),
-        F.max("iteration").alias("last_seen"))
+        F.max(it).alias("last_seen"),
+        *[F.max(F.when(it == k, F.col("tests_pass"))).alias(f"p{k}") for k in ks],
+        *[F.sum(F.when(it == k, F.col("tokens_used"))).alias(f"t{k}") for k in ks])
+    first_pass = None
+    for k in reversed(ks):
+        first_pass = F.when(F.col(f"p{k}"), F.lit(k)) if first_pass is None \
+            else F.when(F.col(f"p{k}"), F.lit(k)).otherwise(first_pass)
+    g = g.withColumn("first_pass", first_pass)
     n = F.coalesce(F.col("first_pass"), F.col("last_seen"))
     fails = F.when(F.col("first_pass").isNotNull(), F.col("first_pass") - 1) \
         .otherwise(F.col("last_seen"))
     # sum_{i=1..m} min(base*i, cap), closed form
     base, cap = ITERATION_BACKOFF_BASE_S, ITERATION_BACKOFF_MAX_S
-    k = cap // base
+    k_cap = cap // base
     m = fails
-    backoff = F.when(m <= k, F.lit(base) * m * (m + 1) / 2) \
-        .otherwise(F.lit(base * k * (k + 1) // 2) + F.lit(cap) * (m - k))
+    backoff = F.when(m <= k_cap, F.lit(base) * m * (m + 1) / 2) \
+        .otherwise(F.lit(base * k_cap * (k_cap + 1) // 2) + F.lit(cap) * (m - k_cap))
     status = (F.when(F.col("first_pass").isNotNull(), "resolved")
               .when(F.col("last_seen") >= max_iterations, "exhausted").otherwise("open"))
     message = (F.when(F.col("first_pass").isNotNull(),
                       F.concat(F.lit("Issue resolved in "), n.cast("string"), F.lit(" iteration(s)")))
                .when(F.col("last_seen") >= max_iterations,
                      F.lit(f"Failed to fix issue after {max_iterations} iterations")))
-    sums = capped.join(g.select("issue_id", "first_pass"), "issue_id") \
-        .filter(F.col("first_pass").isNull() | (F.col("iteration") <= F.col("first_pass"))) \
-        .groupBy("issue_id").agg(F.sum("tokens_used").cast("bigint").alias("tokens_used"))
-    return g.join(sums, "issue_id").select(
-        "issue_id", n.cast("int").alias("iterations"), status.alias("status"),
-        backoff.cast("bigint").alias("backoff_s"), message.alias("message"), "tokens_used")
+    upto = F.coalesce(F.col("first_pass"), F.lit(max_iterations))
+    tokens = None
+    for k in ks:
+        term = F.when(F.lit(k) <= upto, F.coalesce(F.col(f"t{k}"), F.lit(0)))
+        tokens = term if tokens is None else F.coalesce(tokens, F.lit(0)) + F.coalesce(term, F.lit(0))
+    return g.select("issue_id", n.cast("int").alias("iterations"), status.alias("status"),
+                    backoff.cast("bigint").alias("backoff_s"), message.alias("message"),
+                    tokens.cast("bigint").alias("tokens_used"))
 
 
 def retry_accounting(attempts: DataFrame, max_attempts: int = RETRY_MAX_ATTEMPTS) -> DataFrame:
@@ -222,32 +234,39 @@ def agent_traces(steps: DataFrame, max_steps: int = AGENT_MAX_STEPS,
     """Agent loop history per run, up to the first failed, DONE or
     COMPLETE decision or ``max_steps`` steps.
 
-    Only the first ``max_steps`` steps can matter, so they are filtered
-    first: every list collected below is bounded by ``max_steps``."""
+    Steps are positions 1..max_steps, so one partial aggregation per run
+    holds, per position, whether the loop stops there, the command and its
+    outcome; the history string is assembled from those few columns (no
+    lists collected, no join back)."""
     head = steps.filter(F.col("step") <= max_steps)
+    ks = range(1, max_steps + 1)
+    st = F.col("step")
     stop_cond = (~F.col("decision_ok") | (F.instr("decision", "DONE") > 0)
                  | (F.instr("decision", "COMPLETE") > 0))
-    stop = head.groupBy("run_id").agg(
-        F.min(F.when(stop_cond, F.col("step"))).alias("stop_step"),
-        F.max("step").alias("last_step"))
-    ex = head.join(stop, "run_id").filter(
-        F.col("stop_step").isNull() | (F.col("step") < F.col("stop_step")))
-    line = F.concat(F.lit("Step "), F.col("step").cast("string"), F.lit(": "),
-                    F.trim(F.col("decision")), F.lit(f" {arrow} "),
-                    F.when(F.col("success"), "OK").otherwise("FAILED"))
-    tr = ex.groupBy("run_id").agg(
-        F.count(F.lit(1)).cast("int").alias("steps"),
-        F.count(F.when(~F.col("success"), 1)).cast("int").alias("failure_handoffs"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", line.alias("l")))),
-                                 lambda x: x.getField("l")), "\n").alias("history"))
+    g = head.groupBy("run_id").agg(
+        F.max(st).alias("last_step"),
+        *[F.max(F.when(st == k, stop_cond)).alias(f"s{k}") for k in ks],
+        *[F.max(F.when(st == k, F.trim(F.col("decision")))).alias(f"d{k}") for k in ks],
+        *[F.max(F.when(st == k, F.col("success"))).alias(f"ok{k}") for k in ks])
+    stop = None
+    for k in reversed(ks):
+        stop = F.when(F.col(f"s{k}"), F.lit(k)) if stop is None \
+            else F.when(F.col(f"s{k}"), F.lit(k)).otherwise(stop)
+    g = g.withColumn("stop_step", stop)
+    ran = [F.col(f"d{k}").isNotNull() & (F.col("stop_step").isNull() | (F.lit(k) < F.col("stop_step")))
+           for k in ks]
+    lines = [F.when(r, F.concat(F.lit(f"Step {k}: "), F.col(f"d{k}"), F.lit(f" {arrow} "),
+                                F.when(F.col(f"ok{k}"), "OK").otherwise("FAILED")))
+             for k, r in zip(ks, ran)]
+    n_steps = sum((F.when(r, 1).otherwise(0) for r in ran), F.lit(0))
+    n_fail = sum((F.when(r & ~F.col(f"ok{k}"), 1).otherwise(0) for k, r in zip(ks, ran)), F.lit(0))
     reason = (F.when(F.col("stop_step").isNotNull(), "stopped")
               .when(F.col("last_step") >= max_steps, "max_steps").otherwise("exhausted"))
-    out = stop.join(tr, "run_id", "left").select(
-        "run_id", F.coalesce("steps", F.lit(0)).alias("steps"),
-        F.coalesce("failure_handoffs", F.lit(0)).alias("failure_handoffs"),
-        F.coalesce("history", F.lit("")).alias("history"), reason.alias("stop_reason"))
-    return out.withColumn("summary", F.concat(F.lit("Completed in "), F.col("steps").cast("string"),
-                                              F.lit(" steps")))
+    return g.select(
+        "run_id", n_steps.cast("int").alias("steps"), n_fail.cast("int").alias("failure_handoffs"),
+        F.array_join(F.filter(F.array(*lines), lambda x: x.isNotNull()), "\n").alias("history"),
+        reason.alias("stop_reason"),
+        F.concat(F.lit("Completed in "), n_steps.cast("string"), F.lit(" steps")).alias("summary"))
 
 
 __all__ = ["run_progress", "cooldowns", "cooldown_totals", "budget_alerts", "stage_timeline",
