@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scan import hour_bucket, micros_between, prefix_scan
+from ..plans.scan import time_bucket, micros_between, prefix_scan
 from ..schemas import APPROVAL_TIMEOUT_S
 
 
@@ -58,7 +58,7 @@ def _independent(gates: DataFrame, signals: DataFrame, timeout_s: int) -> DataFr
                        F.col("signal_id").alias("id"), F.lit(None).cast("string").alias("stage"),
                        "signal")
     sig = F.when(F.col("kind") == 1, F.struct(F.col("t").alias("t"), F.col("signal").alias("signal")))
-    sc = prefix_scan(g.unionByName(s), ["run_id"], ["t", "kind", "id"], hour_bucket("t"),
+    sc = prefix_scan(g.unionByName(s), ["run_id"], ["t", "kind", "id"], time_bucket("t"),
                      [("d", "first", sig, "after")])
     deadline = F.timestamp_add("SECOND", F.lit(timeout_s), F.col("t"))
     hit = F.col("d").isNotNull() & (F.col("d.t") <= deadline)
@@ -79,7 +79,7 @@ def _sticky(gates: DataFrame, signals: DataFrame, timeout_s: int) -> DataFrame:
     # signals sort before a gate opening at the same instant: they set the flag
     u = g.unionByName(s)
     order = ["t", "kind", "id"]
-    numbered = prefix_scan(u, ["run_id"], order, hour_bucket("t"),
+    numbered = prefix_scan(u, ["run_id"], order, time_bucket("t"),
                            [("gate_no", "count", F.when(F.col("kind") == 1, F.lit(1)))])
     numbered = numbered.withColumn("gate_no", F.coalesce("gate_no", F.lit(0)).cast("bigint"))
 
@@ -102,8 +102,8 @@ def _sticky(gates: DataFrame, signals: DataFrame, timeout_s: int) -> DataFrame:
     decisive = F.when(F.col("cnt") >= 2, F.lit(True)).when(F.col("cnt") == 0, F.lit(False))
     gorder = ["gate_no"]
     # verdict carried forward and next signal looked ahead: one scan, two frames
-    gbucket = "_fm_gate_hour"
-    sc = prefix_scan(gk, ["run_id"], gorder, hour_bucket("opened_at"),
+    gbucket = "_fm_gate_minute"
+    sc = prefix_scan(gk, ["run_id"], gorder, time_bucket("opened_at"),
                      [("set_mode", "last", decisive, "upto"),
                       ("next_sig", "first", F.col("first_in_seg"), "from")], keep_bucket=gbucket)
     flag_set = F.coalesce(F.col("set_mode"), F.lit(True))

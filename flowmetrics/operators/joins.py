@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scan import hour_bucket, micros_between, prefix_scan
+from ..plans.scan import time_bucket, micros_between, prefix_scan
 from ..schemas import default_rate
 
 TOTAL = "DECIMAL(38,9)"
@@ -31,7 +31,7 @@ def asof_last_snapshot(left: DataFrame, snapshots: DataFrame) -> DataFrame:
     lhs = left.withColumn("_side", F.lit(1))
     u = lhs.unionByName(snap, allowMissingColumns=True)
     carried = prefix_scan(
-        u, ["run_id"], ["ts", "_side", "event_id"], hour_bucket("ts"),
+        u, ["run_id"], ["ts", "_side", "event_id"], time_bucket("ts"),
         [("_snap", "last", F.when(F.col("_side") == 0, F.struct(F.col("_sid").alias("id"),
                                                                F.col("_sts").alias("ts"))))])
     return (carried.filter(F.col("_side") == 1)

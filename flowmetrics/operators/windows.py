@@ -1,7 +1,7 @@
 """Per-run ordered operators.
 
 Running totals go through :func:`flowmetrics.plans.scan.prefix_scan`, which
-splits each run into hourly (or seq) buckets, so a hot run is spread over
+splits each run into minute (or seq) buckets, so a hot run is spread over
 many tasks.  Window functions with ``partitionBy`` are used directly only where
 the partition is bounded by construction (stages of one run after
 aggregation, days after aggregation).
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.scan import hour_bucket, int_bucket, prefix_scan
+from ..plans.scan import time_bucket, int_bucket, prefix_scan
 from ..schemas import (AGENT_MAX_STEPS, COOLDOWN_SECONDS, COOLDOWN_TOKEN_LIMIT,
                        ITERATION_BACKOFF_BASE_S, ITERATION_BACKOFF_MAX_S, MAX_ITERATIONS,
                        RETRY_COEFFICIENT, RETRY_INITIAL_S, RETRY_MAX_ATTEMPTS,
@@ -22,13 +22,13 @@ TOTAL = "DECIMAL(38,9)"
 RUN_ORDER = ["seq"]
 
 
-RUN_BUCKET = "run_hour"
+RUN_BUCKET = "run_minute"
 
 
 def _bucket(df: DataFrame):
-    """The hour of ts (seq follows ts, so it never decreases along seq);
+    """The minute of ts (seq follows ts, so it never decreases along seq);
     reuse the binding's column when present to keep its partitioning."""
-    return RUN_BUCKET if RUN_BUCKET in df.columns else hour_bucket("ts")
+    return RUN_BUCKET if RUN_BUCKET in df.columns else time_bucket("ts")
 
 
 def run_progress(metrics: DataFrame) -> DataFrame:

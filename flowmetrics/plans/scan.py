@@ -145,10 +145,22 @@ def row_number_scan(df: DataFrame, keys: Sequence[str], order: Sequence, bucket:
                        keep_bucket=keep_bucket).withColumn(name, F.col(name).cast(dtype))
 
 
+TIME_BUCKET_UNIT = "MINUTE"
+
+
+def time_bucket(ts: str | Column, unit: str = TIME_BUCKET_UNIT) -> Column:
+    """Bucket for time-ordered scans: whole ``unit``s since 1970 (never
+    decreases with ``ts``; for TIMESTAMP_NTZ no time-zone arithmetic).
+
+    Minutes by default: a run holding a third of 100 TB over a month is
+    split into ~43k buckets of under 1 GB, while the carry window sees at
+    most one summary row per minute of a run."""
+    return F.timestamp_diff(unit, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), _c(ts))
+
+
 def hour_bucket(ts: str | Column) -> Column:
-    """Bucket for time-ordered scans: whole hours since 1970 (never
-    decreases with ``ts``; for TIMESTAMP_NTZ no time-zone arithmetic)."""
-    return F.timestamp_diff("HOUR", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), _c(ts))
+    """Hour buckets (coarser; fewer summary rows for dense, short runs)."""
+    return time_bucket(ts, "HOUR")
 
 
 def int_bucket(c: str | Column, width: int) -> Column:

@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .binding_sql import BINDING_SQL
-from .scan import hour_bucket, int_bucket, row_number_scan
+from .scan import time_bucket, int_bucket, row_number_scan
 
-# hour of ts, kept on per-run bindings so later per-run scans reuse the
-# (run_id, hour) partitioning instead of shuffling the facts again
-RUN_BUCKET = "run_hour"
+# minute of ts, kept on per-run bindings so later per-run scans reuse the
+# (run_id, minute) partitioning instead of shuffling the facts again
+RUN_BUCKET = "run_minute"
 
 SOURCE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -97,7 +97,7 @@ class Bindings:
                     WHEN event_type = 'error' AND event_id % 10 = 5
                       THEN 'Approval timeout for stage core-implementation' END AS error""",
             "ts")
-        out = row_number_scan(cols, ["run_id"], ["ts", "event_id"], hour_bucket("ts"), "seq",
+        out = row_number_scan(cols, ["run_id"], ["ts", "event_id"], time_bucket("ts"), "seq",
                               keep_bucket=RUN_BUCKET)
         return out.select("run_id", "seq", "event_id", "stage", "tokens_used", "cost",
                           "duration_ms", "files_modified", "lines_added", "lines_removed",
@@ -145,5 +145,5 @@ class Bindings:
             "CASE WHEN event_id % 29 = 0 THEN 'DONE' ELSE '/testing:generate-tests' END AS decision",
             "event_id % 31 <> 0 AS decision_ok",
             "event_type <> 'error' AS success")
-        ev = row_number_scan(ev, ["run_id"], ["ts", "event_id"], hour_bucket("ts"), "step", "int")
+        ev = row_number_scan(ev, ["run_id"], ["ts", "event_id"], time_bucket("ts"), "step", "int")
         return ev.select("run_id", "step", "decision", "decision_ok", "success")
