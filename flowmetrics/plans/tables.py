@@ -133,8 +133,11 @@ class Bindings:
             "l_shipdate", "l_returnflag", "l_linestatus", "l_quantity")
         order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate",
                  "l_returnflag", "l_linestatus"]
-        li = row_number_scan(li, ["l_orderkey"], order, F.col("l_linenumber").cast("bigint"),
-                             "iteration", "int")
+        # bucket (l_linenumber, l_partkey div 1024) never decreases along the
+        # order and splits one hot issue into many buckets
+        bucket = (F.col("l_linenumber").cast("bigint") * F.lit(10 ** 12)
+                  + F.floor(F.col("l_partkey") / F.lit(1024)).cast("bigint"))
+        li = row_number_scan(li, ["l_orderkey"], order, bucket, "iteration", "int")
         return li.selectExpr("l_orderkey AS issue_id", "iteration",
                              "l_returnflag = 'R' AS tests_pass",
                              "CAST(l_quantity AS BIGINT) * 100 AS tokens_used")
