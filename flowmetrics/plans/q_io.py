@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_path
+from ..session import scratch_path, session_conf
 from ..sources import events as EV
 from ..sources import metrics as MS
 from ..sources import outbox as OB
@@ -181,9 +181,21 @@ def _stream(b, copies: int = 1):
     return SS.to_event_time(s)
 
 
-def _run(b, df, mode):
+def _ntz(df):
+    """Event-time columns back to wall-clock TIMESTAMP_NTZ inside the stream."""
+    for name, typ in df.dtypes:
+        if typ == "timestamp":
+            df = df.withColumn(name, F.col(name).cast("timestamp_ntz"))
+    return df
+
+
+def _run(b, build, mode):
+    """Build and run a stream under a UTC session (restored afterwards);
+    wall-clock columns are converted back inside the stream, so the table
+    read back does not depend on the session time zone."""
     out = scratch_path(b.spark, "stream-out")
-    SS.run_to_table(df, out, scratch_path(b.spark, "stream-ckpt"), mode)
+    with session_conf(b.spark, spark__sql__session__timeZone="UTC"):
+        SS.run_to_table(_ntz(build()), out, scratch_path(b.spark, "stream-ckpt"), mode)
     return b.spark.read.parquet(out)
 
 
@@ -196,7 +208,7 @@ FROM b_stage_metrics GROUP BY run_id
 """)
 def _stream_run_state(b):
     """S1 + S2: live run state over a metrics stream (complete mode)."""
-    return _run(b, SS.live_run_state(_stream(b)), "complete")
+    return _run(b, lambda: SS.live_run_state(_stream(b)), "complete")
 
 
 @query("stream_dashboard", bindings=SM, oracle="""
@@ -208,9 +220,7 @@ FROM b_stage_metrics GROUP BY 1, 2, 3
 """)
 def _stream_dashboard(b):
     """Windowed dashboard (hourly tumbling windows, watermark)."""
-    r = _run(b, SS.windowed_dashboard(_stream(b), "1 hour", "2 hours"), "complete")
-    return r.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")) \
-            .withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
+    return _run(b, lambda: SS.windowed_dashboard(_stream(b), "1 hour", "2 hours"), "complete")
 
 
 @query("stream_dedupe", bindings=SM, oracle="""
@@ -218,11 +228,8 @@ SELECT run_id, seq, event_id, stage, tokens_used, cost, ts FROM b_stage_metrics
 """)
 def _stream_dedupe(b):
     """Exact duplicate lines (every row written twice) removed."""
-    s = _stream(b, copies=2)
-    d = SS.dedupe_stream(s, "1 hour")
-    r = _run(b, d, "append")
-    return r.select("run_id", "seq", "event_id", "stage", "tokens_used", "cost",
-                    F.col("ts").cast("timestamp_ntz").alias("ts"))
+    r = _run(b, lambda: SS.dedupe_stream(_stream(b, copies=2), "1 hour"), "append")
+    return r.select("run_id", "seq", "event_id", "stage", "tokens_used", "cost", "ts")
 
 
 @query("stream_budget_alerts", bindings=SM, oracle="""
@@ -233,7 +240,7 @@ HAVING sum(cost) > CAST(1.00 AS DECIMAL(18,9))
 """)
 def _stream_budget_alerts(b):
     """One cooldown and one budget alert per run (stateful, unordered)."""
-    r = _run(b, SS.budget_alert_stream(_stream(b), 50000, "1.00"), "append")
+    r = _run(b, lambda: SS.budget_alert_stream(_stream(b), 50000, "1.00"), "append")
     return r.select("run_id", "alert")
 
 
@@ -252,12 +259,14 @@ def _stream_gates(b):
         F.lit("2200-01-01 00:00:00").cast(b.b_signals.schema["ts"].dataType).alias("ts"),
         F.lit("approve").alias("signal"))
     end.write.mode("append").parquet(spath)
-    gs = SS.to_event_time(b.spark.readStream.schema(b.b_gates.schema).parquet(gpath), "opened_at")
-    ss = SS.to_event_time(b.spark.readStream.schema(b.b_signals.schema).parquet(spath), "ts")
-    r = _run(b, SS.approval_gate_stream(gs, ss, "2 hours"), "append")
-    return r.filter(F.col("run_id") >= 0).select("gate_id", "run_id", "stage",
-                    F.col("opened_at").cast("timestamp_ntz").alias("opened_at"), "outcome",
-                    F.col("decided_at").cast("timestamp_ntz").alias("decided_at"))
+    def build():
+        gs = SS.to_event_time(b.spark.readStream.schema(b.b_gates.schema).parquet(gpath),
+                              "opened_at")
+        ss = SS.to_event_time(b.spark.readStream.schema(b.b_signals.schema).parquet(spath), "ts")
+        return SS.approval_gate_stream(gs, ss, "2 hours")
+    r = _run(b, build, "append")
+    return r.filter(F.col("run_id") >= 0).select("gate_id", "run_id", "stage", "opened_at",
+                                                 "outcome", "decided_at")
 
 
 # the outbox holds exactly the rendered rows
@@ -277,10 +286,11 @@ def _stream_outbox(b):
     gs = b.spark.readStream.schema(b.b_gates.schema).option("maxFilesPerTrigger", 1).parquet(gpath)
     out = scratch_path(b.spark, "outbox-stream")
     previews = N.file_previews(b.b_file_status)
-    q = (gs.writeStream.foreachBatch(SS.outbox_writer(out, previews))
-         .option("checkpointLocation", scratch_path(b.spark, "outbox-ckpt"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    with session_conf(b.spark, spark__sql__session__timeZone="UTC"):
+        q = (gs.writeStream.foreachBatch(SS.outbox_writer(out, previews))
+             .option("checkpointLocation", scratch_path(b.spark, "outbox-ckpt"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
     return OB.read_outbox(b.spark, out).select("request_id", "channel", "payload")
 
 
@@ -314,15 +324,15 @@ def _stream_stuck(b):
                           F.lit(0).alias("limit_s")).write.mode("append").parquet(spath)
     done.limit(1).select(F.lit(-1).cast("bigint").alias("activity_id"),
                          far.alias("completed_at")).write.mode("append").parquet(cpath)
-    ss = SS.to_event_time(b.spark.readStream.schema(b.spark.read.parquet(spath).schema)
-                          .parquet(spath), "scheduled_at")
-    cs = SS.to_event_time(b.spark.readStream.schema(b.spark.read.parquet(cpath).schema)
-                          .parquet(cpath), "completed_at")
-    r = _run(b, SS.stuck_activities(ss, cs, max_limit_s=900, watermark="1 hour"), "append")
+    def build():
+        ss = SS.to_event_time(b.spark.readStream.schema(b.spark.read.parquet(spath).schema)
+                              .parquet(spath), "scheduled_at")
+        cs = SS.to_event_time(b.spark.readStream.schema(b.spark.read.parquet(cpath).schema)
+                              .parquet(cpath), "completed_at")
+        return SS.stuck_activities(ss, cs, max_limit_s=900, watermark="1 hour")
+    r = _run(b, build, "append")
     return r.filter(F.col("activity_id") >= 0).select(
-        "activity_id", "run_id", "activity",
-        F.col("scheduled_at").cast("timestamp_ntz").alias("scheduled_at"), "limit_s",
-        F.col("completed_at").cast("timestamp_ntz").alias("completed_at"))
+        "activity_id", "run_id", "activity", "scheduled_at", "limit_s", "completed_at")
 
 
 ORACLES["stream_stuck_activities"] = with_bindings(ACT, f"""

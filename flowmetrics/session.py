@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -77,3 +78,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return f"{base}/fm-{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def session_conf(spark: SparkSession, **conf: str):
+    """Set session settings for a block and restore the previous values
+    (the driver owns the session: e.g. UTC for event-time streams)."""
+    keys = {k.replace("__", "."): v for k, v in conf.items()}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield spark
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
