@@ -285,7 +285,9 @@ def _stream_outbox(b):
     b.b_gates.repartition(3).write.parquet(gpath)
     gs = b.spark.readStream.schema(b.b_gates.schema).option("maxFilesPerTrigger", 1).parquet(gpath)
     out = scratch_path(b.spark, "outbox-stream")
-    previews = N.file_previews(b.b_file_status)
+    # the static side is joined in every micro-batch: compute it once
+    # (reliable checkpoint in the shared folder; one row per run)
+    previews = N.file_previews(b.b_file_status).checkpoint(eager=True)
     with session_conf(b.spark, spark__sql__session__timeZone="UTC"):
         q = (gs.writeStream.foreachBatch(SS.outbox_writer(out, previews))
              .option("checkpointLocation", scratch_path(b.spark, "outbox-ckpt"))
