@@ -124,6 +124,23 @@ def parse_test_logs(logs: DataFrame, dialects: dict | None = None) -> DataFrame:
                     "r.errors", "r.coverage")
 
 
+def test_coverage(logs: DataFrame) -> DataFrame:
+    """Coverage per test log without the counting work: of the built-in
+    dialects only the npm JSON report carries coverage, so only those rows
+    are parsed (same values as ``parse_test_logs(...).coverage``).  With a
+    custom dialect registered, falls back to the full parse."""
+    keep = [c for c in ("run_id", "duration_ms", "ts") if c in logs.columns]
+    if set(DIALECTS) != {"npm", "pytest", "cargo", "go"} or DIALECTS["npm"] is not parse_npm:
+        return parse_test_logs(logs).select(*keep, "framework", "coverage")
+    fw = F.lower(F.col("framework"))
+    j = npm_json(F.col("output"))
+    cov = F.when((fw == "npm") & F.col("output").isNotNull(),
+                 F.when(j.getField("_corrupt_record").isNull(),
+                        j.getField("coverageMap").getField("total").getField("lines")
+                        .getField("pct")))
+    return logs.select(*keep, fw.alias("framework"), cov.cast("double").alias("coverage"))
+
+
 def test_rollup(results: DataFrame) -> DataFrame:
     """C5 roll-up: totals and pass rate per framework."""
     return results.groupBy("framework").agg(

@@ -89,7 +89,7 @@ FROM r GROUP BY 1, 2
 """)
 def _coverage_trend(b):
     """Mean coverage per month and framework."""
-    return agg.coverage_trend(L.parse_test_logs(b.b_test_logs))
+    return agg.coverage_trend(L.test_coverage(b.b_test_logs))
 
 
 @query("framework_detection", bindings=["b_project_files"], oracle=f"""

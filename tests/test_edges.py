@@ -105,3 +105,13 @@ def test_sticky_stream_equals_batch(spark):
     batch = {(r.gate_id, r.outcome, r.decided_at)
              for r in G.approval_gates(g, sg, mode="sticky").collect()}
     assert stream == batch
+
+
+def test_coverage_path_equals_full_parse(spark):
+    from flowmetrics.operators import logs as L
+    from flowmetrics.plans.tables import Bindings
+    b = Bindings(spark, "/root/testdata/sf0.001")
+    full = L.parse_test_logs(b.b_test_logs).select("run_id", "framework", "ts", "coverage")
+    lean = L.test_coverage(b.b_test_logs).select("run_id", "framework", "ts", "coverage")
+    assert sorted(map(tuple, full.collect())) == sorted(map(tuple, lean.collect()))
+    assert lean.filter("coverage IS NOT NULL").count() > 0
