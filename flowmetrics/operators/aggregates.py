@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import FAILURE_CLASSES, branch_name, failure_class, mask_error  # noqa: F401
+
 TOTAL = "DECIMAL(38,9)"
 
 
@@ -65,34 +67,6 @@ def stage_dashboard(metrics: DataFrame) -> DataFrame:
         F.sum("cost").cast(TOTAL).alias("cost"))
 
 
-# Failure classes by the text of the recorded error messages.
-FAILURE_CLASSES = [
-    ("approval_timeout", "Approval timeout for stage"),
-    ("rejected", "rejected by developer"),
-    ("critical_tests", "failed tests"),
-    ("final_suite", "Final test suite failed"),
-    ("iterations_exhausted", "Failed to fix issue after"),
-    ("execution_timeout", "execution timed out"),
-    ("execution_failed", "execution failed"),
-]
-
-
-def failure_class(err) -> "F.Column":
-    expr = None
-    for cls, needle in FAILURE_CLASSES:
-        cond = F.instr(err, needle) > 0
-        expr = F.when(cond, F.lit(cls)) if expr is None else expr.when(cond, F.lit(cls))
-    return expr.otherwise(F.lit("other"))
-
-
-def mask_error(err, stage_names) -> "F.Column":
-    """Mask quoted text, stage names and numbers so equal failures group."""
-    stages = "|".join(s.replace("-", "\\-") for s in sorted(stage_names, key=len, reverse=True))
-    m = F.regexp_replace(err, "'[^']*'", "<q>")
-    m = F.regexp_replace(m, f"\\b({stages}|iteration-[0-9]+|feature-[^ ]+)\\b", "<stage>")
-    return F.regexp_replace(m, "[0-9]+", "<n>")
-
-
 def failure_patterns(metrics: DataFrame, stage_names, k: int = 20) -> DataFrame:
     """Masked error text with class, counted; top ``k`` by count."""
     e = metrics.filter(F.col("error").isNotNull()).select(
@@ -135,7 +109,7 @@ def failed_stages(metrics: DataFrame, include_errors: bool = False) -> DataFrame
 
 def command_metrics(commands: DataFrame) -> DataFrame:
     """Success rate (strict rule) and mean tokens per command category."""
-    from .cost import strict_success
+    from ..functions.text import strict_success
     cat = F.regexp_extract("command", r"^/([^:]+):", 1)
     ok = strict_success(F.col("exit_code"), F.col("output"))
     n = F.count(F.lit(1))
@@ -145,16 +119,6 @@ def command_metrics(commands: DataFrame) -> DataFrame:
         _ratio(F.sum("tokens_used"), n).alias("avg_tokens"))
 
 
-def branch_name(idx, feature, dialect: str = "python"):
-    """``feature-<i>-<name>``: every blank to ``-`` and lower case (default),
-    or runs of whitespace to ``-`` with case kept (``collapse``)."""
-    if dialect == "collapse":
-        name = F.regexp_replace(feature, r"\s+", "-")
-    else:
-        name = F.lower(F.replace(feature, F.lit(" "), F.lit("-")))
-    return F.concat(F.lit("feature-"), idx.cast("string"), F.lit("-"), name)
-
-
 def feature_results(feature_runs: DataFrame, dialect: str = "python") -> DataFrame:
     """One row per feature that returned (raised ones are dropped from the
     list, as the gather does), with branch and OK / FAILED."""

@@ -7,19 +7,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import (CHARS_PER_TOKEN, DEFAULT_COMPLEXITY, DEFAULT_ENVIRONMENT,
-                       default_rate)
+from ..functions.text import PR_LINK, estimate_tokens, loose_success, strict_success  # noqa: F401
+from ..schemas import DEFAULT_COMPLEXITY, DEFAULT_ENVIRONMENT, default_rate
 
 TOTAL = "DECIMAL(38,9)"
 
 
-def estimate_tokens(text, dialect: str = "floor"):
-    """Tokens = len(text) / 4 (code points), floored (default) or, in the
-    example dialect, rounded up."""
-    n = F.length(text) / F.lit(CHARS_PER_TOKEN)
-    return (F.ceil(n) if dialect == "ceil" else F.floor(n)).cast("bigint")
-
-
 def _text(prompt, output):
     return F.concat(F.coalesce(prompt, F.lit("")), F.coalesce(output, F.lit("")))
 
@@ -114,14 +107,6 @@ def search_invocations(df: DataFrame, prefix: str | None = None, min_ms: int | N
     return df.filter(cond)
 
 
-def strict_success(exit_code, output):
-    return (exit_code == 0) & ~output.contains("ERROR")
-
-
-def loose_success(exit_code, output):
-    return (exit_code == 0) & ~F.lower(output).contains("error")
-
-
 def command_outcomes(df: DataFrame) -> DataFrame:
     """Success under the strict and the loose rule per command, and how
     often the two disagree."""
@@ -134,9 +119,6 @@ def command_outcomes(df: DataFrame) -> DataFrame:
         F.count(F.when(s != lo, 1)).cast("bigint").alias("disagree"))
 
 
-PR_LINK = r"https://github\.com/.*/pull/\d+"
-
-
 def extract_pr_links(df: DataFrame, key: str = "session_id") -> DataFrame:
     """First pull-request link of each output (greedy within a line);
     distinct links per session with counts."""

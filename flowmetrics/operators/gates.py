@@ -25,17 +25,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scan import time_bucket, micros_between, prefix_scan
+from ..functions.time import ms_between, time_bucket
+from ..plans.scan import prefix_scan
 from ..schemas import APPROVAL_TIMEOUT_S
 
 
-def _ms(start, end):
-    return F.floor(micros_between(start, end) / F.lit(1000)).cast("bigint")
 
 
 def _finish(df: DataFrame) -> DataFrame:
     return df.select("gate_id", "run_id", "stage", "opened_at", "outcome", "decided_at",
-                     _ms("opened_at", "decided_at").alias("wait_ms"))
+                     ms_between("opened_at", "decided_at").alias("wait_ms"))
 
 
 def approval_gates(gates: DataFrame, signals: DataFrame, timeout_s: int = APPROVAL_TIMEOUT_S,

@@ -11,14 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scan import time_bucket, micros_between, prefix_scan
+from ..functions.time import ms_between, time_bucket
+from ..plans.scan import prefix_scan
 from ..schemas import default_rate
 
 TOTAL = "DECIMAL(38,9)"
 
 
-def _ms_between(start, end):
-    return F.floor(micros_between(start, end) / F.lit(1000)).cast("bigint")
 
 
 def asof_last_snapshot(left: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -50,7 +49,7 @@ def rollback_targets(metrics: DataFrame, snapshots: DataFrame,
     f = f.select("run_id", "seq", "stage", "ts", "event_id")
     j = asof_last_snapshot(f, snapshots)
     return j.select("run_id", "seq", "stage", F.col("ts").alias("failed_at"), "snapshot_id",
-                    "snapshot_ts", _ms_between("snapshot_ts", "ts").alias("work_lost_ms"))
+                    "snapshot_ts", ms_between("snapshot_ts", "ts").alias("work_lost_ms"))
 
 
 def resolve_snapshots(requests: DataFrame, commits: DataFrame) -> DataFrame:
@@ -140,7 +139,7 @@ def activity_durations(events: DataFrame) -> DataFrame:
     p = ev.groupBy("activity_id", "run_id", "activity").agg(
         F.min(F.when(F.col("kind") == "ActivityScheduled", F.col("at"))).alias("scheduled_at"),
         F.min(F.when(F.col("kind") == "ActivityCompleted", F.col("at"))).alias("completed_at"))
-    return p.withColumn("duration_ms", _ms_between("scheduled_at", "completed_at"))
+    return p.withColumn("duration_ms", ms_between("scheduled_at", "completed_at"))
 
 
 def command_catalogue(commands: DataFrame, catalog: DataFrame) -> DataFrame:

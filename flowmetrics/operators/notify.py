@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import preview_text  # noqa: F401
 from ..plans.scan import top_n_per_key
 from ..schemas import FILE_PREVIEW_N, NOTIFICATION_CHANNELS
 
@@ -32,14 +33,6 @@ def file_previews(files: DataFrame, key: str = "run_id", n: int = FILE_PREVIEW_N
     return cnt.join(first, key)
 
 
-def preview_text(preview: Column, count: Column, n: int = FILE_PREVIEW_N, indent: str = "") -> Column:
-    """``- name`` lines, then ``... and N more`` when over ``n``."""
-    lines = F.array_join(F.transform(preview, lambda x: F.concat(F.lit(indent + "- "), x)), "\n")
-    more = F.when(count > n, F.concat(F.lit("\n" + indent + "... and "), (count - n).cast("string"),
-                                       F.lit(" more"))).otherwise(F.lit(""))
-    return F.concat(lines, more)
-
-
 def render_console(stage, message, preview, count, diff_url) -> Column:
     files = F.when(count > 0, F.concat(F.lit("\n"), preview_text(preview, count, indent="  "))) \
         .otherwise(F.lit(""))

@@ -62,7 +62,7 @@ def budget_alert_stream(stream: DataFrame, token_limit: int = COOLDOWN_TOKEN_LIM
         last_ts = None
         for pdf in pdfs:
             tokens += int(pdf["tokens_used"].fillna(0).sum())
-            nanos += int(sum(int(c * 10**9) for c in pdf["cost"].dropna()))
+            nanos += int(pdf["cost_nanos"].fillna(0).sum())
             mx = pdf["ts"].max()
             last_ts = mx if last_ts is None or mx > last_ts else last_ts
         out = []
@@ -75,7 +75,9 @@ def budget_alert_stream(stream: DataFrame, token_limit: int = COOLDOWN_TOKEN_LIM
         state.update((tokens, nanos, ta, ca))
         yield pd.DataFrame(out, columns=["run_id", "alert", "total", "at"])
 
-    return stream.select("run_id", "tokens_used", "cost", "ts").groupBy("run_id") \
+    # exact integer nano-dollars computed JVM-side, so pandas sums vectors
+    nanos_col = (F.col("cost") * F.lit(10 ** 9)).cast("bigint").alias("cost_nanos")
+    return stream.select("run_id", "tokens_used", nanos_col, "ts").groupBy("run_id") \
         .applyInPandasWithState(fn, ALERT_SCHEMA, ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
