@@ -223,7 +223,7 @@ SELECT r.run_id, r.workflow_type, t.ord, t.name AS stage,
        replace(CASE WHEN r.run_id % 5 = 0 AND t.name = 'scaffold' THEN '{CUSTOM_PROMPT}' ELSE t.prompt_template END,
                '{{project_path}}', r.project_path) AS prompt,
        t.requires_approval, t.critical_path, t.skip_tests, {S.TEMPLATE_MAX_TOKENS} AS max_tokens,
-       {S.TEMPLATE_TEMPERATURE} AS temperature
+       CAST({S.TEMPLATE_TEMPERATURE} AS DOUBLE) AS temperature
 FROM r JOIN {S.templates_sql()} t ON r.workflow_type = t.workflow_type
 WHERE r.skip IS NULL OR t.name <> r.skip
 """)
