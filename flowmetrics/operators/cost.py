@@ -119,6 +119,15 @@ def command_outcomes(df: DataFrame) -> DataFrame:
         F.count(F.when(s != lo, 1)).cast("bigint").alias("disagree"))
 
 
+def rule_disagreements(df: DataFrame) -> DataFrame:
+    """The invocations on which the strict and the loose rule disagree
+    (e.g. "finished with 0 errors": strict success, loose failure)."""
+    s = strict_success(F.col("exit_code"), F.col("output"))
+    lo = loose_success(F.col("exit_code"), F.col("output"))
+    return df.filter(s != lo).select("event_id", "session_id", "command", "exit_code", "output",
+                                     s.alias("strict_ok"), lo.alias("loose_ok"))
+
+
 def extract_pr_links(df: DataFrame, key: str = "session_id") -> DataFrame:
     """First pull-request link of each output (greedy within a line);
     distinct links per session with counts."""

@@ -86,6 +86,18 @@ def estimate_variance(executions: DataFrame, estimates: DataFrame) -> DataFrame:
         (act_cost > F.col("estimated_cost")).alias("over_budget"))
 
 
+def estimate_summary(variance: DataFrame) -> DataFrame:
+    """J5 roll-up: per complexity, executions, share over budget and total
+    estimated against actual cost."""
+    n = F.count(F.lit(1))
+    return variance.groupBy("complexity").agg(
+        n.cast("bigint").alias("executions"),
+        (F.count(F.when(F.col("over_budget"), 1)).cast("double") / n.cast("double"))
+        .alias("share_over_budget"),
+        F.sum("estimated_cost").cast(TOTAL).alias("estimated_cost"),
+        F.sum("actual_cost").cast(TOTAL).alias("actual_cost"))
+
+
 def reconcile_spend(run_totals_source: DataFrame, metrics: DataFrame) -> DataFrame:
     """Run totals (every stage executed) against the sum of metrics rows
     (stages that wrote one); both reduced per run, then a full outer join."""

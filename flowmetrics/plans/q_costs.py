@@ -80,7 +80,7 @@ def _budget_estimate(b):
     return C.budget_estimate(_plan(b), S.complexity_df(b.spark))
 
 
-@query("estimate_variance", bindings=EX, oracle=f"""
+VARIANCE_SQL = f"""
 WITH est AS ({BUDGET_SQL}),
 act AS (SELECT run_id, seq, CAST(length(COALESCE(prompt, '') || COALESCE(output, '')) // 4 AS BIGINT) AS actual_tokens
         FROM b_executions)
@@ -93,13 +93,29 @@ SELECT est.run_id, est.seq, complexity, tokens_estimate, estimated_cost, actual_
                  / CAST(estimated_cost AS DOUBLE) END AS actual_to_estimate,
        CAST(actual_tokens * CAST({S.default_rate()} AS DECIMAL(12,9)) AS DECIMAL(38,9)) > estimated_cost AS over_budget
 FROM est JOIN act ON est.run_id = act.run_id AND est.seq = act.seq
-""")
+"""
+
+
+@query("estimate_variance", bindings=EX, oracle=VARIANCE_SQL)
 def _estimate_variance(b):
     """Estimate against actual cost."""
     est = C.budget_estimate(_plan(b), S.complexity_df(b.spark))
     return J.estimate_variance(b.b_executions, est)
 
 
+@query("estimate_summary", bindings=EX, oracle=f"""
+SELECT complexity, CAST(count(*) AS BIGINT) AS executions,
+       CAST(sum(CASE WHEN over_budget THEN 1 ELSE 0 END) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS share_over_budget,
+       CAST(sum(estimated_cost) AS DECIMAL(38,9)) AS estimated_cost,
+       CAST(sum(actual_cost) AS DECIMAL(38,9)) AS actual_cost
+FROM ({VARIANCE_SQL}) v GROUP BY complexity
+""")
+def _estimate_summary(b):
+    """J5 roll-up: share over budget per complexity."""
+    est = C.budget_estimate(_plan(b), S.complexity_df(b.spark))
+    return J.estimate_summary(J.estimate_variance(b.b_executions, est))
+
+
 def _int_sql(c):
     return (f"regexp_replace(regexp_replace({c}, '([0-9])_([0-9])', '\\1\\2', 'g'), "
             f"'([0-9])_([0-9])', '\\1\\2', 'g')")
@@ -163,6 +179,18 @@ def _command_outcomes(b):
     return C.command_outcomes(b.b_commands)
 
 
+@query("rule_disagreements", bindings=CM, oracle="""
+SELECT event_id, session_id, command, exit_code, output,
+       exit_code = 0 AND NOT contains(output, 'ERROR') AS strict_ok,
+       exit_code = 0 AND NOT contains(lower(output), 'error') AS loose_ok
+FROM b_commands
+WHERE (exit_code = 0 AND NOT contains(output, 'ERROR')) <> (exit_code = 0 AND NOT contains(lower(output), 'error'))
+""")
+def _rule_disagreements(b):
+    """Invocations where the strict and loose rules disagree."""
+    return C.rule_disagreements(b.b_commands)
+
+
 @query("pr_links", bindings=CM, oracle=r"""
 SELECT session_id, pr_link, CAST(count(*) AS BIGINT) AS mentions
 FROM (SELECT session_id, NULLIF(regexp_extract(output, 'https://github\.com/.*/pull/\d+', 0), '') AS pr_link
