@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.time import ms_between, time_bucket
+from ..functions.timecols import ms_between, time_bucket
 from ..plans.scan import prefix_scan
 from ..schemas import APPROVAL_TIMEOUT_S
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.time import (epoch_seconds, hour_bucket, int_bucket,  # noqa: F401
+from ..functions.timecols import (epoch_seconds, hour_bucket, int_bucket,  # noqa: F401
                               micros_between, time_bucket)
 
 _FRAMES = {
