@@ -138,20 +138,43 @@ def activity_timeouts(events: DataFrame, limits: DataFrame,
                     .alias("deadline")))
 
 
-def activity_durations(events: DataFrame) -> DataFrame:
-    """Pair each Scheduled event with its Completed event by activity id
-    (one row per kind in, pivoted by aggregation)."""
+def activity_event_rows(events: DataFrame) -> DataFrame:
+    """One row per event kind (ActivityScheduled / ActivityCompleted) from
+    scheduled activities with an optional completion delay."""
     sched = events.select("activity_id", "run_id", "activity",
-                          F.lit("ActivityScheduled").alias("kind"),
-                          F.col("scheduled_at").alias("at"))
+                          F.lit("ActivityScheduled").alias("kind"), F.col("scheduled_at").alias("at"))
     done = events.filter(F.col("completed_after_s").isNotNull()).select(
         "activity_id", "run_id", "activity", F.lit("ActivityCompleted").alias("kind"),
         F.timestamp_add("SECOND", F.col("completed_after_s"), F.col("scheduled_at")).alias("at"))
-    ev = sched.unionByName(done)
-    p = ev.groupBy("activity_id", "run_id", "activity").agg(
+    return sched.unionByName(done)
+
+
+def activity_durations(events: DataFrame, order_col: str | None = None) -> DataFrame:
+    """Pair each ActivityScheduled event with its ActivityCompleted.
+
+    ``events``: run_id, activity_id (may be null), activity, kind, at.  With
+    an id the pair is found by aggregation on the id (a pivot of the two
+    kinds).  Without one, a Scheduled event takes the next Completed event
+    of its run in time order (a completion at the same instant counts as
+    earlier); ``order_col`` breaks remaining ties.  That is a forward scan,
+    so no pairs are formed and a hot run is split like any other scan."""
+    with_id = events.filter(F.col("activity_id").isNotNull())
+    p = with_id.groupBy("activity_id", "run_id").agg(
+        F.max("activity").alias("activity"),
         F.min(F.when(F.col("kind") == "ActivityScheduled", F.col("at"))).alias("scheduled_at"),
         F.min(F.when(F.col("kind") == "ActivityCompleted", F.col("at"))).alias("completed_at"))
-    return p.withColumn("duration_ms", ms_between("scheduled_at", "completed_at"))
+    out = p.select("activity_id", "run_id", "activity", "scheduled_at", "completed_at")
+
+    no_id = events.filter(F.col("activity_id").isNull())
+    kind_order = F.when(F.col("kind") == "ActivityCompleted", 0).otherwise(1)
+    staged = no_id.withColumn("_k", kind_order)
+    order = ["at", "_k"] + ([order_col] if order_col else [])
+    nxt = prefix_scan(staged, ["run_id"], order, time_bucket("at"),
+                      [("completed_at", "first", F.when(F.col("_k") == 0, F.col("at")))], "after")
+    paired = nxt.filter(F.col("_k") == 1).select(
+        F.col("activity_id").cast(out.schema["activity_id"].dataType), "run_id", "activity",
+        F.col("at").alias("scheduled_at"), "completed_at")
+    return out.unionByName(paired).withColumn("duration_ms", ms_between("scheduled_at", "completed_at"))
 
 
 def command_catalogue(commands: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -322,7 +322,7 @@ FROM (SELECT activity_id, run_id, activity, scheduled_at,
 """)
 def _activity_durations(b):
     """scheduled/completed pairs and durations."""
-    return J.activity_durations(b.b_activity_events)
+    return J.activity_durations(J.activity_event_rows(b.b_activity_events))
 
 
 @query("new_files", bindings=["b_file_status"], oracle="""

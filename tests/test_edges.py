@@ -115,3 +115,20 @@ def test_coverage_path_equals_full_parse(spark):
     lean = L.test_coverage(b.b_test_logs).select("run_id", "framework", "ts", "coverage")
     assert sorted(map(tuple, full.collect())) == sorted(map(tuple, lean.collect()))
     assert lean.filter("coverage IS NOT NULL").count() > 0
+
+
+def test_activity_pairs_without_ids(spark):
+    from flowmetrics.operators import joins as J
+    s = timedelta(seconds=1)
+    rows = [(None, 1, "execute", "ActivityScheduled", T0),
+            (None, 1, "execute", "ActivityCompleted", T0 + 43 * s),
+            (None, 1, "tests", "ActivityScheduled", T0 + 44 * s),
+            (None, 1, "tests", "ActivityCompleted", T0 + 50 * s),
+            (None, 1, "notify", "ActivityScheduled", T0 + 50 * s),   # completion at the same instant is earlier
+            (7, 2, "execute", "ActivityScheduled", T0),
+            (7, 2, "execute", "ActivityCompleted", T0 + 5 * s)]
+    ev = spark.createDataFrame(rows, "activity_id long, run_id long, activity string, kind string, "
+                                     "at timestamp_ntz")
+    got = {(r.run_id, r.activity): r.duration_ms for r in J.activity_durations(ev).collect()}
+    assert got == {(1, "execute"): 43000, (1, "tests"): 6000, (1, "notify"): None,
+                   (2, "execute"): 5000}
