@@ -199,6 +199,16 @@ def _run(b, build, mode):
     return b.spark.read.parquet(out)
 
 
+def _metrics_json_stream(b):
+    """Metrics appended as JSONL (A2, several files) and tailed with a
+    declared schema and bounded intake (two files per micro-batch)."""
+    path = scratch_path(b.spark, "stream-jsonl")
+    MS.write_metrics(b.b_stage_metrics.repartition(4), path, extra_cols=("run_id", "seq"))
+    schema = T.StructType(list(MS.METRICS_RECORD.fields) + list(RUN_KEYS.fields))
+    return SS.metrics_stream(b.spark, path, schema, "json", max_files_per_trigger=2) \
+        .withColumnRenamed("timestamp", "ts")
+
+
 @query("stream_run_state", bindings=SM, oracle="""
 SELECT run_id, arg_max(stage, seq) AS current_stage, CAST(sum(tokens_used) AS BIGINT) AS total_tokens_used,
        CAST(sum(cost) AS DECIMAL(38,9)) AS total_cost,
@@ -207,8 +217,8 @@ SELECT run_id, arg_max(stage, seq) AS current_stage, CAST(sum(tokens_used) AS BI
 FROM b_stage_metrics GROUP BY run_id
 """)
 def _stream_run_state(b):
-    """S1 + S2: live run state over a metrics stream (complete mode)."""
-    return _run(b, lambda: SS.live_run_state(_stream(b)), "complete")
+    """S1 + S2: live run state over a tailed metrics JSONL folder."""
+    return _run(b, lambda: SS.live_run_state(_metrics_json_stream(b)), "complete")
 
 
 @query("stream_dashboard", bindings=SM, oracle="""

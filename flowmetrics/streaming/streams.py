@@ -30,6 +30,8 @@ def metrics_stream(spark: SparkSession, path: str, schema, fmt: str = "json",
                    max_files_per_trigger: int = 1000) -> DataFrame:
     """Tail a metrics folder with a declared schema and bounded intake."""
     r = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    if fmt == "json":
+        r = r.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
     return r.format(fmt).load(path)
 
 

@@ -132,3 +132,17 @@ def test_activity_pairs_without_ids(spark):
     got = {(r.run_id, r.activity): r.duration_ms for r in J.activity_durations(ev).collect()}
     assert got == {(1, "execute"): 43000, (1, "tests"): 6000, (1, "notify"): None,
                    (2, "execute"): 5000}
+
+
+def test_run_id_from_path(spark, tmp_path):
+    from flowmetrics.sources.metrics import read_metrics
+    for run in (11, 12):
+        d = tmp_path / f"run_id={run}"
+        d.mkdir()
+        (d / "metrics.jsonl").write_text(
+            '{"stage": "scaffold", "tokens_used": 10, "cost": 0.00009, "duration_ms": 1, '
+            '"files_modified": 0, "lines_added": 0, "lines_removed": 0, "tests_pass": true, '
+            '"error": null, "timestamp": "2024-01-14T12:00:00"}\n{broken\n')
+    good, bad = read_metrics(spark, str(tmp_path), run_id_from_path=True)
+    assert sorted(r.run_id for r in good.select("run_id").collect()) == [11, 12]
+    assert bad.count() == 2
