@@ -16,7 +16,7 @@ CM = ["b_commands"]
 COMPLEXITY_BY_SEQ = ("CASE seq % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' "
                      "ELSE 'extreme' END")
 MODEL_BY_RUN = ("CASE run_id % 3 WHEN 0 THEN 'claude-sonnet-4-5' WHEN 1 THEN 'claude-opus-4' "
-                "ELSE 'claude-instant-legacy' END")
+                "ELSE 'unlisted-model' END")
 PREFIX_BY_RUN = ("CASE run_id % 4 WHEN 0 THEN 'llm-wrapper-dev' WHEN 1 THEN 'iterative-fix' "
                  "WHEN 2 THEN 'parallel-dev' ELSE 'nightly-batch' END")
 CHANNEL_BY_EVENT = ("CASE event_id % 4 WHEN 0 THEN 'console' WHEN 1 THEN 'logging' "

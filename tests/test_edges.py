@@ -31,7 +31,7 @@ def test_override_parsing(spark):
 
 def test_event_lines_from_the_documents(spark):
     lines = ["[12:34:01] WorkflowStarted",
-             "[12:34:02] ActivityScheduled: executeClaudeCode (scaffold)",
+             "[12:34:02] ActivityScheduled: executeStage (scaffold)",
              "[12:34:45] ActivityCompleted: 2,340 tokens, $0.04",
              "[12:34:52] ActivityCompleted: 15/15 tests passing",
              "[12:36:16] SignalReceived: approve",
