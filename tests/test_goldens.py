@@ -224,3 +224,16 @@ def test_metrics_sample_lines(spark, tmp_path):
     assert good.count() == 2 and bad.count() == 1
     assert good.agg(F.sum("cost")).first()[0] == Decimal("0.0801")
     assert good.filter(F.col("error").isNotNull()).count() == 0
+
+
+def test_status_block(spark):
+    rows = [(1, 1, 10, "scaffold", 5000, Decimal("0.0500"), True, T0),
+            (1, 2, 11, "core-implementation", 10234, Decimal("0.1023"), False, T0 + timedelta(minutes=5))]
+    m = spark.createDataFrame(rows, "run_id long, seq long, event_id long, stage string, tokens_used long, "
+                                    "cost decimal(18,9), tests_pass boolean, ts timestamp_ntz")
+    snaps = spark.createDataFrame([(1, 1, "snapshot-1705234567", T0), (1, 2, "snapshot-1705234867", T0)],
+                                  "run_id long, event_id long, snapshot_id string, ts timestamp_ntz")
+    r = W.run_state(m, snaps).first()
+    assert (r.current_stage, r.total_tokens_used, r.total_cost, r.tests_passed_count, r.snapshots) == \
+        ("core-implementation", 15234, Decimal("0.1523"), 1, 2)
+    assert r.last_snapshot == "snapshot-1705234867"
