@@ -62,6 +62,23 @@ def _metrics_corrupt(b):
     return bad.select("line")
 
 
+@query("metrics_dedupe", bindings=SM, oracle="""
+SELECT run_id, seq, stage, tokens_used, cost, duration_ms, files_modified, lines_added, lines_removed,
+       tests_pass, error, ts AS "timestamp"
+FROM b_stage_metrics
+""")
+def _metrics_dedupe(b):
+    """S7 (batch form): every record appended twice, read back, exact copies
+    dropped."""
+    path = scratch_path(b.spark, "metrics-retried")
+    MS.write_metrics(b.b_stage_metrics, path, extra_cols=("run_id", "seq"))
+    MS.write_metrics(b.b_stage_metrics, path, extra_cols=("run_id", "seq"))
+    good, _ = MS.read_metrics(b.spark, path, extra=RUN_KEYS)
+    cols = ["run_id", "seq", "stage", "tokens_used", "cost", "duration_ms", "files_modified",
+            "lines_added", "lines_removed", "tests_pass", "error", "timestamp"]
+    return MS.drop_duplicate_records(good.select(*cols))
+
+
 SHAPES_SQL = """
 SELECT CASE event_id % 4 WHEN 2 THEN 'failure' WHEN 3 THEN 'iteration' ELSE 'stage' END AS kind,
        CASE event_id % 4 WHEN 3 THEN 'iteration-' || CAST(seq AS VARCHAR) ELSE stage END AS stage,
@@ -159,7 +176,8 @@ def _invocations(b):
 @query("notification_outbox")
 def _outbox(b):
     """Rendered notifications written twice to the outbox (idempotent)."""
-    rendered = q_logs._render_notifications(b)
+    # render once (reliable checkpoint in the shared folder), write twice
+    rendered = q_logs._render_notifications(b).checkpoint(eager=True)
     path = scratch_path(b.spark, "outbox")
     OB.write_outbox(rendered, path, batch_id=0)
     OB.write_outbox(rendered, path, batch_id=0)

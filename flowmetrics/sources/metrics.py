@@ -106,3 +106,11 @@ def normalise_metrics(df: DataFrame) -> DataFrame:
         F.coalesce(col("tests_pass"), col("testsPass"), col("testsPassing"), F.lit(True)).alias("tests_pass"),
         col("error").cast("string").alias("error"),
         col("timestamp").alias("timestamp"))
+
+
+def drop_duplicate_records(df: DataFrame, cols=None) -> DataFrame:
+    """S7 in batch: exact duplicate records (an append retried after a lost
+    acknowledgement writes the same line twice) kept once.  A hash
+    aggregation on all columns: partial per task before the shuffle, so
+    many copies of one line cost one row per task."""
+    return df.dropDuplicates(list(cols) if cols else None)
