@@ -37,11 +37,12 @@ def _ratio(num, den):
 
 
 def run_summary(metrics: DataFrame, snapshots: DataFrame,
-                skip_test_stages=("documentation",)) -> DataFrame:
+                skip_test_stages=("documentation",), reference_denominator: bool = False) -> DataFrame:
     """Per run tokens, cost, tests passed, testable stages, snapshots.
 
-    Testable stages exclude the skip-tests stages (the reference divides by
-    stages - 1 instead, quirk Q4)."""
+    Testable stages exclude the skip-tests stages; the reference divides by
+    stages - 1 instead (quirk Q4), which ``reference_denominator=True``
+    reproduces in ``testable_stages``."""
     testable = ~F.col("stage").isin(list(skip_test_stages))
     m = metrics.groupBy("run_id").agg(
         F.count(F.lit(1)).cast("bigint").alias("stages"),
@@ -49,6 +50,8 @@ def run_summary(metrics: DataFrame, snapshots: DataFrame,
         F.sum("cost").cast(TOTAL).alias("cost"),
         F.count(F.when(testable & F.col("tests_pass"), 1)).cast("bigint").alias("tests_passed"),
         F.count(F.when(testable, 1)).cast("bigint").alias("testable_stages"))
+    if reference_denominator:
+        m = m.withColumn("testable_stages", F.col("stages") - 1)
     s = snapshots.groupBy("run_id").agg(F.count(F.lit(1)).cast("bigint").alias("snapshots"))
     return (m.join(s, "run_id", "left")
              .withColumn("snapshots", F.coalesce("snapshots", F.lit(0).cast("bigint"))))

@@ -107,11 +107,18 @@ def changed_file_counts(status: DataFrame, raw_col: str = "raw") -> DataFrame:
 DIFF_STAT = r"(\d+) insertions?.*?(\d+) deletions?"
 
 
-def diff_totals(diffs: DataFrame, col: str = "diff_output") -> DataFrame:
-    """Lines added / removed from ``git diff --stat``; both counts must
-    be present, else (0, 0) (quirk Q5); summed per run."""
-    a = F.coalesce(F.nullif(F.regexp_extract(col, DIFF_STAT, 1), F.lit("")).cast("bigint"), F.lit(0))
-    r = F.coalesce(F.nullif(F.regexp_extract(col, DIFF_STAT, 2), F.lit("")).cast("bigint"), F.lit(0))
+def diff_totals(diffs: DataFrame, col: str = "diff_output", require_both: bool = True) -> DataFrame:
+    """Lines added / removed from ``git diff --stat``; by default both
+    counts must be present, else (0, 0) (quirk Q5).  ``require_both=False``
+    reads insertions and deletions independently."""
+    def num(c):
+        return F.coalesce(F.nullif(c, F.lit("")).cast("bigint"), F.lit(0))
+    if require_both:
+        a = num(F.regexp_extract(col, DIFF_STAT, 1))
+        r = num(F.regexp_extract(col, DIFF_STAT, 2))
+    else:
+        a = num(F.regexp_extract(col, r"(\d+) insertions?", 1))
+        r = num(F.regexp_extract(col, r"(\d+) deletions?", 1))
     return diffs.select("run_id", a.alias("a"), r.alias("r")).groupBy("run_id").agg(
         F.sum("a").cast("bigint").alias("lines_added"),
         F.sum("r").cast("bigint").alias("lines_removed"),

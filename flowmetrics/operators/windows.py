@@ -163,14 +163,16 @@ def failure_context(metrics: DataFrame, snapshots: DataFrame) -> DataFrame:
                        "files_before", "snapshot_id")
 
 
-def iteration_outcomes(iterations: DataFrame, max_iterations: int = MAX_ITERATIONS) -> DataFrame:
+def iteration_outcomes(iterations: DataFrame, max_iterations: int = MAX_ITERATIONS,
+                       backoff_after_last: bool = True) -> DataFrame:
     """Iterations until the first passing one, capped at ``max_iterations``.
 
     Iteration numbers are positions 1..max, so one partial aggregation per
     issue holds everything: per position k whether it passed and its tokens
     (``max_iterations`` small conditional aggregates, no lists, no join
     back).  Back-off ``min(5 i, 30)`` s follows every failing iteration, the
-    last one included (quirk Q7)."""
+    last one included (quirk Q7; ``backoff_after_last=False`` drops the wait
+    after the final iteration of an exhausted issue)."""
     capped = iterations.filter(F.col("iteration") <= max_iterations)
     ks = range(1, max_iterations + 1)
     it = F.col("iteration")
@@ -186,6 +188,9 @@ def iteration_outcomes(iterations: DataFrame, max_iterations: int = MAX_ITERATIO
     n = F.coalesce(F.col("first_pass"), F.col("last_seen"))
     fails = F.when(F.col("first_pass").isNotNull(), F.col("first_pass") - 1) \
         .otherwise(F.col("last_seen"))
+    if not backoff_after_last:
+        fails = F.when(F.col("first_pass").isNull() & (F.col("last_seen") >= max_iterations),
+                       fails - 1).otherwise(fails)
     # sum_{i=1..m} min(base*i, cap), closed form
     base, cap = ITERATION_BACKOFF_BASE_S, ITERATION_BACKOFF_MAX_S
     k_cap = cap // base

@@ -237,3 +237,17 @@ def test_status_block(spark):
     assert (r.current_stage, r.total_tokens_used, r.total_cost, r.tests_passed_count, r.snapshots) == \
         ("core-implementation", 15234, Decimal("0.1523"), 1, 2)
     assert r.last_snapshot == "snapshot-1705234867"
+
+
+def test_quirk_flags(spark):
+    df = spark.createDataFrame([(1, "1 file changed, 5 insertions(+)"),
+                                (2, "1 file changed, 4 deletions(-)")], "run_id long, diff_output string")
+    got = {r.run_id: (r.lines_added, r.lines_removed) for r in L.diff_totals(df, require_both=False).collect()}
+    assert got == {1: (5, 0), 2: (0, 4)}
+    it = spark.createDataFrame([(1, i, False, 1) for i in range(1, 6)],
+                               "issue_id long, iteration int, tests_pass boolean, tokens_used long")
+    assert W.iteration_outcomes(it, backoff_after_last=False).first().backoff_s == 5 + 10 + 15 + 20
+    m = _metrics(spark, [1, 1, 1])
+    snaps = spark.createDataFrame([], "run_id long, event_id long, snapshot_id string, ts timestamp_ntz")
+    assert agg.run_summary(m, snaps, reference_denominator=True).first().testable_stages == 2
+    assert agg.run_summary(m, snaps).first().testable_stages == 3
