@@ -56,9 +56,13 @@ def _merge(kind: str, local: Column, carry: Column) -> Column:
     return F.least(local, carry)
 
 
+CARRY_GROUP = 1024
+_G = "_fm_group"
+
+
 def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column | str,
                 aggs: Sequence[tuple], frame: str = "upto",
-                keep_bucket: str | None = None) -> DataFrame:
+                keep_bucket: str | None = None, carry_group: int | None = CARRY_GROUP) -> DataFrame:
     """Add one column per ``(name, kind, expr[, frame])`` holding the
     aggregate of ``expr`` over the ordered frame of the row's key.
 
@@ -78,6 +82,13 @@ def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Col
     ``(keys, bucket)`` with one summary row per bucket.  When the totals
     depend on an earlier scan's output, cut the lineage first (see the
     sticky gates) so the earlier scan is not recomputed per branch.
+
+    ``carry_group``: the carry-in of a bucket is itself split in two levels,
+    an in-group carry over the summary rows partitioned by
+    ``(keys, bucket div carry_group)`` plus the carry of whole groups per
+    key, so not even the per-bucket summaries of a hot key meet in one task
+    (buckets must be integers; ``None`` carries over all of a key's summary
+    rows in one window).
     """
     keys = list(keys)
     order_cols = [_c(o) for o in order]
@@ -121,13 +132,35 @@ def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Col
 
     totals = staged.groupBy(*keys, b_name).agg(
         *[agg_fn(kind, c).alias(f"_fm_t_{name}") for name, kind, c, _ in specs])
-    carry_cols = []
-    for name, kind, _, fr in specs:
+
+    def frame_of(fr):
         back = fr in ("upto", "before")
-        cf = (Window.unboundedPreceding, -1) if back else (1, Window.unboundedFollowing)
-        cw = Window.partitionBy(*keys).orderBy(b_name).rowsBetween(*cf)
-        carry_cols.append(agg_fn(kind, F.col(f"_fm_t_{name}")).over(cw).alias(f"_fm_c_{name}"))
-    carry = totals.select(*keys, b_name, *carry_cols)
+        return (Window.unboundedPreceding, -1) if back else (1, Window.unboundedFollowing)
+
+    if carry_group:
+        totals = totals.withColumn(_G, F.floor(F.col(b_name) / F.lit(carry_group)).cast("bigint"))
+        inner_cols = []
+        for name, kind, _, fr in specs:
+            w = Window.partitionBy(*keys, _G).orderBy(b_name).rowsBetween(*frame_of(fr))
+            inner_cols.append(agg_fn(kind, F.col(f"_fm_t_{name}")).over(w).alias(f"_fm_i_{name}"))
+        inner = totals.select(*keys, b_name, _G, *inner_cols)
+        gtot = totals.groupBy(*keys, _G).agg(
+            *[agg_fn(kind, F.col(f"_fm_t_{name}")).alias(f"_fm_g_{name}")
+              for name, kind, _, _ in specs])
+        gcols = []
+        for name, kind, _, fr in specs:
+            w = Window.partitionBy(*keys).orderBy(_G).rowsBetween(*frame_of(fr))
+            gcols.append(agg_fn(kind, F.col(f"_fm_g_{name}")).over(w).alias(f"_fm_h_{name}"))
+        gcarry = gtot.select(*keys, _G, *gcols)
+        carry = inner.join(gcarry, keys + [_G], "left").select(
+            *keys, b_name, *[_merge(kind, F.col(f"_fm_i_{name}"), F.col(f"_fm_h_{name}"))
+                             .alias(f"_fm_c_{name}") for name, kind, _, _ in specs])
+    else:
+        carry_cols = []
+        for name, kind, _, fr in specs:
+            cw = Window.partitionBy(*keys).orderBy(b_name).rowsBetween(*frame_of(fr))
+            carry_cols.append(agg_fn(kind, F.col(f"_fm_t_{name}")).over(cw).alias(f"_fm_c_{name}"))
+        carry = totals.select(*keys, b_name, *carry_cols)
 
     out = local.join(carry, on=keys + [b_name], how="left")
     for name, kind, _, _ in specs:

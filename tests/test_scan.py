@@ -20,7 +20,11 @@ def _data(spark, n=3000, seed=7):
     return spark.createDataFrame(rows, "k long, id long, o long, v long, d decimal(18,9)")
 
 
-def test_prefix_scan_matches_window(spark):
+import pytest
+
+
+@pytest.mark.parametrize("carry_group", [None, 3, 1024])
+def test_prefix_scan_matches_window(spark, carry_group):
     df = _data(spark)
     order = ["o", "id"]
     for frame, (lo, hi) in {"upto": (Window.unboundedPreceding, 0),
@@ -30,7 +34,8 @@ def test_prefix_scan_matches_window(spark):
         got = prefix_scan(df, ["k"], order, int_bucket("o", 50000), [
             ("s", "sum", F.col("v")), ("c", "count", F.col("v")), ("mx", "max", F.col("v")),
             ("mn", "min", F.col("v")), ("ds", "sum", F.col("d")),
-            ("last", "last", F.col("v")), ("first", "first", F.col("v"))], frame)
+            ("last", "last", F.col("v")), ("first", "first", F.col("v"))], frame,
+            carry_group=carry_group)
         w = Window.partitionBy("k").orderBy(*order).rowsBetween(lo, hi)
         exp = df.select(
             "id", F.sum("v").over(w).alias("s"), F.count("v").over(w).alias("c"),
