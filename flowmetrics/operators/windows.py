@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.scan import time_bucket, int_bucket, prefix_scan
+from ..plans.scan import prefix_scan, time_bucket
 from ..schemas import (AGENT_MAX_STEPS, COOLDOWN_SECONDS, COOLDOWN_TOKEN_LIMIT,
                        ITERATION_BACKOFF_BASE_S, ITERATION_BACKOFF_MAX_S, MAX_ITERATIONS,
                        RETRY_COEFFICIENT, RETRY_INITIAL_S, RETRY_MAX_ATTEMPTS,
@@ -276,4 +276,4 @@ def agent_traces(steps: DataFrame, max_steps: int = AGENT_MAX_STEPS,
 
 __all__ = ["run_progress", "cooldowns", "cooldown_totals", "budget_alerts", "stage_timeline",
            "run_state", "stage_ranking", "usage_trend", "stage_order_audit", "failure_context",
-           "iteration_outcomes", "retry_accounting", "agent_traces", "int_bucket"]
+           "iteration_outcomes", "retry_accounting", "agent_traces"]
