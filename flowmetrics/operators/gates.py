@@ -101,10 +101,9 @@ def _sticky(gates: DataFrame, signals: DataFrame, timeout_s: int) -> DataFrame:
     decisive = F.when(F.col("cnt") >= 2, F.lit(True)).when(F.col("cnt") == 0, F.lit(False))
     gorder = ["gate_no"]
     # verdict carried forward and next signal looked ahead: one scan, two frames
-    gbucket = "_fm_gate_minute"
     sc = prefix_scan(gk, ["run_id"], gorder, time_bucket("opened_at"),
                      [("set_mode", "last", decisive, "upto"),
-                      ("next_sig", "first", F.col("first_in_seg"), "from")], keep_bucket=gbucket)
+                      ("next_sig", "first", F.col("first_in_seg"), "from")])
     flag_set = F.coalesce(F.col("set_mode"), F.lit(True))
     deadline = F.timestamp_add("SECOND", F.lit(timeout_s), F.col("opened_at"))
     waited_ok = F.col("next_sig").isNotNull() & (F.col("next_sig.t") <= deadline)
@@ -113,14 +112,16 @@ def _sticky(gates: DataFrame, signals: DataFrame, timeout_s: int) -> DataFrame:
                .when(decided_sig == "approve", "approved").otherwise("rejected"))
     decided_at = (F.when(flag_set, F.col("opened_at")).when(waited_ok, F.col("next_sig.t"))
                   .otherwise(deadline))
-    dec = sc.select("run_id", "gate_id", "stage", "opened_at", "gate_no", gbucket,
+    dec = sc.select("run_id", "gate_id", "stage", "opened_at", "gate_no",
                     outcome.alias("outcome"), decided_at.alias("decided_at"))
-    cut = prefix_scan(dec, ["run_id"], gorder, gbucket,
-                      [("failed_before", "max", F.when(F.col("outcome") != "approved", F.lit(1)))],
-                      "before")
+    # a gate after the run's first failing gate is not reached: the first
+    # failure per run is one partial aggregation (one row per run), joined back
+    first_fail = dec.filter(F.col("outcome") != "approved").groupBy("run_id") \
+        .agg(F.min("gate_no").alias("first_fail"))
+    cut = dec.join(first_fail, "run_id", "left")
+    reached = F.col("first_fail").isNull() | (F.col("gate_no") <= F.col("first_fail"))
     out = cut.select(
         "gate_id", "run_id", "stage", "opened_at",
-        F.when(F.col("failed_before").isNotNull(), "not_reached").otherwise(F.col("outcome"))
-        .alias("outcome"),
-        F.when(F.col("failed_before").isNull(), F.col("decided_at")).alias("decided_at"))
+        F.when(reached, F.col("outcome")).otherwise("not_reached").alias("outcome"),
+        F.when(reached, F.col("decided_at")).alias("decided_at"))
     return _finish(out)
