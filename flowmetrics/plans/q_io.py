@@ -8,6 +8,8 @@ rows directly from the bindings.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -199,6 +201,16 @@ def _stream(b, copies: int = 1):
     return SS.to_event_time(s)
 
 
+FAR = datetime(2200, 1, 1)
+
+
+def _end_marker(spark, schema, values: dict):
+    """One end-of-input row (a sentinel key far in the future): it only
+    advances event time so that every buffered key is decided; the queries
+    filter the sentinel key out of their output."""
+    return spark.createDataFrame([tuple(values.get(f.name) for f in schema.fields)], schema)
+
+
 def _ntz(df):
     """Event-time columns back to wall-clock TIMESTAMP_NTZ inside the stream."""
     for name, typ in df.dtypes:
@@ -281,12 +293,8 @@ def _stream_gates(b):
     b.b_signals.repartition(2).write.parquet(spath)
     # end-of-input marker: one signal of a sentinel run far in the future
     # advances event time so every buffered gate is decided; it is not output
-    end = b.b_signals.limit(1).select(
-        F.lit(-1).cast(b.b_signals.schema["signal_id"].dataType).alias("signal_id"),
-        F.lit(-1).cast(b.b_signals.schema["run_id"].dataType).alias("run_id"),
-        F.lit("2200-01-01 00:00:00").cast(b.b_signals.schema["ts"].dataType).alias("ts"),
-        F.lit("approve").alias("signal"))
-    end.write.mode("append").parquet(spath)
+    _end_marker(b.spark, b.b_signals.schema, {"signal_id": -1, "run_id": -1, "ts": FAR,
+                                               "signal": "approve"}).write.mode("append").parquet(spath)
     def build():
         gs = SS.to_event_time(b.spark.readStream.schema(b.b_gates.schema).parquet(gpath),
                               "opened_at")
@@ -347,13 +355,11 @@ def _stream_stuck(b):
     sched.repartition(2).write.parquet(spath)
     done.repartition(2).write.parquet(cpath)
     # end-of-input markers on both sides (a sentinel activity far in the future)
-    far = F.lit("2200-01-01 00:00:00").cast(sched.schema["scheduled_at"].dataType)
-    sched.limit(1).select(F.lit(-1).cast("bigint").alias("activity_id"),
-                          F.lit(-1).cast(sched.schema["run_id"].dataType).alias("run_id"),
-                          F.lit("marker").alias("activity"), far.alias("scheduled_at"),
-                          F.lit(0).alias("limit_s")).write.mode("append").parquet(spath)
-    done.limit(1).select(F.lit(-1).cast("bigint").alias("activity_id"),
-                         far.alias("completed_at")).write.mode("append").parquet(cpath)
+    _end_marker(b.spark, sched.schema, {"activity_id": -1, "run_id": -1, "activity": "marker",
+                                        "scheduled_at": FAR, "limit_s": 0}) \
+        .write.mode("append").parquet(spath)
+    _end_marker(b.spark, done.schema, {"activity_id": -1, "completed_at": FAR}) \
+        .write.mode("append").parquet(cpath)
     def build():
         ss = SS.to_event_time(b.spark.readStream.schema(b.spark.read.parquet(spath).schema)
                               .parquet(spath), "scheduled_at")
