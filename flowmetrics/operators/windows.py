@@ -90,9 +90,11 @@ def stage_timeline(metrics: DataFrame) -> DataFrame:
         F.timestamp_add("MILLISECOND", F.col("end_offset_ms"), F.col("run_start")).alias("end_at"))
 
 
-def run_state(metrics: DataFrame, snapshots: DataFrame) -> DataFrame:
+def run_state(metrics: DataFrame, snapshots: DataFrame, stages_planned: int = 6) -> DataFrame:
     """Current stage (latest by seq), totals, snapshots and last snapshot
-    per run; aggregates only (``max_by``), no sort."""
+    per run, and progress ``k/n`` (distinct stages done of the stages the
+    run's workflow plans; 6 for the default workflow); aggregates only
+    (``max_by``), no sort."""
     m = metrics.groupBy("run_id").agg(
         F.max_by("stage", "seq").alias("current_stage"),
         F.sum("tokens_used").cast("bigint").alias("total_tokens_used"),
@@ -104,7 +106,10 @@ def run_state(metrics: DataFrame, snapshots: DataFrame) -> DataFrame:
         F.count(F.lit(1)).cast("bigint").alias("snapshots"),
         F.max_by("snapshot_id", F.struct("ts", "event_id")).alias("last_snapshot"))
     return (m.join(s, "run_id", "left")
-             .withColumn("snapshots", F.coalesce("snapshots", F.lit(0).cast("bigint"))))
+             .withColumn("snapshots", F.coalesce("snapshots", F.lit(0).cast("bigint")))
+             .withColumn("stages_planned", F.lit(stages_planned).cast("int"))
+             .withColumn("progress", F.concat(F.col("distinct_stages").cast("string"), F.lit("/"),
+                                              F.lit(str(stages_planned)))))
 
 
 def stage_ranking(metrics: DataFrame) -> DataFrame:

@@ -192,8 +192,10 @@ def _stage_timeline(b):
     return W.stage_timeline(b.b_stage_metrics)
 
 
-@query("run_state", bindings=SM + ["b_snapshots"], oracle="""
-SELECT m.*, COALESCE(s.snapshots, 0) AS snapshots, s.last_snapshot
+@query("run_state", bindings=SM + ["b_snapshots"], oracle=f"""
+SELECT m.*, COALESCE(s.snapshots, 0) AS snapshots, s.last_snapshot,
+       CAST({len(stage_ordinals())} AS INTEGER) AS stages_planned,
+       CAST(m.distinct_stages AS VARCHAR) || '/{len(stage_ordinals())}' AS progress
 FROM (SELECT run_id, arg_max(stage, seq) AS current_stage,
              CAST(sum(tokens_used) AS BIGINT) AS total_tokens_used,
              CAST(sum(cost) AS DECIMAL(38,9)) AS total_cost,
@@ -205,8 +207,8 @@ LEFT JOIN (SELECT run_id, CAST(count(*) AS BIGINT) AS snapshots, arg_max(snapsho
            FROM b_snapshots GROUP BY run_id) s ON m.run_id = s.run_id
 """)
 def _run_state(b):
-    """Current run state."""
-    return W.run_state(b.b_stage_metrics, b.b_snapshots)
+    """Current run state with progress k/n (default workflow's plan)."""
+    return W.run_state(b.b_stage_metrics, b.b_snapshots, len(stage_ordinals()))
 
 
 @query("stage_ranking", bindings=SM, oracle="""
