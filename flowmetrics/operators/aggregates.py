@@ -162,6 +162,18 @@ def snapshot_history(snapshots: DataFrame) -> DataFrame:
         F.max("ts").alias("last_snapshot_ts"))
 
 
+def snapshot_list(snapshots: DataFrame) -> DataFrame:
+    """G11 as rows: every snapshot of a run with its creation ordinal and
+    whether it is the last one (a list per run, without collecting one)."""
+    from ..functions.timecols import time_bucket
+    from ..plans.scan import row_number_scan
+    n = row_number_scan(snapshots.select("run_id", "event_id", "snapshot_id", "ts"), ["run_id"],
+                        ["ts", "event_id"], time_bucket("ts"), "ordinal")
+    last = snapshots.groupBy("run_id").agg(F.count(F.lit(1)).cast("bigint").alias("_n"))
+    return n.join(last, "run_id").select("run_id", "ordinal", "snapshot_id", "ts",
+                                          (F.col("ordinal") == F.col("_n")).alias("is_last"))
+
+
 def delivery_results(attempts: DataFrame) -> DataFrame:
     """A composite notification succeeded if any channel did; channels
     tried and the (at most a handful of) channels that failed."""

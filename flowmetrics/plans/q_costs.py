@@ -299,6 +299,16 @@ def _snapshot_history(b):
     return agg.snapshot_history(b.b_snapshots)
 
 
+@query("snapshot_list", bindings=["b_snapshots"], oracle="""
+SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS ordinal, snapshot_id, ts,
+       row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) = count(*) OVER (PARTITION BY run_id) AS is_last
+FROM b_snapshots
+""")
+def _snapshot_list(b):
+    """Snapshots of each run in creation order, last one flagged."""
+    return agg.snapshot_list(b.b_snapshots)
+
+
 @query("activity_timeouts", bindings=["b_activity_events"], oracle=f"""
 SELECT activity_id, run_id, activity, scheduled_at, limit_s, completed_after_s, status,
        scheduled_at + to_seconds(CAST(limit_s AS BIGINT)) AS deadline
