@@ -116,6 +116,18 @@ def _changed_files(b):
     return L.changed_file_counts(fs)
 
 
+@query("changed_file_rows", bindings=["b_file_status"], oracle=r"""
+SELECT run_id, file
+FROM (SELECT run_id, regexp_extract(regexp_replace(line, '^\s+|\s+$', '', 'g'), '^\S+\s+(.*)$', 1) AS file
+      FROM (SELECT run_id, unnest(string_split(' M ' || path, chr(10))) AS line FROM b_file_status) a) b
+WHERE file <> ''
+""")
+def _changed_file_rows(b):
+    """One row per changed file parsed from porcelain status lines."""
+    fs = b.b_file_status.select("run_id", F.concat(F.lit(" M "), F.col("path")).alias("raw"))
+    return L.changed_files(fs)
+
+
 @query("diff_totals", bindings=["b_diff_stats"], oracle=r"""
 SELECT run_id,
        CAST(sum(COALESCE(CAST(NULLIF(regexp_extract(diff_output, '(\d+) insertions?.*?(\d+) deletions?', 1), '') AS BIGINT), 0)) AS BIGINT) AS lines_added,
