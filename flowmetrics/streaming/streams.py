@@ -86,7 +86,9 @@ def budget_alert_stream(stream: DataFrame, token_limit: int = COOLDOWN_TOKEN_LIM
 # -- S5 ---------------------------------------------------------------------
 def windowed_dashboard(stream: DataFrame, window: str = "1 hour",
                        watermark: str = "2 hours") -> DataFrame:
-    """Stage dashboard panels per tumbling event-time window."""
+    """Stage dashboard panels per tumbling event-time window.  In update
+    or append mode rows older than the watermark are dropped and old windows'
+    state is released; complete mode keeps every window (no late-data rule)."""
     n = F.count(F.lit(1))
     return (stream.withWatermark("ts", watermark)
             .groupBy(F.window("ts", window).alias("w"), "stage")

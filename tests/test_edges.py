@@ -146,3 +146,35 @@ def test_run_id_from_path(spark, tmp_path):
     good, bad = read_metrics(spark, str(tmp_path), run_id_from_path=True)
     assert sorted(r.run_id for r in good.select("run_id").collect()) == [11, 12]
     assert bad.count() == 2
+
+
+def test_dashboard_drops_rows_behind_the_watermark(spark):
+    """S5 in update mode: a restart on the same checkpoint keeps the
+    watermark; a row older than it (here 5 h late against a 2 h watermark)
+    is not counted, an on-time row is.  (Complete mode keeps every window and
+    so never drops late rows; the registered query uses it for batch parity.)"""
+    from decimal import Decimal
+    schema = ("run_id long, seq long, stage string, tokens_used long, cost decimal(18,9), "
+              "duration_ms long, tests_pass boolean, ts timestamp_ntz")
+    first = [(1, i, "scaffold", 10, Decimal("0.00009"), 1000, True, T0 + timedelta(hours=i))
+             for i in range(6)]
+    later = [(1, 7, "scaffold", 10, Decimal("0.00009"), 1000, True, T0),                      # late
+             (1, 8, "scaffold", 10, Decimal("0.00009"), 1000, True, T0 + timedelta(hours=5))]  # on time
+    src, out, ck = scratch_path(spark, "t-dash"), scratch_path(spark, "t-dash-out"), scratch_path(spark, "t-dash-ck")
+    spark.createDataFrame(first, schema).write.parquet(src)
+
+    def run():
+        s = SS.to_event_time(spark.readStream.schema(schema).parquet(src))
+        SS.run_to_table(SS.windowed_dashboard(s, "1 hour", "2 hours"), out, ck, mode="update")
+
+    run()
+    spark.createDataFrame(later, schema).write.mode("append").parquet(src)
+    run()
+    latest = {}
+    for r in spark.read.parquet(out).select(
+            F.col("window_start").cast("timestamp_ntz").alias("w"), "records", "batch_id").collect():
+        if r.w.hour not in latest or r.batch_id > latest[r.w.hour][0]:
+            latest[r.w.hour] = (r.batch_id, r.records)
+    rows = {h: rec for h, (_, rec) in latest.items()}
+    assert rows[12] == 1          # the 12:00 row counted once; its late copy dropped
+    assert rows[17] == 2          # the on-time row joined its window
