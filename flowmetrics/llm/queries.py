@@ -3,7 +3,7 @@ with production parameters."""
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, langid, toxicity
 from .common import table
 
 QUERIES = {}
@@ -23,3 +23,13 @@ def query(name, oracle=None):
 def op5_decontaminate(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"),
                                        table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_language_id")
+def op7_language_id(spark, sf_dir):
+    return langid.detect(table(spark, sf_dir, "documents"))
