@@ -3,7 +3,7 @@ with production parameters."""
 
 from __future__ import annotations
 
-from . import decontaminate, langid, toxicity
+from . import decontaminate, langid, quality, toxicity
 from .common import table
 
 QUERIES = {}
@@ -19,6 +19,11 @@ def query(name, oracle=None):
     return deco
 
 
+@query("op2_quality")
+def op2_quality(spark, sf_dir):
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op5_decontaminate", decontaminate.ORACLE)
 def op5_decontaminate(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"),
