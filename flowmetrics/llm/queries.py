@@ -3,7 +3,7 @@ with production parameters."""
 
 from __future__ import annotations
 
-from . import decontaminate, langid, quality, toxicity
+from . import decontaminate, htmltext, langid, packing, pii, quality, tokencount, toxicity
 from .common import table
 
 QUERIES = {}
@@ -19,11 +19,21 @@ def query(name, oracle=None):
     return deco
 
 
+@query("op1_pii")
+def op1_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 @query("op2_quality")
 def op2_quality(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op4_token_counts")
+def op4_token_counts(spark, sf_dir):
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
 @query("op5_decontaminate", decontaminate.ORACLE)
 def op5_decontaminate(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"),
@@ -38,3 +48,13 @@ def op6_toxicity(spark, sf_dir):
 @query("op7_language_id")
 def op7_language_id(spark, sf_dir):
     return langid.detect(table(spark, sf_dir, "documents"))
+
+
+@query("op9_packing")
+def op9_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op10_html_text")
+def op10_html_text(spark, sf_dir):
+    return htmltext.extract(table(spark, sf_dir, "pages"))
