@@ -3,7 +3,7 @@ with production parameters."""
 
 from __future__ import annotations
 
-from . import decontaminate, htmltext, langid, packing, pii, quality, tokencount, toxicity
+from . import decontaminate, htmltext, langid, neardup, packing, pii, quality, tokencount, toxicity
 from .common import table
 
 QUERIES = {}
@@ -50,6 +50,11 @@ def op7_language_id(spark, sf_dir):
     return langid.detect(table(spark, sf_dir, "documents"))
 
 
+@query("op8_near_duplicates")
+def op8_near_duplicates(spark, sf_dir):
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 @query("op9_packing")
 def op9_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
