@@ -3,7 +3,7 @@ with production parameters."""
 
 from __future__ import annotations
 
-from . import decontaminate, htmltext, langid, neardup, packing, pii, quality, tokencount, toxicity
+from . import ann, decontaminate, htmltext, langid, neardup, packing, pii, quality, tokencount, toxicity
 from .common import table
 
 QUERIES = {}
@@ -29,6 +29,11 @@ def op2_quality(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op3_nearest")
+def op3_nearest(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 @query("op4_token_counts")
 def op4_token_counts(spark, sf_dir):
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
