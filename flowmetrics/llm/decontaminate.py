@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import staged, words_of
 
 N_WORDS = 10
 #: windows that may be broadcast (about 200 bytes each)
@@ -83,7 +83,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = N_WORDS,
                   broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit (words inside any
     occurrence), n_items, items_sha256 (ids sorted as strings), contaminated."""
-    found = hits(documents, benchmark, n, broadcast_windows)
+    found = staged(hits(documents, benchmark, n, broadcast_windows), "hits")  # probed once, read twice
     key = ["doc_id", "text_hash"]
     # one row per document and distinct window: its occurrences, item list by join
     per_doc = found.select(*key, F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("k") - 1)).alias("at")) \
