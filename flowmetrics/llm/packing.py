@@ -103,7 +103,7 @@ _BYTE_SIGN = _byte_signs()
 _LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]"
                           "|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 _ODD = frozenset("\x1c\x1d\x1e\x1f\x85᠎​﻿")
-_PIECE = "piece int, start long, length int, ids_crc32 long"
+_PIECE = "piece integer, start long, length integer, ids_crc32 long"
 
 
 def pieces(documents: DataFrame, path: str | None = None, max_len: int = MAX_LEN) -> DataFrame:
