@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NPM_SCHEMA = ("success boolean, numTotalTests int, numPassedTests int, numFailedTests int, "
-              "coverageMap struct<total:struct<lines:struct<pct:double>>>, _corrupt_record string")
+              "coverageMap struct<total:struct<lines:struct<pct:string>>>, _corrupt_record string")
 
 NO_FRAMEWORK = "No supported test framework detected"
 
@@ -32,22 +32,28 @@ def npm_json(output: Column) -> Column:
     return F.from_json(output, NPM_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"})
 
 
+def npm_coverage(parsed: Column) -> Column:
+    """Line coverage of a parsed report; null where it is no number."""
+    return parsed.getField("coverageMap").getField("total").getField("lines").getField("pct").try_cast("double")
+
+
 def parse_npm(output: Column, rc: Column, parsed: Column | None = None) -> Column:
     """JSON report (success defaults to rc == 0, counts to 0, coverage at
     coverageMap.total.lines.pct); non-JSON text: 0 tests, 1 passed or failed
     by the return code, the output as error on failure.  ``parsed``: the
     output already parsed by :func:`npm_json` (parse once, read many)."""
     j = parsed if parsed is not None else npm_json(output)
-    is_json = j.getField("_corrupt_record").isNull() & output.isNotNull()
+    # empty text parses to a null struct and is no report
+    is_json = j.isNotNull() & j.getField("_corrupt_record").isNull()
     ok_rc = rc == 0
     js = _result(F.coalesce(j.getField("success"), ok_rc),
                  F.coalesce(j.getField("numTotalTests"), F.lit(0)),
                  F.coalesce(j.getField("numPassedTests"), F.lit(0)),
                  F.coalesce(j.getField("numFailedTests"), F.lit(0)),
                  F.array().cast("array<string>"),
-                 j.getField("coverageMap").getField("total").getField("lines").getField("pct"))
+                 npm_coverage(j))
     txt = _result(ok_rc, F.lit(0), F.when(ok_rc, 1).otherwise(0), F.when(ok_rc, 0).otherwise(1),
-                  _errors_if_failed(ok_rc, output))
+                  _errors_if_failed(ok_rc, F.coalesce(output, F.lit(""))))
     return F.when(is_json, js).otherwise(txt)
 
 

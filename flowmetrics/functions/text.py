@@ -61,8 +61,11 @@ def branch_name(idx, feature, dialect: str = "python"):
     return F.concat(F.lit("feature-"), idx.cast("string"), F.lit("-"), name)
 
 def preview_text(preview: Column, count: Column, n: int = FILE_PREVIEW_N, indent: str = "") -> Column:
-    """``- name`` lines, then ``... and N more`` when over ``n``."""
+    """``- name`` lines of up to ``n`` names, then ``... and N more`` for those
+    of ``count`` that are not shown."""
+    preview = F.slice(preview, 1, n)
+    shown = F.size(preview)
     lines = F.array_join(F.transform(preview, lambda x: F.concat(F.lit(indent + "- "), x)), "\n")
-    more = F.when(count > n, F.concat(F.lit("\n" + indent + "... and "), (count - n).cast("string"),
+    more = F.when(count > shown, F.concat(F.lit("\n" + indent + "... and "), (count - shown).cast("string"),
                                        F.lit(" more"))).otherwise(F.lit(""))
     return F.concat(lines, more)

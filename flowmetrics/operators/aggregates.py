@@ -165,10 +165,9 @@ def snapshot_history(snapshots: DataFrame) -> DataFrame:
 def snapshot_list(snapshots: DataFrame) -> DataFrame:
     """G11 as rows: every snapshot of a run with its creation ordinal and
     whether it is the last one (a list per run, without collecting one)."""
-    from ..functions.timecols import time_bucket
     from ..plans.scan import row_number_scan
     n = row_number_scan(snapshots.select("run_id", "event_id", "snapshot_id", "ts"), ["run_id"],
-                        ["ts", "event_id"], time_bucket("ts"), "ordinal")
+                        ["ts", "event_id"], "ordinal")
     last = snapshots.groupBy("run_id").agg(F.count(F.lit(1)).cast("bigint").alias("_n"))
     return n.join(last, "run_id").select("run_id", "ordinal", "snapshot_id", "ts",
                                           (F.col("ordinal") == F.col("_n")).alias("is_last"))
@@ -186,7 +185,8 @@ def delivery_results(attempts: DataFrame) -> DataFrame:
 
 def coverage_trend(test_results: DataFrame, grain: str = "month") -> DataFrame:
     """Mean coverage (nulls ignored) per period and framework."""
-    period = F.to_date(F.date_trunc(grain, "ts"))
+    from .windows import period_of
+    period = period_of("ts", grain)
     return test_results.groupBy(period.alias("period"), "framework").agg(
         F.count(F.lit(1)).cast("bigint").alias("test_runs"),
         F.count("coverage").cast("bigint").alias("with_coverage"),

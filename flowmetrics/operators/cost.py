@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PR_LINK, estimate_tokens, loose_success, strict_success  # noqa: F401
-from ..schemas import DEFAULT_COMPLEXITY, DEFAULT_ENVIRONMENT, default_rate
+from ..schemas import COMPLEXITY, DEFAULT_COMPLEXITY, DEFAULT_ENVIRONMENT, ENV_PRESETS, default_rate
 
 TOTAL = "DECIMAL(38,9)"
 
@@ -45,8 +45,7 @@ def budget_estimate(plan: DataFrame, complexity: DataFrame) -> DataFrame:
     an unknown complexity uses ``medium``."""
     c = complexity.withColumnRenamed("name", "complexity")
     j = plan.join(c, "complexity", "left")
-    default_mult = F.lit(dict((n, m) for n, m in [("low", 2), ("medium", 4), ("high", 8)])
-                         [DEFAULT_COMPLEXITY])
+    default_mult = F.lit(dict(COMPLEXITY)[DEFAULT_COMPLEXITY])
     mult = F.coalesce(F.col("multiplier"), default_mult)
     pt = estimate_tokens(F.col("prompt"))
     total = (pt * (F.lit(1) + mult)).cast("bigint")
@@ -56,22 +55,33 @@ def budget_estimate(plan: DataFrame, complexity: DataFrame) -> DataFrame:
                     .alias("estimated_cost"))
 
 
-def _int_text(c):
-    # Python's int() accepts "1_000": drop underscores between digits
-    once = F.regexp_replace(c, "([0-9])_([0-9])", "$1$2")
-    return F.regexp_replace(once, "([0-9])_([0-9])", "$1$2")
+def plan_complexity(plan: DataFrame) -> DataFrame:
+    """A stage plan (J1) with the complexity that its budget (B3) is estimated
+    by: ``high`` on the critical path, else ``medium``."""
+    return plan.withColumn("complexity", F.when(F.col("critical_path"), F.lit("high")).otherwise(F.lit("medium")))
+
+
+_DIGITS = "[0-9](?:_?[0-9])*"
+_INT = rf"^\s*[+-]?{_DIGITS}\s*$"
+_FLOAT = (rf"(?i)^\s*[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?"
+          r"|inf|infinity|nan)\s*$")
+
+
+def _number(c, pattern: str, kind: str):
+    """The number that Python's int() or float() reads, else null: single
+    underscores between digits are fine, type suffixes are not."""
+    return F.when(c.rlike(pattern), F.trim(F.replace(c, F.lit("_"), F.lit(""))).try_cast(kind))
 
 
 def effective_settings(overrides: DataFrame, presets: DataFrame) -> DataFrame:
     """Preset by environment (unknown -> development); each value is
     replaced by its override when that parses, else the preset is kept."""
-    env = F.when(F.col("environment").isin("production", "staging", "development"),
-                 F.col("environment")).otherwise(F.lit(DEFAULT_ENVIRONMENT))
+    env = F.when(F.col("environment").isin([p[0] for p in ENV_PRESETS]), F.col("environment")).otherwise(F.lit(DEFAULT_ENVIRONMENT))
     o = overrides.withColumn("preset", env)
     j = o.join(presets, "preset", "left")
-    mt = _int_text(F.col("max_tokens")).try_cast("bigint")
-    temp = F.col("temperature").try_cast("double")
-    to = _int_text(F.col("timeout")).try_cast("int")
+    mt = _number(F.col("max_tokens"), _INT, "bigint")
+    temp = _number(F.col("temperature"), _FLOAT, "double")
+    to = _number(F.col("timeout"), _INT, "int")
     return j.select(
         "run_id", "environment", "preset",
         F.coalesce(mt, F.col("preset_max_tokens")).alias("max_tokens"),
@@ -82,10 +92,10 @@ def effective_settings(overrides: DataFrame, presets: DataFrame) -> DataFrame:
 
 def decode_run_ids(df: DataFrame, prefixes: DataFrame, id_col: str = "workflow_id") -> DataFrame:
     """``<prefix>-<epoch ms>`` -> prefix, workflow type (null for an
-    unknown prefix), start day; runs per type and day."""
+    unknown prefix or an id of another form), start day; runs per type and day."""
     d = df.select(
-        F.regexp_extract(id_col, r"^(.+)-([0-9]+)$", 1).alias("prefix"),
-        F.regexp_extract(id_col, r"^(.+)-([0-9]+)$", 2).cast("bigint").alias("started_ms"))
+        F.nullif(F.regexp_extract(id_col, r"^(.+)-([0-9]+)$", 1), F.lit("")).alias("prefix"),
+        F.regexp_extract(id_col, r"^(.+)-([0-9]+)$", 2).try_cast("bigint").alias("started_ms"))
     d = d.join(prefixes, "prefix", "left")
     day = F.date_from_unix_date(F.floor(F.col("started_ms") / F.lit(86400000)).cast("int"))
     return d.groupBy("workflow_type", "prefix", day.alias("start_day")).agg(

@@ -3,7 +3,7 @@
 ``independent``: each gate is decided by the first signal of its run in
 ``[opened_at, opened_at + timeout]``; none -> ``timeout`` at the deadline.
 An interval join in meaning; computed as a forward scan for the next signal
-(no pairs), which the bucketed range join in ``plans.scan`` would also give.
+(no pairs).
 
 ``sticky`` (what a real run does): one nullable flag per run, set by every
 signal (last wins), even before a gate opens; a gate opening while the flag
@@ -17,7 +17,7 @@ signal after gate k opened.  The flag is set at gate k exactly when
 ``cnt_k >= 2``, or ``cnt_k == 1`` and it was set at gate k-1 (or k is the first
 gate); ``cnt_k == 0`` means it is not.  So "set at k" is the last decisive
 (``cnt != 1``) gate's verdict, carried forward: a ``last non-null`` scan, no
-per-run loop and no per-run Python.  All scans are the skew-safe bucketed ones.
+per-run loop and no per-run Python.  All scans are the skew-safe ones.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timecols import ms_between, time_bucket
+from ..functions.timecols import ms_between
 from ..plans.scan import prefix_scan
 from ..schemas import APPROVAL_TIMEOUT_S
 
@@ -57,7 +57,7 @@ def _independent(gates: DataFrame, signals: DataFrame, timeout_s: int) -> DataFr
                        F.col("signal_id").alias("id"), F.lit(None).cast("string").alias("stage"),
                        "signal")
     sig = F.when(F.col("kind") == 1, F.struct(F.col("t").alias("t"), F.col("signal").alias("signal")))
-    sc = prefix_scan(g.unionByName(s), ["run_id"], ["t", "kind", "id"], time_bucket("t"),
+    sc = prefix_scan(g.unionByName(s), ["run_id"], ["t", "kind", "id"],
                      [("d", "first", sig, "after")])
     deadline = F.timestamp_add("SECOND", F.lit(timeout_s), F.col("t"))
     hit = F.col("d").isNotNull() & (F.col("d.t") <= deadline)
@@ -78,7 +78,7 @@ def _sticky(gates: DataFrame, signals: DataFrame, timeout_s: int) -> DataFrame:
     # signals sort before a gate opening at the same instant: they set the flag
     u = g.unionByName(s)
     order = ["t", "kind", "id"]
-    numbered = prefix_scan(u, ["run_id"], order, time_bucket("t"),
+    numbered = prefix_scan(u, ["run_id"], order,
                            [("gate_no", "count", F.when(F.col("kind") == 1, F.lit(1)))])
     numbered = numbered.withColumn("gate_no", F.coalesce("gate_no", F.lit(0)).cast("bigint"))
 
@@ -93,15 +93,10 @@ def _sticky(gates: DataFrame, signals: DataFrame, timeout_s: int) -> DataFrame:
     after = seg.select("run_id", "gate_no", F.col("first").alias("first_in_seg"))
     gk = gk.join(before, ["run_id", "gate_no"], "left").join(after, ["run_id", "gate_no"], "left")
     gk = gk.withColumn("cnt", F.coalesce("cnt", F.lit(0)))
-    # The gate scans below aggregate values derived from the scan above; a
-    # reliable checkpoint (shared checkpoint folder) cuts that lineage so it is
-    # computed once instead of once per branch.  Gate rows are a small slice.
-    gk = gk.checkpoint(eager=True)
-
     decisive = F.when(F.col("cnt") >= 2, F.lit(True)).when(F.col("cnt") == 0, F.lit(False))
     gorder = ["gate_no"]
     # verdict carried forward and next signal looked ahead: one scan, two frames
-    sc = prefix_scan(gk, ["run_id"], gorder, time_bucket("opened_at"),
+    sc = prefix_scan(gk, ["run_id"], gorder,
                      [("set_mode", "last", decisive, "upto"),
                       ("next_sig", "first", F.col("first_in_seg"), "from")])
     flag_set = F.coalesce(F.col("set_mode"), F.lit(True))

@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timecols import ms_between, time_bucket
+from ..functions.timecols import ms_between
 from ..plans.scan import prefix_scan
-from ..schemas import default_rate
+from ..schemas import DEFAULT_WORKFLOW_TYPE, STAGE_TEMPLATES, default_rate
 
 TOTAL = "DECIMAL(38,9)"
 
@@ -30,7 +30,7 @@ def asof_last_snapshot(left: DataFrame, snapshots: DataFrame) -> DataFrame:
     lhs = left.withColumn("_side", F.lit(1))
     u = lhs.unionByName(snap, allowMissingColumns=True)
     carried = prefix_scan(
-        u, ["run_id"], ["ts", "_side", "event_id"], time_bucket("ts"),
+        u, ["run_id"], ["ts", "_side", "event_id"],
         [("_snap", "last", F.when(F.col("_side") == 0, F.struct(F.col("_sid").alias("id"),
                                                                F.col("_sts").alias("ts"))))])
     return (carried.filter(F.col("_side") == 1)
@@ -40,12 +40,16 @@ def asof_last_snapshot(left: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 
 def rollback_targets(metrics: DataFrame, snapshots: DataFrame,
-                     critical_stages: list[str] | None = None) -> DataFrame:
-    """For each failed stage (optionally only critical ones), the latest
-    snapshot at or before it and the work lost since then (ms)."""
+                     critical_stages: list[str] | None = None, critical_only: bool = True) -> DataFrame:
+    """For each failed critical stage, the latest snapshot at or before it
+    and the work lost since then (ms).  ``critical_stages`` defaults to those of
+    the default workflow's template; ``critical_only=False`` takes every failed
+    stage."""
     f = metrics.filter(~F.col("tests_pass"))
-    if critical_stages is not None:
-        f = f.filter(F.col("stage").isin(critical_stages))
+    if critical_only:
+        critical = critical_stages if critical_stages is not None else [
+            name for wt, _, name, _, _, path, _ in STAGE_TEMPLATES if wt == DEFAULT_WORKFLOW_TYPE and path]
+        f = f.filter(F.col("stage").isin(critical))
     f = f.select("run_id", "seq", "stage", "ts", "event_id")
     j = asof_last_snapshot(f, snapshots)
     return j.select("run_id", "seq", "stage", F.col("ts").alias("failed_at"), "snapshot_id",
@@ -169,7 +173,7 @@ def activity_durations(events: DataFrame, order_col: str | None = None) -> DataF
     kind_order = F.when(F.col("kind") == "ActivityCompleted", 0).otherwise(1)
     staged = no_id.withColumn("_k", kind_order)
     order = ["at", "_k"] + ([order_col] if order_col else [])
-    nxt = prefix_scan(staged, ["run_id"], order, time_bucket("at"),
+    nxt = prefix_scan(staged, ["run_id"], order,
                       [("completed_at", "first", F.when(F.col("_k") == 0, F.col("at")))], "after")
     paired = nxt.filter(F.col("_k") == 1).select(
         F.col("activity_id").cast(out.schema["activity_id"].dataType), "run_id", "activity",

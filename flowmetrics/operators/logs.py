@@ -12,16 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.testlogs import (DIALECTS, NO_FRAMEWORK, NPM_SCHEMA, _result,  # noqa: F401
-                                  npm_json, parse_cargo, parse_go, parse_npm, parse_pytest,
+                                  npm_coverage, npm_json, parse_cargo, parse_go, parse_npm, parse_pytest,
                                   register_dialect)
 
 def parse_test_logs(logs: DataFrame, dialects: dict | None = None) -> DataFrame:
-    """Dispatch by framework (case-insensitive) in one ``when`` chain;
-    no or unknown framework -> failed 0/0/1 "No supported test framework
-    detected"; an optional boolean ``tool_missing`` column gives 0/0/1
+    """Dispatch by framework (case-insensitive) in one ``when`` chain; no or
+    unknown framework -> the one detected for the project (C6), in an optional
+    ``detected_framework`` column; without one failed 0/0/1 "No supported test
+    framework detected"; an optional boolean ``tool_missing`` column gives 0/0/1
     "<tool> not found"."""
     dialects = dict(dialects or DIALECTS)
-    fw = F.lower(F.col("framework"))
+    fw = _framework(logs, dialects)
     out, rc = F.col("output"), F.col("return_code")
     if dialects.get("npm") is parse_npm:
         # parse the JSON once per npm row (a CASE branch would repeat it per field)
@@ -43,21 +44,26 @@ def parse_test_logs(logs: DataFrame, dialects: dict | None = None) -> DataFrame:
                     "r.errors", "r.coverage")
 
 
+def _framework(logs: DataFrame, dialects: dict):
+    given = F.lower(F.col("framework"))
+    if "detected_framework" not in logs.columns:
+        return given
+    return F.when(given.isin(list(dialects)), given).otherwise(
+        F.coalesce(F.lower(F.col("detected_framework")), given))
+
+
+def with_detected(logs: DataFrame, detected: DataFrame) -> DataFrame:
+    """Logs of a project with the framework that C6 found for it."""
+    d = detected.select("project_id", F.col("framework").alias("detected_framework"))
+    return logs.join(d, "project_id", "left")
+
+
 def test_coverage(logs: DataFrame) -> DataFrame:
     """Coverage per test log without the counting work: of the built-in
-    dialects only the npm JSON report carries coverage, so only those rows
-    are parsed (same values as ``parse_test_logs(...).coverage``).  With a
-    custom dialect registered, falls back to the full parse."""
+    dialects only the npm JSON report carries coverage.  The same parse as
+    ``parse_test_logs``, of which only the coverage field is computed."""
     keep = [c for c in ("run_id", "duration_ms", "ts") if c in logs.columns]
-    if set(DIALECTS) != {"npm", "pytest", "cargo", "go"} or DIALECTS["npm"] is not parse_npm:
-        return parse_test_logs(logs).select(*keep, "framework", "coverage")
-    fw = F.lower(F.col("framework"))
-    j = npm_json(F.col("output"))
-    cov = F.when((fw == "npm") & F.col("output").isNotNull(),
-                 F.when(j.getField("_corrupt_record").isNull(),
-                        j.getField("coverageMap").getField("total").getField("lines")
-                        .getField("pct")))
-    return logs.select(*keep, fw.alias("framework"), cov.cast("double").alias("coverage"))
+    return parse_test_logs(logs).select(*keep, "framework", "coverage")
 
 
 def test_rollup(results: DataFrame) -> DataFrame:

@@ -14,25 +14,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import preview_text  # noqa: F401
-from ..plans.scan import top_n_per_key
-from ..schemas import FILE_PREVIEW_N, NOTIFICATION_CHANNELS
+from ..plans.scan import row_number_scan, top_n_per_key
+from ..schemas import FILE_PREVIEW_N
 
 SEPARATOR = "=" * 50
+#: file names in one webhook request
+WEBHOOK_PART = 1000
 
 
 def file_previews(files: DataFrame, key: str = "run_id", n: int = FILE_PREVIEW_N) -> DataFrame:
     """Per key, the first ``n`` distinct file names in order and the
-    total count.  Top-n is salted (skew-safe); the list collected per key
-    holds at most ``n`` names."""
+    total count.  A hot key sends at most ``n`` names per task to the top-n; the
+    list collected per key holds at most ``n`` names."""
     d = files.select(key, "path").distinct()
     cnt = d.groupBy(key).agg(F.count(F.lit(1)).cast("bigint").alias("files_count"))
-    top = top_n_per_key(d, [key], ["path"], n, salt=F.xxhash64("path"), rank_name="_r")
+    top = top_n_per_key(d, [key], ["path"], n, rank_name="_r")
     first = top.groupBy(key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_r", "path"))), lambda x: x["path"])
         .alias("files_preview"))
     return cnt.join(first, key)
 
 
+def file_parts(files: DataFrame, key: str = "run_id", size: int = WEBHOOK_PART) -> DataFrame:
+    """All distinct file names per key in order, in parts of at most ``size``
+    names: (key, part from 0, parts, files_changed)."""
+    d = files.select(key, "path").distinct()
+    n = row_number_scan(d, [key], ["path"], "_r").withColumn("part", F.floor((F.col("_r") - 1) / F.lit(size)).cast("int"))
+    parts = d.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("parts"))
+    return n.groupBy(key, "part").agg(F.array_sort(F.collect_list("path")).alias("files_changed")).join(parts, key)
+
+
 def render_console(stage, message, preview, count, diff_url) -> Column:
     files = F.when(count > 0, F.concat(F.lit("\n"), preview_text(preview, count, indent="  "))) \
         .otherwise(F.lit(""))
@@ -81,11 +92,26 @@ def register_renderer(channel: str, fn: Callable[..., Column]) -> None:
     RENDERERS[channel] = fn
 
 
-def render_notifications(requests: DataFrame, channels=None, key: str = "request_id") -> DataFrame:
-    """One row per request and channel with the rendered payload.
+def render_notifications(requests: DataFrame, channels=None, key: str = "request_id",
+                         files: DataFrame | None = None, files_key: str = "run_id") -> DataFrame:
+    """One row per request and channel with the rendered payload; the
+    webhook, which carries the whole list of files, has one row per part.
     ``requests``: key, stage, message, files_preview (array), files_count,
-    diff_url."""
-    channels = list(channels or NOTIFICATION_CHANNELS)
+    diff_url, and ``files_key`` where ``files`` (see :func:`file_parts`) is
+    given; without it the webhook's list is ``files_preview``.  ``channels``
+    defaults to all with a renderer, registered ones included.  Returns key,
+    channel, part, payload."""
+    channels = list(channels or RENDERERS)
+    if files is not None and "webhook" in channels:
+        whole = requests.drop("files_preview").join(files, files_key, "left").withColumnRenamed(
+            "files_changed", "files_preview")
+        rest = [c for c in channels if c != "webhook"]
+        hook = _rendered(whole, ["webhook"], key)
+        return hook if not rest else _rendered(requests, rest, key).unionByName(hook)
+    return _rendered(requests, channels, key)
+
+
+def _rendered(requests: DataFrame, channels: list[str], key: str) -> DataFrame:
     r = requests.withColumn("channel", F.explode(F.array(*[F.lit(c) for c in channels])))
     args = (F.col("stage"), F.col("message"),
             F.coalesce(F.col("files_preview"), F.array().cast("array<string>")),
@@ -95,16 +121,22 @@ def render_notifications(requests: DataFrame, channels=None, key: str = "request
         fn = RENDERERS[c]
         payload = (F.when(F.col("channel") == c, fn(*args)) if payload is None
                    else payload.when(F.col("channel") == c, fn(*args)))
-    return r.select(key, "channel", payload.alias("payload"))
+    if "part" not in requests.columns:
+        return r.select(key, "channel", F.lit(0).alias("part"), payload.alias("payload"))
+    # a request in several parts says which one it is
+    part, parts = F.coalesce("part", F.lit(0)), F.coalesce("parts", F.lit(1))
+    tail = F.concat(F.lit(',"part":'), (part + 1).cast("string"), F.lit(',"parts":'), parts.cast("string"), F.lit("}"))
+    payload = F.when(parts > 1, F.concat(F.substring(payload, F.lit(1), F.length(payload) - 1), tail)).otherwise(payload)
+    return r.select(key, "channel", part.alias("part"), payload.alias("payload"))
 
 
 def approval_message(stage: Column) -> Column:
     return F.concat(F.lit("Stage '"), stage, F.lit("' complete. Review required."))
 
 
-def route_channels(df: DataFrame, configured: str = "configured_channel",
-                   known=("console", "logging", "slack", "webhook")) -> DataFrame:
-    """The configured channel when known, else (unknown or missing
-    configuration) the console."""
+def route_channels(df: DataFrame, configured: str = "configured_channel", known=None) -> DataFrame:
+    """The configured channel when known (by default: has a renderer, the
+    registered ones included), else (unknown or missing configuration) the
+    console."""
     c = F.col(configured)
-    return df.withColumn("channel", F.when(c.isin(list(known)), c).otherwise(F.lit("console")))
+    return df.withColumn("channel", F.when(c.isin(list(known or RENDERERS)), c).otherwise(F.lit("console")))

@@ -1,8 +1,7 @@
 """Per-run ordered operators.
 
 Running totals go through :func:`flowmetrics.plans.scan.prefix_scan`, which
-splits each run into minute (or seq) buckets, so a hot run is spread over
-many tasks.  Window functions with ``partitionBy`` are used directly only where
+splits a hot run by its own order values, so it is spread over many tasks.  Window functions with ``partitionBy`` are used directly only where
 the partition is bounded by construction (stages of one run after
 aggregation, days after aggregation).
 """
@@ -12,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.scan import prefix_scan, time_bucket
+from ..plans.scan import prefix_scan
 from ..schemas import (AGENT_MAX_STEPS, COOLDOWN_SECONDS, COOLDOWN_TOKEN_LIMIT,
                        ITERATION_BACKOFF_BASE_S, ITERATION_BACKOFF_MAX_S, MAX_ITERATIONS,
                        RETRY_COEFFICIENT, RETRY_INITIAL_S, RETRY_MAX_ATTEMPTS,
@@ -22,18 +21,9 @@ TOTAL = "DECIMAL(38,9)"
 RUN_ORDER = ["seq"]
 
 
-RUN_BUCKET = "run_minute"
-
-
-def _bucket(df: DataFrame):
-    """The minute of ts (seq follows ts, so it never decreases along seq);
-    reuse the binding's column when present to keep its partitioning."""
-    return RUN_BUCKET if RUN_BUCKET in df.columns else time_bucket("ts")
-
-
 def run_progress(metrics: DataFrame) -> DataFrame:
     """Running tokens, cost and tests passed after each stage."""
-    s = prefix_scan(metrics, ["run_id"], RUN_ORDER, _bucket(metrics), [
+    s = prefix_scan(metrics, ["run_id"], RUN_ORDER, [
         ("cum_tokens", "sum", F.col("tokens_used")),
         ("cum_cost", "sum", F.col("cost")),
         ("cum_tests_passed", "count", F.when(F.col("tests_pass"), 1)),
@@ -49,8 +39,7 @@ def cooldowns(metrics: DataFrame, limit: int = COOLDOWN_TOKEN_LIMIT,
               wait_s: int = COOLDOWN_SECONDS) -> DataFrame:
     """A stage waits ``wait_s`` when the never-reset running token total
     exceeds ``limit`` (quirk Q8: every later stage waits too)."""
-    s = prefix_scan(metrics, ["run_id"], RUN_ORDER, _bucket(metrics),
-                    [("cum_tokens", "sum", F.col("tokens_used"))])
+    s = prefix_scan(metrics, ["run_id"], RUN_ORDER, [("cum_tokens", "sum", F.col("tokens_used"))])
     return s.select("run_id", "seq", "stage", F.col("cum_tokens").cast("bigint").alias("cum_tokens"),
                     F.when(F.col("cum_tokens") > limit, F.lit(wait_s)).otherwise(F.lit(0))
                     .cast("int").alias("cooldown_s"))
@@ -67,8 +56,7 @@ def cooldown_totals(metrics: DataFrame, limit: int = COOLDOWN_TOKEN_LIMIT,
 def budget_alerts(metrics: DataFrame, limit: str = "1.00") -> DataFrame:
     """The stage at which a run's running cost first exceeds ``limit``."""
     lim = F.lit(limit).cast("decimal(18,9)")
-    s = prefix_scan(metrics, ["run_id"], RUN_ORDER, _bucket(metrics),
-                    [("cum_cost", "sum", F.col("cost"))])
+    s = prefix_scan(metrics, ["run_id"], RUN_ORDER, [("cum_cost", "sum", F.col("cost"))])
     prev = F.col("cum_cost") - F.col("cost")
     return s.filter((prev <= lim) & (F.col("cum_cost") > lim)).select(
         "run_id", "seq", "stage", F.col("cum_cost").cast(TOTAL).alias("cum_cost"), "ts")
@@ -77,7 +65,7 @@ def budget_alerts(metrics: DataFrame, limit: str = "1.00") -> DataFrame:
 def stage_timeline(metrics: DataFrame) -> DataFrame:
     """Start and end offsets (and times) of each stage from cumulative
     durations, starting at the run's first timestamp."""
-    s = prefix_scan(metrics, ["run_id"], RUN_ORDER, _bucket(metrics), [
+    s = prefix_scan(metrics, ["run_id"], RUN_ORDER, [
         ("end_offset_ms", "sum", F.col("duration_ms")),
         ("run_start", "min", F.col("ts")),
     ])
@@ -90,11 +78,17 @@ def stage_timeline(metrics: DataFrame) -> DataFrame:
         F.timestamp_add("MILLISECOND", F.col("end_offset_ms"), F.col("run_start")).alias("end_at"))
 
 
-def run_state(metrics: DataFrame, snapshots: DataFrame, stages_planned: int = 6) -> DataFrame:
+def run_state(metrics: DataFrame, snapshots: DataFrame, plan: DataFrame | None = None,
+              default_stages: int = 6) -> DataFrame:
     """Current stage (latest by seq), totals, snapshots and last snapshot
-    per run, and progress ``k/n`` (distinct stages done of the stages the
-    run's workflow plans; 6 for the default workflow); aggregates only
+    per run, and progress ``k/n``: distinct planned stages done of the stages
+    that the run's own plan (J1: run_id, stage) holds.  A run without a plan is
+    measured against the default workflow's ``default_stages``.  Aggregates only
     (``max_by``), no sort."""
+    if plan is not None:
+        done = metrics.select("run_id", "stage").distinct().withColumn("_done", F.lit(1))
+        planned = plan.select("run_id", "stage").distinct().join(done, ["run_id", "stage"], "left") \
+            .groupBy("run_id").agg(F.count(F.lit(1)).cast("int").alias("_n"), F.count("_done").cast("bigint").alias("_k"))
     m = metrics.groupBy("run_id").agg(
         F.max_by("stage", "seq").alias("current_stage"),
         F.sum("tokens_used").cast("bigint").alias("total_tokens_used"),
@@ -105,16 +99,19 @@ def run_state(metrics: DataFrame, snapshots: DataFrame, stages_planned: int = 6)
     s = snapshots.groupBy("run_id").agg(
         F.count(F.lit(1)).cast("bigint").alias("snapshots"),
         F.max_by("snapshot_id", F.struct("ts", "event_id")).alias("last_snapshot"))
-    return (m.join(s, "run_id", "left")
-             .withColumn("snapshots", F.coalesce("snapshots", F.lit(0).cast("bigint")))
-             .withColumn("stages_planned", F.lit(stages_planned).cast("int"))
-             .withColumn("progress", F.concat(F.col("distinct_stages").cast("string"), F.lit("/"),
-                                              F.lit(str(stages_planned)))))
+    out = m.join(s, "run_id", "left").withColumn("snapshots", F.coalesce("snapshots", F.lit(0).cast("bigint")))
+    n, k = F.lit(default_stages).cast("int"), F.least(F.col("distinct_stages"), F.lit(default_stages).cast("bigint"))
+    if plan is not None:
+        out = out.join(planned, "run_id", "left")
+        n, k = F.coalesce("_n", n), F.coalesce("_k", k)
+    return out.withColumn("stages_planned", n) \
+        .withColumn("progress", F.concat(k.cast("string"), F.lit("/"), n.cast("string"))).drop("_n", "_k")
 
 
 def stage_ranking(metrics: DataFrame) -> DataFrame:
     """Stages by cost within a run (pre-aggregated, so each window
-    partition holds one run's distinct stages), share of run cost."""
+    partition holds one run's distinct stages), share of run cost (null for a
+    run that cost nothing)."""
     per = metrics.groupBy("run_id", "stage").agg(
         F.sum("cost").cast(TOTAL).alias("cost"),
         F.sum("tokens_used").cast("bigint").alias("tokens"))
@@ -122,13 +119,20 @@ def stage_ranking(metrics: DataFrame) -> DataFrame:
     return per.select(
         "run_id", "stage", "cost", "tokens",
         F.rank().over(w.orderBy(F.col("cost").desc())).cast("bigint").alias("cost_rank"),
-        (F.col("cost").cast("double") / F.sum("cost").over(w).cast("double")).alias("cost_share"))
+        F.try_divide(F.col("cost").cast("double"), F.sum("cost").over(w).cast("double")).alias("cost_share"))
+
+
+def period_of(ts: str, grain: str):
+    """Start of the period: a date, or a timestamp below the day."""
+    start = F.date_trunc(grain, ts)
+    below_day = grain.lower() in ("hour", "minute", "second", "millisecond", "microsecond")
+    return start if below_day else F.to_date(start)
 
 
 def usage_trend(metrics: DataFrame, grain: str = "day") -> DataFrame:
     """Tokens and cost per day (aggregated first), change from the
     previous period by ``lag`` over the few period rows."""
-    period = F.to_date("ts") if grain == "day" else F.to_date(F.date_trunc(grain, "ts"))
+    period = F.to_date("ts") if grain == "day" else period_of("ts", grain)
     d = metrics.groupBy(period.alias("period")).agg(
         F.sum("tokens_used").cast("bigint").alias("tokens"),
         F.sum("cost").cast(TOTAL).alias("cost"))
@@ -142,8 +146,7 @@ def stage_order_audit(metrics: DataFrame, ordinals: dict[str, int]) -> DataFrame
     """Stages that ran after a later template stage already ran."""
     ordmap = F.create_map(*[x for k, v in ordinals.items() for x in (F.lit(k), F.lit(v))])
     m = metrics.withColumn("ordinal", F.element_at(ordmap, F.col("stage")))
-    s = prefix_scan(m, ["run_id"], RUN_ORDER, _bucket(m),
-                    [("prev_max_ordinal", "max", F.col("ordinal"))], frame="before")
+    s = prefix_scan(m, ["run_id"], RUN_ORDER, [("prev_max_ordinal", "max", F.col("ordinal"))], frame="before")
     return s.filter(F.col("ordinal") < F.col("prev_max_ordinal")).select(
         "run_id", "seq", "stage", F.col("ordinal").cast("int").alias("ordinal"),
         F.col("prev_max_ordinal").cast("int").alias("prev_max_ordinal"))
@@ -153,7 +156,7 @@ def failure_context(metrics: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Per error row, tokens / cost / files spent before it and the last
     snapshot at or before it."""
     from .joins import asof_last_snapshot
-    s = prefix_scan(metrics, ["run_id"], RUN_ORDER, _bucket(metrics), [
+    s = prefix_scan(metrics, ["run_id"], RUN_ORDER, [
         ("tokens_before", "sum", F.col("tokens_used")),
         ("cost_before", "sum", F.col("cost")),
         ("files_before", "sum", F.col("files_modified").cast("bigint")),

@@ -82,8 +82,10 @@ def _metrics_dedupe(b):
 
 
 SHAPES_SQL = """
-SELECT CASE event_id % 4 WHEN 2 THEN 'failure' WHEN 3 THEN 'iteration' ELSE 'stage' END AS kind,
-       CASE event_id % 4 WHEN 3 THEN 'iteration-' || CAST(seq AS VARCHAR) ELSE stage END AS stage,
+SELECT CASE event_id % 4 WHEN 2 THEN 'failure' WHEN 3 THEN CASE WHEN event_id % 8 = 7 THEN 'feature' ELSE 'iteration' END
+            ELSE 'stage' END AS kind,
+       CASE event_id % 4 WHEN 3 THEN CASE WHEN event_id % 8 = 7 THEN 'feature-f' || CAST(seq AS VARCHAR)
+            ELSE 'iteration-' || CAST(seq AS VARCHAR) END ELSE stage END AS stage,
        CASE event_id % 4 WHEN 2 THEN 0 ELSE tokens_used END AS tokens_used,
        CAST(CASE event_id % 4 WHEN 0 THEN cost WHEN 1 THEN cost ELSE 0 END AS DECIMAL(18,9)) AS cost,
        CASE event_id % 4 WHEN 0 THEN duration_ms WHEN 1 THEN duration_ms ELSE 0 END AS duration_ms,
@@ -92,17 +94,19 @@ SELECT CASE event_id % 4 WHEN 2 THEN 'failure' WHEN 3 THEN 'iteration' ELSE 'sta
        CASE event_id % 4 WHEN 0 THEN lines_removed WHEN 1 THEN lines_removed ELSE 0 END AS lines_removed,
        CASE event_id % 4 WHEN 2 THEN TRUE ELSE tests_pass END AS tests_pass,
        CASE event_id % 4 WHEN 2 THEN 'Stage failed at ' || CAST(seq AS VARCHAR) END AS error,
-       ts AS "timestamp"
-FROM b_stage_metrics
+       ts AS "timestamp", CASE WHEN event_id % 8 = 7 THEN 'feature-' || CAST(run_id AS VARCHAR) END AS run_id
+FROM b_stage_metrics WHERE event_id % 101 <> 0
 """
 
 
 @query("metric_shapes", bindings=SM, oracle=SHAPES_SQL)
 def _metric_shapes(b):
-    """A3: four record shapes (snake, camelCase stage, failure, iteration)
+    """A3: five record shapes (snake, camelCase stage, failure, iteration,
+    feature; the camelCase ones with zoned timestamps, some lines broken)
     written as JSON text and normalised back onto one schema."""
     m = b.b_stage_metrics
     k = F.col("event_id") % 4
+    zoned = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
     snake = F.to_json(F.struct("stage", "tokens_used", "cost", "duration_ms", "files_modified",
                                "lines_added", "lines_removed", "tests_pass", "error",
                                F.col("ts").alias("timestamp")), JSON_TS)
@@ -111,7 +115,7 @@ def _metric_shapes(b):
                                F.col("files_modified").alias("filesModified"),
                                F.col("lines_added").alias("linesAdded"),
                                F.col("lines_removed").alias("linesRemoved"),
-                               F.col("tests_pass").alias("testsPass"), F.col("ts").alias("timestamp")), JSON_TS)
+                               F.col("tests_pass").alias("testsPass"), zoned.alias("timestamp")))
     fail = F.to_json(F.struct("stage", F.concat(F.lit("Stage failed at "), F.col("seq").cast("string"))
                               .alias("error"), F.col("tokens_used").alias("tokensUsedBeforeFailure"),
                               F.lit("trace").alias("stackTrace"), F.col("ts").alias("timestamp")), JSON_TS)
@@ -119,11 +123,19 @@ def _metric_shapes(b):
                             F.col("tokens_used").alias("tokensUsed"),
                             F.col("tests_pass").alias("testsPassing"),
                             F.col("files_modified").alias("filesModified"),
-                            F.col("ts").alias("timestamp")), JSON_TS)
-    line = F.when(k == 0, snake).when(k == 1, camel).when(k == 2, fail).otherwise(it)
+                            zoned.alias("timestamp")))
+    feat = F.to_json(F.struct(F.concat(F.lit("f"), F.col("seq").cast("string")).alias("feature"),
+                              F.lit("branch").alias("branch"), F.col("tokens_used").alias("tokensUsed"),
+                              F.concat(F.lit("feature-"), F.col("run_id").cast("string")).alias("run_id"),
+                              F.col("tests_pass").alias("testsPassing"),
+                              F.col("files_modified").alias("filesModified"), zoned.alias("timestamp")))
+    line = (F.when(F.col("event_id") % 101 == 0, F.lit("{broken"))
+            .when(k == 0, snake).when(k == 1, camel).when(k == 2, fail)
+            .when(F.col("event_id") % 8 == 7, feat).otherwise(it))
     path = scratch_path(b.spark, "shapes")
     m.select(line.alias("value")).write.text(path)
-    return MS.normalise_metrics(MS.read_metric_shapes(b.spark, path))
+    good, _ = MS.read_metric_shapes(b.spark, path)
+    return MS.normalise_metrics(good)
 
 
 EVENT_SQL = """
@@ -177,13 +189,15 @@ def _invocations(b):
 
 @query("notification_outbox")
 def _outbox(b):
-    """Rendered notifications written twice to the outbox (idempotent)."""
+    """Rendered notifications written to the outbox twice as one batch and
+    again as another (idempotent: each row once)."""
     # render once (reliable checkpoint in the shared folder), write twice
     rendered = q_logs._render_notifications(b).checkpoint(eager=True)
     path = scratch_path(b.spark, "outbox")
     OB.write_outbox(rendered, path, batch_id=0)
     OB.write_outbox(rendered, path, batch_id=0)
-    return OB.read_outbox(b.spark, path).select("request_id", "channel", "payload")
+    OB.write_outbox(rendered, path, batch_id=1)
+    return OB.read_outbox(b.spark, path).select("request_id", "channel", "part", "payload")
 
 
 # -- streams ------------------------------------------------------------------
@@ -324,12 +338,13 @@ def _stream_outbox(b):
     # the static side is joined in every micro-batch: compute it once
     # (reliable checkpoint in the shared folder; one row per run)
     previews = N.file_previews(b.b_file_status).checkpoint(eager=True)
+    files = N.file_parts(b.b_file_status).checkpoint(eager=True)
     with session_conf(b.spark, spark__sql__session__timeZone="UTC"):
-        q = (gs.writeStream.foreachBatch(SS.outbox_writer(out, previews))
+        q = (gs.writeStream.foreachBatch(SS.outbox_writer(out, previews, files=files))
              .option("checkpointLocation", scratch_path(b.spark, "outbox-ckpt"))
              .trigger(availableNow=True).start())
         q.awaitTermination()
-    return OB.read_outbox(b.spark, out).select("request_id", "channel", "payload")
+    return OB.read_outbox(b.spark, out).select("request_id", "channel", "part", "payload")
 
 
 ORACLES["stream_outbox"] = ORACLES["render_notifications"]
@@ -360,22 +375,26 @@ def _stream_stuck(b):
         .write.mode("append").parquet(spath)
     _end_marker(b.spark, done.schema, {"activity_id": -1, "completed_at": FAR}) \
         .write.mode("append").parquet(cpath)
+    longest = sched.agg(F.max("limit_s").alias("m")).first()["m"] or 0  # one number of the dimension
+
     def build():
         ss = SS.to_event_time(b.spark.readStream.schema(b.spark.read.parquet(spath).schema)
                               .parquet(spath), "scheduled_at")
         cs = SS.to_event_time(b.spark.readStream.schema(b.spark.read.parquet(cpath).schema)
                               .parquet(cpath), "completed_at")
-        return SS.stuck_activities(ss, cs, max_limit_s=900, watermark="1 hour")
+        return SS.stuck_activities(ss, cs, max_limit_s=longest, watermark="1 hour")
     r = _run(b, build, "append")
     return r.filter(F.col("activity_id") >= 0).select(
         "activity_id", "run_id", "activity", "scheduled_at", "limit_s", "completed_at")
 
 
 ORACLES["stream_stuck_activities"] = with_bindings(ACT, f"""
-SELECT activity_id, run_id, activity, scheduled_at, limit_s,
-       CASE WHEN completed_after_s <= 900 THEN scheduled_at + to_seconds(completed_after_s) END AS completed_at
-FROM (SELECT e.*, CAST(CASE WHEN e.activity = 'execute' THEN least(l.limit_s, 1800) ELSE l.limit_s END AS INTEGER)
+WITH x AS (SELECT e.*, CAST(CASE WHEN e.activity = 'execute' THEN least(l.limit_s, 1800) ELSE l.limit_s END AS INTEGER)
              AS limit_s
-      FROM b_activity_events e LEFT JOIN {activity_timeouts_sql()} l ON e.activity = l.activity) x
+      FROM b_activity_events e LEFT JOIN {activity_timeouts_sql()} l ON e.activity = l.activity)
+SELECT activity_id, run_id, activity, scheduled_at, limit_s,
+       CASE WHEN completed_after_s <= (SELECT max(limit_s) FROM x)
+            THEN scheduled_at + to_seconds(completed_after_s) END AS completed_at
+FROM x
 WHERE completed_after_s IS NULL OR completed_after_s > limit_s
 """)

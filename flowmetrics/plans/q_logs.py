@@ -167,32 +167,35 @@ def _requests(b):
     p = N.file_previews(b.b_file_status)
     g = b.b_gates.select(F.col("gate_id").alias("request_id"), "run_id", "stage")
     return g.join(p, "run_id", "left").select(
-        "request_id", "stage", N.approval_message(F.col("stage")).alias("message"),
+        "request_id", "run_id", "stage", N.approval_message(F.col("stage")).alias("message"),
         "files_preview", "files_count", F.lit(None).cast("string").alias("diff_url"))
 
 
 @query("render_notifications", bindings=["b_gates", "b_file_status"], oracle=f"""
 WITH p AS ({PREVIEW_SQL}),
 r AS (SELECT g.gate_id AS request_id, g.stage, 'Stage ''' || g.stage || ''' complete. Review required.' AS message,
-             COALESCE(p.files_preview, CAST([] AS VARCHAR[])) AS fp, COALESCE(p.files_count, 0) AS fc
-      FROM b_gates g LEFT JOIN p ON g.run_id = p.run_id),
+             COALESCE(p.files_preview, CAST([] AS VARCHAR[])) AS fp, COALESCE(p.files_count, 0) AS fc,
+             COALESCE(w.names, CAST([] AS VARCHAR[])) AS names
+      FROM b_gates g LEFT JOIN p ON g.run_id = p.run_id
+      LEFT JOIN (SELECT run_id, list(DISTINCT path ORDER BY path) AS names FROM b_file_status GROUP BY run_id) w
+        ON g.run_id = w.run_id),
 t AS (SELECT *, array_to_string(list_transform(fp, lambda x: '- ' || x), chr(10))
                 || CASE WHEN fc > 10 THEN chr(10) || '... and ' || CAST(fc - 10 AS VARCHAR) || ' more' ELSE '' END AS plain,
                 array_to_string(list_transform(fp, lambda x: '  - ' || x), chr(10))
                 || CASE WHEN fc > 10 THEN chr(10) || '  ... and ' || CAST(fc - 10 AS VARCHAR) || ' more' ELSE '' END AS indented
       FROM r)
-SELECT request_id, 'console' AS channel,
+SELECT request_id, 'console' AS channel, CAST(0 AS INTEGER) AS part,
        '{N.SEPARATOR}' || chr(10) || 'NOTIFICATION: Stage ''' || stage || ''' requires attention' || chr(10)
        || 'Message: ' || message || chr(10) || 'Files changed: ' || CAST(fc AS VARCHAR)
        || CASE WHEN fc > 0 THEN chr(10) || indented ELSE '' END || chr(10) || '{N.SEPARATOR}' AS payload FROM t
 UNION ALL
-SELECT request_id, 'logging', 'Notification: stage=' || stage || ', message=' || message
+SELECT request_id, 'logging', 0, 'Notification: stage=' || stage || ', message=' || message
        || ', files_changed=' || CAST(fc AS VARCHAR) FROM t
 UNION ALL
-SELECT request_id, 'webhook', CAST(json_object('stage', stage, 'message', message, 'files_changed', fp,
+SELECT request_id, 'webhook', 0, CAST(json_object('stage', stage, 'message', message, 'files_changed', names,
        'diff_url', NULL) AS VARCHAR) FROM t
 UNION ALL
-SELECT request_id, 'slack', CAST(json_object('username', 'flowmetrics', 'blocks',
+SELECT request_id, 'slack', 0, CAST(json_object('username', 'flowmetrics', 'blocks',
        list_filter([json_object('type', 'header', 'text', json_object('type', 'plain_text',
                         'text', 'Stage ''' || stage || ''' requires attention')),
                     json_object('type', 'section', 'text', json_object('type', 'mrkdwn', 'text', message)),
@@ -202,7 +205,7 @@ SELECT request_id, 'slack', CAST(json_object('username', 'flowmetrics', 'blocks'
 """)
 def _render_notifications(b):
     """Approval notifications per gate rendered for four channels."""
-    return N.render_notifications(_requests(b))
+    return N.render_notifications(_requests(b), files=N.file_parts(b.b_file_status))
 
 
 ROUTE = ("CASE event_id % 6 WHEN 0 THEN 'console' WHEN 1 THEN 'logging' WHEN 2 THEN 'slack' "

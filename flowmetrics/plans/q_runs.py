@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .. import schemas as S
 from ..operators import aggregates as agg
+from ..operators import stages as ST
 from .registry import query
 
 SM = ["b_stage_metrics"]
@@ -192,10 +194,13 @@ def _stage_timeline(b):
     return W.stage_timeline(b.b_stage_metrics)
 
 
+RUN_TYPE = "CASE run_id % 4 WHEN 0 THEN 'llm-wrapper' WHEN 1 THEN 'api' WHEN 2 THEN 'frontend' END"
+
+
 @query("run_state", bindings=SM + ["b_snapshots"], oracle=f"""
 SELECT m.*, COALESCE(s.snapshots, 0) AS snapshots, s.last_snapshot,
-       CAST({len(stage_ordinals())} AS INTEGER) AS stages_planned,
-       CAST(m.distinct_stages AS VARCHAR) || '/{len(stage_ordinals())}' AS progress
+       CAST(p.n AS INTEGER) AS stages_planned,
+       CAST(p.k AS VARCHAR) || '/' || CAST(p.n AS VARCHAR) AS progress
 FROM (SELECT run_id, arg_max(stage, seq) AS current_stage,
              CAST(sum(tokens_used) AS BIGINT) AS total_tokens_used,
              CAST(sum(cost) AS DECIMAL(38,9)) AS total_cost,
@@ -205,10 +210,17 @@ FROM (SELECT run_id, arg_max(stage, seq) AS current_stage,
       FROM b_stage_metrics GROUP BY run_id) m
 LEFT JOIN (SELECT run_id, CAST(count(*) AS BIGINT) AS snapshots, arg_max(snapshot_id, ts) AS last_snapshot
            FROM b_snapshots GROUP BY run_id) s ON m.run_id = s.run_id
+JOIN (SELECT r.run_id, count(*) AS n, count(d.stage) AS k
+      FROM (SELECT DISTINCT run_id, COALESCE({RUN_TYPE}, 'llm-wrapper') AS wt FROM b_stage_metrics) r
+      JOIN {S.templates_sql()} t ON t.workflow_type = r.wt
+      LEFT JOIN (SELECT DISTINCT run_id, stage FROM b_stage_metrics) d ON d.run_id = r.run_id AND d.stage = t.name
+      GROUP BY r.run_id) p ON p.run_id = m.run_id
 """)
 def _run_state(b):
-    """Current run state with progress k/n (default workflow's plan)."""
-    return W.run_state(b.b_stage_metrics, b.b_snapshots, len(stage_ordinals()))
+    """Current run state with progress k/n against the run's own plan."""
+    runs = b.b_stage_metrics.select("run_id").distinct().select(
+        "run_id", F.expr(RUN_TYPE).alias("workflow_type"), F.lit("/p").alias("project_path"))
+    return W.run_state(b.b_stage_metrics, b.b_snapshots, ST.stage_plan(runs, S.templates_df(b.spark)))
 
 
 @query("stage_ranking", bindings=SM, oracle="""
@@ -329,8 +341,26 @@ FROM (SELECT * FROM b_stage_metrics WHERE NOT tests_pass) f
 ASOF LEFT JOIN b_snapshots s ON f.run_id = s.run_id AND f.ts >= s.ts
 """)
 def _rollback_targets(b):
-    """Backward as-of join of failures to snapshots."""
-    return J.rollback_targets(b.b_stage_metrics, b.b_snapshots)
+    """Backward as-of join of failures to snapshots, any stage."""
+    return J.rollback_targets(b.b_stage_metrics, b.b_snapshots, critical_only=False)
+
+
+# stage names that make critical and other stages fail
+ROTATED = ("CASE event_id % 4 WHEN 0 THEN 'core-implementation' WHEN 1 THEN 'streaming' WHEN 2 THEN 'documentation' "
+           "ELSE stage END")
+
+
+@query("rollback_targets_critical", bindings=SM + ["b_snapshots"], oracle=f"""
+SELECT f.run_id, f.seq, f.stage, f.ts AS failed_at, s.snapshot_id, s.ts AS snapshot_ts,
+       (epoch_us(f.ts) - epoch_us(s.ts)) // 1000 AS work_lost_ms
+FROM (SELECT run_id, seq, ts, {ROTATED} AS stage FROM b_stage_metrics WHERE NOT tests_pass) f
+ASOF LEFT JOIN b_snapshots s ON f.run_id = s.run_id AND f.ts >= s.ts
+WHERE f.stage IN (SELECT name FROM {S.templates_sql()} t WHERE critical_path AND workflow_type = 'llm-wrapper')
+""")
+def _rollback_targets_critical(b):
+    """J2, default form: only failures of critical stages roll back."""
+    m = b.b_stage_metrics.withColumn("stage", F.expr(ROTATED))
+    return J.rollback_targets(m, b.b_snapshots)
 
 
 @query("resolve_snapshots", bindings=["b_snapshots", "b_commits"], oracle=r"""

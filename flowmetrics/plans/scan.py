@@ -2,24 +2,20 @@
 
 A run (or session, issue, project) can be hot: assume one key holds a third
 of all rows.  A plain ``Window.partitionBy(run_id).orderBy(...)`` sends that
-whole key to one task.  The helpers here split each key into ordered
-*buckets* (a column that never decreases along the order, such as the hour of
-the timestamp or ``seq div 4096``):
-
-1. the frame aggregate is computed inside each ``(key, bucket)`` partition;
-2. one summary row per ``(key, bucket)`` is built by partial aggregation;
-3. a window over those few summary rows yields what every bucket inherits
-   from the buckets before (or after) it;
-4. an equi join on ``(key, bucket)`` (one summary row per bucket, so no pair
-   explosion) combines both parts.
-
-The result equals the plain window exactly, for sums, counts, max, min and
-"last / first non-null value by order" (carried as a struct whose leading
-fields are the order columns, so ``max`` picks the latest).
-
-``bucketed_range_join`` turns an interval join with an equality key into an
-equi join on ``(key, time bucket)`` so that a hot key never produces all pairs
-of its rows.
+whole key to one task.  ``prefix_scan`` counts the rows of each key first (one
+partial aggregation):
+
+* while no key has more than ``target_rows`` rows, the scan is the plain window
+  (one shuffle of the rows on the key);
+* otherwise each such key is cut into buckets of about ``target_rows`` rows at
+  *edges* drawn from its own order values (a sample by hash, so the edges are
+  the same however often they are computed); the frame aggregate runs inside
+  each ``(key, bucket)``, one summary row per bucket of the hot keys is carried
+  along the order, and both are merged.
+
+Edges are whole order tuples, so a burst of equal timestamps is split by the
+columns that follow, null order values sort first as in any window, and the
+result does not depend on where the edges fall.
 """
 
 from __future__ import annotations
@@ -30,9 +26,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.timecols import (epoch_seconds, hour_bucket, int_bucket,  # noqa: F401
-                              micros_between, time_bucket)
-
 _FRAMES = {
     "upto": (Window.unboundedPreceding, Window.currentRow),
     "before": (Window.unboundedPreceding, -1),
@@ -41,28 +34,51 @@ _FRAMES = {
 }
 _KINDS = ("sum", "count", "max", "min", "last", "first")
 
-_B = "_fm_bucket"
+#: rows of one key that one task may order by itself
+TARGET_ROWS = 4_000_000
+#: order values drawn per bucket of a hot key
+_DRAWS = 32
+_MOD = 1_000_000_000
 
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _merge(kind: str, local: Column, carry: Column) -> Column:
+def _agg(kind: str, c: Column) -> Column:
     if kind in ("sum", "count"):
-        return F.coalesce(local + carry, local, carry)
-    if kind in ("max", "last"):
-        return F.greatest(local, carry)
-    return F.least(local, carry)
-
-
-CARRY_GROUP = 1024
-_G = "_fm_group"
+        return F.sum(c)
+    return F.max(c) if kind in ("max", "last") else F.min(c)
 
 
-def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column | str,
-                aggs: Sequence[tuple], frame: str = "upto",
-                keep_bucket: str | None = None, carry_group: int | None = CARRY_GROUP) -> DataFrame:
+def _merge(kind: str, local: Column, carry: Column, dtype: T.DataType) -> Column:
+    if kind in ("sum", "count"):
+        if isinstance(dtype, T.DecimalType):
+            # the sum of two decimal(p, s) is decimal(p + 1, s): one digit is
+            # left free so that no scale is lost at the widest type
+            part = T.DecimalType(min(dtype.precision, 37), dtype.scale)
+            local, carry = local.cast(part), carry.cast(part)
+        return F.coalesce(local + carry, local, carry)
+    return F.greatest(local, carry) if kind in ("max", "last") else F.least(local, carry)
+
+
+def _edges(df: DataFrame, keys: list[str], order: Column, hot: DataFrame, target_rows: int) -> DataFrame:
+    """(_fm_key, _fm_edges): the sorted bucket edges of each hot key; about
+    rows / target_rows edges in all."""
+    key = F.struct(*keys)
+    parts = F.ceil(F.col("_fm_n") / F.lit(target_rows))
+    share = F.least(F.lit(1.0), F.lit(float(_DRAWS)) * parts / F.col("_fm_n"))
+    drawn = df.select(key.alias("_fm_key"), order.alias("_fm_o")).join(F.broadcast(hot), "_fm_key") \
+        .filter(F.pmod(F.xxhash64("_fm_key", "_fm_o"), F.lit(_MOD)) < share * F.lit(_MOD))
+    per = drawn.groupBy("_fm_key").agg(F.max(parts).cast("int").alias("_fm_parts"),
+                                       F.sort_array(F.collect_list("_fm_o")).alias("_fm_s"))
+    at = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_fm_parts") - 1, F.lit(1))),
+                     lambda i: F.get("_fm_s", F.floor(i * F.size("_fm_s") / F.col("_fm_parts")).cast("int")))
+    return per.select("_fm_key", F.array_distinct(at).alias("_fm_edges"))
+
+
+def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence, aggs: Sequence[tuple],
+                frame: str = "upto", target_rows: int = TARGET_ROWS) -> DataFrame:
     """Add one column per ``(name, kind, expr[, frame])`` holding the
     aggregate of ``expr`` over the ordered frame of the row's key.
 
@@ -71,34 +87,15 @@ def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Col
     ``from`` / ``after`` (this and later / strictly later rows).  ``kind``:
     ``sum``, ``count`` (of non-null), ``max``, ``min``, ``last`` / ``first``
     (value of the latest / earliest row in the frame where ``expr`` is not
-    null).  ``order`` must be a total order within a key, and ``bucket`` must
-    never decrease along it (``bucket`` may name an existing column).
-
-    Plan: one hash shuffle of the rows on ``(keys, bucket)`` for the local
-    windows (none when the input is already partitioned that way, e.g. by a
-    previous scan on the same bucket column); per-bucket totals by partial
-    aggregation on a column-pruned read of the input; a small shuffle of the
-    summary rows by key for the carry window; the join back on
-    ``(keys, bucket)`` with one summary row per bucket.  When the totals
-    depend on an earlier scan's output, cut the lineage first (see the
-    sticky gates) so the earlier scan is not recomputed per branch.
-
-    ``carry_group``: the carry-in of a bucket is itself split in two levels,
-    an in-group carry over the summary rows partitioned by
-    ``(keys, bucket div carry_group)`` plus the carry of whole groups per
-    key, so not even the per-bucket summaries of a hot key meet in one task
-    (buckets must be integers; ``None`` carries over all of a key's summary
-    rows in one window).
+    null).  ``order`` must be a total order within a key; null keys are one
+    key, null order values come first.
+
+    The counts are read when the plan is built; the hot keys and their edges
+    are broadcast, both at most rows / ``target_rows`` rows.
     """
     keys = list(keys)
     order_cols = [_c(o) for o in order]
-    if isinstance(bucket, str) and bucket in df.columns:
-        b_name, staged = bucket, df
-    else:
-        b_name = keep_bucket or _B
-        staged = df.withColumn(b_name, _c(bucket))
-
-    specs = []
+    staged, specs = df, []
     for i, a in enumerate(aggs):
         name, kind, expr = a[0], a[1], a[2]
         fr = a[3] if len(a) > 3 else frame
@@ -106,122 +103,67 @@ def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Col
             raise ValueError(f"unknown kind {kind}")
         if fr not in _FRAMES:
             raise ValueError(f"frame must be one of {sorted(_FRAMES)}")
-        tmp = f"_fm_in{i}"
         if kind in ("last", "first"):
             fields = [o.alias(f"o{j}") for j, o in enumerate(order_cols)] + [expr.alias("v")]
-            val = F.when(expr.isNotNull(), F.struct(*fields))
+            expr = F.when(expr.isNotNull(), F.struct(*fields))
         elif kind == "count":
-            val = F.when(expr.isNotNull(), F.lit(1).cast("bigint"))
-        else:
-            val = expr
-        staged = staged.withColumn(tmp, val)
-        specs.append((name, kind, F.col(tmp), fr))
-
-    def agg_fn(kind: str, c: Column) -> Column:
-        if kind in ("sum", "count"):
-            return F.sum(c)
-        if kind in ("max", "last"):
-            return F.max(c)
-        return F.min(c)
-
-    local = staged
-    for name, kind, c, fr in specs:
-        lo, hi = _FRAMES[fr]
-        w = Window.partitionBy(*keys, b_name).orderBy(*order_cols).rowsBetween(lo, hi)
-        local = local.withColumn(f"_fm_l_{name}", agg_fn(kind, c).over(w))
-
-    totals = staged.groupBy(*keys, b_name).agg(
-        *[agg_fn(kind, c).alias(f"_fm_t_{name}") for name, kind, c, _ in specs])
-
-    def frame_of(fr):
-        back = fr in ("upto", "before")
-        return (Window.unboundedPreceding, -1) if back else (1, Window.unboundedFollowing)
-
-    if carry_group:
-        totals = totals.withColumn(_G, F.floor(F.col(b_name) / F.lit(carry_group)).cast("bigint"))
-        inner_cols = []
-        for name, kind, _, fr in specs:
-            w = Window.partitionBy(*keys, _G).orderBy(b_name).rowsBetween(*frame_of(fr))
-            inner_cols.append(agg_fn(kind, F.col(f"_fm_t_{name}")).over(w).alias(f"_fm_i_{name}"))
-        inner = totals.select(*keys, b_name, _G, *inner_cols)
-        gtot = totals.groupBy(*keys, _G).agg(
-            *[agg_fn(kind, F.col(f"_fm_t_{name}")).alias(f"_fm_g_{name}")
-              for name, kind, _, _ in specs])
-        gcols = []
-        for name, kind, _, fr in specs:
-            w = Window.partitionBy(*keys).orderBy(_G).rowsBetween(*frame_of(fr))
-            gcols.append(agg_fn(kind, F.col(f"_fm_g_{name}")).over(w).alias(f"_fm_h_{name}"))
-        gcarry = gtot.select(*keys, _G, *gcols)
-        carry = inner.join(gcarry, keys + [_G], "left").select(
-            *keys, b_name, *[_merge(kind, F.col(f"_fm_i_{name}"), F.col(f"_fm_h_{name}"))
-                             .alias(f"_fm_c_{name}") for name, kind, _, _ in specs])
-    else:
-        carry_cols = []
-        for name, kind, _, fr in specs:
-            cw = Window.partitionBy(*keys).orderBy(b_name).rowsBetween(*frame_of(fr))
-            carry_cols.append(agg_fn(kind, F.col(f"_fm_t_{name}")).over(cw).alias(f"_fm_c_{name}"))
-        carry = totals.select(*keys, b_name, *carry_cols)
-
-    out = local.join(carry, on=keys + [b_name], how="left")
-    for name, kind, _, _ in specs:
-        merged = _merge(kind, F.col(f"_fm_l_{name}"), F.col(f"_fm_c_{name}"))
-        if kind in ("last", "first"):
-            merged = merged.getField("v")
-        out = out.withColumn(name, merged)
-    drop = ([_B] if b_name == _B else []) + [f"_fm_in{i}" for i in range(len(aggs))]
-    drop += [f"_fm_{p}_{n}" for n, *_ in specs for p in ("l", "c")]
-    return out.drop(*drop)
-
-
-def row_number_scan(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column | str,
-                    name: str = "seq", dtype: str = "bigint",
-                    keep_bucket: str | None = None) -> DataFrame:
+            expr = F.when(expr.isNotNull(), F.lit(1).cast("bigint"))
+        staged = staged.withColumn(f"_fm_in{i}", expr)
+        specs.append((name, kind, F.col(f"_fm_in{i}"), fr))
+    inputs = [f"_fm_in{i}" for i in range(len(specs))]
+
+    def frames(part: list[str], source: DataFrame, out: str) -> DataFrame:
+        for name, kind, c, fr in specs:
+            w = Window.partitionBy(*part).orderBy(*order_cols).rowsBetween(*_FRAMES[fr])
+            source = source.withColumn(out + name, _agg(kind, c).over(w))
+        return source
+
+    def finish(out: DataFrame, merged: dict[str, Column], drop: list[str]) -> DataFrame:
+        for name, kind, _, _ in specs:
+            value = merged[name]
+            out = out.withColumn(name, value.getField("v") if kind in ("last", "first") else value)
+        return out.drop(*inputs, *drop)
+
+    local = [f"_fm_l_{name}" for name, *_ in specs]
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_fm_n")).filter(F.col("_fm_n") > target_rows) \
+        .select(F.struct(*keys).alias("_fm_key"), "_fm_n")
+    if not hot.take(1):
+        plain = frames(keys, staged, "_fm_l_")
+        return finish(plain, {name: F.col(f"_fm_l_{name}") for name, *_ in specs}, local)
+
+    tuple_ = F.struct(*[o.alias(f"o{j}") for j, o in enumerate(order_cols)])
+    edges = F.broadcast(_edges(df, keys, tuple_, hot, target_rows))
+    staged = staged.withColumn("_fm_key", F.struct(*keys)).withColumn("_fm_o", tuple_).join(edges, "_fm_key", "left")
+    below = F.size(F.filter(F.col("_fm_edges"), lambda e: e < F.col("_fm_o")))
+    bucket = F.when(F.col("_fm_edges").isNull(), F.lit(0)).otherwise(below + 1)
+    # key and bucket in one struct: equal also where parts of the key are null
+    staged = staged.withColumn("_fm_part", F.struct(F.col("_fm_key").alias("k"), bucket.alias("b"))) \
+        .drop("_fm_key", "_fm_edges", "_fm_o")
+    rows = frames(["_fm_part"], staged, "_fm_l_")
+    totals = staged.filter(F.col("_fm_part.b") > 0).groupBy("_fm_part").agg(
+        *[_agg(kind, c).alias(f"_fm_t_{name}") for name, kind, c, _ in specs])
+    carry = totals.select(F.col("_fm_part").alias("_fm_p2"), *[
+        _agg(kind, F.col(f"_fm_t_{name}")).over(
+            Window.partitionBy("_fm_part.k").orderBy("_fm_part.b").rowsBetween(
+                *((Window.unboundedPreceding, -1) if fr in ("upto", "before") else (1, Window.unboundedFollowing))))
+        .alias(f"_fm_c_{name}") for name, kind, _, fr in specs])
+    out = rows.join(carry, F.col("_fm_part") == F.col("_fm_p2"), "left")
+    merged = {name: _merge(kind, F.col(f"_fm_l_{name}"), F.col(f"_fm_c_{name}"), rows.schema[f"_fm_l_{name}"].dataType)
+              for name, kind, _, _ in specs}
+    return finish(out, merged, [*local, *[f"_fm_c_{name}" for name, *_ in specs], "_fm_part", "_fm_p2"])
+
+
+def row_number_scan(df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "seq",
+                    dtype: str = "bigint", target_rows: int = TARGET_ROWS) -> DataFrame:
     """Skew-safe ``row_number() over (partition by keys order by order)``."""
-    return prefix_scan(df, keys, order, bucket, [(name, "count", F.lit(1))], "upto",
-                       keep_bucket=keep_bucket).withColumn(name, F.col(name).cast(dtype))
-
-
-def bucketed_range_join(left: DataFrame, right: DataFrame, key: str,
-                        left_ts: str, right_ts: str, width_s: int,
-                        lower_s: int = 0, upper_s: int | None = None,
-                        lower_inclusive: bool = True, how: str = "inner") -> DataFrame:
-    """Rows of ``right`` whose ``right_ts`` lies in
-    ``[left_ts + lower_s, left_ts + upper_s]`` (lower bound exclusive when
-    ``lower_inclusive`` is false), with equal ``key``.
-
-    Both sides get a bucket ``floor(epoch / width_s)``; each left row is
-    replicated to the few buckets its interval touches, so the join key is
-    ``(key, bucket)`` and a hot key only pairs rows that are close in time.
-    ``how`` is ``inner`` or ``left``.
-    """
-    upper_s = width_s if upper_s is None else upper_s
-    lt = dict(left.dtypes)
-    rt = dict(right.dtypes)
-    l_epoch = epoch_seconds(left_ts, T.TimestampType() if lt[left_ts] == "timestamp" else None)
-    r_epoch = epoch_seconds(right_ts, T.TimestampType() if rt[right_ts] == "timestamp" else None)
-    lb = F.floor((l_epoch + F.lit(lower_s)) / F.lit(width_s)).cast("bigint")
-    ub = F.floor((l_epoch + F.lit(upper_s)) / F.lit(width_s)).cast("bigint")
-    lx = left.withColumn("_fm_rb", F.explode(F.sequence(lb, ub)))
-    rx = right.withColumn("_fm_rb", F.floor(r_epoch / F.lit(width_s)).cast("bigint")) \
-              .withColumnRenamed(key, "_fm_rk")
-    lo_ts = F.col(left_ts) + F.make_dt_interval(secs=F.lit(lower_s))
-    hi_ts = F.col(left_ts) + F.make_dt_interval(secs=F.lit(upper_s))
-    lower_ok = (F.col(right_ts) >= lo_ts) if lower_inclusive else (F.col(right_ts) > lo_ts)
-    cond = ((F.col(key) == F.col("_fm_rk")) & (lx["_fm_rb"] == rx["_fm_rb"])
-            & lower_ok & (F.col(right_ts) <= hi_ts))
-    return lx.join(rx, cond, how).drop("_fm_rb", "_fm_rk")
+    return prefix_scan(df, keys, order, [(name, "count", F.lit(1))], "upto", target_rows) \
+        .withColumn(name, F.col(name).cast(dtype))
 
 
 def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, n: int,
-                  salt: Column, salt_buckets: int = 16, rank_name: str = "rank") -> DataFrame:
-    """First ``n`` rows per key by ``order`` (a total order), skew-safe:
-    a first pass keeps the top ``n`` of each ``(key, salt)`` slice, the
-    second ranks at most ``n * salt_buckets`` survivors per key."""
-    keys = list(keys)
-    order_cols = [_c(o) for o in order]
-    s = df.withColumn("_fm_salt", F.pmod(salt, F.lit(salt_buckets)))
-    w1 = Window.partitionBy(*keys, "_fm_salt").orderBy(*order_cols)
-    cand = s.withColumn("_fm_r1", F.row_number().over(w1)).filter(F.col("_fm_r1") <= n)
-    w2 = Window.partitionBy(*keys).orderBy(*order_cols)
-    return (cand.withColumn(rank_name, F.row_number().over(w2))
-                .filter(F.col(rank_name) <= n).drop("_fm_salt", "_fm_r1"))
+                  rank_name: str = "rank") -> DataFrame:
+    """First ``n`` rows per key by ``order`` (a total order).  Spark applies the
+    limit to each task's rows before the one shuffle, so a hot key sends at
+    most ``n`` rows per task."""
+    w = Window.partitionBy(*keys).orderBy(*[_c(o) for o in order])
+    return df.withColumn(rank_name, F.row_number().over(w)).filter(F.col(rank_name) <= n)

@@ -17,11 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .binding_sql import BINDING_SQL
-from .scan import time_bucket, int_bucket, row_number_scan
-
-# minute of ts, kept on per-run bindings so later per-run scans reuse the
-# (run_id, minute) partitioning instead of shuffling the facts again
-RUN_BUCKET = "run_minute"
+from .scan import row_number_scan
 
 SOURCE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -97,11 +93,10 @@ class Bindings:
                     WHEN event_type = 'error' AND event_id % 10 = 5
                       THEN 'Approval timeout for stage core-implementation' END AS error""",
             "ts")
-        out = row_number_scan(cols, ["run_id"], ["ts", "event_id"], time_bucket("ts"), "seq",
-                              keep_bucket=RUN_BUCKET)
+        out = row_number_scan(cols, ["run_id"], ["ts", "event_id"], "seq")
         return out.select("run_id", "seq", "event_id", "stage", "tokens_used", "cost",
                           "duration_ms", "files_modified", "lines_added", "lines_removed",
-                          "tests_pass", "error", "ts", RUN_BUCKET)
+                          "tests_pass", "error", "ts")
 
     def _build_b_executions(self) -> DataFrame:
         # lead() over consecutive turns == equi self-join on (conv_id, turn + 1)
@@ -122,8 +117,7 @@ class Bindings:
             "o_orderpriority = '5-LOW' AS raised",
             "CAST(round(o_totalprice) AS BIGINT) AS tokens_used",
             "CAST((o_orderkey % 600 + 1) * 1000 AS BIGINT) AS duration_ms")
-        o = row_number_scan(o, ["run_id"], ["o_orderkey"], int_bucket("o_orderkey", 1 << 16),
-                            "idx", "bigint")
+        o = row_number_scan(o, ["run_id"], ["o_orderkey"], "idx")
         return o.select("run_id", "o_orderkey", (F.col("idx") - 1).cast("int").alias("idx"),
                         "feature", "success", "raised", "tokens_used", "duration_ms")
 
@@ -133,11 +127,7 @@ class Bindings:
             "l_shipdate", "l_returnflag", "l_linestatus", "l_quantity")
         order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate",
                  "l_returnflag", "l_linestatus"]
-        # bucket (l_linenumber, l_partkey div 1024) never decreases along the
-        # order and splits one hot issue into many buckets
-        bucket = (F.col("l_linenumber").cast("bigint") * F.lit(10 ** 12)
-                  + F.floor(F.col("l_partkey") / F.lit(1024)).cast("bigint"))
-        li = row_number_scan(li, ["l_orderkey"], order, bucket, "iteration", "int")
+        li = row_number_scan(li, ["l_orderkey"], order, "iteration", "int")
         return li.selectExpr("l_orderkey AS issue_id", "iteration",
                              "l_returnflag = 'R' AS tests_pass",
                              "CAST(l_quantity AS BIGINT) * 100 AS tokens_used")
@@ -148,5 +138,5 @@ class Bindings:
             "CASE WHEN event_id % 29 = 0 THEN 'DONE' ELSE '/testing:generate-tests' END AS decision",
             "event_id % 31 <> 0 AS decision_ok",
             "event_type <> 'error' AS success")
-        ev = row_number_scan(ev, ["run_id"], ["ts", "event_id"], time_bucket("ts"), "step", "int")
+        ev = row_number_scan(ev, ["run_id"], ["ts", "event_id"], "step", "int")
         return ev.select("run_id", "step", "decision", "decision_ok", "success")

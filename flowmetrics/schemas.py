@@ -262,7 +262,7 @@ DEFAULT_WORKFLOW_TYPE = "llm-wrapper"
 STAGE_TEMPLATES = [
     ("llm-wrapper", 1, "scaffold",
      "Create a TypeScript LLM wrapper library with:\n- Support for OpenAI, Anthropic, and local models\n"
-     "- Type-safe interfaces\n- Streaming support\n- Error handling and retries\n- Cost tracking\n\n"
+     "- Type-safe interfaces\n- Streaming support\n- Error handling and retries\n- Cost tracking\n"
      "Setup project structure in {project_path}", False, True, False),
     ("llm-wrapper", 2, "core-implementation",
      "Implement core wrapper functionality:\n- Base LLMClient abstract class\n"

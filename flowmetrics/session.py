@@ -60,8 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder; it is read
-    from the session and never overridden.  Only when it is unset (local
-    tests) a folder under the system temp dir is created and set.
+    from the session and never overridden; unset it is an error.  Only a local
+    master gets a folder under the system temp dir.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -69,6 +69,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d.rstrip("/")
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         d = tempfile.mkdtemp(prefix="fm-ckpt-")
     sc.setCheckpointDir(d)
     return (sc.getCheckpointDir() or d).rstrip("/")
@@ -77,7 +79,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
-    return f"{base}/fm-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/fm-{name}-{uuid.uuid4().hex[:12]}"
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)  # removed when the application ends
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
 
 
 @contextmanager

@@ -26,26 +26,30 @@ def read_metrics(spark: SparkSession, path: str, run_id_from_path: bool = False,
                  extra: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
     """A1: ``(good, corrupt)`` rows of a metrics JSONL folder.
 
-    ``run_id_from_path``: take ``run_id`` from a ``run_id=<n>`` folder in the
-    file path (one folder per run; the record itself carries no run id).
-    The parsed frame is checkpointed to the shared checkpoint folder so the
-    corrupt-record split reads the files once and survives lost executors.
+    ``run_id_from_path``: take ``run_id`` from a ``run_id=<id>`` folder in the
+    file path (one folder per run; the record itself carries no run id); the
+    id stays a string, whatever its form.  Nothing runs here: the lines are
+    read as text and parsed with ``from_json``, each result is a filter over
+    that; land them as Parquet where both are wanted often.
     """
-    df = (spark.read.schema(metrics_schema(extra))
-          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-          .option("timestampNTZFormat", TS_FORMAT)
-          .json(path)
-          .withColumn("_source_file", F.col("_metadata.file_path")))
+    good, corrupt = _parsed(spark, path, metrics_schema(extra))
     if run_id_from_path:
-        df = df.withColumn("run_id", F.regexp_extract("_source_file", r"run_id=([0-9]+)", 1)
-                           .cast("bigint"))
-    df = df.checkpoint(eager=True)
-    good = df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    corrupt = df.filter(F.col(CORRUPT).isNotNull()).select(
-        F.col(CORRUPT).alias("line"), "_source_file")
+        good = good.withColumn("run_id", F.nullif(F.regexp_extract("_source_file", r"run_id=([^/]+)", 1), F.lit("")))
     return good, corrupt
 
 
+def _parsed(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Parsed JSON lines and, apart, the lines that do not parse."""
+    names = [f.name for f in schema.fields if f.name != CORRUPT]
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(
+        "value", F.col("_metadata.file_path").alias("_source_file"),
+        F.from_json("value", schema, {"columnNameOfCorruptRecord": CORRUPT, "timestampNTZFormat": TS_FORMAT,
+                                      "mode": "PERMISSIVE"}).alias("_j"))
+    bad = F.col("_j").isNull() | F.col(f"_j.{CORRUPT}").isNotNull()
+    good = lines.filter(~bad).select(*[F.col("_j")[n].alias(n) for n in names], "_source_file")
+    return good, lines.filter(bad).select(F.col("value").alias("line"), "_source_file")
+
+
 def write_metrics(df: DataFrame, path: str, extra_cols: tuple[str, ...] = ()) -> None:
     """A2: append one JSON object per row with the ten keys (nulls written as
     null).  ``timestamp`` may be given as ``ts``."""
@@ -70,16 +74,24 @@ SHAPE_KEYS = T.StructType([
     T.StructField("costBeforeFailure", T.DecimalType(18, 9)),
     T.StructField("stackTrace", T.StringType()), T.StructField("iteration", T.IntegerType()),
     T.StructField("issue", T.StringType()), T.StructField("feature", T.StringType()),
-    T.StructField("branch", T.StringType()), T.StructField("timestamp", T.TimestampNTZType()),
+    T.StructField("branch", T.StringType()), T.StructField("run_id", T.StringType()),
+    T.StructField("timestamp", T.StringType()),
 ])
 
 
-def read_metric_shapes(spark: SparkSession, path: str) -> DataFrame:
-    """Read mixed-shape metrics lines with the superset schema."""
-    return (spark.read.schema(T.StructType(list(SHAPE_KEYS.fields)
-                                           + [T.StructField(CORRUPT, T.StringType())]))
-            .option("columnNameOfCorruptRecord", CORRUPT)
-            .option("timestampNTZFormat", TS_FORMAT).json(path))
+def read_metric_shapes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(good, corrupt)`` rows of mixed-shape metrics lines, with the superset
+    schema; broken lines stay apart."""
+    return _parsed(spark, path, T.StructType(list(SHAPE_KEYS.fields) + [T.StructField(CORRUPT, T.StringType())]))
+
+
+def shape_time(c):
+    """Either dialect's timestamp as UTC wall-clock time: with a zone (``Z`` or
+    an offset) the instant's, without one as written."""
+    text = c.cast("string")
+    zoned = text.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$")
+    instant = F.to_utc_timestamp(text.try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")
+    return F.when(zoned, instant).otherwise(text.try_cast("timestamp_ntz"))
 
 
 def normalise_metrics(df: DataFrame) -> DataFrame:
@@ -105,7 +117,8 @@ def normalise_metrics(df: DataFrame) -> DataFrame:
         F.coalesce(col("lines_removed"), col("linesRemoved"), F.lit(0)).cast("bigint").alias("lines_removed"),
         F.coalesce(col("tests_pass"), col("testsPass"), col("testsPassing"), F.lit(True)).alias("tests_pass"),
         col("error").cast("string").alias("error"),
-        col("timestamp").alias("timestamp"))
+        shape_time(col("timestamp")).alias("timestamp"),
+        *([col("run_id").cast("string").alias("run_id")] if "run_id" in df.columns else []))
 
 
 def drop_duplicate_records(df: DataFrame, cols=None) -> DataFrame:

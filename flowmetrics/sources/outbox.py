@@ -1,19 +1,29 @@
 """Notification outbox (A6): rendered rows per channel written to a table;
 delivery is left to others.
 
-Idempotent on (row key, channel): duplicates are removed before the write,
-and rows land in ``batch_id=<b>/channel=<c>`` partitions written with dynamic
-partition overwrite, so re-running the same batch replaces exactly its own
-partitions and never touches other batches."""
+Idempotent on (row key, channel, part): duplicates are removed before the
+write, rows that another batch has written already are left out, and rows land
+in ``batch_id=<b>/channel=<c>`` partitions written with dynamic partition
+overwrite, so re-running the same batch replaces exactly its own partitions and
+never touches other batches."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def write_outbox(df: DataFrame, path: str, batch_id: int | str = 0, key: str = "request_id") -> None:
-    rows = df.dropDuplicates([key, "channel"]).withColumn("batch_id", F.lit(str(batch_id)))
+    ids = [key, "channel"] + (["part"] if "part" in df.columns else [])
+    rows = df.dropDuplicates(ids).withColumn("batch_id", F.lit(str(batch_id)))
+    try:
+        before = df.sparkSession.read.parquet(path)
+    except AnalysisException:  # nothing written yet
+        before = None
+    if before is not None:
+        others = before.filter(F.col("batch_id").cast("string") != str(batch_id)).select(*ids)
+        rows = rows.join(others, ids, "left_anti")
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("batch_id", "channel").parquet(path))
 

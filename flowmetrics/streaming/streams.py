@@ -102,10 +102,12 @@ def windowed_dashboard(stream: DataFrame, window: str = "1 hour",
 
 
 # -- S6 ---------------------------------------------------------------------
-def outbox_writer(path: str, previews: DataFrame | None = None, channels=None):
+def outbox_writer(path: str, previews: DataFrame | None = None, channels=None,
+                  files: DataFrame | None = None):
     """A ``foreachBatch`` function that renders gate openings (B11) and
     writes them to ``path/batch_id=<id>/channel=<c>`` (overwrite: a replayed
-    batch rewrites the same partitions, so each key is written once)."""
+    batch rewrites the same partitions, a key of an earlier batch is left out, so
+    each key is written once).  ``files``: all names in parts, for webhooks."""
     from ..sources.outbox import write_outbox
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -115,9 +117,9 @@ def outbox_writer(path: str, previews: DataFrame | None = None, channels=None):
         else:
             g = g.withColumn("files_preview", F.array().cast("array<string>")) \
                  .withColumn("files_count", F.lit(0).cast("bigint"))
-        req = g.select("request_id", "stage", N.approval_message(F.col("stage")).alias("message"),
+        req = g.select("request_id", "run_id", "stage", N.approval_message(F.col("stage")).alias("message"),
                        "files_preview", "files_count", F.lit(None).cast("string").alias("diff_url"))
-        write_outbox(N.render_notifications(req, channels), path, batch_id)
+        write_outbox(N.render_notifications(req, channels, files=files), path, batch_id)
 
     return run
 
@@ -130,12 +132,13 @@ def dedupe_stream(stream: DataFrame, watermark: str = "1 hour", cols=None) -> Da
 
 
 # -- S8 ---------------------------------------------------------------------
-def stuck_activities(scheduled: DataFrame, completed: DataFrame, max_limit_s: int = 900,
+def stuck_activities(scheduled: DataFrame, completed: DataFrame, max_limit_s: int,
                      watermark: str = "1 hour") -> DataFrame:
     """Scheduled activities with no completion inside their limit:
     stream-stream left outer join on activity id with an event-time bound,
     watermarks on both sides; unmatched rows are emitted once the watermark
-    passes their deadline.  ``scheduled``: activity_id, run_id, activity,
+    passes their deadline.  ``max_limit_s``: the largest limit that occurs, as
+    the activity dimension has it.  ``scheduled``: activity_id, run_id, activity,
     scheduled_at, limit_s; ``completed``: activity_id, completed_at."""
     s = scheduled.withWatermark("scheduled_at", watermark).alias("s")
     c = completed.withWatermark("completed_at", watermark) \

@@ -3,6 +3,7 @@ rendered notification text, and the sticky gates in batch and in a stream
 on a crafted run with overlapping gates and simultaneous signals."""
 
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -136,7 +137,7 @@ def test_activity_pairs_without_ids(spark):
 
 def test_run_id_from_path(spark, tmp_path):
     from flowmetrics.sources.metrics import read_metrics
-    for run in (11, 12):
+    for run in ("11", "run-1700000000000"):
         d = tmp_path / f"run_id={run}"
         d.mkdir()
         (d / "metrics.jsonl").write_text(
@@ -144,7 +145,7 @@ def test_run_id_from_path(spark, tmp_path):
             '"files_modified": 0, "lines_added": 0, "lines_removed": 0, "tests_pass": true, '
             '"error": null, "timestamp": "2024-01-14T12:00:00"}\n{broken\n')
     good, bad = read_metrics(spark, str(tmp_path), run_id_from_path=True)
-    assert sorted(r.run_id for r in good.select("run_id").collect()) == [11, 12]
+    assert sorted(r.run_id for r in good.select("run_id").collect()) == ["11", "run-1700000000000"]
     assert bad.count() == 2
 
 
@@ -178,3 +179,169 @@ def test_dashboard_drops_rows_behind_the_watermark(spark):
     rows = {h: rec for h, (_, rec) in latest.items()}
     assert rows[12] == 1          # the 12:00 row counted once; its late copy dropped
     assert rows[17] == 2          # the on-time row joined its window
+
+
+def test_python_number_rules_of_overrides(spark):
+    from flowmetrics import schemas as S
+    from flowmetrics.operators.cost import effective_settings
+    rows = [("0.7f", None), ("0.7d", 0.7), ("1_0.5", 10.5), ("1__0", None), (" 2. ", 2.0), (".5e1", 5.0), ("x", None)]
+    o = spark.createDataFrame([(i, "staging", None, t, "1_0") for i, (t, _) in enumerate(rows)],
+                              "run_id long, environment string, max_tokens string, temperature string, timeout string")
+    got = {r.run_id: r for r in effective_settings(o, S.env_presets_df(spark)).collect()}
+    preset = float({p[0]: p[2] for p in S.ENV_PRESETS}["staging"])
+    for i, (text, want) in enumerate(rows):
+        want = preset if text == "0.7d" or want is None else want
+        assert got[i].temperature == want, text
+        assert got[i].timeout_s == 10
+
+
+def test_malformed_run_ids_are_kept(spark):
+    from flowmetrics import schemas as S
+    from flowmetrics.operators.cost import decode_run_ids
+    df = spark.createDataFrame([("garbage",), ("",), (None,), ("x-99999999999999999999999",)], "workflow_id string")
+    got = decode_run_ids(df, S.run_id_prefixes_df(spark)).collect()
+    assert sum(r.runs for r in got) == 4 and all(r.workflow_type is None for r in got)
+
+
+def test_npm_empty_output_and_text_coverage(spark):
+    from flowmetrics.operators.logs import parse_test_logs
+    logs = spark.createDataFrame(
+        [(1, "npm", "", 1), (2, "npm", " ", 1),
+         (3, "npm", '{"success":true,"numTotalTests":5,"numPassedTests":5,"numFailedTests":0,'
+                    '"coverageMap":{"total":{"lines":{"pct":"Unknown"}}}}', 0)],
+        "run_id long, framework string, output string, return_code int")
+    got = {r.run_id: r for r in parse_test_logs(logs).collect()}
+    assert (got[1].total_tests, got[1].passed, got[1].failed, got[1].errors) == (0, 0, 1, [""])
+    assert (got[2].failed, got[2].errors) == (1, [" "])
+    assert (got[3].total_tests, got[3].passed, got[3].coverage) == (5, 5, None)
+
+
+def test_unknown_framework_falls_back_to_detection(spark):
+    from flowmetrics.operators.logs import parse_test_logs, with_detected
+    logs = spark.createDataFrame([(1, "p", None, "2 passed", 0), (2, "p", "mocha", "1 passed", 0), (3, "q", None, "", 0)],
+                                 "run_id long, project_id string, framework string, output string, return_code int")
+    found = spark.createDataFrame([("p", "pytest")], "project_id string, framework string")
+    got = {r.run_id: r for r in parse_test_logs(with_detected(logs, found)).collect()}
+    assert got[1].passed == 2 and got[2].passed == 1 and got[2].framework == "pytest"
+    assert got[3].errors == ["No supported test framework detected"]
+
+
+def test_missing_tool(spark):
+    from flowmetrics.operators.logs import parse_test_logs
+    logs = spark.createDataFrame([(1, "cargo", None, 1, True)],
+                                 "run_id long, framework string, output string, return_code int, tool_missing boolean")
+    r = parse_test_logs(logs).first()
+    assert (r.failed, r.errors) == (1, ["cargo not found"])
+
+
+def test_zero_cost_run_has_no_share(spark):
+    from flowmetrics.operators.windows import stage_ranking
+    m = spark.createDataFrame([(1, "a", Decimal(0), 1)], "run_id long, stage string, cost decimal(18,9), tokens_used long")
+    assert stage_ranking(m).first().cost_share is None
+
+
+def test_hourly_usage_keeps_hours(spark):
+    from flowmetrics.operators.windows import usage_trend
+    m = spark.createDataFrame([(T0 + timedelta(hours=i), 1, Decimal(0)) for i in range(3)],
+                              "ts timestamp_ntz, tokens_used long, cost decimal(18,9)")
+    assert usage_trend(m, "hour").count() == 3
+
+
+def test_webhook_carries_every_file_in_parts(spark):
+    import json
+    from flowmetrics.operators import notify as N
+    files = spark.createDataFrame([(1, f"f{i:02d}") for i in range(14)], "run_id long, path string")
+    req = spark.createDataFrame([(9, 1, "s", "m", ["f00"], 14, None), (8, 2, "s", "m", None, None, None)],
+                                "request_id long, run_id long, stage string, message string, "
+                                "files_preview array<string>, files_count long, diff_url string")
+    got = N.render_notifications(req, ["webhook"], files=N.file_parts(files, size=6)).collect()
+    parts = sorted((r.part, json.loads(r.payload)) for r in got if r.request_id == 9)
+    assert [p["part"] for _, p in parts] == [1, 2, 3] and parts[0][1]["parts"] == 3
+    assert sum((p["files_changed"] for _, p in parts), []) == [f"f{i:02d}" for i in range(14)]
+    assert json.loads([r for r in got if r.request_id == 8][0].payload)["files_changed"] == []
+
+
+def test_preview_with_another_length(spark):
+    from flowmetrics.operators import notify as N
+    files = spark.createDataFrame([(1, f"f{i}") for i in range(8)], "run_id long, path string")
+    p = N.file_previews(files, n=5).select(N.preview_text(F.col("files_preview"), F.col("files_count"), 5).alias("t"))
+    assert p.first().t.split("\n")[-1] == "... and 3 more"
+
+
+def test_outbox_is_idempotent_across_batches(spark, tmp_path):
+    from flowmetrics.sources.outbox import read_outbox, write_outbox
+    df = spark.createDataFrame([(1, "slack", "x"), (1, "slack", "x")], "request_id long, channel string, payload string")
+    for batch in (0, 1, 0):
+        write_outbox(df, str(tmp_path / "o"), batch)
+    assert read_outbox(spark, str(tmp_path / "o")).count() == 1
+
+
+def test_shapes_keep_broken_lines_apart_and_read_zones(spark, tmp_path):
+    from flowmetrics.sources.metrics import normalise_metrics, read_metric_shapes
+    (tmp_path / "m").write_text('{"feature":"f","branch":"b","testsPassing":true,"timestamp":"2024-01-14T12:34:56.789Z"}\n'
+                                '{"stage":"s","timestamp":"2024-01-14T12:34:56+02:00"}\n'
+                                '{"stage":"t","timestamp":"2024-01-14T12:34:56"}\n{broken\n')
+    good, bad = read_metric_shapes(spark, str(tmp_path / "m"))
+    got = {r.stage: r for r in normalise_metrics(good).collect()}
+    assert bad.count() == 1 and set(got) == {"feature-f", "s", "t"} and got["feature-f"].kind == "feature"
+    assert got["feature-f"].timestamp == datetime(2024, 1, 14, 12, 34, 56, 789000)
+    assert got["s"].timestamp == datetime(2024, 1, 14, 10, 34, 56)
+    assert got["t"].timestamp == datetime(2024, 1, 14, 12, 34, 56)
+
+
+def test_scaffold_prompt_text():
+    from flowmetrics.schemas import STAGE_TEMPLATES
+    text = [t[3] for t in STAGE_TEMPLATES if t[0] == "llm-wrapper" and t[2] == "scaffold"][0]
+    assert text.endswith("- Cost tracking\nSetup project structure in {project_path}")
+
+
+def test_plan_gives_complexity_and_budget(spark):
+    from flowmetrics import schemas as S
+    from flowmetrics.operators import cost as C
+    from flowmetrics.operators import stages as ST
+    runs = spark.createDataFrame([(1, "api", "/p")], "run_id long, workflow_type string, project_path string")
+    plan = C.plan_complexity(ST.stage_plan(runs, S.templates_df(spark))).withColumn("seq", F.col("ord"))
+    est = C.budget_estimate(plan, S.complexity_df(spark)).collect()
+    assert {r.complexity for r in est} <= {"high", "medium"} and len(est) == plan.count()
+    assert all(r.tokens_estimate == r.prompt_tokens * (9 if r.complexity == "high" else 5) for r in est)
+
+
+def test_registered_channel_is_rendered_and_routed(spark):
+    from flowmetrics.operators import notify as N
+    N.register_renderer("pager", lambda stage, message, preview, count, diff_url: stage)
+    try:
+        df = spark.createDataFrame([("pager",), ("fax",)], "configured_channel string")
+        assert sorted(r.channel for r in N.route_channels(df).collect()) == ["console", "pager"]
+        req = spark.createDataFrame([(1, "s", "m", None, None, None)], "request_id long, stage string, message string, "
+                                    "files_preview array<string>, files_count long, diff_url string")
+        assert "pager" in {r.channel for r in N.render_notifications(req).collect()}
+    finally:
+        del N.RENDERERS["pager"]
+
+
+def test_registered_dialect_is_used(spark):
+    from flowmetrics.operators.logs import parse_test_logs, register_dialect
+    from flowmetrics.functions import testlogs
+    register_dialect("Tap", testlogs.parse_pytest)
+    try:
+        logs = spark.createDataFrame([(1, "TAP", "3 passed", 0)], "run_id long, framework string, output string, return_code int")
+        assert parse_test_logs(logs).first().passed == 3
+    finally:
+        del testlogs.DIALECTS["tap"]
+
+
+def test_progress_against_the_runs_own_plan(spark):
+    from flowmetrics.operators.windows import run_state
+    m = spark.createDataFrame([(1, i + 1, s, 1, Decimal(0), True) for i, s in enumerate(["a", "b", "x"])],
+                              "run_id long, seq long, stage string, tokens_used long, cost decimal(18,9), tests_pass boolean")
+    snaps = spark.createDataFrame([], "run_id long, snapshot_id string, ts timestamp_ntz, event_id long")
+    plan = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c")], "run_id long, stage string")
+    assert run_state(m, snaps, plan).first().progress == "2/3"
+
+
+def test_only_critical_failures_roll_back_by_default(spark):
+    from flowmetrics.operators.joins import rollback_targets
+    m = spark.createDataFrame([(1, 1, "streaming", T0, 1, False), (1, 2, "documentation", T0, 2, False)],
+                              "run_id long, seq long, stage string, ts timestamp_ntz, event_id long, tests_pass boolean")
+    snaps = spark.createDataFrame([(1, "s", T0, 0)], "run_id long, snapshot_id string, ts timestamp_ntz, event_id long")
+    assert [r.stage for r in rollback_targets(m, snaps).collect()] == ["streaming"]

@@ -55,4 +55,4 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(E.registry.QUERIES) == set(E.registry.ORACLES)

@@ -24,8 +24,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import SparkSession, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from flowmetrics.operators import windows as W  # noqa: E402
-from flowmetrics.plans.scan import row_number_scan, time_bucket  # noqa: E402
+from flowmetrics.plans.scan import prefix_scan  # noqa: E402
 
 
 def skewed_metrics(spark: SparkSession, sf_dir: str):
@@ -39,9 +38,9 @@ def skewed_metrics(spark: SparkSession, sf_dir: str):
 
 
 def bucketed(m):
-    m = row_number_scan(m, ["run_id"], ["ts", "event_id"], time_bucket("ts"), "seq",
-                        keep_bucket=W.RUN_BUCKET)
-    return W.run_progress(m)
+    return prefix_scan(m, ["run_id"], ["ts", "event_id"], [
+        ("seq", "count", F.lit(1)), ("cum_tokens", "sum", F.col("tokens_used")), ("cum_cost", "sum", F.col("cost"))],
+        target_rows=2000)
 
 
 def plain(m):
