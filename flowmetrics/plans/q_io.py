@@ -13,12 +13,13 @@ from datetime import datetime
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.timecols import micros_between
 from ..session import scratch_path, session_conf
 from ..sources import events as EV
 from ..sources import metrics as MS
 from ..sources import outbox as OB
 from ..streaming import streams as SS
-from . import q_logs
+from . import q_costs, q_logs  # noqa: F401  (their oracles are used below)
 from ..schemas import activity_timeouts_sql
 from .registry import ORACLES, query
 from .tables import with_bindings
@@ -277,25 +278,76 @@ def _stream_dashboard(b):
     return _run(b, lambda: SS.windowed_dashboard(_stream(b), "1 hour", "2 hours"), "complete")
 
 
-@query("stream_dedupe", bindings=SM, oracle="""
-SELECT run_id, seq, event_id, stage, tokens_used, cost, ts FROM b_stage_metrics
-""")
-def _stream_dedupe(b):
-    """Exact duplicate lines (every row written twice) removed."""
-    r = _run(b, lambda: SS.dedupe_stream(_stream(b, copies=2), "1 hour"), "append")
-    return r.select("run_id", "seq", "event_id", "stage", "tokens_used", "cost", "ts")
+# five files in time order, one per micro-batch: the slice of a row by its time
+SLICES = 5
+SLICE_SQL = f"""CAST(least({SLICES} - 1, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM b_stage_metrics)) * {SLICES}
+    // ((SELECT max(epoch_us(ts)) - min(epoch_us(ts)) FROM b_stage_metrics) + 1)) AS INTEGER)"""
+
+
+def _sliced(b):
+    """b_stage_metrics with the slice of each row, and the seconds of a slice."""
+    m = b.b_stage_metrics
+    ends = m.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), micros_between(F.min("ts"), F.max("ts")).alias("us")).first()
+    us = F.timestamp_diff("MICROSECOND", F.lit(ends["lo"]).cast("timestamp_ntz"), F.col("ts"))
+    part = F.floor(us * SLICES / F.lit((ends["us"] or 0) + 1)).cast("int")
+    return m.withColumn("slice", F.least(F.lit(SLICES - 1), part)), (ends["us"] or 0) / SLICES / 1e6
+
 
+def _slice_stream(b, parts):
+    """A stream that reads one file per slice, in order, one per micro-batch."""
+    path = scratch_path(b.spark, "slices")
+    for i in range(SLICES):
+        parts(i).coalesce(1).write.mode("append").parquet(path)
+    schema = parts(0).schema
+    return SS.to_event_time(b.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
 
-@query("stream_budget_alerts", bindings=SM, oracle="""
-SELECT run_id, 'cooldown' AS alert FROM b_stage_metrics GROUP BY run_id HAVING sum(tokens_used) > 50000
-UNION ALL
-SELECT run_id, 'budget' AS alert FROM b_stage_metrics GROUP BY run_id
-HAVING sum(cost) > CAST(1.00 AS DECIMAL(18,9))
+
+@query("stream_dedupe", bindings=SM, oracle=f"""
+SELECT run_id, seq, event_id, stage, tokens_used, cost, ts,
+       event_id % 50 = 7 AND {SLICE_SQL} = 0 AS late FROM b_stage_metrics
+""")
+def _stream_dedupe(b):
+    """S7 over five batches in time order: copies in the same batch and in the
+    next one are removed, rows that come far too late land in the late table."""
+    m, width = _sliced(b)
+    m = m.select("run_id", "seq", "event_id", "stage", "tokens_used", "cost", "ts", "slice")
+    late = (F.col("event_id") % 50 == 7) & (F.col("slice") == 0)
+
+    def part(i):
+        own = m.filter((F.col("slice") == i) & ~late)
+        again = own.filter(F.col("event_id") % 3 == 0)
+        retried = m.filter((F.col("slice") == i - 1) & ~late & (F.col("event_id") % 3 == 1))
+        rows = own.union(again).union(retried)
+        return (rows.union(m.filter(late)) if i == SLICES - 1 else rows).drop("slice")
+
+    cols = ["run_id", "seq", "event_id", "stage", "tokens_used", "cost", "ts"]
+    out, late_out = scratch_path(b.spark, "dedupe"), scratch_path(b.spark, "dedupe-late")
+    with session_conf(b.spark, spark__sql__session__timeZone="UTC"):
+        SS.run_batches(_ntz(_slice_stream(b, part)), SS.dedupe_writer(out, late_out, int(2 * width) + 1, cols),
+                       scratch_path(b.spark, "dedupe-ckpt"))
+    return b.spark.read.parquet(out).select(*cols, F.lit(False).alias("late")).union(
+        b.spark.read.parquet(late_out).select(*cols, F.lit(True).alias("late")))
+
+
+@query("stream_budget_alerts", bindings=SM, oracle=f"""
+WITH s AS (SELECT run_id, {SLICE_SQL} AS slice, tokens_used, cost, ts FROM b_stage_metrics),
+g AS (SELECT run_id, slice, sum(tokens_used) AS t, sum(cost) AS c, max(ts) AS mt FROM s GROUP BY 1, 2),
+c AS (SELECT run_id, slice, sum(t) OVER w AS tokens, CAST(sum(c) OVER w AS DECIMAL(38,9)) AS cost, max(mt) OVER w AS mt
+      FROM g WINDOW w AS (PARTITION BY run_id ORDER BY slice)),
+x AS (SELECT run_id, slice, 'cooldown' AS alert, CAST(CAST(tokens AS BIGINT) AS VARCHAR) AS total, mt FROM c WHERE tokens > 50000
+      UNION ALL SELECT run_id, slice, 'budget', CAST(cost AS VARCHAR), mt FROM c WHERE cost > CAST(1.00 AS DECIMAL(18,9)))
+SELECT run_id, alert, arg_min(total, slice) AS total, min(mt) AS "at" FROM x GROUP BY run_id, alert
 """)
 def _stream_budget_alerts(b):
-    """One cooldown and one budget alert per run (stateful, unordered)."""
-    r = _run(b, lambda: SS.budget_alert_stream(_stream(b), 50000, "1.00"), "append")
-    return r.select("run_id", "alert")
+    """S4 over five batches in time order: one cooldown and one budget alert
+    per run, with the total and time of the batch that crossed."""
+    m, _ = _sliced(b)
+    out = scratch_path(b.spark, "alerts")
+    with session_conf(b.spark, spark__sql__session__timeZone="UTC"):
+        stream = _slice_stream(b, lambda i: m.filter(F.col("slice") == i).select("run_id", "tokens_used", "cost", "ts"))
+        SS.run_batches(_ntz(SS.running_totals(stream)), SS.alert_writer(out, 50000, "1.00"),
+                       scratch_path(b.spark, "alerts-ckpt"), "update")
+    return b.spark.read.parquet(out).select("run_id", "alert", "total", "at")
 
 
 @query("stream_approval_gates")

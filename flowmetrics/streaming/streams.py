@@ -2,17 +2,15 @@
 
 Event time must be TIMESTAMP for watermarks; bindings carry TIMESTAMP_NTZ,
 so streams cast ``ts`` to TIMESTAMP on the way in (``to_event_time``).
-Stateful Python (S3, S4) uses ``applyInPandasWithState`` per run; its state
-holds only running totals or the events newer than the watermark, never a
-whole run.
+Stateful Python (S3) uses ``applyInPandasWithState`` per run; its state holds the
+flag and the events newer than the watermark, never a whole run.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from decimal import Decimal
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -47,40 +45,56 @@ def live_run_state(stream: DataFrame) -> DataFrame:
 
 
 # -- S4 ---------------------------------------------------------------------
-ALERT_SCHEMA = "run_id bigint, alert string, total string, at timestamp"
-ALERT_STATE = "tokens bigint, cost_nanos bigint, token_alerted boolean, cost_alerted boolean"
+def running_totals(stream: DataFrame) -> DataFrame:
+    """Tokens, cost and latest time per run so far (update mode): partial
+    sums per task before the shuffle, one state row per run."""
+    return stream.groupBy("run_id").agg(
+        F.sum("tokens_used").cast("bigint").alias("tokens"), F.sum("cost").cast("decimal(38,9)").alias("cost"),
+        F.max("ts").alias("at"))
 
 
-def budget_alert_stream(stream: DataFrame, token_limit: int = COOLDOWN_TOKEN_LIMIT,
-                        cost_limit: str = "1.00") -> DataFrame:
-    """One alert per run and threshold when the running token total
-    exceeds ``token_limit`` (cooldown starts) or the running cost exceeds
-    ``cost_limit``.  Rows arrive unordered, so the alert fires on the running
-    total, not at a stage position.  Cost is kept exactly as nano-dollars."""
-    limit_nanos = int(Decimal(cost_limit) * 10**9)
+def alert_writer(path: str, token_limit: int = COOLDOWN_TOKEN_LIMIT, cost_limit: str = "1.00"):
+    """A ``foreachBatch`` function over :func:`running_totals` in update mode.
+    A run gets one ``cooldown`` alert when its tokens exceed ``token_limit`` and
+    one ``budget`` alert when its cost exceeds ``cost_limit``, with the total and
+    time of the micro-batch that crossed; alerts of other batches are left out
+    by an anti-join, a replayed batch overwrites its own."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        over = F.filter(F.array(
+            F.when(F.col("tokens") > token_limit, F.struct(
+                F.lit("cooldown").alias("alert"), F.col("tokens").cast("string").alias("total"))),
+            F.when(F.col("cost") > F.lit(cost_limit).cast("decimal(18,9)"), F.struct(
+                F.lit("budget").alias("alert"), F.col("cost").cast("string").alias("total")))),
+            lambda a: a.isNotNull())
+        rows = batch.select("run_id", F.explode(over).alias("a"), "at") \
+            .select("run_id", "a.alert", "a.total", "at").withColumn("batch_id", F.lit(batch_id))
+        before = written(batch.sparkSession, path)
+        if before is not None:
+            rows = rows.join(before.filter(F.col("batch_id") != batch_id).select("run_id", "alert"),
+                             ["run_id", "alert"], "left_anti")
+        write_batch(rows, path)
+
+    return run
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state):
-        tokens, nanos, ta, ca = state.get if state.exists else (0, 0, False, False)
-        last_ts = None
-        for pdf in pdfs:
-            tokens += int(pdf["tokens_used"].fillna(0).sum())
-            nanos += int(pdf["cost_nanos"].fillna(0).sum())
-            mx = pdf["ts"].max()
-            last_ts = mx if last_ts is None or mx > last_ts else last_ts
-        out = []
-        if not ta and tokens > token_limit:
-            ta = True
-            out.append((key[0], "cooldown", str(tokens), last_ts))
-        if not ca and nanos > limit_nanos:
-            ca = True
-            out.append((key[0], "budget", str(Decimal(nanos) / 10**9), last_ts))
-        state.update((tokens, nanos, ta, ca))
-        yield pd.DataFrame(out, columns=["run_id", "alert", "total", "at"])
-
-    # exact integer nano-dollars computed JVM-side, so pandas sums vectors
-    nanos_col = (F.col("cost") * F.lit(10 ** 9)).cast("bigint").alias("cost_nanos")
-    return stream.select("run_id", "tokens_used", nanos_col, "ts").groupBy("run_id") \
-        .applyInPandasWithState(fn, ALERT_SCHEMA, ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
+
+def written(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table under ``path``, or ``None`` before its first batch."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def write_batch(rows: DataFrame, path: str) -> None:
+    """Write rows with a ``batch_id`` so that a replay replaces them."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+
+def run_batches(stream: DataFrame, writer, checkpoint: str, mode: str = "append") -> None:
+    """Run a stream to the end of its input through a ``foreachBatch`` function."""
+    q = (stream.writeStream.outputMode(mode).foreachBatch(writer)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
 
 
 # -- S5 ---------------------------------------------------------------------
@@ -125,8 +139,41 @@ def outbox_writer(path: str, previews: DataFrame | None = None, channels=None,
 
 
 # -- S7 ---------------------------------------------------------------------
+def dedupe_writer(path: str, late_path: str, watermark_s: int, cols: list[str], ts: str = "ts"):
+    """S7 without silent loss: a ``foreachBatch`` function that writes each row
+    once to ``path`` and rows older than the watermark (the latest time of all
+    earlier batches less ``watermark_s``) to ``late_path``, so emitted and late
+    rows together are the whole input.  A row is compared with its own batch
+    and with the part of ``path`` that lies above the watermark; the latest time
+    per batch is kept beside it, one row a batch."""
+    seen_path = f"{path.rstrip('/')}-seen"
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen, before = written(spark, seen_path), written(spark, path)
+        last = None
+        if seen is not None:
+            last = seen.filter(F.col("batch_id") < batch_id).agg(F.max("latest").alias("m")).first()["m"]
+        rows = batch.select(*cols)
+        if last is not None:
+            line = F.timestamp_add("SECOND", F.lit(-watermark_s), F.lit(last))
+            old = F.coalesce(F.col(ts) < line, F.lit(False))
+            write_batch(rows.filter(old).withColumn("batch_id", F.lit(batch_id)), late_path)
+            rows = rows.filter(~old)
+            if before is not None:
+                near = before.filter((F.col("batch_id") < batch_id) & (F.col(ts).isNull() | (F.col(ts) >= line)))
+                rows = rows.join(
+                    near.select(F.struct(*cols).alias("__old")), F.struct(*cols) == F.col("__old"), "left_anti")
+        write_batch(rows.dropDuplicates().withColumn("batch_id", F.lit(batch_id)), path)
+        write_batch(batch.agg(F.max(ts).alias("latest")).withColumn("batch_id", F.lit(batch_id)), seen_path)
+
+    return run
+
+
 def dedupe_stream(stream: DataFrame, watermark: str = "1 hour", cols=None) -> DataFrame:
-    """Drop exact duplicate lines (a retried append) within the watermark."""
+    """Drop exact duplicate lines (a retried append) within the watermark.
+    Spark drops rows older than the watermark without a trace; where they must
+    not be lost, use :func:`dedupe_writer`."""
     cols = cols or stream.columns
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(list(cols))
 
@@ -237,6 +284,12 @@ def _gate_machine(timeout_s: int):
             while st["pending"] and wm_ts is not None and st["pending"][0][3] + lim < wm_ts \
                     and not (buf and buf[0][0] <= st["pending"][0][3] + lim):
                 _timeout(st, out)
+        if not st["failed"] and st["flag"] is None and not st["pending"] and not buf:
+            # as good as a run never seen: nothing to keep
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame(out, columns=["gate_id", "run_id", "stage", "opened_at", "outcome", "decided_at"])
+            return
         state.update((
             "failed" if st["failed"] else "open", st["flag"], st["failed"],
             json.dumps([(a, b, c, str(d)) for a, b, c, d in st["pending"]]),
