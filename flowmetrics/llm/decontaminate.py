@@ -61,7 +61,8 @@ def hits(documents: DataFrame, benchmark: DataFrame, n: int = N_WORDS,
     # bounded: one row per window length, n at most
     sizes = {r["k"]: r["c"] for r in grams.groupBy("k").agg(F.count(F.lit(1)).alias("c")).collect()}
     grams = grams.select(F.col("h").alias("g_h"), "gram")
-    if sum(sizes.values()) <= broadcast_windows:
+    small = sum(sizes.values()) <= broadcast_windows
+    if small:
         grams = F.broadcast(grams)
     words = documents.select("doc_id", F.xxhash64("text").alias("text_hash"),
                              words_of(F.col("text")).alias("w"))
@@ -72,10 +73,16 @@ def hits(documents: DataFrame, benchmark: DataFrame, n: int = N_WORDS,
     probe = (words.select("doc_id", "text_hash", "w", every.alias("win"))
              .select("doc_id", "text_hash", "w", F.explode_outer("win").alias("x"))
              .select("doc_id", "text_hash", "w", "x.pos", "x.k", "x.h"))
-    # the words are compared for rows whose hash was found only: as
-    # array_position, so that Spark does not take the slice for a join key
-    same = F.array_position(F.array(F.slice(F.col("w"), F.col("pos"), F.col("k"))), F.col("gram"))
-    found = probe.join(grams, (F.col("h") == F.col("g_h")) & (same == 1))
+    own = F.slice(F.col("w"), F.col("pos"), F.col("k"))
+    if small:
+        # the words are compared for rows whose hash was found only: as
+        # array_position, so that Spark does not take the slice for a join key
+        same = F.array_position(F.array(own), F.col("gram")) == 1
+        found = probe.join(grams, (F.col("h") == F.col("g_h")) & same)
+    else:
+        # rows are shuffled here, so each carries its own window, not the text
+        probe = probe.filter(F.col("h").isNotNull()).select("doc_id", "text_hash", "pos", "k", "h", own.alias("own"))
+        found = probe.join(grams, (F.col("h") == F.col("g_h")) & (F.col("own") == F.col("gram")))
     return found.select("doc_id", "text_hash", "pos", "k", "h", "gram")
 
 
