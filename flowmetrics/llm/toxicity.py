@@ -6,7 +6,7 @@ share of toxic rows among the labelled ones of the training fold.  Features
 are the words of a text and their first 4, 5 and 6 bytes, as 64-bit hashes,
 present or not over the whole text; up to ``N_FEATURES`` are kept for which
 ``prior * share in P / share in U``, an estimate of the share of toxic texts
-among those with the feature, is at least a half.  A logistic model minimises
+among those with the feature, is at least ``PRECISION``.  A logistic model minimises
 ``prior * R_P(+) + max(0, R_U(-) - prior * R_P(-))``; where the second term
 falls below zero its gradient is reversed, as the non-negative estimator asks.
 
@@ -32,6 +32,8 @@ N_POSITIVE = 4000
 N_UNLABELLED = 8000
 N_FEATURES = 1024
 THRESHOLD = 0.3
+#: least estimated share of toxic texts among those with a feature
+PRECISION = 0.7
 PREFIXES = (4, 5, 6)
 
 _WORD = np.zeros(256, bool)
@@ -154,7 +156,7 @@ def train(documents: DataFrame, labels: DataFrame, held_value: int = 2, mod: int
     least = max(4, int(0.01 * n_p)) if n_p >= 10 else 1
     rate_p, rate_u = F.col("p") / n_p, (F.coalesce(F.col("u"), F.lit(0)) + 0.5) / n_u
     best = p.filter(F.col("p") >= least).join(u, "h", "left") \
-        .filter(F.lit(prior) * rate_p >= 0.5 * rate_u) \
+        .filter(F.lit(prior) * rate_p >= PRECISION * rate_u) \
         .select("h", (rate_p * F.log(rate_p / rate_u)).alias("gain")) \
         .orderBy(F.desc("gain"), "h").limit(N_FEATURES).collect()
     if not best:
