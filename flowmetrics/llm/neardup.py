@@ -13,14 +13,14 @@ best alignment that keeps their order.
    the border both, so a linked pair shares a sketch with a probability of
    0.9999 at 0.8 and practically 1 above.
 3. Within each bucket of equal sketches every text is paired with the one of
-   smallest id (a star, not all pairs); pairs are verified by alignment within
-   the band that the similarity allows; linked texts are joined by repeated
-   minimum labels.
+   smallest id and with one drawn by hash (stars, not all pairs); pairs whose
+   64 single minima disagree too much are skipped (one at 0.8 is kept with a
+   probability of 0.9998), the others verified by alignment within the band that
+   the similarity allows; linked texts are joined by repeated minimum labels.
 4. Texts that share a bucket but are not yet joined are compared again: in
    buckets of up to ``FULL`` texts with every other text, in larger ones with
    ``HUBS`` texts drawn by hash, and within the finer buckets made by further
-   minimum labels; pairs whose 64 single minima disagree too much are skipped
-   (a pair at 0.8 is kept with a probability above 0.99999).
+   minimum labels.
 
 Alignment: the labels of a text are unique, so the best order-keeping match is
 a longest increasing run of positions; only positions within the band
@@ -50,12 +50,18 @@ SHORT = 64
 #: (labels in a sketch, sketches) below and from SHORT shingles
 SKETCHES = ((3, 24), (6, 32))
 SINGLES = 64
-#: equal single minima that a pair must have to be verified in step 4
-LEAST_EQUAL = 36
+#: equal single minima that a pair must have to be verified
+LEAST_EQUAL = 40
+DRAWS = 8
 FULL = 16
-HUBS = 3
-REFINE = 3
+HUBS = 2
+REFINE = 1
 ROUNDS = 60
+#: broadcast a join side up to so many labels (16 bytes), texts' minima (300
+#: bytes) or signs of text; larger ones are shuffled
+FEW_LABELS = 200_000
+FEW_MINIMA = 20_000
+FEW_SIGNS = 8_000_000
 
 
 def shingle_labels(words: np.ndarray) -> np.ndarray:
@@ -192,11 +198,17 @@ def _sketch_table(documents: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, fp binary, n int, keys array<long>, minima array<int>")
 
 
-def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def _side(df: DataFrame, rows: int, bound: int) -> DataFrame:
+    """A join side of known size: broadcast up to ``bound`` rows, else shuffled."""
+    return F.broadcast(df) if rows <= bound else df
+
+
+def _likely(pairs: DataFrame, reps: DataFrame, rows: int) -> DataFrame:
     """The (a, b) pairs whose lengths allow a link and whose single minima
     agree often enough."""
     def side(x):
-        return reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("minima").alias(f"m{x}"))
+        return _side(reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("minima").alias(f"m{x}")),
+                     rows, FEW_MINIMA)
 
     both = pairs.join(side("a"), "a").join(side("b"), "b") \
         .filter(F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")).select("a", "b", "ma", "mb")
@@ -210,10 +222,11 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The linked ones of distinct (a, b) pairs of representatives."""
+def _verify(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """The linked ones of distinct (a, b) pairs of representatives; ``size``:
+    signs of all texts."""
     def side(x):
-        return texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
+        return _side(texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")), size, FEW_SIGNS)
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
 
@@ -241,15 +254,16 @@ def components(edges: DataFrame) -> DataFrame:
                   .union(edges.select(F.col("b").alias("id"), F.col("a").alias("to"))).distinct(), "edges")
     label = staged(both.groupBy("id").agg(F.min("to").alias("low"))
                    .select("id", F.least("low", "id").alias("comp")), "labels")
+    n = label.count()
     for _ in range(ROUNDS):
-        of = label.select(F.col("id").alias("to"), F.col("comp").alias("near"))
+        of = _side(label.select(F.col("id").alias("to"), F.col("comp").alias("near")), n, FEW_LABELS)
         low = both.join(of, "to").groupBy("id").agg(F.min("near").alias("low"))
-        one = label.join(low, "id").select("id", "comp", F.least("comp", "low").alias("new"))
-        jump = label.select(F.col("id").alias("new"), F.col("comp").alias("next"))
+        one = low.join(_side(label, n, FEW_LABELS), "id").select("id", "comp", F.least("comp", "low").alias("new"))
+        jump = _side(label.select(F.col("id").alias("new"), F.col("comp").alias("next")), n, FEW_LABELS)
         nxt = staged(one.join(jump, "new").select(
             "id", F.least("new", "next").alias("comp"), F.col("comp").alias("was")), "labels")
         label = nxt.select("id", "comp")
-        if not nxt.filter(F.col("comp") != F.col("was")).take(1):
+        if not nxt.filter(F.col("comp") != F.col("was")).count():
             return label
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
 
@@ -284,32 +298,42 @@ def classes(documents: DataFrame) -> DataFrame:
     first = staged(live.groupBy("fp").agg(F.min("doc_id").alias("id")), "texts")
     reps = live.join(first.withColumnRenamed("fp", "fp_"), (F.col("doc_id") == F.col("id")) & (F.col("fp") == F.col("fp_"))) \
         .select("id", "n", "keys", "minima")
-    if live.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).take(1):
-        reps = reps.dropDuplicates(["id"])  # repeated rows
+    several = _several(live)
+    if several:
+        reps = reps.dropDuplicates(["id"])  # rows of one id are one document
     members = reps.select("id", F.explode("keys").alias("key"))
-    hubs = members.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
-    shared = staged(members.join(hubs, "key").select("key", "id", "hub"), "buckets")
-    some = shared.select("id").distinct()
+    # two hubs a bucket: the smallest id, and one drawn by hash; buckets of one
+    # draw group that share many texts mostly agree on it
+    drawn = F.min(F.struct(F.xxhash64("id", F.pmod("key", F.lit(DRAWS))).alias("d"), "id"))
+    hubs = members.groupBy("key").agg(F.min("id").alias("hub"), drawn.alias("d"), F.count(F.lit(1)).alias("size")) \
+        .filter(F.col("size") > 1).select("key", "hub", F.col("d.id").alias("hub2"))
+    shared = staged(members.join(hubs, "key").select("key", "id", "hub", "hub2"), "buckets")
+    some = staged(shared.select("id").distinct(), "ids")
+    n_some = some.count()
+    some = _side(some, n_some, FEW_LABELS)
     small = staged(reps.select("id", "n", "minima").join(some, "id"), "minima")
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    # the text of a representative; an id of several texts keeps the row that is one
-    texts = staged(texts.join(some, "id").dropDuplicates(["id"]) if _several(live) else texts.join(some, "id"), "some")
+    texts = texts.join(some, "id")
+    texts = staged(texts.dropDuplicates(["id"]) if several else texts, "some")
+    size = texts.agg(F.sum(F.length("text")).alias("s")).first()["s"] or 0
 
-    star = shared.filter(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    edges = staged(_verify(_likely(star, small), texts), "links")
+    star = shared.select("id", F.explode(F.array("hub", "hub2")).alias("to")).filter(F.col("id") != F.col("to")) \
+        .select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
+    edges = staged(_verify(_likely(star, small, n_some), texts, size), "links")
     comp = components(edges)
     # texts that share a bucket but no component yet
+    comp = _side(comp, n_some, FEW_LABELS)
     held = shared.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
         .filter(F.col("lo") < F.col("hi")).select("key")
     held = staged(held.join(mixed, "key"), "mixed")
-    finer = held.join(small.select("id", "minima"), "id").select(
+    finer = held.join(_side(small.select("id", "minima"), n_some, FEW_MINIMA), "id").select(
         F.explode(F.array(*[F.xxhash64("key", F.lit(t), F.get("minima", F.pmod(F.col("key") + 17 * t, F.lit(SINGLES)).cast("int")))
                             for t in range(REFINE)])).alias("key"), "id", "comp")
     again = _bucket_pairs(held).union(_bucket_pairs(finer)).filter(F.col("a_comp") != F.col("b_comp")) \
         .select("a", "b").distinct()
-    more = staged(_verify(_likely(again, small), texts), "links")
-    if more.take(1):
+    more = staged(_verify(_likely(again, small, n_some), texts, size), "links")
+    if more.count():
         comp = components(edges.union(more))
     cls = staged(first.join(comp, "id", "left").select("fp", F.coalesce("comp", "id").alias("class_id")), "classes")
     known = rows.select("doc_id", "fp").join(cls, "fp", "left")
@@ -318,7 +342,8 @@ def classes(documents: DataFrame) -> DataFrame:
 
 def _several(live: DataFrame) -> bool:
     """Whether any id stands on several rows."""
-    return bool(live.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).take(1))
+    most = live.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("m")).first()["m"]
+    return (most or 0) > 1
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
