@@ -15,12 +15,13 @@ best alignment that keeps their order.
 3. Within each bucket of equal sketches every text is paired with the one of
    smallest id and with one drawn by hash (stars, not all pairs); pairs whose
    64 single minima disagree too much are skipped (one at 0.8 is kept with a
-   probability of 0.9998), the others verified by alignment within the band that
-   the similarity allows; linked texts are joined by repeated minimum labels.
-4. Texts that share a bucket but are not yet joined are compared again: in
-   buckets of up to ``FULL`` texts with every other text, in larger ones with
-   ``HUBS`` texts drawn by hash, and within the finer buckets made by further
-   minimum labels.
+   probability above 0.99999), the others verified by alignment within the band
+   that the similarity allows; linked texts are joined by repeated minimum labels.
+4. All pairs of texts that share a bucket but are not yet joined are compared:
+   in buckets of up to ``FULL`` texts as rows of pairs, in larger ones in pairs of
+   blocks, one group each, where only the links found become rows.  A pair of
+   texts is compared in the first bucket that both have; texts of the component
+   that most of a bucket belongs to meet the other texts only.
 
 Alignment: the labels of a text are unique, so the best order-keeping match is
 a longest increasing run of positions; only positions within the band
@@ -51,11 +52,12 @@ SHORT = 64
 SKETCHES = ((3, 24), (6, 32))
 SINGLES = 64
 #: equal single minima that a pair must have to be verified
-LEAST_EQUAL = 40
+LEAST_EQUAL = 36
 DRAWS = 8
+#: buckets of more texts are compared in blocks of about so many texts or labels
 FULL = 16
-HUBS = 2
-REFINE = 1
+BLOCK = 256
+BLOCK_LABELS = 200_000
 ROUNDS = 60
 #: broadcast a join side up to so many labels (16 bytes), texts' minima (300
 #: bytes) or signs of text; larger ones are shuffled
@@ -268,27 +270,88 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
 
 
-def _bucket_pairs(members: DataFrame) -> DataFrame:
-    """(a, b, a_comp, b_comp), a < b, of members (key, id, comp) of a bucket:
-    all pairs up to FULL texts, beyond that each text with HUBS texts drawn by
-    hash."""
-    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
-    m = members.join(size, "key")
-    small, large = m.filter(F.col("size") <= FULL), m.filter(F.col("size") > FULL)
+def _small_pairs(held: DataFrame) -> DataFrame:
+    """(a, b), a < b, of all members (key, id, comp) of a bucket that are of
+    different components."""
+    def named(x):
+        return held.select("key", F.col("id").alias(x), F.col("comp").alias(f"{x}_comp"))
+
+    return named("a").join(named("b"), "key").filter((F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp"))) \
+        .select("a", "b").distinct()
+
+
+def _aligned(keys) -> np.ndarray:
+    """Bucket keys of each text, one column a sketch; 0 where it has none."""
+    (_, few), (_, many) = SKETCHES
+    out = np.zeros((len(keys), few + many), np.int64)
+    for i, k in enumerate(keys):
+        k = np.asarray(k.values)
+        out[i, few if len(k) == many else 0:][:len(k)] = k
+    return out
 
-    def named(df, x):
-        return df.select("key", F.col("id").alias(x), F.col("comp").alias(f"{x}_comp"))
 
-    within = named(small, "a").join(named(small, "b"), "key").filter(F.col("a") < F.col("b"))
-    drawn = F.xxhash64("key", "id")
-    hub = [F.min(F.when(F.pmod(drawn, F.lit(HUBS)) == h, F.struct(drawn.alias("d"), "id", "comp")))
-           for h in range(HUBS)]
-    hubs = large.groupBy("key").agg(F.array(*hub).alias("h")) \
-        .select("key", F.explode_outer("h").alias("h")).filter(F.col("h").isNotNull()) \
-        .select("key", F.col("h.id").alias("b"), F.col("h.comp").alias("b_comp"))
-    star = named(large, "a").join(hubs, "key").filter(F.col("a") != F.col("b"))
-    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "a_comp", "b_comp")
-    return within.select("a", "b", "a_comp", "b_comp").union(star)
+def _block_links(group: pa.Table) -> pa.Table:
+    """Links that join components, of all pairs of texts between the two blocks
+    of a group (within the block, if it is one)."""
+    group = group.combine_chunks()
+    block = group["block"].to_numpy()
+    ids, comp, n = (group[c].to_numpy() for c in ("id", "comp", "n"))
+    minima = np.array([m.values.to_numpy() for m in group["minima"]])
+    keys = _aligned(group["keys"])
+    at = int(np.flatnonzero(keys[0] == group["key"][0].as_py())[0])
+    left = np.flatnonzero(block == block.min())
+    right = np.flatnonzero(block == block.max())
+    equal = np.zeros((len(left), len(right)), np.uint8)
+    for j in range(SINGLES):
+        equal += minima[left, j][:, None] == minima[right, j][None, :]
+    na, nb = n[left][:, None], n[right][None, :]
+    ok = (equal >= LEAST_EQUAL) & (comp[left][:, None] != comp[right][None, :]) \
+        & (np.minimum(na, nb) >= SIMILARITY * np.maximum(na, nb))
+    for j in range(at):  # compared in an earlier bucket
+        x, y = keys[left, j][:, None], keys[right, j][None, :]
+        ok &= (x != y) | (x == 0)
+    parent = {c: c for c in comp.tolist()}
+
+    def top(c):
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    texts, labels, out = group["text"], {}, []
+
+    def of(i):
+        if i not in labels:
+            labels[i] = next(_labels_of(texts.slice(i, 1).combine_chunks()))[1]
+        return labels[i]
+
+    for x, y in zip(*(z.tolist() for z in np.nonzero(ok))):
+        x, y = int(left[x]), int(right[y])
+        p, q = top(int(comp[x])), top(int(comp[y]))
+        if p != q and linked(of(x), of(y)):
+            parent[p] = q
+            out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+    return pa.table({c: pa.array([o[i] for o in out], pa.int64()) for i, c in enumerate(("a", "b"))})
+
+
+def _large_links(held: DataFrame, small: DataFrame, texts: DataFrame, rows: int, size: int) -> DataFrame:
+    """The links between components of the large buckets' members (key, id,
+    comp, main, n, m_main, m_rest, l_main, l_rest: the largest component, and
+    texts and labels in it and outside)."""
+    def blocks(x):
+        return F.greatest(F.ceil(F.col(f"m_{x}") / BLOCK), F.ceil(F.col(f"l_{x}") / BLOCK_LABELS))
+
+    in_main = F.col("comp") == F.col("main")
+    salt = F.xxhash64("id", "key")
+    m = held.withColumn("n_rest", blocks("rest")).withColumn("n_main", blocks("main")) \
+        .withColumn("block", F.when(in_main, F.col("n_rest") + F.pmod(salt, F.col("n_main")))
+                    .otherwise(F.pmod(salt, F.col("n_rest")))) \
+        .withColumn("width", F.col("n_rest") + F.when(in_main, 0).otherwise(F.col("n_main")))
+    # each text once for every block that its own meets
+    m = m.select("key", "id", "comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width") - 1)).alias("other")) \
+        .select("key", "id", "comp", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    m = m.join(_side(small, rows, FEW_MINIMA), "id").join(_side(texts, size, FEW_SIGNS), "id")
+    return m.select("key", "p", "q", "block", "id", "comp", "n", "minima", "keys", "text") \
+        .groupBy("key", "p", "q").applyInArrow(_block_links, "a long, b long").distinct()
 
 
 def classes(documents: DataFrame) -> DataFrame:
@@ -311,7 +374,7 @@ def classes(documents: DataFrame) -> DataFrame:
     some = staged(shared.select("id").distinct(), "ids")
     n_some = some.count()
     some = _side(some, n_some, FEW_LABELS)
-    small = staged(reps.select("id", "n", "minima").join(some, "id"), "minima")
+    small = staged(reps.select("id", "n", "minima", "keys").join(some, "id"), "minima")
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(some, "id")
     texts = staged(texts.dropDuplicates(["id"]) if several else texts, "some")
@@ -324,15 +387,17 @@ def classes(documents: DataFrame) -> DataFrame:
     # texts that share a bucket but no component yet
     comp = _side(comp, n_some, FEW_LABELS)
     held = shared.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
-        .filter(F.col("lo") < F.col("hi")).select("key")
+    per = held.join(_side(small.select("id", "n"), n_some, FEW_LABELS), "id").groupBy("key", "comp") \
+        .agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("l"))
+    mixed = per.groupBy("key").agg(
+        F.max(F.struct("c", "l", "comp")).alias("x"), F.count(F.lit(1)).alias("comps"),
+        F.sum("c").alias("c"), F.sum("l").alias("l")).filter(F.col("comps") > 1) \
+        .select("key", F.col("x.comp").alias("main"), F.col("c").alias("size"), F.col("x.c").alias("m_main"),
+                F.col("x.l").alias("l_main"), (F.col("c") - F.col("x.c")).alias("m_rest"), (F.col("l") - F.col("x.l")).alias("l_rest"))
     held = staged(held.join(mixed, "key"), "mixed")
-    finer = held.join(_side(small.select("id", "minima"), n_some, FEW_MINIMA), "id").select(
-        F.explode(F.array(*[F.xxhash64("key", F.lit(t), F.get("minima", F.pmod(F.col("key") + 17 * t, F.lit(SINGLES)).cast("int")))
-                            for t in range(REFINE)])).alias("key"), "id", "comp")
-    again = _bucket_pairs(held).union(_bucket_pairs(finer)).filter(F.col("a_comp") != F.col("b_comp")) \
-        .select("a", "b").distinct()
-    more = staged(_verify(_likely(again, small, n_some), texts, size), "links")
+    pairs = _small_pairs(held.filter(F.col("size") <= FULL).select("key", "id", "comp"))
+    more = staged(_verify(_likely(pairs, small, n_some), texts, size).union(
+        _large_links(held.filter(F.col("size") > FULL), small, texts, n_some, size)), "links")
     if more.count():
         comp = components(edges.union(more))
     cls = staged(first.join(comp, "id", "left").select("fp", F.coalesce("comp", "id").alias("class_id")), "classes")

@@ -78,6 +78,22 @@ def test_classes_equal_brute_force(spark):
     assert got == brute_classes(docs)
 
 
+def test_copies_inside_a_body_of_texts_with_one_passage(spark):
+    """43 of 50 shingles are the same in all texts (0.75 alike, not linked);
+    every third text has a copy that keeps two more (0.82)."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(47)]
+    docs = []
+    for i in range(330):
+        tail = [f"z{i}x{j}" for j in range(7)]
+        docs.append((i, " ".join(passage + tail)))
+        if i % 3 == 0:
+            docs.append((10_000 + i, " ".join(passage + tail[:2] + [f"c{i}x{j}" for j in range(5)])))
+    rng.shuffle(docs)
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i % 10_000 for i, _ in docs}
+
+
 def test_classes_of_the_corpus(spark):
     docs = [(r.doc_id, r.text) for r in H.sample(spark).collect()]
     assert {r.doc_id: r.class_id for r in neardup.classes(H.sample(spark)).collect()} == brute_classes(docs)
