@@ -8,10 +8,11 @@ sidebars, notices, adverts, forms, comments, scripts, styles; by element,
 role, or a word of ``class`` or ``id``) keep a ratio of 0.  For the others the
 text-to-tag ratio (characters per tag) is smoothed with a Gaussian over the
 lines; two-means clustering of the smoothed ratios gives the threshold above
-which a line is content.  The content region is the ``article`` or ``main``
-element, where there is one that holds content lines, or else the smallest
-element that holds most of the content lines' text; its text is all its
-blocks that are no furniture, so headings and short paragraphs stay.
+which a line is content.  The content region is the ``article`` and ``main``
+elements, where they hold nearly all of the content lines' text, or else the
+smallest element that does and is no list, table or section of a text; its
+text is all its blocks that are no furniture, so headings and short paragraphs
+stay, and so do content lines outside it.
 
 Defined results: a null or empty page, or one without text outside its
 furniture, has text '' and 0 characters; broken markup is read as far as the
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 SIGMA = 1.0
 #: share of the content lines' text that a region must hold
-REGION_SHARE = 0.6
+REGION_SHARE = 0.9
 
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset
 figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td
@@ -194,25 +195,26 @@ def main_text(reader: BlockReader, html: str | None) -> str:
         while c >= 0:
             weight[c] = weight.get(c, 0) + len(lines[i][0])
             c = parents[c]
-    total = weight[0]
-    marked = [c for c in weight if names[c] in ("article", "main")]
-    if marked:
-        region = {c for c in marked}
-    else:
-        # children come after their parents, so the last one is the smallest
-        region = {max(c for c in weight if weight[c] >= REGION_SHARE * total and names[c] not in _LINES)} \
-            if any(weight[c] >= REGION_SHARE * total and names[c] not in _LINES for c in weight) else {0}
-    out = []
-    for i in keep:
+    least = REGION_SHARE * weight[0]
+    marked = {c for c in weight if names[c] in ("article", "main")}
+
+    def inside(i, region):
         c = lines[i][2]
         while c >= 0 and c not in region:
             c = parents[c]
-        if c >= 0:
-            out.append(lines[i][0])
-    return " ".join(out)
+        return c >= 0
+
+    if sum(len(lines[i][0]) for i in content if inside(i, marked)) >= least:
+        return " ".join(lines[i][0] for i in keep if inside(i, marked))
+    # children come after their parents, so the last one is the smallest
+    region = {max(c for c in weight if weight[c] >= least and names[c] not in _PARTS)}
+    held = set(content)
+    return " ".join(lines[i][0] for i in keep if i in held or inside(i, region))
 
 
-_LINES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote caption figcaption".split())
+#: elements that are lines or parts of a text, not the whole
+_PARTS = frozenset("""blockquote caption dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 li ol p pre section table
+tbody td tfoot th thead tr ul""".split())
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -147,6 +147,27 @@ def test_pages(spark):
     assert again.count() == 2 * len(PAGES)
 
 
+SENTENCE = "A sentence of the story with a good number of words in it. "
+
+
+def test_region_keeps_the_whole_story():
+    def text(page):
+        return htmltext.main_text(htmltext.BlockReader(), page)
+
+    prose = (SENTENCE * 4).strip()
+    items = " ".join(f"Item {i}. {prose}" for i in range(6))
+    listed = "".join(f"<li>Item {i}. {prose}</li>" for i in range(6))
+    cells = "".join(f"<tr><td>Item {i}. {prose}</td></tr>" for i in range(6))
+    parts = "".join(f"<p>Item {i}. {prose}</p>" for i in range(6))
+    head = f"<h1>Title</h1><p>{prose}</p><p>{prose}</p><p>{prose}</p>"
+    whole = f"Title {prose} {prose} {prose} {items}"
+    for body in (f"<ul>{listed}</ul>", f"<table>{cells}</table>", f"<section>{parts}</section>", f"<div>{parts}</div>"):
+        assert text(f"<body><nav>menu</nav><div>{head}{body}</div></body>") == whole
+    got = text(f"<body><div id=story>{head}{parts}</div><article class=card><p>{prose}</p></article></body>")
+    assert got == f"{whole} {prose}"
+    assert text(f"<body><div>short</div><article>{head}{parts}</article></body>") == whole
+
+
 def test_long_page():
     page = "<article>" + "<p>word word</p>" * 20_000 + "</article>"
     assert len(htmltext.main_text(htmltext.BlockReader(), page)) == 20_000 * 10 - 1
