@@ -13,18 +13,23 @@
    kind and feature value that occurs, candidates that are base spans and
    candidates that touch none: a table bounded by the feature space, and all
    that the fit needs.
-4. Boosted trees are fitted to that table and calibrated: the lowest score at
-   which the share of base spans reaches ``PRECISION`` is the threshold.  The
-   trees become one column expression; candidates at or above the threshold
-   that touch no base span and no better candidate are added.
+4. A candidate whose own spelling shows what it is (bracketed or spelled signs,
+   an area code in brackets, grouped digits with a valid check digit; dashes
+   with a cue word before) is *evident*: it counts as a base span in the table
+   and is added whatever the threshold, at any share of the corpus.
+5. Boosted trees are fitted to that table and calibrated: the lowest score at
+   which the share of base and evident spans reaches ``PRECISION`` is the
+   threshold for the others.  The trees become one column expression;
+   candidates that are evident, or at or above the threshold, and touch no base
+   span and no better candidate are added.
 
 The patterns are possessive and start only where a longer match could not
 have started before, which finds the same matches without backtracking over
 long runs.
 
 Defined results: a null or empty text has no spans; null ids and repeated rows
-keep their rows; without base spans anywhere nothing is learned and nothing
-added; ``redact`` keeps all columns; other columns are not read by ``find``.
+keep their rows; without base and evident spans, or without others, nothing is
+learned and only evident spans are added; ``redact`` keeps all columns; other columns are not read by ``find``.
 """
 
 from __future__ import annotations
@@ -41,6 +46,8 @@ PRECISION = 0.9
 ROUNDS = 40
 DEPTH = 2
 RATE = 0.3
+#: score of evident spans, above any sum of trees
+EVIDENT = 1e9
 
 _EMAIL = "A-Za-z0-9._%+-"
 BASE = {
@@ -63,7 +70,7 @@ LOOSE = {
 CUES = r"(?i)mail|contact|phone|tel|call|fax|mobil|card|visa|credit|kart|tarj|addr|host|server|\bip\b"
 
 _SPAN = "array<struct<s:int,e:int,m:string>>"
-_MADE = "array<struct<s:int,k:int,e:int,b:boolean,f:int>>"
+_MADE = "array<struct<s:int,k:int,e:int,b:boolean,v:int,f:int>>"
 
 
 def _none(kind: str) -> Column:
@@ -114,6 +121,28 @@ def _loose_ok(kind: str, m: Column) -> Column:
     return (n >= 7) & (n <= 15)
 
 
+def _evidence(kind: str, m: Column) -> Column:
+    """2: the spelling of a loose candidate shows what it is; 1: with a cue
+    word before; 0: neither."""
+    n = F.length(_digits(m))
+    if kind == "email":
+        sure = m.rlike(r"[\[({](?:at|@)[\])}]|\x20at\x20.*(?:\x20dot\x20|[\[({]dot[\])}])") & m.rlike(r"[A-Za-z]{2}$")
+        cued = F.lit(False)
+    elif kind == "ip":
+        sure, cued = m.rlike(r"\[\.\]|dot"), m.rlike(r"\.")
+    elif kind == "card":
+        sure, cued = m.rlike("[^0-9]"), F.lit(True)
+    else:
+        sure = m.rlike(r"^\+|\(") & (n >= 10)
+        cued = m.rlike(r"^[^\x20]*[./-]") & (n >= 10)
+    return F.when(sure, 2).when(cued, 1).otherwise(0)
+
+
+def _evident(c: Column) -> Column:
+    cue = F.shiftright(c["f"], sum(WIDTHS[CUE + 1:])).bitwiseAND(F.lit(1)) == 1
+    return (c["v"] == 2) | (c["v"] == 1) & cue
+
+
 def _check(rule, kind: str):
     return lambda x: rule(kind, x["m"])
 
@@ -152,6 +181,7 @@ def _features(text: Column, s: Column, e: Column, m: Column) -> Column:
 
 
 WIDTHS = (1, 1, 1, 3, 3, 1, 1, 1, 1)
+CUE = 2
 
 
 def _unpack(f: int, kind: int) -> list[int]:
@@ -187,6 +217,7 @@ def with_candidates(documents: DataFrame, keep: list) -> DataFrame:
     def made(k, column, is_base):
         return F.transform(F.col(column), lambda x: F.struct(
             x["s"].alias("s"), F.lit(KINDS.index(k)).alias("k"), x["e"].alias("e"), F.lit(is_base).alias("b"),
+            (F.lit(0) if is_base else _evidence(k, x["m"])).alias("v"),
             _features(F.col("__t"), x["s"], x["e"], x["m"]).alias("f")))
 
     apart = lambda x: ~F.exists(F.col("__base"), lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
@@ -230,7 +261,7 @@ def _tree_value(tree, x):
 
 
 def fit(counts: list[tuple[int, int, int, int]]):
-    """(trees, threshold) from (kind, features, base spans, others); ``None``
+    """(trees, threshold) from (kind, features, base and evident spans, others); ``None``
     if there is nothing to learn from."""
     rows = [(_unpack(f, k), p, n) for k, f, p, n in sorted(counts)]
     if not sum(r[1] for r in rows) or not sum(r[2] for r in rows):
@@ -255,10 +286,11 @@ def fit(counts: list[tuple[int, int, int, int]]):
 def train(documents: DataFrame):
     """Fit on the counts of all candidates of all documents."""
     c = with_candidates(documents, []).select(F.explode_outer("__cand").alias("c")) \
-        .filter(F.col("c").isNotNull()).groupBy(F.col("c.k").alias("k"), F.col("c.f").alias("f"))
-    b = F.col("c.b").cast("long")
+        .filter(F.col("c").isNotNull())
+    b = (F.col("c.b") | _evident(F.col("c"))).cast("long")
     # at most the feature space: 4 kinds x 2^13
-    rows = c.agg(F.sum(b).alias("p"), F.sum(1 - b).alias("n")).collect()
+    rows = c.select(F.col("c.k").alias("k"), F.col("c.f").alias("f"), b.alias("b")).groupBy("k", "f") \
+        .agg(F.sum("b").alias("p"), F.sum(1 - F.col("b")).alias("n")).collect()
     return fit([(r["k"], r["f"], r["p"], r["n"]) for r in rows])
 
 
@@ -289,12 +321,15 @@ def _score(model, kind: Column, f: Column) -> Column:
 def with_spans(documents: DataFrame, keep: list, model) -> DataFrame:
     """``keep`` columns with __base and __all, sorted arrays of (s, k, e)."""
     docs = with_candidates(documents, keep)
-    if model is None or model[1] == math.inf:
-        return docs.withColumn("__all", F.col("__base"))
+    learned = model is not None and model[1] < math.inf
+
+    def score(c):
+        return F.when(_evident(c), F.lit(EVIDENT)).otherwise(_score(model, c["k"], c["f"]) if learned else F.lit(-1.0))
+
     scored = F.transform(F.filter(F.col("__cand"), lambda c: ~c["b"]), lambda c: F.struct(
-        _score(model, c["k"], c["f"]).alias("z"), c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e")))
+        score(c).alias("z"), c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e")))
     docs = docs.withColumn("__x", F.when(F.size("__cand") > F.size("__base"), F.filter(
-        scored, lambda c: c["z"] >= F.lit(model[1]))).otherwise(
+        scored, lambda c: c["z"] >= F.lit(model[1] if learned else 0.0))).otherwise(
             _none("array<struct<z:double,s:int,k:int,e:int>>")))
     better = lambda a, b: (a["z"] > b["z"]) | ((a["z"] == b["z"]) & (
         (a["s"] < b["s"]) | ((a["s"] == b["s"]) & (a["k"] < b["k"]))))

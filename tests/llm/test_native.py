@@ -94,6 +94,23 @@ def test_spans_that_the_base_patterns_run_over_are_added(spark):
     assert got[201].spans == got[202].spans == got[301].spans == ""
 
 
+def test_evident_spans_are_found_at_any_share_of_the_corpus(spark):
+    base = [(i, f"text a{i}@b.cc text") for i in range(5)]
+    loose = {"write john{i} [at] site dot com today": "email", "the fax (269) 555-3{i} today": "phone",
+             "call 269-555-3{i} now": "phone", "number 4111/1111/1111/1111 here {i}": "card", "see 10[.]0[.]0[.]1 x{i}": "ip"}
+    plain = [(9000 + i, f"counted 269 555 3{100 + i} items") for i in range(200)]
+    for n in (1, 200):
+        rows = [(1000 * (j + 1) + i, t.format(i=100 + i)) for j, t in enumerate(loose) for i in range(n)]
+        docs = spark.createDataFrame(base + rows + plain, "doc_id long, text string")
+        got = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+        for j, kind in enumerate(loose.values()):
+            for i in range(n):
+                assert got[1000 * (j + 1) + i].startswith(kind + ":"), (n, kind, i)
+        assert all(got[i] == "" for i, _ in plain)
+    alone = pii.find(spark.createDataFrame([(1, "the fax (269) 555-3296 today")], "doc_id long, text string")).first()
+    assert alone.spans == "phone:8:22" and alone.n_phone == 0
+
+
 def test_boosting_learns_the_table():
     counts = [(3, f, 90, 1) for f in range(4)] + [(3, 4096 + f, 1, 90) for f in range(4)]
     trees, cut = pii.fit(counts)
