@@ -21,7 +21,7 @@
    which the share of base and evident spans reaches ``PRECISION`` is the
    threshold for the others.  The trees become one column expression;
    candidates that are evident, or at or above the threshold, and touch no base
-   span and no better candidate are added.
+   span and no better one that is added are added.
 
 The patterns are possessive and start only where a longer match could not
 have started before, which finds the same matches without backtracking over
@@ -318,6 +318,20 @@ def _score(model, kind: Column, f: Column) -> Column:
     return total
 
 
+def chosen(scored: Column) -> Column:
+    """(s, k, e) of the scored spans, taken in order of score (then s and k)
+    where they touch none taken before."""
+    order = F.array_sort(F.transform(scored, lambda c: F.struct(
+        (-c["z"]).alias("w"), c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"))))
+
+    def step(acc, a):
+        one = F.struct(a["s"].alias("s"), a["k"].alias("k"), a["e"].alias("e"))
+        return F.when(F.exists(acc, lambda b: (b["s"] < a["e"]) & (a["s"] < b["e"])), acc) \
+            .otherwise(F.concat(acc, F.array(one)))
+
+    return F.aggregate(order, _none("array<struct<s:int,k:int,e:int>>"), step)
+
+
 def with_spans(documents: DataFrame, keep: list, model) -> DataFrame:
     """``keep`` columns with __base and __all, sorted arrays of (s, k, e)."""
     docs = with_candidates(documents, keep)
@@ -331,11 +345,7 @@ def with_spans(documents: DataFrame, keep: list, model) -> DataFrame:
     docs = docs.withColumn("__x", F.when(F.size("__cand") > F.size("__base"), F.filter(
         scored, lambda c: c["z"] >= F.lit(model[1] if learned else 0.0))).otherwise(
             _none("array<struct<z:double,s:int,k:int,e:int>>")))
-    better = lambda a, b: (a["z"] > b["z"]) | ((a["z"] == b["z"]) & (
-        (a["s"] < b["s"]) | ((a["s"] == b["s"]) & (a["k"] < b["k"]))))
-    chosen = F.filter(F.col("__x"), lambda a: ~F.exists(
-        F.col("__x"), lambda b: (b["s"] < a["e"]) & (a["s"] < b["e"]) & better(b, a)))
-    more = F.transform(chosen, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e")))
+    more = chosen(F.col("__x"))
     return docs.withColumn("__all", F.array_sort(F.concat(F.col("__base"), more))).drop("__x")
 
 

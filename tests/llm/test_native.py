@@ -111,6 +111,13 @@ def test_evident_spans_are_found_at_any_share_of_the_corpus(spark):
     assert alone.spans == "phone:8:22" and alone.n_phone == 0
 
 
+def test_a_dropped_span_drops_no_other(spark):
+    rows = [([(1.0, 8, 2, 12), (3.0, 0, 0, 5), (2.0, 4, 1, 9)],), ([],), ([(1.0, 0, 1, 4), (1.0, 2, 0, 6)],)]
+    df = spark.createDataFrame(rows, "x array<struct<z:double,s:int,k:int,e:int>>")
+    got = [[tuple(c) for c in r.y] for r in df.select(pii.chosen(df["x"]).alias("y")).collect()]
+    assert got == [[(0, 0, 5), (8, 2, 12)], [], [(0, 1, 4)]]
+
+
 def test_boosting_learns_the_table():
     counts = [(3, f, 90, 1) for f in range(4)] + [(3, 4096 + f, 1, 90) for f in range(4)]
     trees, cut = pii.fit(counts)
