@@ -3,7 +3,8 @@ with production parameters."""
 
 from __future__ import annotations
 
-from . import ann, decontaminate, htmltext, langid, neardup, packing, pii, quality, tokencount, toxicity
+from . import (ann, decontaminate, hardneg, htmltext, langid, merkle, neardup, packing, pii, quality, tokencount,
+               toxicity, vecdedup)
 from .common import table
 
 QUERIES = {}
@@ -68,3 +69,18 @@ def op9_packing(spark, sf_dir):
 @query("op10_html_text")
 def op10_html_text(spark, sf_dir):
     return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op11_hard_negatives", hardneg.ORACLE)
+def op11_hard_negatives(spark, sf_dir):
+    return hardneg.mine(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_merkle_manifest", merkle.ORACLE)
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_vector_duplicates", vecdedup.ORACLE)
+def op13_vector_duplicates(spark, sf_dir):
+    return vecdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
