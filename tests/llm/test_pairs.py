@@ -194,3 +194,39 @@ def test_pipeline_runs_and_takes_empty_tables(spark, tmp_path):
     H.no_documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
     H.sample(spark, "benchmark").limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_search_extreme_and_few(spark, monkeypatch):
+    """Vectors of size 1e200 and 1e-200 neither lose the others nor get lost."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 4))
+    x[7], x[20], x[40] = x[7] * 1e200, x[20] * 1e-200, x[40] * 1e160
+    x[60], x[80] = [1e200, 1e200, 0, 0], [1e200, -1e200, 0, 0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "PROBES_ROOT", 1000)  # all lists: exact
+    got = {}
+    for r in ann.search(df).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == set(range(0, 400, 20))
+    for q, rows in got.items():
+        with np.errstate(over="ignore"):
+            z = np.array([float((x[q].astype(np.longdouble) * v).sum()) for v in x])
+        z[q] = np.nan
+        want = sorted((i for i in range(400) if i != q), key=lambda i: (-z[i], i))[:20]
+        rows = sorted(rows)
+        assert [v for _, v, _ in rows] == want or np.allclose(z[want], [s for _, _, s in rows], rtol=1e-12)
+        assert len(rows) == 20
+
+
+def test_search_widens_until_k(spark, monkeypatch):
+    """Lists that hold too few rows: the rest is searched, so every query gets its k."""
+    monkeypatch.setattr(ann, "LIST_ROWS", 4)
+    monkeypatch.setattr(ann, "MIN_PROBES", 1)
+    monkeypatch.setattr(ann, "PROBES_ROOT", 0)
+    monkeypatch.setattr(ann, "COPIES", 1)
+    monkeypatch.setattr(ann, "SHARD", 4)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    counts = {r["query_id"]: r["count"] for r in ann.search(df).groupBy("query_id").count().collect()}
+    assert counts == {q: 20 for q in range(0, 300, 20)}
