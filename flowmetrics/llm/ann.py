@@ -128,21 +128,25 @@ class Graph:
         ids = np.tile(self.entries, (b, 1))
         seen[rows, ids] = True
         d, open_ = dist(ids), np.ones(ids.shape, bool)
+        wide = max(1, min(want // 32, len(self.entries)))  # nodes opened at once
         while True:
-            best = np.where(open_, d, np.inf).argmin(1)
-            live = open_[rows[:, 0], best]
+            ahead = np.where(open_, d, np.inf)
+            best = ahead.argmin(1)[:, None] if wide == 1 else np.argpartition(ahead, wide - 1, axis=1)[:, :wide]
+            live = open_[rows, best]
             if not live.any():
                 break
-            open_[rows[:, 0], best] = False
-            nxt = self.links[ids[rows[:, 0], best]]
-            fresh = ~seen[rows, nxt] & live[:, None]
-            order = np.argsort(nxt, axis=1, kind="stable")  # a link may stand twice
-            srt = np.take_along_axis(nxt, order, 1)
-            dup = np.zeros_like(fresh)
+            open_[rows, best] = False
+            nxt = self.links[ids[rows, best]].reshape(b, -1)
+            live = np.repeat(live, self.links.shape[1], axis=1)
+            fresh = ~seen[rows, nxt] & live
+            order = np.argsort(np.where(fresh, nxt, n + np.arange(nxt.shape[1])), axis=1, kind="stable")
+            srt = np.take_along_axis(np.where(fresh, nxt, -1), order, 1)
+            dup = np.zeros_like(fresh)  # a node may be met more than once
             np.put_along_axis(dup, order, np.concatenate(
                 [np.zeros((b, 1), bool), srt[:, 1:] == srt[:, :-1]], 1), 1)
             fresh &= ~dup
-            seen[rows, nxt] |= live[:, None]
+            r, c = np.nonzero(fresh)
+            seen[r, nxt[r, c]] = True
             ids = np.concatenate([ids, nxt], 1)
             d = np.concatenate([d, np.where(fresh, dist(nxt), np.inf)], 1)
             open_ = np.concatenate([open_, fresh], 1)
@@ -387,12 +391,15 @@ def search(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     posts = staged(_postings(v, index, dim), "postings")
     asked = staged(_asked(queries, index, dim, False), "queries")
     found = staged(_found(posts, asked, dim, k), "found")
-    # queries with too few: those of fewer than k different ids so far
-    some = found.select("query_id", F.explode("ids").alias("id")).distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("c"))
-    short = asked.select("query_id").distinct().join(some.filter(F.col("c") >= k), "query_id", "left_anti")
-    if short.limit(1).count():
-        rest = queries.join(short.withColumnRenamed("query_id", "vec_id"), "vec_id", "left_semi")
-        found = found.unionByName(staged(_found(posts, _asked(rest, index, dim, True), dim, k), "found"))
     groups = max(1, -(-n // (every * MERGED)))
-    return found.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups))) \
-        .groupBy("part").applyInArrow(_merger(k), out)
+
+    def merged(rows):
+        return staged(rows.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
+                      .groupBy("part").applyInArrow(_merger(k), out), "nearest")
+
+    nearest = merged(found)
+    full = nearest.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    rest = queries.join(full, "vec_id", "left_anti")
+    if rest.limit(1).count():  # too few so far: all lists
+        nearest = merged(found.unionByName(_found(posts, staged(_asked(rest, index, dim, True), "queries"), dim, k)))
+    return nearest
