@@ -18,6 +18,7 @@ from ..session import scratch_path, session_conf
 from ..sources import events as EV
 from ..sources import metrics as MS
 from ..sources import outbox as OB
+from ..streaming import keyed as K
 from ..streaming import streams as SS
 from . import q_costs, q_logs  # noqa: F401  (their oracles are used below)
 from ..schemas import activity_timeouts_sql
@@ -217,6 +218,9 @@ def _stream(b, copies: int = 1):
 
 
 FAR = datetime(2200, 1, 1)
+# streams run in UTC, with their state in RocksDB
+STREAM_CONF = {"spark__sql__session__timeZone": "UTC",
+               **{k.replace(".", "__"): v for k, v in K.STATE_STORE.items()}}
 
 
 def _end_marker(spark, schema, values: dict):
@@ -239,9 +243,10 @@ def _run(b, build, mode):
     wall-clock columns are converted back inside the stream, so the table
     read back does not depend on the session time zone."""
     out = scratch_path(b.spark, "stream-out")
-    with session_conf(b.spark, spark__sql__session__timeZone="UTC"):
-        SS.run_to_table(_ntz(build()), out, scratch_path(b.spark, "stream-ckpt"), mode)
-    return b.spark.read.parquet(out)
+    with session_conf(b.spark, **STREAM_CONF):
+        df = _ntz(build())
+        SS.run_to_table(df, out, scratch_path(b.spark, "stream-ckpt"), mode)
+    return SS.table(b.spark, out, df.schema).drop("batch_id")
 
 
 def _metrics_json_stream(b):
@@ -262,8 +267,13 @@ SELECT run_id, arg_max(stage, seq) AS current_stage, CAST(sum(tokens_used) AS BI
 FROM b_stage_metrics GROUP BY run_id
 """)
 def _stream_run_state(b):
-    """S1 + S2: live run state over a tailed metrics JSONL folder."""
-    return _run(b, lambda: SS.live_run_state(_metrics_json_stream(b)), "complete")
+    """S1 + S2: live run state over a tailed metrics JSONL folder, in update
+    mode: each batch writes the runs it changed, the last version counts."""
+    out = scratch_path(b.spark, "run-state")
+    with session_conf(b.spark, **STREAM_CONF):
+        df = SS.live_run_state(_metrics_json_stream(b))
+        SS.run_to_table(df, out, scratch_path(b.spark, "run-state-ckpt"), "update")
+    return SS.latest(SS.table(b.spark, out, df.schema), "run_id")
 
 
 @query("stream_dashboard", bindings=SM, oracle="""
@@ -278,28 +288,54 @@ def _stream_dashboard(b):
     return _run(b, lambda: SS.windowed_dashboard(_stream(b), "1 hour", "2 hours"), "complete")
 
 
-# five files in time order, one per micro-batch: the slice of a row by its time
+# the rows in five slices of time, each landed and read in turn: the slice of a row by its time
 SLICES = 5
 SLICE_SQL = f"""CAST(least({SLICES} - 1, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM b_stage_metrics)) * {SLICES}
     // ((SELECT max(epoch_us(ts)) - min(epoch_us(ts)) FROM b_stage_metrics) + 1)) AS INTEGER)"""
 
 
+def _slice_of(ts, ends):
+    """The slice of a time, and the seconds of a slice; ``ends``: first and last time."""
+    us = F.timestamp_diff("MICROSECOND", F.lit(ends["lo"]).cast("timestamp_ntz"), ts)
+    return F.least(F.lit(SLICES - 1), F.floor(us * SLICES / F.lit((ends["us"] or 0) + 1)).cast("int"))
+
+
+def _ends(df, ts="ts"):
+    return df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"), micros_between(F.min(ts), F.max(ts)).alias("us")).first()
+
+
 def _sliced(b):
     """b_stage_metrics with the slice of each row, and the seconds of a slice."""
     m = b.b_stage_metrics
-    ends = m.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), micros_between(F.min("ts"), F.max("ts")).alias("us")).first()
-    us = F.timestamp_diff("MICROSECOND", F.lit(ends["lo"]).cast("timestamp_ntz"), F.col("ts"))
-    part = F.floor(us * SLICES / F.lit((ends["us"] or 0) + 1)).cast("int")
-    return m.withColumn("slice", F.least(F.lit(SLICES - 1), part)), (ends["us"] or 0) / SLICES / 1e6
-
-
-def _slice_stream(b, parts):
-    """A stream that reads one file per slice, in order, one per micro-batch."""
-    path = scratch_path(b.spark, "slices")
-    for i in range(SLICES):
-        parts(i).coalesce(1).write.mode("append").parquet(path)
-    schema = parts(0).schema
-    return SS.to_event_time(b.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
+    ends = _ends(m)
+    return m.withColumn("slice", _slice_of(F.col("ts"), ends)), (ends["us"] or 0) / SLICES / 1e6
+
+
+def _arrivals(b, rows):
+    """Rows written once by the slice they arrive in (``slice``), as many files
+    a slice as there are tasks."""
+    path = scratch_path(b.spark, "arrivals")
+    rows.write.partitionBy("slice").parquet(path)
+    SS.make_folder(b.spark, path)
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "slice"])
+    whole = T.StructType([*schema.fields, T.StructField("slice", T.IntegerType())])
+    return b.spark.read.schema(whole).parquet(path), schema
+
+
+def _by_slices(b, landed, build, mode="append"):
+    """Run a stream slice by slice: each slice is appended to the folders that
+    the stream reads and taken in by a run of its own on the same checkpoint.
+    ``landed``: per name, (rows, schema) of :func:`_arrivals`; ``build`` takes
+    the streams by name.  Returns the written table, with ``batch_id``."""
+    out, ckpt = scratch_path(b.spark, "stream-out"), scratch_path(b.spark, "stream-ckpt")
+    folders = {n: scratch_path(b.spark, f"src-{n}") for n in landed}
+    with session_conf(b.spark, **STREAM_CONF):
+        for i in range(SLICES):
+            for n, (rows, _) in landed.items():
+                rows.filter(F.col("slice") == i).drop("slice").write.mode("append").parquet(folders[n])
+            df = _ntz(build({n: b.spark.readStream.schema(schema).parquet(folders[n]) for n, (_, schema) in landed.items()}))
+            SS.run_to_table(df, out, ckpt, mode)
+    return SS.table(b.spark, out, df.schema)
 
 
 @query("stream_dedupe", bindings=SM, oracle=f"""
@@ -307,26 +343,22 @@ SELECT run_id, seq, event_id, stage, tokens_used, cost, ts,
        event_id % 50 = 7 AND {SLICE_SQL} = 0 AS late FROM b_stage_metrics
 """)
 def _stream_dedupe(b):
-    """S7 over five batches in time order: copies in the same batch and in the
-    next one are removed, rows that come far too late land in the late table."""
+    """S7 over five slices in time order: copies in the same batch and in the
+    next one are removed by the stream's state; rows that come behind the
+    watermark are told apart once the input has been read."""
     m, width = _sliced(b)
-    m = m.select("run_id", "seq", "event_id", "stage", "tokens_used", "cost", "ts", "slice")
-    late = (F.col("event_id") % 50 == 7) & (F.col("slice") == 0)
-
-    def part(i):
-        own = m.filter((F.col("slice") == i) & ~late)
-        again = own.filter(F.col("event_id") % 3 == 0)
-        retried = m.filter((F.col("slice") == i - 1) & ~late & (F.col("event_id") % 3 == 1))
-        rows = own.union(again).union(retried)
-        return (rows.union(m.filter(late)) if i == SLICES - 1 else rows).drop("slice")
-
     cols = ["run_id", "seq", "event_id", "stage", "tokens_used", "cost", "ts"]
-    out, late_out = scratch_path(b.spark, "dedupe"), scratch_path(b.spark, "dedupe-late")
-    with session_conf(b.spark, spark__sql__session__timeZone="UTC"):
-        SS.run_batches(_ntz(_slice_stream(b, part)), SS.dedupe_writer(out, late_out, int(2 * width) + 1, cols),
-                       scratch_path(b.spark, "dedupe-ckpt"))
-    return b.spark.read.parquet(out).select(*cols, F.lit(False).alias("late")).union(
-        b.spark.read.parquet(late_out).select(*cols, F.lit(True).alias("late")))
+    m = m.select(*cols, "slice")
+    late = (F.col("event_id") % 50 == 7) & (F.col("slice") == 0)
+    own = m.filter(~late)
+    again = own.filter(F.col("event_id") % 3 == 0)
+    retried = own.filter((F.col("event_id") % 3 == 1) & (F.col("slice") < SLICES - 1)).withColumn("slice", F.col("slice") + 1)
+    rows, schema = _arrivals(b, own.union(again).union(retried).union(
+        m.filter(late).withColumn("slice", F.lit(SLICES - 1))))
+    emitted = _by_slices(b, {"metrics": (rows, schema)}, lambda s: SS.dedupe_stream(
+        SS.to_event_time(s["metrics"]), f"{int(2 * width) + 1} seconds")).drop("batch_id")
+    return emitted.withColumn("late", F.lit(False)).union(
+        SS.late_rows(rows.drop("slice"), emitted).withColumn("late", F.lit(True)))
 
 
 @query("stream_budget_alerts", bindings=SM, oracle=f"""
@@ -339,15 +371,46 @@ x AS (SELECT run_id, slice, 'cooldown' AS alert, CAST(CAST(tokens AS BIGINT) AS
 SELECT run_id, alert, arg_min(total, slice) AS total, min(mt) AS "at" FROM x GROUP BY run_id, alert
 """)
 def _stream_budget_alerts(b):
-    """S4 over five batches in time order: one cooldown and one budget alert
-    per run, with the total and time of the batch that crossed."""
+    """S4 over five slices in time order: one cooldown and one budget alert per
+    run, from state, with the total and time of the batch that crossed."""
+    m, width = _sliced(b)
+    rows = _arrivals(b, m.select("run_id", "tokens_used", "cost", "ts", "slice"))
+    keep = int(SLICES * width) + 1  # no run of these tables ends before the input does
+    return _by_slices(b, {"metrics": rows}, lambda s: K.alert_stream(
+        SS.to_event_time(s["metrics"]), 50000, "1.00", "1 hour", keep)).select("run_id", "alert", "total", "at")
+
+
+@query("stream_dashboard_closed", bindings=SM, oracle=f"""
+WITH s AS (SELECT *, {SLICE_SQL} AS slice, date_trunc('hour', ts) AS ws FROM b_stage_metrics),
+e AS (SELECT to_timestamp(epoch_ms(max(ts)) / 1000) AT TIME ZONE 'UTC' - INTERVAL 2 HOUR AS closed,
+             to_timestamp(epoch_ms(max(ts) FILTER (slice < {SLICES - 1})) / 1000) AT TIME ZONE 'UTC' - INTERVAL 2 HOUR AS before
+      FROM s),
+l AS (SELECT s.*, event_id % 50 = 7 AND slice = 0 AND ws + INTERVAL 1 HOUR <= before AS late
+      FROM s, e WHERE ws + INTERVAL 1 HOUR <= closed)
+SELECT ws AS window_start, ws + INTERVAL 1 HOUR AS window_end, stage,
+       nullif(CAST(count(*) FILTER (NOT late) AS BIGINT), 0) AS records,
+       CASE WHEN count(*) FILTER (NOT late) > 0 THEN CAST(count(*) FILTER (NOT late AND tests_pass) AS BIGINT) END AS tests_passed,
+       CAST(sum(duration_ms) FILTER (NOT late) AS BIGINT) AS duration_ms,
+       CAST(sum(tokens_used) FILTER (NOT late) AS BIGINT) AS tokens,
+       CAST(sum(cost) FILTER (NOT late) AS DECIMAL(38,9)) AS cost,
+       CAST(count(*) FILTER (late) AS BIGINT) AS late_records,
+       CAST(coalesce(sum(tokens_used) FILTER (late), 0) AS BIGINT) AS late_tokens,
+       CAST(coalesce(sum(cost) FILTER (late), 0) AS DECIMAL(38,9)) AS late_cost
+FROM l GROUP BY ws, stage
+""")
+def _stream_dashboard_closed(b):
+    """S5 in append mode over five slices: windows leave when the watermark has
+    passed them, and their state with them; every fiftieth row of the first slice
+    comes with the last one, behind the watermark, and is shown beside its window
+    as what that lacks.  Windows still open at the end are not shown."""
     m, _ = _sliced(b)
-    out = scratch_path(b.spark, "alerts")
-    with session_conf(b.spark, spark__sql__session__timeZone="UTC"):
-        stream = _slice_stream(b, lambda i: m.filter(F.col("slice") == i).select("run_id", "tokens_used", "cost", "ts"))
-        SS.run_batches(_ntz(SS.running_totals(stream)), SS.alert_writer(out, 50000, "1.00"),
-                       scratch_path(b.spark, "alerts-ckpt"), "update")
-    return b.spark.read.parquet(out).select("run_id", "alert", "total", "at")
+    m = m.select("run_id", "event_id", "stage", "tests_pass", "duration_ms", "tokens_used", "cost", "ts", "slice")
+    late = (F.col("event_id") % 50 == 7) & (F.col("slice") == 0)
+    rows, schema = _arrivals(b, m.withColumn("slice", F.when(late, SLICES - 1).otherwise(F.col("slice"))))
+    closed = _by_slices(b, {"metrics": (rows, schema)}, lambda s: SS.windowed_dashboard(
+        SS.to_event_time(s["metrics"]), "1 hour", "2 hours"))
+    end = F.timestamp_add("HOUR", F.lit(-2), F.date_trunc("millisecond", F.lit(_ends(rows)["hi"]).cast("timestamp_ntz")))
+    return SS.window_corrections(rows, closed).filter(F.col("window_end") <= end)
 
 
 @query("stream_approval_gates")
@@ -378,6 +441,46 @@ ORACLES["stream_approval_gates"] = ORACLES["approval_gates_sticky"].replace(
     "CASE WHEN failed_before IS NULL THEN (epoch_us(dts) - epoch_us(opened_at)) // 1000 END AS wait_ms\n", "")
 
 
+SPLIT = """t0 AS (SELECT opened_at AS t, gate_id % 50 = 7 AS moved FROM b_gates
+       UNION ALL SELECT ts, signal_id % 50 = 9 FROM b_signals),
+t1 AS (SELECT min(t) AS lo, max(t) AS hi FROM t0),
+t2 AS (SELECT t, moved, (epoch_us(t) - epoch_us(lo)) * 5 // (epoch_us(hi) - epoch_us(lo) + 1) AS slice FROM t0, t1),
+wm AS (SELECT max(t) FILTER (slice < 4 AND NOT (moved AND slice = 0)) - INTERVAL 2 HOUR AS wm,
+              max(t) FILTER (slice = 0) AS first FROM t2),
+k_gates AS (SELECT g.* FROM b_gates g, wm WHERE NOT (gate_id % 50 = 7 AND opened_at <= first AND opened_at <= wm)),
+k_signals AS (SELECT s.* FROM b_signals s, wm WHERE NOT (signal_id % 50 = 9 AND ts <= first AND ts <= wm)),
+u AS ("""
+ORACLES["stream_gates_late"] = ORACLES["stream_approval_gates"].replace("\nu AS (", "\n" + SPLIT) \
+    .replace("NULL AS signal FROM b_gates", "NULL AS signal FROM k_gates").replace("signal FROM b_signals)", "signal FROM k_signals)") \
+    .replace("END AS decided_at", "END AS decided_at, CAST(NULL AS BIGINT) AS signal_id, CAST(NULL AS VARCHAR) AS signal") \
+    .replace("decided_at, CAST(NULL AS BIGINT) AS signal_id, CAST(NULL AS VARCHAR) AS signal,", "decided_at, CAST(NULL AS BIGINT) AS signal_id, CAST(NULL AS VARCHAR) AS signal") + """
+UNION ALL SELECT gate_id, run_id, stage, opened_at, 'late', NULL, NULL, NULL FROM b_gates ANTI JOIN k_gates USING (gate_id)
+UNION ALL SELECT NULL, run_id, NULL, ts, 'late', NULL, signal_id, signal FROM b_signals ANTI JOIN k_signals USING (signal_id)
+"""
+
+
+@query("stream_gates_late")
+def _stream_gates_late(b):
+    """S3 over five slices in time order: some gates and signals of the first
+    slice come with the last one, behind the watermark; they decide nothing and
+    leave as ``late`` rows, the others as if those had never been."""
+    gates, signals = b.b_gates, b.b_signals
+    ends = _ends(gates.select(F.col("opened_at").alias("ts")).union(signals.select("ts")))
+
+    def arrival(ts, moved):
+        own = _slice_of(ts, ends)
+        return F.coalesce(F.when(moved & (own == 0), SLICES - 1).otherwise(own), F.lit(0)).cast("int")
+
+    end = _end_marker(b.spark, signals.schema, {"signal_id": -1, "run_id": -1, "ts": FAR, "signal": "approve"})
+    landed = {
+        "gates": _arrivals(b, gates.withColumn("slice", arrival(F.col("opened_at"), F.col("gate_id") % 50 == 7))),
+        "signals": _arrivals(b, signals.withColumn("slice", arrival(F.col("ts"), F.col("signal_id") % 50 == 9))
+                             .union(end.withColumn("slice", F.lit(SLICES - 1))))}
+    out = _by_slices(b, landed, lambda s: K.gate_stream(
+        SS.to_event_time(s["gates"], "opened_at"), SS.to_event_time(s["signals"]), "2 hours"))
+    return out.filter(F.col("run_id") >= 0).drop("batch_id")
+
+
 @query("stream_outbox")
 def _stream_outbox(b):
     """Gate openings streamed into the outbox by ``foreachBatch``
@@ -404,10 +507,8 @@ ORACLES["stream_outbox"] = ORACLES["render_notifications"]
 ACT = ["b_activity_events"]
 
 
-@query("stream_stuck_activities")
-def _stream_stuck(b):
-    """Scheduled activities with no completion inside their limit, by a
-    stream-stream left outer join with watermarks on both sides."""
+def _activities(b):
+    """Scheduled activities with their limits, and completions."""
     from ..schemas import activity_timeouts_df
     ev = b.b_activity_events
     lim = activity_timeouts_df(b.spark)
@@ -418,6 +519,39 @@ def _stream_stuck(b):
     done = ev.filter(F.col("completed_after_s").isNotNull()).select(
         "activity_id", F.timestamp_add("SECOND", F.col("completed_after_s"), F.col("scheduled_at"))
         .alias("completed_at"))
+    return sched, done
+
+
+ORACLES["stream_activity_deadlines"] = with_bindings(ACT, f"""
+WITH x AS (SELECT e.*, CAST(CASE WHEN e.activity = 'execute' THEN least(l.limit_s, 1800) ELSE l.limit_s END AS INTEGER)
+             AS limit_s
+      FROM b_activity_events e LEFT JOIN {activity_timeouts_sql()} l ON e.activity = l.activity)
+SELECT activity_id, run_id, activity, scheduled_at, limit_s, scheduled_at + to_seconds(limit_s) AS alert_at
+FROM x WHERE completed_after_s IS NULL OR completed_after_s > limit_s
+""")
+
+
+@query("stream_activity_deadlines")
+def _stream_deadlines(b):
+    """S8 with a timer per activity, over five slices in time order: an alert at
+    the activity's own deadline, whatever the limits of others."""
+    sched, done = _activities(b)
+    ends = _ends(sched, "scheduled_at")
+    end = _end_marker(b.spark, done.schema, {"activity_id": -1, "completed_at": FAR})
+    landed = {
+        "scheduled": _arrivals(b, sched.withColumn("slice", F.coalesce(_slice_of(F.col("scheduled_at"), ends), F.lit(0)))),
+        "completed": _arrivals(b, done.withColumn("slice", F.coalesce(_slice_of(F.col("completed_at"), ends), F.lit(0)))
+                               .union(end.withColumn("slice", F.lit(SLICES - 1))))}
+    return _by_slices(b, landed, lambda s: K.deadline_stream(
+        SS.to_event_time(s["scheduled"], "scheduled_at"), SS.to_event_time(s["completed"], "completed_at"))).select(
+        "activity_id", "run_id", "activity", "scheduled_at", "limit_s", "alert_at")
+
+
+@query("stream_stuck_activities")
+def _stream_stuck(b):
+    """Scheduled activities with no completion inside their limit, by a
+    stream-stream left outer join with watermarks on both sides."""
+    sched, done = _activities(b)
     spath, cpath = scratch_path(b.spark, "sched-src"), scratch_path(b.spark, "done-src")
     sched.repartition(2).write.parquet(spath)
     done.repartition(2).write.parquet(cpath)
@@ -430,10 +564,8 @@ def _stream_stuck(b):
     longest = sched.agg(F.max("limit_s").alias("m")).first()["m"] or 0  # one number of the dimension
 
     def build():
-        ss = SS.to_event_time(b.spark.readStream.schema(b.spark.read.parquet(spath).schema)
-                              .parquet(spath), "scheduled_at")
-        cs = SS.to_event_time(b.spark.readStream.schema(b.spark.read.parquet(cpath).schema)
-                              .parquet(cpath), "completed_at")
+        ss = SS.to_event_time(b.spark.readStream.schema(sched.schema).parquet(spath), "scheduled_at")
+        cs = SS.to_event_time(b.spark.readStream.schema(done.schema).parquet(cpath), "completed_at")
         return SS.stuck_activities(ss, cs, max_limit_s=longest, watermark="1 hour")
     r = _run(b, build, "append")
     return r.filter(F.col("activity_id") >= 0).select(

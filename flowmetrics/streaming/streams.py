@@ -2,21 +2,19 @@
 
 Event time must be TIMESTAMP for watermarks; bindings carry TIMESTAMP_NTZ,
 so streams cast ``ts`` to TIMESTAMP on the way in (``to_event_time``).
-Stateful Python (S3) uses ``applyInPandasWithState`` per run; its state holds the
-flag and the events newer than the watermark, never a whole run.
+The operators that keep state per key with timers (S3, S4, S8 by own deadline)
+are in :mod:`flowmetrics.streaming.keyed`.
 """
 
 from __future__ import annotations
 
-
-import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import types as T
 
 from ..operators import notify as N
-from ..schemas import APPROVAL_TIMEOUT_S, COOLDOWN_TOKEN_LIMIT
+from ..schemas import APPROVAL_TIMEOUT_S
+from . import keyed
 
 
 def to_event_time(df: DataFrame, col: str = "ts") -> DataFrame:
@@ -35,7 +33,9 @@ def metrics_stream(spark: SparkSession, path: str, schema, fmt: str = "json",
 
 # -- S2 ---------------------------------------------------------------------
 def live_run_state(stream: DataFrame) -> DataFrame:
-    """Run state per run kept up to date (update or complete mode)."""
+    """Run state per run kept up to date.  In update mode a micro-batch
+    hands on the runs it changed and no others; :func:`run_to_table` writes them
+    as that batch's version and :func:`latest` reads the last version of each."""
     return stream.groupBy("run_id").agg(
         F.max_by("stage", "seq").alias("current_stage"),
         F.sum("tokens_used").cast("bigint").alias("total_tokens_used"),
@@ -44,45 +44,37 @@ def live_run_state(stream: DataFrame) -> DataFrame:
         F.count(F.lit(1)).cast("bigint").alias("stages_completed"))
 
 
-# -- S4 ---------------------------------------------------------------------
-def running_totals(stream: DataFrame) -> DataFrame:
-    """Tokens, cost and latest time per run so far (update mode): partial
-    sums per task before the shuffle, one state row per run."""
-    return stream.groupBy("run_id").agg(
-        F.sum("tokens_used").cast("bigint").alias("tokens"), F.sum("cost").cast("decimal(38,9)").alias("cost"),
-        F.max("ts").alias("at"))
+def latest(versions: DataFrame, key: str) -> DataFrame:
+    """The row of the latest batch of each key (one partial aggregation)."""
+    cols = [c for c in versions.columns if c not in (key, "batch_id")]
+    return versions.groupBy(key).agg(F.max_by(F.struct(*cols), "batch_id").alias("v")).select(key, "v.*")
 
 
-def alert_writer(path: str, token_limit: int = COOLDOWN_TOKEN_LIMIT, cost_limit: str = "1.00"):
-    """A ``foreachBatch`` function over :func:`running_totals` in update mode.
-    A run gets one ``cooldown`` alert when its tokens exceed ``token_limit`` and
-    one ``budget`` alert when its cost exceeds ``cost_limit``, with the total and
-    time of the micro-batch that crossed; alerts of other batches are left out
-    by an anti-join, a replayed batch overwrites its own."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        over = F.filter(F.array(
-            F.when(F.col("tokens") > token_limit, F.struct(
-                F.lit("cooldown").alias("alert"), F.col("tokens").cast("string").alias("total"))),
-            F.when(F.col("cost") > F.lit(cost_limit).cast("decimal(18,9)"), F.struct(
-                F.lit("budget").alias("alert"), F.col("cost").cast("string").alias("total")))),
-            lambda a: a.isNotNull())
-        rows = batch.select("run_id", F.explode(over).alias("a"), "at") \
-            .select("run_id", "a.alert", "a.total", "at").withColumn("batch_id", F.lit(batch_id))
-        before = written(batch.sparkSession, path)
-        if before is not None:
-            rows = rows.join(before.filter(F.col("batch_id") != batch_id).select("run_id", "alert"),
-                             ["run_id", "alert"], "left_anti")
-        write_batch(rows, path)
+def compact(spark: SparkSession, path: str, schema: T.StructType, key: str, upto: int, to: str) -> None:
+    """Fold the versions up to a batch into one version each, written to ``to``
+    under that batch's id, so that reads need not go through all versions."""
+    old = table(spark, path, schema).filter(F.col("batch_id") <= upto)
+    write_batch(latest(old, key).withColumn("batch_id", F.lit(upto)), to)
+
+
+# -- tables written by batch -----------------------------------------------------
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at ``path``."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-    return run
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
 
-def written(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table under ``path``, or ``None`` before its first batch."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+
+def table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows under ``path`` with their ``batch_id``; no rows where nothing has
+    been written."""
+    fields = [f for f in schema.fields if f.name != "batch_id"]
+    make_folder(spark, path)
+    return spark.read.schema(T.StructType([*fields, T.StructField("batch_id", T.LongType())])).parquet(path)
 
 
 def write_batch(rows: DataFrame, path: str) -> None:
@@ -90,11 +82,22 @@ def write_batch(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
 
-def run_batches(stream: DataFrame, writer, checkpoint: str, mode: str = "append") -> None:
-    """Run a stream to the end of its input through a ``foreachBatch`` function."""
-    q = (stream.writeStream.outputMode(mode).foreachBatch(writer)
+def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> str:
+    """Run a streaming query to the end of its input (``availableNow``), each
+    micro-batch written idempotently under ``path``: append and update mode
+    write ``batch_id=<id>`` partitions (a replay overwrites its own), complete
+    mode overwrites the whole table."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        if mode == "complete":
+            batch.write.mode("overwrite").parquet(path)
+        else:
+            write_batch(batch.withColumn("batch_id", F.lit(batch_id)), path)
+
+    make_folder(df.sparkSession, path)
+    q = (df.writeStream.outputMode(mode).foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+    return path
 
 
 # -- S5 ---------------------------------------------------------------------
@@ -115,6 +118,26 @@ def windowed_dashboard(stream: DataFrame, window: str = "1 hour",
                     "stage", "records", "tests_passed", "duration_ms", "tokens", "cost"))
 
 
+def window_corrections(landed: DataFrame, closed: DataFrame, window: str = "1 hour") -> DataFrame:
+    """What closed windows lack: the landed records of each (window, stage) that
+    came too late for it, and their tokens and cost.  ``closed``: windows that an
+    append-mode :func:`windowed_dashboard` has emitted, or null totals where a
+    window had nothing else."""
+    all_ = landed.groupBy(F.window("ts", window).alias("w"), "stage").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("tokens_used").alias("t"), F.sum("cost").cast("decimal(38,9)").alias("c"))
+    all_ = all_.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "stage", "n", "t", "c")
+    done = closed.select("window_start", "stage", "records", "tests_passed", "duration_ms", "tokens", "cost")
+    both = all_.join(done, ["window_start", "stage"], "left")
+
+    def lack(whole, counted):
+        return F.col(whole) - F.coalesce(counted, F.lit(0))
+
+    return both.select(
+        "window_start", "window_end", "stage", "records", "tests_passed", "duration_ms", "tokens", "cost",
+        lack("n", F.col("records")).alias("late_records"), lack("t", F.col("tokens")).cast("bigint").alias("late_tokens"),
+        lack("c", F.col("cost")).cast("decimal(38,9)").alias("late_cost"))
+
+
 # -- S6 ---------------------------------------------------------------------
 def outbox_writer(path: str, previews: DataFrame | None = None, channels=None,
                   files: DataFrame | None = None):
@@ -139,45 +162,22 @@ def outbox_writer(path: str, previews: DataFrame | None = None, channels=None,
 
 
 # -- S7 ---------------------------------------------------------------------
-def dedupe_writer(path: str, late_path: str, watermark_s: int, cols: list[str], ts: str = "ts"):
-    """S7 without silent loss: a ``foreachBatch`` function that writes each row
-    once to ``path`` and rows older than the watermark (the latest time of all
-    earlier batches less ``watermark_s``) to ``late_path``, so emitted and late
-    rows together are the whole input.  A row is compared with its own batch
-    and with the part of ``path`` that lies above the watermark; the latest time
-    per batch is kept beside it, one row a batch."""
-    seen_path = f"{path.rstrip('/')}-seen"
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        seen, before = written(spark, seen_path), written(spark, path)
-        last = None
-        if seen is not None:
-            last = seen.filter(F.col("batch_id") < batch_id).agg(F.max("latest").alias("m")).first()["m"]
-        rows = batch.select(*cols)
-        if last is not None:
-            line = F.timestamp_add("SECOND", F.lit(-watermark_s), F.lit(last))
-            old = F.coalesce(F.col(ts) < line, F.lit(False))
-            write_batch(rows.filter(old).withColumn("batch_id", F.lit(batch_id)), late_path)
-            rows = rows.filter(~old)
-            if before is not None:
-                near = before.filter((F.col("batch_id") < batch_id) & (F.col(ts).isNull() | (F.col(ts) >= line)))
-                rows = rows.join(
-                    near.select(F.struct(*cols).alias("__old")), F.struct(*cols) == F.col("__old"), "left_anti")
-        write_batch(rows.dropDuplicates().withColumn("batch_id", F.lit(batch_id)), path)
-        write_batch(batch.agg(F.max(ts).alias("latest")).withColumn("batch_id", F.lit(batch_id)), seen_path)
-
-    return run
-
-
 def dedupe_stream(stream: DataFrame, watermark: str = "1 hour", cols=None) -> DataFrame:
     """Drop exact duplicate lines (a retried append) within the watermark.
-    Spark drops rows older than the watermark without a trace; where they must
-    not be lost, use :func:`dedupe_writer`."""
+    The state holds one entry a row until the watermark has passed it.  Rows
+    behind the watermark leave the stream; :func:`late_rows` gives them."""
     cols = cols or stream.columns
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(list(cols))
 
 
+def late_rows(landed: DataFrame, emitted: DataFrame) -> DataFrame:
+    """The distinct landed rows that a deduplicating stream has not emitted, once
+    it has read all of ``landed``: those that came behind its watermark."""
+    cols = landed.columns
+    there = emitted.select(F.struct(*cols).alias("__there"))
+    return landed.distinct().join(there, F.struct(*cols) == F.col("__there"), "left_anti")
+
+
 # -- S8 ---------------------------------------------------------------------
 def stuck_activities(scheduled: DataFrame, completed: DataFrame, max_limit_s: int,
                      watermark: str = "1 hour") -> DataFrame:
@@ -202,136 +202,9 @@ def stuck_activities(scheduled: DataFrame, completed: DataFrame, max_limit_s: in
 
 
 # -- S3 ---------------------------------------------------------------------
-GATE_OUT = ("gate_id bigint, run_id bigint, stage string, opened_at timestamp, outcome string, "
-            "decided_at timestamp")
-GATE_STATE = ("mode string, flag string, failed boolean, pending string, buffer string")
-
-
-def _gate_machine(timeout_s: int):
-    """Sticky gate state machine over one run's events in event-time order.
-
-    State: ``mode`` (idle / flag / wait / failed), the flag value, gates
-    waiting for a signal, and the events not yet behind the watermark
-    (JSON).  Events at or behind the watermark are final and processed in
-    (time, signal-before-gate, id) order; a waiting gate times out when the
-    watermark passes its deadline."""
-    import json
-
-    lim = pd.Timedelta(seconds=timeout_s)
-
-    def step(st, ev, out):
-        t, kind, eid, stage, sig = ev
-        # timeouts strictly before this event
-        while st["pending"] and st["pending"][0][3] + lim < t:
-            _timeout(st, out)
-        if st["failed"]:
-            if kind == 1:
-                out.append((eid, st["run"], stage, t, "not_reached", None))
-            return
-        if kind == 0:
-            if st["pending"]:
-                for gid, _, gstage, gt in st["pending"]:
-                    out.append((gid, st["run"], gstage, gt,
-                                "approved" if sig == "approve" else "rejected", t))
-                st["pending"] = []
-                if sig != "approve":
-                    st["failed"] = True
-            else:
-                st["flag"] = sig
-        else:
-            if st["pending"]:
-                st["pending"].append((eid, st["run"], stage, t))
-            elif st["flag"] is not None:
-                ok = st["flag"] == "approve"
-                out.append((eid, st["run"], stage, t, "approved" if ok else "rejected", t))
-                st["flag"] = None
-                if not ok:
-                    st["failed"] = True
-            else:
-                st["pending"].append((eid, st["run"], stage, t))
-
-    def _timeout(st, out):
-        gid, run, stage, gt = st["pending"].pop(0)
-        out.append((gid, run, stage, gt, "timeout", gt + lim))
-        st["failed"] = True
-        for g2, r2, s2, t2 in st["pending"]:
-            out.append((g2, r2, s2, t2, "not_reached", None))
-        st["pending"] = []
-
-    def fn(key, pdfs, state):
-        run = int(key[0])
-        if state.exists:
-            mode, flag, failed, pending, buffer = state.get
-            pend = [(a, b, c, pd.Timestamp(d)) for a, b, c, d in json.loads(pending)]
-            buf = [(pd.Timestamp(a), b, c, d, e) for a, b, c, d, e in json.loads(buffer)]
-        else:
-            flag, failed, pend, buf = None, False, [], []
-        for pdf in pdfs:
-            for r in pdf.itertuples(index=False):
-                buf.append((pd.Timestamp(r.t), int(r.kind), int(r.id),
-                            None if pd.isna(r.stage) else r.stage,
-                            None if pd.isna(r.signal) else r.signal))
-        wm = state.getCurrentWatermarkMs()
-        wm_ts = pd.Timestamp(wm, unit="ms") if wm and wm > 0 else None
-        buf.sort(key=lambda e: (e[0], e[1], e[2]))
-        st = {"run": run, "flag": flag, "failed": failed, "pending": pend}
-        out: list = []
-        if state.hasTimedOut or wm_ts is not None:
-            ready = [e for e in buf if wm_ts is not None and e[0] <= wm_ts]
-            buf = [e for e in buf if not (wm_ts is not None and e[0] <= wm_ts)]
-            for e in ready:
-                step(st, e, out)
-            while st["pending"] and wm_ts is not None and st["pending"][0][3] + lim < wm_ts \
-                    and not (buf and buf[0][0] <= st["pending"][0][3] + lim):
-                _timeout(st, out)
-        if not st["failed"] and st["flag"] is None and not st["pending"] and not buf:
-            # as good as a run never seen: nothing to keep
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame(out, columns=["gate_id", "run_id", "stage", "opened_at", "outcome", "decided_at"])
-            return
-        state.update((
-            "failed" if st["failed"] else "open", st["flag"], st["failed"],
-            json.dumps([(a, b, c, str(d)) for a, b, c, d in st["pending"]]),
-            json.dumps([(str(a), b, c, d, e) for a, b, c, d, e in buf])))
-        nxt = [e[0] for e in buf] + [p[3] + lim for p in st["pending"]]
-        if nxt:
-            state.setTimeoutTimestamp(int(min(nxt).value // 10**6) + 1)
-        yield pd.DataFrame(out, columns=["gate_id", "run_id", "stage", "opened_at", "outcome",
-                                         "decided_at"])
-
-    return fn
-
-
 def approval_gate_stream(gates: DataFrame, signals: DataFrame, watermark: str = "2 hours",
                          timeout_s: int = APPROVAL_TIMEOUT_S) -> DataFrame:
-    """S3: sticky approval gates on streams of gate openings and signals.
-    Emits approved / rejected / timeout / not_reached once the watermark has
-    passed the deciding moment."""
-    g = gates.select("run_id", F.col("opened_at").alias("t"), F.lit(1).alias("kind"),
-                     F.col("gate_id").alias("id"), "stage", F.lit(None).cast("string").alias("signal"))
-    s = signals.select("run_id", F.col("ts").alias("t"), F.lit(0).alias("kind"),
-                       F.col("signal_id").alias("id"), F.lit(None).cast("string").alias("stage"),
-                       "signal")
-    u = g.unionByName(s).withWatermark("t", watermark)
-    return u.groupBy("run_id").applyInPandasWithState(
-        _gate_machine(timeout_s), GATE_OUT, GATE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-# -- running helpers ----------------------------------------------------------
-def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> str:
-    """Run a streaming query to completion (``availableNow``) writing each
-    micro-batch idempotently under ``path``: append mode writes
-    ``batch_id=<id>`` partitions (overwrite on replay), complete mode
-    overwrites the whole table."""
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        if mode == "complete":
-            batch.write.mode("overwrite").parquet(path)
-        else:
-            (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
-
-    q = (df.writeStream.outputMode(mode).foreachBatch(sink)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return path
+    """S3: the decided gates of :func:`flowmetrics.streaming.keyed.gate_stream`,
+    which also hands on the late rows."""
+    return keyed.gate_stream(gates, signals, watermark, timeout_s).filter(F.col("outcome") != "late") \
+        .select("gate_id", "run_id", "stage", "opened_at", "outcome", "decided_at")
