@@ -10,9 +10,17 @@ the whole text counts.
 Fitting: up to ``DOCS_PER_LANG`` texts a language (by a hash of the id) and up
 to ``WINDOWS_PER_DOC`` windows of each, spread over the text.
 
+Filtering (:func:`in_a_language`): a network trained with one more class, made
+of windows that are no language (learned windows with their bytes shuffled,
+hexadecimal and base64 data, symbols).  A text is rejected if its mean
+probability of that class is ``NOISE_SCORE`` or more over at least
+``NOISE_BYTES`` (a line of numbers and addresses is too little to tell), or if
+it has no letter.
+
 Defined results: a null text, or one without any letter, is ``und`` with score
 0.0; null ``lang`` values are not learned; a null id counts as the text '' in
-the fold; with nothing to learn from every text is ``und``; repeated rows each
+the fold; with nothing to learn from every text is ``und``, and
+filtering keeps all texts with a letter; repeated rows each
 get a result; other columns are not read.
 """
 
@@ -33,6 +41,10 @@ EMBED = 8
 DOCS_PER_LANG = 400
 WINDOWS_PER_DOC = 12
 UND = "und"
+#: the class of windows that are no language; no value of ``lang``
+NOISE = "\0noise"
+NOISE_SCORE = 0.9
+NOISE_BYTES = 2 * WINDOW
 _ROWS = 128  # windows at once
 
 
@@ -144,8 +156,24 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(documents: DataFrame, is_train: Column, docs_per_lang: int = DOCS_PER_LANG) -> ByteConvNet | None:
-    """Fit on a bounded sample; ``None`` when there is no labelled text."""
+def noise_windows(x: np.ndarray, n: int, seed: int = 5) -> np.ndarray:
+    """``n`` windows that are no language: windows of ``x`` with their bytes
+    shuffled, and runs of hexadecimal, base64 and symbol characters."""
+    g = np.random.default_rng(seed)
+    shuffled = g.permuted(x[g.integers(len(x), size=n)], axis=1)
+    parts = [shuffled[:n // 2]]
+    for signs in (b"0123456789abcdef", b"0123456789abcdefghijklmnopqrstuvwxyz+/", b"!#$%&()*+,-./:;<=>?@[]^_{|}~ 0123456789ax"):
+        pool = np.frombuffer(signs, np.uint8)
+        parts.append(pool[g.integers(len(pool), size=(n // 6, WINDOW))])
+        spaced = parts[-1][::2]  # every other one with blanks
+        spaced[g.random(spaced.shape) < 0.12] = 32
+    return np.concatenate(parts)
+
+
+def train(documents: DataFrame, is_train: Column, docs_per_lang: int = DOCS_PER_LANG,
+          noise: bool = False) -> ByteConvNet | None:
+    """Fit on a bounded sample; ``None`` when there is no labelled text.
+    ``noise``: with the class of windows that are no language."""
     docs = documents.select("doc_id", "text", F.col("lang").cast("string").alias("lang")) \
         .filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & is_train)
     # one row per language
@@ -178,7 +206,12 @@ def train(documents: DataFrame, is_train: Column, docs_per_lang: int = DOCS_PER_
     x = np.concatenate([np.frombuffer(r["w"], np.uint8).reshape(-1, WINDOW) for r in rows])
     y = np.concatenate([np.full(len(r["w"]) // WINDOW, classes.index(r["lang"])) for r in rows])
     order = np.lexsort((y, x[:, 1], x[:, 0], x[:, 7], x[:, 31]))  # independent of task order
-    return ByteConvNet(classes).fit(x[order], y[order])
+    x, y = x[order], y[order]
+    if noise:
+        extra = noise_windows(x, max(6, len(x) // len(classes)))
+        x, y = np.concatenate([x, extra]), np.concatenate([y, np.full(len(extra), len(classes))])
+        classes = [*classes, NOISE]
+    return ByteConvNet(classes).fit(x, y)
 
 
 def predict(documents: DataFrame, model: ByteConvNet | None, key: list[Column]) -> DataFrame:
@@ -210,6 +243,19 @@ def predict(documents: DataFrame, model: ByteConvNet | None, key: list[Column])
     return cols.mapInArrow(run, schema)
 
 
+def in_a_language(documents: DataFrame) -> DataFrame:
+    """The rows whose text is in a language, all columns; learns from the
+    non-null ``lang`` values of the rows it is given."""
+    model = train(documents, F.lit(True), noise=True)
+    if model is None:
+        return documents.filter(F.col("text").cast("string").rlike(r"\p{L}"))
+    row = F.struct(*[documents[c] for c in documents.columns]).alias("row")
+    named = predict(documents, model, [row])
+    noise = (F.col("lang_pred") == NOISE) & (F.col("score") >= NOISE_SCORE) \
+        & (F.octet_length(F.col("row.text").cast("string")) >= NOISE_BYTES)
+    return named.filter((F.col("lang_pred") != UND) & ~noise).select("row.*")
+
+
 def detect(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; learns from the rows
     whose fold is not 2."""

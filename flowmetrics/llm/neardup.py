@@ -29,7 +29,7 @@ a longest increasing run of positions; only positions within the band
 
 Defined results: null texts and texts without words link to nothing, their
 class is their own id; rows with a null id get a null class and take no part;
-rows of one id count as one document, repeated rows get the same class; an
+rows of one id are documents of their own, each with the class of its own text; an
 empty table gives no rows; other columns are not read.
 """
 
@@ -58,7 +58,6 @@ DRAWS = 8
 FULL = 16
 BLOCK = 256
 BLOCK_LABELS = 200_000
-ROUNDS = 60
 #: broadcast a join side up to so many labels (16 bytes), texts' minima (300
 #: bytes) or signs of text; larger ones are shuffled
 FEW_LABELS = 200_000
@@ -257,7 +256,7 @@ def components(edges: DataFrame) -> DataFrame:
     label = staged(both.groupBy("id").agg(F.min("to").alias("low"))
                    .select("id", F.least("low", "id").alias("comp")), "labels")
     n = label.count()
-    for _ in range(ROUNDS):
+    while True:  # labels only fall, so it ends
         of = _side(label.select(F.col("id").alias("to"), F.col("comp").alias("near")), n, FEW_LABELS)
         low = both.join(of, "to").groupBy("id").agg(F.min("near").alias("low"))
         one = low.join(_side(label, n, FEW_LABELS), "id").select("id", "comp", F.least("comp", "low").alias("new"))
@@ -267,7 +266,6 @@ def components(edges: DataFrame) -> DataFrame:
         label = nxt.select("id", "comp")
         if not nxt.filter(F.col("comp") != F.col("was")).count():
             return label
-    raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
 
 
 def _small_pairs(held: DataFrame) -> DataFrame:
@@ -356,14 +354,35 @@ def _large_links(held: DataFrame, small: DataFrame, texts: DataFrame, rows: int,
 
 def classes(documents: DataFrame) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of its class) of every row."""
+    if not _several(documents.filter(F.col("doc_id").isNotNull())):
+        return _classes(documents)
+    by_row = _row_classes(documents)
+    low = by_row.groupBy("class_row").agg(F.min("doc_id").alias("class_id"))
+    return by_row.join(low, "class_row", "left").select("doc_id", "class_id")
+
+
+def _numbered(documents: DataFrame) -> DataFrame:
+    """The documents with a number of their own, written once."""
+    return staged(documents.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
+def _row_classes(documents: DataFrame, numbered: DataFrame | None = None) -> DataFrame:
+    """(row, doc_id, class_row): classes of rows, whatever ids they have; rows
+    with a null id have none."""
+    rows = _numbered(documents.select("doc_id", "text")) if numbered is None else numbered
+    named = F.when(F.col("doc_id").isNotNull(), F.col("__row"))
+    cls = _classes(rows.select(named.alias("doc_id"), "text"))
+    ids = rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    return ids.join(cls.select(F.col("doc_id").alias("row"), F.col("class_id").alias("class_row")), "row", "left")
+
+
+def _classes(documents: DataFrame) -> DataFrame:
+    """:func:`classes` of documents whose ids are all different (or null)."""
     rows = staged(_sketch_table(documents), "sketches")
     live = rows.filter(F.col("fp").isNotNull() & F.col("doc_id").isNotNull())
     first = staged(live.groupBy("fp").agg(F.min("doc_id").alias("id")), "texts")
     reps = live.join(first.withColumnRenamed("fp", "fp_"), (F.col("doc_id") == F.col("id")) & (F.col("fp") == F.col("fp_"))) \
         .select("id", "n", "keys", "minima")
-    several = _several(live)
-    if several:
-        reps = reps.dropDuplicates(["id"])  # rows of one id are one document
     members = reps.select("id", F.explode("keys").alias("key"))
     # two hubs a bucket: the smallest id, and one drawn by hash; buckets of one
     # draw group that share many texts mostly agree on it
@@ -377,7 +396,7 @@ def classes(documents: DataFrame) -> DataFrame:
     small = staged(reps.select("id", "n", "minima", "keys").join(some, "id"), "minima")
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(some, "id")
-    texts = staged(texts.dropDuplicates(["id"]) if several else texts, "some")
+    texts = staged(texts, "some")
     size = texts.agg(F.sum(F.length("text")).alias("s")).first()["s"] or 0
 
     star = shared.select("id", F.explode(F.array("hub", "hub2")).alias("to")).filter(F.col("id") != F.col("to")) \
@@ -405,19 +424,22 @@ def classes(documents: DataFrame) -> DataFrame:
     return known.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
-def _several(live: DataFrame) -> bool:
+def _several(documents: DataFrame) -> bool:
     """Whether any id stands on several rows."""
-    most = live.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("m")).first()["m"]
+    most = documents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("m")).first()["m"]
     return (most or 0) > 1
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """The documents (all columns) but for one of each class only, the one of
-    smallest id; rows with a null id stay."""
-    cls = classes(documents.select("doc_id", "text"))
-    gone = cls.filter(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = documents.join(gone, documents["doc_id"] == F.col("__gone"), "left_anti")
-    if _several(kept.filter(F.col("doc_id").isNotNull())):
-        kept = kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]) \
-            .unionByName(kept.filter(F.col("doc_id").isNull()))
-    return kept
+    smallest id (of one id: the first); rows with a null id stay.  Where ids
+    repeat, a row goes for its own text only, never for another row's."""
+    if not _several(documents.filter(F.col("doc_id").isNotNull())):
+        cls = _classes(documents.select("doc_id", "text"))
+        gone = cls.filter(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias("__gone"))
+        return documents.join(gone, documents["doc_id"] == F.col("__gone"), "left_anti")
+    rows = _numbered(documents)
+    by_row = _row_classes(documents, rows).filter(F.col("doc_id").isNotNull())
+    first = by_row.groupBy("class_row").agg(F.min(F.struct("doc_id", "row")).alias("f")).select(F.col("f.row").alias("__kept"))
+    kept = rows.filter(F.col("doc_id").isNotNull()).join(first, rows["__row"] == F.col("__kept"), "left_semi")
+    return kept.unionByName(rows.filter(F.col("doc_id").isNull())).drop("__row")

@@ -110,6 +110,18 @@ def test_classes_odd_rows(spark):
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == [-1, 1, 3, 4, 5, 6, 7]
 
 
+def test_repeated_ids_keep_unique_texts(spark):
+    """A row goes for its own text only, whatever other rows of its id hold."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, b), (4, c), (None, a), (5, None), (5, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], H.DOCS)
+    kept = sorted(((r.doc_id, r.text) for r in neardup.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(1, a), (2, b), (4, c), (None, a), (5, None)], key=str)
+    assert neardup.keep_one(docs).columns == docs.columns
+    got = sorted(((r.doc_id, r.class_id) for r in neardup.classes(docs).collect()), key=str)
+    assert got == sorted([(1, 1), (2, 1), (2, 2), (3, 2), (3, 2), (4, 4), (None, None), (5, 5), (5, 4)], key=str)
+
+
 def test_alignment_needs_the_order():
     a = np.arange(100, dtype=np.uint64)
     assert neardup.linked(a, a) and not neardup.linked(a, np.roll(a, 50))
@@ -188,6 +200,21 @@ def test_pipeline_stages(spark):
     assert one == set(brute_classes(list(texts.items())).values())
 
 
+def test_language_stage_rejects_noise_and_keeps_what_it_cannot_learn(spark):
+    import base64
+    import random
+    g = random.Random(1)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    noise = [(9001, base64.b64encode(g.randbytes(600)).decode()), (9002, " ".join(g.randbytes(4).hex() for _ in range(90))),
+             (9003, g.randbytes(500).hex()), (9004, "12 !! 34")]
+    extra = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in noise], H.DOCS)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(extra), H.SF).collect()}
+    assert kept == {r.doc_id for r in docs.collect()}  # all clean ones, and no noise
+    blank = docs.selectExpr("doc_id", "text", "cast(null as string) AS lang", "source", "n_chars").unionByName(extra)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, blank, H.SF).collect()}
+    assert 9004 not in kept and len(kept) == docs.count() + 3
+
+
 def test_pipeline_runs_and_takes_empty_tables(spark, tmp_path):
     out = corpus_pipeline.run(spark, H.SF)
     assert out.count() > 0 and set(out.columns) >= {"doc_id", "piece", "sequence_id", "offset"}
