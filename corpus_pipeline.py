@@ -5,9 +5,11 @@ Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor
 kept; all but the last return the columns of ``documents``.  ``run`` writes each
 stage's rows once in the shared folder and hands them on.
 
-* language ID: texts without letters (``und``) go.  The network learns from the
-  non-null ``lang`` values of the rows it is given.
-* near-duplicates: one document of each class stays, the one of smallest id.
+* language ID: texts go that have no letter, or that the network, which learns
+  from the non-null ``lang`` values and from noise, takes for noise throughout.
+  With no ``lang`` value at all, texts with a letter stay.
+* near-duplicates: one document of each class stays, the one of smallest id;
+  where ids repeat, rows go for their own text only.
 * decontamination: documents that hold a benchmark window go.
 * personal data: every span is replaced by its kind in angle brackets, and
   ``n_chars`` follows the new text.
@@ -28,10 +30,7 @@ from flowmetrics.llm.common import staged, table
 
 def language_id(spark, docs, sf_dir):
     """Rows whose text has a language."""
-    model = langid.train(docs, F.lit(True))
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    named = langid.predict(docs, model, [row])
-    return named.filter(F.col("lang_pred") != langid.UND).select("row.*")
+    return langid.in_a_language(docs)
 
 
 def near_duplicates(spark, docs, sf_dir):
