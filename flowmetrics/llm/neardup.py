@@ -1,31 +1,35 @@
 """Near-duplicates by Order MinHash with banded alignment.
 
-A text is the sequence of its five-word shingles (``common.WORD`` words, A-Z
-lowered; a text of one to four words is one shingle), each labelled with its
-occurrence number, so all labels of a text differ.  Two texts are linked if
-``m / (n1 + n2 - m) >= 0.8``, where ``m`` is the number of labels matched by the
-best alignment that keeps their order.
+A text is the sequence of its words (``common.WORD``, A-Z lowered).  Two texts are
+linked if ``1 - d / max(n1, n2) >= 0.8``, where ``d`` is the least number of words
+to change, add or drop to make one of the other.
 
 1. Texts with the same words are collapsed by hash: one representative each.
-2. Order MinHash: for each of several hash functions the smallest labels are
-   taken and kept *in text order*; hashed, they are one sketch.  Texts below
-   ``SHORT`` shingles take 3 labels in 24 sketches, longer ones 6 in 32, texts near
-   the border both, so a linked pair shares a sketch with a probability of
-   0.9999 at 0.8 and practically 1 above.
+2. Order MinHash: a text's five-word shingles (one to four words: one shingle)
+   are labelled with their occurrence number.  For each of ``SINGLES`` hash
+   functions the smallest labels are taken and kept *in text order*; hashed,
+   they are one sketch: 2 labels below ``SHORT`` shingles, 3 above, both near the
+   border.  The share of shingles that two texts have in common, ``j``, falls
+   with the fifth power of the words they share: with words changed at random,
+   ``j`` is 0.42 at a similarity of 0.9 and 0.2 at 0.8, where a pair shares a
+   sketch with a probability of 1.00 and 0.92 (short), 0.99 and 0.38 (long); a
+   copy is linked through any one member of its group.
 3. Within each bucket of equal sketches every text is paired with the one of
    smallest id and with one drawn by hash (stars, not all pairs); pairs whose
-   64 single minima disagree too much are skipped (one at 0.8 is kept with a
-   probability above 0.99999), the others verified by alignment within the band
-   that the similarity allows; linked texts are joined by repeated minimum labels.
+   single minima disagree too much are skipped (kept with a probability above
+   0.95 at ``j = 0.2``, 0.9999 at 0.42), the others verified by alignment; linked texts are
+   joined by repeated minimum labels.
 4. All pairs of texts that share a bucket but are not yet joined are compared:
    in buckets of up to ``FULL`` texts as rows of pairs, in larger ones in pairs of
    blocks, one group each, where only the links found become rows.  A pair of
    texts is compared in the first bucket that both have; texts of the component
    that most of a bucket belongs to meet the other texts only.
 
-Alignment: the labels of a text are unique, so the best order-keeping match is
-a longest increasing run of positions; only positions within the band
-``max(n1, n2) - m_needed`` can take part.
+Alignment: words in common (with their counts) bound ``d`` from below and rule most
+pairs out.  Shingles in common, in order and within the band of diagonals that the
+similarity allows, anchor the texts on each other; only the words between anchors
+are aligned, which bounds ``d`` from above.  What neither bound decides takes the
+exact alignment within the band.
 
 Defined results: null texts and texts without words link to nothing, their
 class is their own id; rows with a null id get a null class and take no part;
@@ -48,11 +52,14 @@ from .common import mix, staged, utf8_blocks, word_hashes
 K = 5
 SIMILARITY = 0.8
 SHORT = 64
-#: (labels in a sketch, sketches) below and from SHORT shingles
-SKETCHES = ((3, 24), (6, 32))
+#: labels in a sketch below and from SHORT shingles
+TAKE = (2, 3)
+#: hash functions: sketches of a text, and single minima
 SINGLES = 64
 #: equal single minima that a pair must have to be verified
-LEAST_EQUAL = 36
+LEAST_EQUAL = 8
+#: words between anchors are aligned up to so many comparisons a gap
+GAP = 1 << 18
 DRAWS = 8
 #: buckets of more texts are compared in blocks of about so many texts or labels
 FULL = 16
@@ -65,15 +72,8 @@ FEW_MINIMA = 20_000
 FEW_SIGNS = 8_000_000
 
 
-def shingle_labels(words: np.ndarray) -> np.ndarray:
-    """Occurrence-labelled hashes of a text's shingles, in order."""
-    n = len(words)
-    if n == 0:
-        return words
-    k = min(K, n)
-    h = np.zeros(n - k + 1, np.uint64)
-    for j in range(k):
-        h = mix(h * np.uint64(31) + words[j:n - k + 1 + j] + np.uint64(j + 1))
+def labelled(h: np.ndarray) -> np.ndarray:
+    """Hashes made different by their occurrence numbers."""
     order = np.argsort(h, kind="stable")
     s = h[order]
     new = np.ones(len(s), bool)
@@ -87,12 +87,19 @@ def shingle_labels(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def _seeds(n: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 2 ** 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def shingle_labels(words: np.ndarray) -> np.ndarray:
+    """Occurrence-labelled hashes of a text's shingles, in order."""
+    n = len(words)
+    if n == 0:
+        return words
+    k = min(K, n)
+    h = np.zeros(n - k + 1, np.uint64)
+    for j in range(k):
+        h = mix(h * np.uint64(31) + words[j:n - k + 1 + j] + np.uint64(j + 1))
+    return labelled(h)
 
 
-_ODD = {c: _seeds(r, 100 + c) for c, (_, r) in enumerate(SKETCHES)}
-_ODD["single"] = _seeds(SINGLES, 200)
+_ODD = np.random.default_rng(200).integers(1, 2 ** 63, SINGLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _ranks(labels: np.ndarray, odd: np.ndarray) -> np.ndarray:
@@ -103,73 +110,142 @@ def _ranks(labels: np.ndarray, odd: np.ndarray) -> np.ndarray:
     return z
 
 
-def sketches(labels: np.ndarray) -> list[int]:
-    """Order MinHash sketches of one text, as signed 64-bit bucket keys."""
-    n = len(labels)
-    out = []
-    for c, (take, rows) in enumerate(SKETCHES):
-        if n * SIMILARITY >= SHORT if c == 0 else n < SHORT * SIMILARITY:
-            continue
-        step = max(1, (1 << 20) // n)
-        for i in range(0, rows, step):
-            odd = _ODD[c][i:i + step]
-            z = _ranks(labels, odd)
-            m = min(take, n)
-            at = np.argpartition(z, m - 1, axis=1)[:, :m] if m < n else np.tile(np.arange(n), (len(odd), 1))
-            at.sort(axis=1)  # text order
-            key = np.arange(i, i + len(odd), dtype=np.uint64) + np.uint64(1000 * c + 1)
-            for j in range(m):
-                key = mix(key * np.uint64(31) + labels[at[:, j]])
-            out.extend(key.view(np.int64).tolist())
-    return out
+def kinds_of(shingles: int) -> list[int]:
+    """Which kinds of sketches (places in ``TAKE``) a text has."""
+    return [c for c, has in enumerate((shingles * SIMILARITY < SHORT, shingles >= SHORT * SIMILARITY)) if has]
 
 
-def single_minima(labels: np.ndarray) -> np.ndarray:
+def sketches(labels: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Order MinHash sketches of one text, as signed 64-bit bucket keys, and its
+    single minima."""
     n = len(labels)
+    kinds = kinds_of(n)
+    keys, small = [[] for _ in kinds], []
     step = max(1, (1 << 20) // n)
-    return np.concatenate([_ranks(labels, _ODD["single"][i:i + step]).min(axis=1)
-                           for i in range(0, SINGLES, step)]).astype(np.uint32)
-
-
-def matched(a: np.ndarray, b: np.ndarray, need: int) -> int:
-    """Labels matched by the best order-keeping alignment of two texts within
-    the band that ``need`` matches allow; below ``need``: any lower number."""
-    if min(len(a), len(b)) < need:
-        return 0
-    order = np.argsort(b)
-    at = np.searchsorted(b, a, sorter=order)
-    at[at == len(b)] = 0
+    for i in range(0, SINGLES, step):
+        odd = _ODD[i:i + step]
+        z = _ranks(labels, odd)
+        small.append(z.min(axis=1))
+        most = min(TAKE[kinds[-1]], n)
+        at = np.argpartition(z, most - 1, axis=1)[:, :most] if most < n else np.tile(np.arange(n), (len(odd), 1))
+        near = np.take_along_axis(at, np.argsort(np.take_along_axis(z, at, 1), axis=1), 1)  # smallest first
+        for out, c in zip(keys, kinds):
+            here = np.sort(near[:, :TAKE[c]], axis=1)  # text order
+            key = np.arange(i, i + len(odd), dtype=np.uint64) + np.uint64(1000 * c + 1)
+            for j in range(here.shape[1]):
+                key = mix(key * np.uint64(31) + labels[here[:, j]])
+            out.extend(key.view(np.int64).tolist())
+    return [k for out in keys for k in out], np.concatenate(small).astype(np.uint32)
+
+
+# -- alignment -------------------------------------------------------------------
+
+def edit_distance(x: np.ndarray, y: np.ndarray, limit: int) -> int:
+    """Words to change, add or drop; beyond ``limit``: any number above it.
+    Row by row within the band of ``limit`` diagonals on either side."""
+    n, m = len(x), len(y)
+    if abs(n - m) > limit:
+        return limit + 1
+    place = np.arange(m + 1)
+    above, row = place.copy(), np.empty(m + 1, np.int64)
+    for i in range(1, n + 1):
+        lo, hi = max(1, i - limit), min(m, i + limit)
+        best = np.empty(hi - lo + 2, np.int64)
+        best[0] = i if lo == 1 else limit + 1
+        best[1:] = np.minimum(above[lo - 1:hi] + (y[lo - 1:hi] != x[i - 1]), above[lo:hi + 1] + 1)
+        here = place[lo - 1:hi + 1]
+        best = np.minimum.accumulate(best - here) + here
+        if best.min() > limit:
+            return limit + 1
+        row[lo - 1:hi + 1] = best
+        if hi < m:
+            row[hi + 1] = limit + 1
+        above, row = row, above
+    return int(above[m])
+
+
+def anchors(la: np.ndarray, lb: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of common labels in both texts: the most that keep their order,
+    within the band."""
+    order = np.argsort(lb)
+    at = np.searchsorted(lb, la, sorter=order)
+    at[at == len(lb)] = 0
     j = order[at]
-    hit = (b[j] == a) & (np.abs(j - np.arange(len(a))) <= max(len(a), len(b)) - need)
-    j = j[hit]
-    if len(j) < need or (len(j) < 2 or (np.diff(j) > 0).all()):
-        return len(j)
-    tails: list[int] = []
-    for x in j.tolist():
-        i = bisect_left(tails, x)
-        if i == len(tails):
-            tails.append(x)
-        else:
-            tails[i] = x
-    return len(tails)
-
-
-def linked(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
-    total = len(a) + len(b)
-    need = int(np.ceil(similarity * total / (1 + similarity) - 1e-9))
-    return total > 0 and matched(a, b, max(need, 1)) >= max(need, 1)
-
-
-def _labels_of(column):
+    i = np.flatnonzero((lb[j] == la) & (np.abs(j - np.arange(len(la))) <= band))
+    j = j[i]
+    if len(j) < 2 or (np.diff(j) > 0).all():
+        return i, j
+    tails: list[int] = []   # longest increasing run, with the way back
+    ends: list[int] = []
+    back = np.full(len(j), -1)
+    for k, x in enumerate(j.tolist()):
+        p = bisect_left(tails, x)
+        back[k] = ends[p - 1] if p else -1
+        tails[p:p + 1] = [x]
+        ends[p:p + 1] = [k]
+    run, k = [], ends[-1]
+    while k >= 0:
+        run.append(k)
+        k = back[k]
+    run = np.array(run[::-1])
+    return i[run], j[run]
+
+
+def anchored_distance(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, limit: int) -> int:
+    """A bound of the edit distance from above: the words between anchors,
+    aligned, and beyond ``limit`` any number above it."""
+    i, j = anchors(la, lb, limit)
+    if not len(i):
+        return max(len(a), len(b))
+    span = min(K, len(a), len(b))
+    # anchors that go on from the one before need nothing
+    new = np.ones(len(i), bool)
+    new[1:] = (np.diff(i) != 1) | (np.diff(j) != 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(i)) - 1
+    total, ea, eb = 0, 0, 0
+    for s, e in zip(first.tolist(), last.tolist()):
+        shift = max(ea - i[s], eb - j[s], 0)  # what the run before has covered
+        if i[e] + span - (i[s] + shift) <= 0:
+            continue
+        total += _gap(a[ea:i[s] + shift], b[eb:j[s] + shift], limit - total)
+        if total > limit:
+            return total
+        ea, eb = i[e] + span, j[e] + span
+    return total + _gap(a[ea:], b[eb:], limit - total)
+
+
+def _gap(x: np.ndarray, y: np.ndarray, limit: int) -> int:
+    n, m = len(x), len(y)
+    if min(n, m) == 0 or max(n, m) == 1 or n * m > GAP or limit < 0:
+        return max(n, m)
+    return edit_distance(x, y, max(limit, 0))
+
+
+def linked(a: np.ndarray, b: np.ndarray, labels=None, similarity: float = SIMILARITY) -> bool:
+    """Whether two texts, as word hashes, are alike; ``labels``: their shingles'."""
+    n = max(len(a), len(b))
+    limit = int((1 - similarity) * n + 1e-9)
+    if min(len(a), len(b)) < max(1, n - limit):
+        return False
+    if len(np.intersect1d(labelled(a), labelled(b), assume_unique=True)) < n - limit:
+        return False
+    la, lb = labels if labels is not None else (shingle_labels(a), shingle_labels(b))
+    return anchored_distance(a, b, la, lb, limit) <= limit or edit_distance(a, b, limit) <= limit
+
+
+def _words_of(column):
+    """(row, words, shingle labels) of every text."""
     for i0, off, data in utf8_blocks(column):
         words, before = word_hashes(data, off)
         for r in range(len(off) - 1):
-            yield i0 + r, shingle_labels(words[before[r]:before[r + 1]])
+            w = words[before[r]:before[r + 1]]
+            yield i0 + r, w, shingle_labels(w)
 
 
 def _sketch_table(documents: DataFrame) -> DataFrame:
     """(doc_id, fp, n, keys, minima) of every row; fp identifies the word
-    sequence (128 bits, null without words)."""
+    sequence (128 bits, null without words), n counts its words."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     names = ["doc_id", "fp", "n", "keys", "minima"]
 
@@ -182,12 +258,12 @@ def _sketch_table(documents: DataFrame) -> DataFrame:
                     words, before = word_hashes(data, off)
                     for r in range(len(off) - 1):
                         w = words[before[r]:before[r + 1]]
-                        labels = shingle_labels(w)
-                        n.append(len(labels))
-                        if len(labels):
+                        n.append(len(w))
+                        if len(w):
                             fp.append(hashlib.blake2b(w.tobytes(), digest_size=16).digest())
-                            keys.append(sketches(labels))
-                            small.append(single_minima(labels).view(np.int32))
+                            own, least = sketches(shingle_labels(w))
+                            keys.append(own)
+                            small.append(least.view(np.int32))
                         else:
                             fp.append(None)
                             keys.append([])
@@ -237,11 +313,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                 part = b.slice(s, 200)
                 sides = []
                 for column in ("ta", "tb"):
-                    labels = [None] * part.num_rows
-                    for i, x in _labels_of(part.column(column)):
-                        labels[i] = x
-                    sides.append(labels)
-                ok = [linked(x, y) for x, y in zip(*sides)]
+                    texts = [None] * part.num_rows
+                    for i, words, labels in _words_of(part.column(column)):
+                        texts[i] = words, labels
+                    sides.append(texts)
+                ok = [linked(x, y, (p, q)) for (x, p), (y, q) in zip(*sides)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(ok))
 
     return both.mapInArrow(run, "a long, b long")
@@ -278,13 +354,12 @@ def _small_pairs(held: DataFrame) -> DataFrame:
         .select("a", "b").distinct()
 
 
-def _aligned(keys) -> np.ndarray:
+def _aligned(keys, words) -> np.ndarray:
     """Bucket keys of each text, one column a sketch; 0 where it has none."""
-    (_, few), (_, many) = SKETCHES
-    out = np.zeros((len(keys), few + many), np.int64)
-    for i, k in enumerate(keys):
-        k = np.asarray(k.values)
-        out[i, few if len(k) == many else 0:][:len(k)] = k
+    out = np.zeros((len(keys), len(TAKE) * SINGLES), np.int64)
+    for i, (k, n) in enumerate(zip(keys, words.tolist())):
+        kinds = kinds_of(max(1, n - K + 1))
+        out[i, kinds[0] * SINGLES:][:len(k.values)] = np.asarray(k.values)
     return out
 
 
@@ -295,7 +370,7 @@ def _block_links(group: pa.Table) -> pa.Table:
     block = group["block"].to_numpy()
     ids, comp, n = (group[c].to_numpy() for c in ("id", "comp", "n"))
     minima = np.array([m.values.to_numpy() for m in group["minima"]])
-    keys = _aligned(group["keys"])
+    keys = _aligned(group["keys"], n)
     at = int(np.flatnonzero(keys[0] == group["key"][0].as_py())[0])
     left = np.flatnonzero(block == block.min())
     right = np.flatnonzero(block == block.max())
@@ -315,17 +390,17 @@ def _block_links(group: pa.Table) -> pa.Table:
             parent[c] = c = parent[parent[c]]
         return c
 
-    texts, labels, out = group["text"], {}, []
+    texts, known, out = group["text"], {}, []
 
     def of(i):
-        if i not in labels:
-            labels[i] = next(_labels_of(texts.slice(i, 1).combine_chunks()))[1]
-        return labels[i]
+        if i not in known:
+            known[i] = next(_words_of(texts.slice(i, 1).combine_chunks()))[1:]
+        return known[i]
 
     for x, y in zip(*(z.tolist() for z in np.nonzero(ok))):
         x, y = int(left[x]), int(right[y])
         p, q = top(int(comp[x])), top(int(comp[y]))
-        if p != q and linked(of(x), of(y)):
+        if p != q and linked(of(x)[0], of(y)[0], (of(x)[1], of(y)[1])):
             parent[p] = q
             out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
     return pa.table({c: pa.array([o[i] for o in out], pa.int64()) for i, c in enumerate(("a", "b"))})
