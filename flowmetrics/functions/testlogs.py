@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,6 +95,54 @@ DIALECTS: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
-def register_dialect(name: str, fn: Callable[[Column, Column], Column]) -> None:
-    """Add a test-log dialect (a Column function returning the result struct)."""
+def _npm_line_coverage(output: Column, rc: Column) -> Column:
+    j = npm_json(output)
+    return F.when(j.getField("_corrupt_record").isNull(), npm_coverage(j))
+
+
+def _no_coverage(output: Column, rc: Column) -> Column:
+    return F.lit(None).cast("double")
+
+
+#: the coverage of a dialect's logs alone, without its counts
+COVERAGE: dict[Callable, Callable[[Column, Column], Column]] = {
+    parse_npm: _npm_line_coverage, parse_pytest: _no_coverage, parse_cargo: _no_coverage, parse_go: _no_coverage,
+}
+
+
+def coverage_of(parser: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
+    """A dialect's coverage column; of one that gives none apart, the field of its result."""
+    return COVERAGE.get(parser, lambda output, rc: parser(output, rc).getField("coverage"))
+
+
+def register_dialect(name: str, fn: Callable[[Column, Column], Column],
+                     coverage: Callable[[Column, Column], Column] | None = None) -> None:
+    """Add a test-log dialect (a Column function returning the result struct);
+    ``coverage``: its coverage alone, where that is cheaper."""
     DIALECTS[name.lower()] = fn
+    if coverage is not None:
+        COVERAGE[fn] = coverage
+
+
+RESULT = ("struct<success: boolean, total_tests: int, passed: int, failed: int, errors: array<string>, "
+          "coverage: double>")
+
+
+def vectorised(parse: Callable[[pa.Array, pa.Array], dict[str, pa.Array]]) -> Callable[[Column, Column], Column]:
+    """A dialect from a function over Arrow arrays, which takes the outputs and
+    return codes of a batch and gives the result's fields (those not given are
+    null).  Python sees whole batches, never single rows; logs of other dialects
+    come as null and their results are not used."""
+    fields = ("success", "total_tests", "passed", "failed", "errors", "coverage")
+    types = (pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.float64())
+
+    def batch(output: pa.Array, rc: pa.Array) -> pa.Array:
+        got = parse(output, rc)
+        return pa.StructArray.from_arrays(
+            [got[f].cast(t) if f in got else pa.nulls(len(output), t) for f, t in zip(fields, types)], list(fields))
+
+    def fn(output: Column, rc: Column) -> Column:
+        return F.arrow_udf(batch, RESULT)(output, rc)
+
+    fn.vectorised = True
+    return fn

@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.testlogs import (DIALECTS, NO_FRAMEWORK, NPM_SCHEMA, _result,  # noqa: F401
+from ..functions.testlogs import (DIALECTS, NO_FRAMEWORK, NPM_SCHEMA, _result, coverage_of,  # noqa: F401
                                   npm_coverage, npm_json, parse_cargo, parse_go, parse_npm, parse_pytest,
-                                  register_dialect)
+                                  register_dialect, vectorised)
 
 def parse_test_logs(logs: DataFrame, dialects: dict | None = None) -> DataFrame:
     """Dispatch by framework (case-insensitive) in one ``when`` chain; no or
@@ -30,8 +30,10 @@ def parse_test_logs(logs: DataFrame, dialects: dict | None = None) -> DataFrame:
         dialects["npm"] = lambda o, r: parse_npm(o, r, F.col("_npm_json"))
     res = None
     for name, fn in dialects.items():
-        res = (F.when(fw == name, fn(out, rc)) if res is None
-               else res.when(fw == name, fn(out, rc)))
+        # a batch parser runs before the chain: it gets its own logs only
+        own = F.when(fw == name, out) if getattr(fn, "vectorised", False) else out
+        res = (F.when(fw == name, fn(own, rc)) if res is None
+               else res.when(fw == name, fn(own, rc)))
     none = _result(F.lit(False), F.lit(0), F.lit(0), F.lit(1), F.array(F.lit(NO_FRAMEWORK)))
     res = res.otherwise(none)
     if "tool_missing" in logs.columns:
@@ -58,12 +60,20 @@ def with_detected(logs: DataFrame, detected: DataFrame) -> DataFrame:
     return logs.join(d, "project_id", "left")
 
 
-def test_coverage(logs: DataFrame) -> DataFrame:
-    """Coverage per test log without the counting work: of the built-in
-    dialects only the npm JSON report carries coverage.  The same parse as
-    ``parse_test_logs``, of which only the coverage field is computed."""
+def test_coverage(logs: DataFrame, dialects: dict | None = None) -> DataFrame:
+    """Coverage per test log without the counting work: the dispatch of
+    ``parse_test_logs`` over each dialect's coverage alone, so no count pattern
+    is in the plan."""
+    dialects = dict(dialects or DIALECTS)
+    fw, out, rc = _framework(logs, dialects), F.col("output"), F.col("return_code")
+    coverage = F.lit(None).cast("double")
+    for name, fn in dialects.items():
+        own = F.when(fw == name, out) if getattr(fn, "vectorised", False) else out
+        coverage = F.when(fw == name, coverage_of(fn)(own, rc)).otherwise(coverage)
+    if "tool_missing" in logs.columns:
+        coverage = F.when(~F.coalesce("tool_missing", F.lit(False)), coverage)
     keep = [c for c in ("run_id", "duration_ms", "ts") if c in logs.columns]
-    return parse_test_logs(logs).select(*keep, "framework", "coverage")
+    return logs.select(*keep, fw.alias("framework"), coverage.alias("coverage"))
 
 
 def test_rollup(results: DataFrame) -> DataFrame:

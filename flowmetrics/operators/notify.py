@@ -9,6 +9,7 @@ U2): ``fn(stage, message, files_preview, files_count, diff_url) -> Column``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,21 @@ def file_parts(files: DataFrame, key: str = "run_id", size: int = WEBHOOK_PART)
     return n.groupBy(key, "part").agg(F.array_sort(F.collect_list("path")).alias("files_changed")).join(parts, key)
 
 
+def file_lists(files: DataFrame, key: str = "run_id", n: int = FILE_PREVIEW_N,
+               size: int = WEBHOOK_PART) -> tuple[DataFrame, DataFrame]:
+    """:func:`file_previews` and :func:`file_parts` from one numbering of the
+    distinct names: parts first, then one row per key over its parts (names / ``size``)."""
+    numbered = row_number_scan(files.select(key, "path").distinct(), [key], ["path"], "_r")
+    part = F.floor((F.col("_r") - 1) / F.lit(size)).cast("int")
+    parts = numbered.groupBy(key, part.alias("part")).agg(
+        F.array_sort(F.collect_list("path")).alias("files_changed"), F.count(F.lit(1)).alias("_c"))
+    per = parts.groupBy(key).agg(
+        F.sum("_c").cast("bigint").alias("files_count"), F.count(F.lit(1)).cast("int").alias("parts"),
+        F.max(F.when(F.col("part") == 0, F.slice("files_changed", 1, n))).alias("files_preview"))
+    return (per.select(key, "files_count", "files_preview"),
+            parts.drop("_c").join(per.select(key, "parts"), key))
+
+
 def render_console(stage, message, preview, count, diff_url) -> Column:
     files = F.when(count > 0, F.concat(F.lit("\n"), preview_text(preview, count, indent="  "))) \
         .otherwise(F.lit(""))
@@ -92,6 +108,20 @@ def register_renderer(channel: str, fn: Callable[..., Column]) -> None:
     RENDERERS[channel] = fn
 
 
+@contextmanager
+def renderer(channel: str, fn: Callable[..., Column]):
+    """A channel renderer for the plans built within a block."""
+    before = RENDERERS.get(channel)
+    RENDERERS[channel] = fn
+    try:
+        yield
+    finally:
+        if before is None:
+            del RENDERERS[channel]
+        else:
+            RENDERERS[channel] = before
+
+
 def render_notifications(requests: DataFrame, channels=None, key: str = "request_id",
                          files: DataFrame | None = None, files_key: str = "run_id") -> DataFrame:
     """One row per request and channel with the rendered payload; the

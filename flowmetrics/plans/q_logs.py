@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -92,6 +94,50 @@ def _coverage_trend(b):
     return agg.coverage_trend(L.test_coverage(b.b_test_logs))
 
 
+def _parse_go_batch(output, rc):
+    """C4 over whole batches of logs."""
+    ok = pc.equal(rc, 0)
+    passed, failed = (pc.fill_null(pc.count_substring(output, x), 0) for x in ("--- PASS:", "--- FAIL:"))
+    outputs = pa.ListArray.from_arrays(pa.array(range(len(output) + 1), pa.int32()), output)
+    return {"success": ok, "total_tests": pc.add(passed, failed), "passed": passed, "failed": failed,
+            "errors": pc.if_else(ok, pa.scalar([], pa.list_(pa.string())), outputs)}
+
+
+@query("vectorised_dialect", bindings=TL, oracle=PARSE_SQL)
+def _vectorised_dialect(b):
+    """One dialect as a function over Arrow batches, beside the column
+    parsers of the others in one dispatch; equal to the column form of it."""
+    return L.parse_test_logs(b.b_test_logs, {**L.DIALECTS, "go": L.vectorised(_parse_go_batch)})
+
+
+@query("test_results_detected", bindings=["b_test_logs", "b_project_files"], oracle=f"""
+WITH d AS (SELECT f.project_id, arg_min(m.framework, m.priority) AS found
+           FROM b_project_files f
+           LEFT JOIN {S.framework_markers_sql()} m
+             ON f.path = m.marker OR (suffix(m.marker, '/') AND starts_with(f.path, m.marker) AND f.path <> m.marker)
+           GROUP BY f.project_id),
+x AS (SELECT l.run_id, l.duration_ms, l.ts, l.return_code, l.output, l.run_id % 7 = 3 AS missing,
+             CASE l.run_id % 3 WHEN 0 THEN d.found WHEN 1 THEN COALESCE(d.found, 'tap') ELSE l.framework END AS framework
+      FROM b_test_logs l LEFT JOIN d ON d.project_id = l.run_id),
+r AS ({PARSE_SQL.replace("SELECT run_id, duration_ms, ts, framework,", "SELECT missing, run_id, duration_ms, ts, framework,", 1)
+       .replace("SELECT run_id, duration_ms, ts, lower(framework)", "SELECT missing, run_id, duration_ms, ts, lower(framework)")
+       .replace("FROM b_test_logs", "FROM x")})
+SELECT run_id, duration_ms, ts, framework,
+       CASE WHEN m THEN FALSE ELSE success END AS success, CASE WHEN m THEN 0 ELSE total_tests END AS total_tests,
+       CASE WHEN m THEN 0 ELSE passed END AS passed, CASE WHEN m THEN 1 ELSE failed END AS failed,
+       CASE WHEN m THEN [framework || ' not found'] ELSE errors END AS errors, CASE WHEN NOT m THEN coverage END AS coverage
+FROM (SELECT *, COALESCE(missing AND framework IN ('npm', 'pytest', 'cargo', 'go'), FALSE) AS m FROM r) y
+""")
+def _test_results_detected(b):
+    """C5 with fall-back: logs of no or an unknown framework take the one
+    detected for their project (C6); some tools are missing."""
+    logs = b.b_test_logs.withColumn("project_id", F.col("run_id")).withColumn(
+        "framework", F.when(F.col("run_id") % 3 == 0, None).when(F.col("run_id") % 3 == 1, F.lit("tap"))
+        .otherwise(F.col("framework"))).withColumn("tool_missing", F.col("run_id") % 7 == 3)
+    detected = L.detect_framework(b.b_project_files, S.framework_markers_df(b.spark))
+    return L.parse_test_logs(L.with_detected(logs, detected))
+
+
 @query("framework_detection", bindings=["b_project_files"], oracle=f"""
 SELECT f.project_id, arg_min(m.framework, m.priority) AS framework
 FROM b_project_files f
@@ -163,8 +209,8 @@ def _file_previews(b):
                     N.preview_text(F.col("files_preview"), F.col("files_count")).alias("preview"))
 
 
-def _requests(b):
-    p = N.file_previews(b.b_file_status)
+def _requests(b, previews=None):
+    p = N.file_previews(b.b_file_status) if previews is None else previews
     g = b.b_gates.select(F.col("gate_id").alias("request_id"), "run_id", "stage")
     return g.join(p, "run_id", "left").select(
         "request_id", "run_id", "stage", N.approval_message(F.col("stage")).alias("message"),
@@ -205,7 +251,33 @@ SELECT request_id, 'slack', 0, CAST(json_object('username', 'flowmetrics', 'bloc
 """)
 def _render_notifications(b):
     """Approval notifications per gate rendered for four channels."""
-    return N.render_notifications(_requests(b), files=N.file_parts(b.b_file_status))
+    previews, parts = N.file_lists(b.b_file_status)
+    return N.render_notifications(_requests(b, previews), files=parts)
+
+
+def _render_pager(stage, message, preview, count, diff_url):
+    """One line for a pager: the stage, the number of files and the first of them."""
+    return F.concat(F.lit("["), F.upper(stage), F.lit("] "), count.cast("string"), F.lit(" files"),
+                    F.when(count > 0, F.concat(F.lit(", first "), F.get(preview, F.lit(0)))).otherwise(F.lit("")))
+
+
+@query("custom_channel", bindings=["b_gates", "b_file_status"], oracle=f"""
+WITH p AS ({PREVIEW_SQL}),
+r AS (SELECT g.gate_id AS request_id, g.stage, COALESCE(p.files_count, 0) AS fc, p.files_preview AS fp
+      FROM b_gates g LEFT JOIN p ON g.run_id = p.run_id)
+SELECT request_id, 'pager' AS channel, CAST(0 AS INTEGER) AS part,
+       '[' || upper(stage) || '] ' || CAST(fc AS VARCHAR) || ' files' || CASE WHEN fc > 0 THEN ', first ' || fp[1] ELSE '' END AS payload
+FROM r
+UNION ALL
+SELECT request_id, 'logging', 0, 'Notification: stage=' || stage || ', message=Stage ''' || stage
+       || ''' complete. Review required., files_changed=' || CAST(fc AS VARCHAR) FROM r
+""")
+def _custom_channel(b):
+    """A registered channel, routed to and rendered beside a built-in one."""
+    with N.renderer("pager", _render_pager):
+        requests = _requests(b).withColumn("configured_channel", F.lit("pager"))
+        routed = N.route_channels(requests).filter(F.col("channel") == "pager").drop("configured_channel", "channel")
+        return N.render_notifications(routed, ["pager", "logging"])
 
 
 ROUTE = ("CASE event_id % 6 WHEN 0 THEN 'console' WHEN 1 THEN 'logging' WHEN 2 THEN 'slack' "
