@@ -38,12 +38,16 @@ def _finish(df: DataFrame) -> DataFrame:
 
 
 def approval_gates(gates: DataFrame, signals: DataFrame, timeout_s: int = APPROVAL_TIMEOUT_S,
-                   mode: str = "sticky") -> DataFrame:
-    if mode == "independent":
-        return _independent(gates, signals, timeout_s)
-    if mode == "sticky":
-        return _sticky(gates, signals, timeout_s)
-    raise ValueError("mode must be 'independent' or 'sticky'")
+                   mode: str = "sticky", timeout_outcome: str = "timeout") -> DataFrame:
+    """``timeout_outcome``: the outcome of a gate without a signal inside its limit
+    (the example dialect tells it from a rejection by nothing: ``rejected``)."""
+    if mode not in ("independent", "sticky"):
+        raise ValueError("mode must be 'independent' or 'sticky'")
+    out = (_independent if mode == "independent" else _sticky)(gates, signals, timeout_s)
+    if timeout_outcome == "timeout":
+        return out
+    outcome = F.when(F.col("outcome") == "timeout", F.lit(timeout_outcome)).otherwise(F.col("outcome"))
+    return out.withColumn("outcome", outcome)
 
 
 def _independent(gates: DataFrame, signals: DataFrame, timeout_s: int) -> DataFrame:

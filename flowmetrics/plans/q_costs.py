@@ -324,6 +324,23 @@ def _activity_timeouts(b):
     return J.activity_timeouts(b.b_activity_events, S.activity_timeouts_df(b.spark))
 
 
+@query("activity_durations_unnamed", bindings=["b_activity_events"], oracle="""
+WITH e AS (SELECT activity_id AS id, run_id, activity, 1 AS k, scheduled_at AS at FROM b_activity_events
+           UNION ALL SELECT activity_id, run_id, activity, 0, scheduled_at + to_seconds(completed_after_s)
+           FROM b_activity_events WHERE completed_after_s IS NOT NULL),
+n AS (SELECT *, first_value(CASE WHEN k = 0 THEN at END IGNORE NULLS) OVER (
+        PARTITION BY run_id ORDER BY at, k, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS done FROM e)
+SELECT CAST(NULL AS BIGINT) AS activity_id, run_id, activity, at AS scheduled_at, done AS completed_at,
+       (epoch_us(done) - epoch_us(at)) // 1000 AS duration_ms
+FROM n WHERE k = 1
+""")
+def _activity_durations_unnamed(b):
+    """J8 for a history without activity ids: the next completion of the run."""
+    rows = J.activity_event_rows(b.b_activity_events)
+    return J.activity_durations(rows.withColumn("tie", F.col("activity_id"))
+                                .withColumn("activity_id", F.lit(None).cast("bigint")), "tie")
+
+
 @query("activity_durations", bindings=["b_activity_events"], oracle="""
 SELECT activity_id, run_id, activity, scheduled_at, completed_at,
        (epoch_us(completed_at) - epoch_us(scheduled_at)) // 1000 AS duration_ms

@@ -8,19 +8,22 @@ rows directly from the bindings.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.timecols import micros_between
 from ..session import scratch_path, session_conf
+from ..operators import aggregates as AG
+from ..operators import windows as W
 from ..sources import events as EV
+from ..sources import landing as LD
 from ..sources import metrics as MS
 from ..sources import outbox as OB
 from ..streaming import keyed as K
 from ..streaming import streams as SS
-from . import q_costs, q_logs  # noqa: F401  (their oracles are used below)
+from . import q_costs, q_logs, q_runs  # noqa: F401  (their oracles are used below)
 from ..schemas import activity_timeouts_sql
 from .registry import ORACLES, query
 from .tables import with_bindings
@@ -202,6 +205,55 @@ def _outbox(b):
     return OB.read_outbox(b.spark, path).select("request_id", "channel", "part", "payload")
 
 
+@query("landed_usage_trend", bindings=SM, oracle="""
+WITH m AS (SELECT * FROM b_stage_metrics WHERE CAST(ts AS DATE) >= (SELECT CAST(min(ts) AS DATE) + 7 FROM b_stage_metrics))
+SELECT period, tokens, cost, tokens - lag(tokens) OVER (ORDER BY period) AS tokens_change,
+       CAST(cost - lag(cost) OVER (ORDER BY period) AS DECIMAL(38,9)) AS cost_change
+FROM (SELECT CAST(ts AS DATE) AS period, CAST(sum(tokens_used) AS BIGINT) AS tokens,
+             CAST(sum(cost) AS DECIMAL(38,9)) AS cost FROM m GROUP BY 1) d
+""")
+def _landed_usage_trend(b):
+    """A1 + A2 landed by day in two waves, the second reading its new files only;
+    W10 over the days from the eighth on, which are all that is read."""
+    m = b.b_stage_metrics
+    src, dest, ckpt = (scratch_path(b.spark, n) for n in ("growing", "landed", "landed-ckpt"))
+    for wave in (0, 1):
+        MS.write_metrics(m.filter(F.col("event_id") % 2 == wave), src, extra_cols=("run_id", "seq"))
+        LD.land_metrics(b.spark, src, dest, ckpt, RUN_KEYS)
+    first = _ends(m)["lo"]
+    since = None if first is None else (first + timedelta(days=7)).strftime("%Y-%m-%d")
+    return W.usage_trend(LD.read_landed(b.spark, dest, since, extra=RUN_KEYS).withColumnRenamed("timestamp", "ts"))
+
+
+def _by_run(b, df, order):
+    """A table of ``df`` bucketed by run in the shared folder."""
+    path = scratch_path(b.spark, "by-run")
+    return LD.write_by_run(df, "fm_" + path.rsplit("-", 1)[1], path, buckets=16, order=order)
+
+
+@query("layout_progress")
+def _layout_progress(b):
+    """W1 on the layout by run: no exchange."""
+    return W.run_progress(_by_run(b, b.b_stage_metrics, "seq"))
+
+
+@query("layout_timeline")
+def _layout_timeline(b):
+    """W6 on the layout by run: no exchange."""
+    return W.stage_timeline(_by_run(b, b.b_stage_metrics, "seq"))
+
+
+@query("layout_summary")
+def _layout_summary(b):
+    """G2 on the layout by run, metrics and snapshots alike: no exchange."""
+    return AG.run_summary(_by_run(b, b.b_stage_metrics, "seq"), _by_run(b, b.b_snapshots, "event_id"))
+
+
+ORACLES["layout_progress"] = ORACLES["run_progress"]
+ORACLES["layout_timeline"] = ORACLES["stage_timeline"]
+ORACLES["layout_summary"] = ORACLES["run_summary"]
+
+
 # -- streams ------------------------------------------------------------------
 def _stage_metrics_files(b, copies: int = 1):
     path = scratch_path(b.spark, "stream-src")

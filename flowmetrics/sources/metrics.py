@@ -40,14 +40,25 @@ def read_metrics(spark: SparkSession, path: str, run_id_from_path: bool = False,
 
 def _parsed(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Parsed JSON lines and, apart, the lines that do not parse."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_source_file"))
+    rows = parsed_lines(lines, schema)
+    good = rows.filter(F.col("line").isNull()).drop("line")
+    return good, rows.filter(F.col("line").isNotNull()).select("line", "_source_file")
+
+
+def parsed_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """Lines of text (``value``, and columns that are kept) as records, with
+    ``line`` holding the text of those that do not parse, else null; blank lines
+    are left out."""
     names = [f.name for f in schema.fields if f.name != CORRUPT]
-    lines = spark.read.text(path).filter(F.trim("value") != "").select(
-        "value", F.col("_metadata.file_path").alias("_source_file"),
+    kept = [c for c in lines.columns if c != "value"]
+    rows = lines.filter(F.trim("value") != "").select(
+        "value", *kept,
         F.from_json("value", schema, {"columnNameOfCorruptRecord": CORRUPT, "timestampNTZFormat": TS_FORMAT,
                                       "mode": "PERMISSIVE"}).alias("_j"))
     bad = F.col("_j").isNull() | F.col(f"_j.{CORRUPT}").isNotNull()
-    good = lines.filter(~bad).select(*[F.col("_j")[n].alias(n) for n in names], "_source_file")
-    return good, lines.filter(bad).select(F.col("value").alias("line"), "_source_file")
+    return rows.select(*[F.when(~bad, F.col("_j")[n]).alias(n) for n in names], *kept,
+                       F.when(bad, F.col("value")).alias("line"))
 
 
 def write_metrics(df: DataFrame, path: str, extra_cols: tuple[str, ...] = ()) -> None:
