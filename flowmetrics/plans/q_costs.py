@@ -325,13 +325,13 @@ def _activity_timeouts(b):
 
 
 @query("activity_durations_unnamed", bindings=["b_activity_events"], oracle="""
-WITH e AS (SELECT activity_id AS id, run_id, activity, 1 AS k, scheduled_at AS at FROM b_activity_events
+WITH e AS (SELECT activity_id AS id, run_id, activity, 1 AS k, scheduled_at AS moment FROM b_activity_events
            UNION ALL SELECT activity_id, run_id, activity, 0, scheduled_at + to_seconds(completed_after_s)
            FROM b_activity_events WHERE completed_after_s IS NOT NULL),
-n AS (SELECT *, first_value(CASE WHEN k = 0 THEN at END IGNORE NULLS) OVER (
-        PARTITION BY run_id ORDER BY at, k, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS done FROM e)
-SELECT CAST(NULL AS BIGINT) AS activity_id, run_id, activity, at AS scheduled_at, done AS completed_at,
-       (epoch_us(done) - epoch_us(at)) // 1000 AS duration_ms
+n AS (SELECT *, first_value(CASE WHEN k = 0 THEN moment END IGNORE NULLS) OVER (
+        PARTITION BY run_id ORDER BY moment, k, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS done FROM e)
+SELECT CAST(NULL AS BIGINT) AS activity_id, run_id, activity, moment AS scheduled_at, done AS completed_at,
+       (epoch_us(done) - epoch_us(moment)) // 1000 AS duration_ms
 FROM n WHERE k = 1
 """)
 def _activity_durations_unnamed(b):
