@@ -99,6 +99,7 @@ def shingle_labels(words: np.ndarray) -> np.ndarray:
     return labelled(h)
 
 
+_LAST = np.uint64(2 ** 64 - 1)
 _ODD = np.random.default_rng(200).integers(1, 2 ** 63, SINGLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -125,10 +126,14 @@ def sketches(labels: np.ndarray) -> tuple[list[int], np.ndarray]:
     for i in range(0, SINGLES, step):
         odd = _ODD[i:i + step]
         z = _ranks(labels, odd)
-        small.append(z.min(axis=1))
-        most = min(TAKE[kinds[-1]], n)
-        at = np.argpartition(z, most - 1, axis=1)[:, :most] if most < n else np.tile(np.arange(n), (len(odd), 1))
-        near = np.take_along_axis(at, np.argsort(np.take_along_axis(z, at, 1), axis=1), 1)  # smallest first
+        # the smallest, one after the other: a few passes cost less than a partial sort
+        each = np.arange(len(odd))
+        near = np.empty((len(odd), min(TAKE[kinds[-1]], n)), np.int64)
+        for j in range(near.shape[1]):
+            near[:, j] = z.argmin(axis=1)
+            if j == 0:
+                small.append(z[each, near[:, 0]])
+            z[each, near[:, j]] = _LAST
         for out, c in zip(keys, kinds):
             here = np.sort(near[:, :TAKE[c]], axis=1)  # text order
             key = np.arange(i, i + len(odd), dtype=np.uint64) + np.uint64(1000 * c + 1)
@@ -146,6 +151,12 @@ def edit_distance(x: np.ndarray, y: np.ndarray, limit: int) -> int:
     n, m = len(x), len(y)
     if abs(n - m) > limit:
         return limit + 1
+    if n and m and x[0] == y[0]:  # a common start costs nothing
+        same = x[:min(n, m)] == y[:min(n, m)]
+        k = len(same) if same.all() else int(same.argmin())
+        return edit_distance(x[k:], y[k:], limit)
+    if not n or not m:
+        return max(n, m)
     place = np.arange(m + 1)
     above, row = place.copy(), np.empty(m + 1, np.int64)
     for i in range(1, n + 1):
@@ -222,13 +233,15 @@ def _gap(x: np.ndarray, y: np.ndarray, limit: int) -> int:
     return edit_distance(x, y, max(limit, 0))
 
 
-def linked(a: np.ndarray, b: np.ndarray, labels=None, similarity: float = SIMILARITY) -> bool:
-    """Whether two texts, as word hashes, are alike; ``labels``: their shingles'."""
+def linked(a: np.ndarray, b: np.ndarray, labels=None, similarity: float = SIMILARITY, bags=None) -> bool:
+    """Whether two texts, as word hashes, are alike; ``labels``: their shingles',
+    ``bags``: their words', where already known."""
     n = max(len(a), len(b))
     limit = int((1 - similarity) * n + 1e-9)
     if min(len(a), len(b)) < max(1, n - limit):
         return False
-    if len(np.intersect1d(labelled(a), labelled(b), assume_unique=True)) < n - limit:
+    wa, wb = bags if bags is not None else (labelled(a), labelled(b))
+    if len(np.intersect1d(wa, wb, assume_unique=True)) < n - limit:
         return False
     la, lb = labels if labels is not None else (shingle_labels(a), shingle_labels(b))
     return anchored_distance(a, b, la, lb, limit) <= limit or edit_distance(a, b, limit) <= limit
@@ -311,13 +324,16 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
         for b in batches:
             for s in range(0, b.num_rows, 200):
                 part = b.slice(s, 200)
-                sides = []
-                for column in ("ta", "tb"):
-                    texts = [None] * part.num_rows
-                    for i, words, labels in _words_of(part.column(column)):
-                        texts[i] = words, labels
-                    sides.append(texts)
-                ok = [linked(x, y, (p, q)) for (x, p), (y, q) in zip(*sides)]
+                known = {}  # a hub stands in many pairs
+                for ids, column in (("a", "ta"), ("b", "tb")):
+                    ids, at = np.unique(part.column(ids).to_numpy(), return_index=True)
+                    new = np.array([i not in known for i in ids.tolist()], bool)
+                    for i, words, labels in _words_of(part.column(column).take(pa.array(at[new]))):
+                        known[int(ids[new][i])] = words, labels, labelled(words)
+                ok = []
+                for x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist()):
+                    x, y = known[x], known[y]
+                    ok.append(linked(x[0], y[0], (x[1], y[1]), bags=(x[2], y[2])))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(ok))
 
     return both.mapInArrow(run, "a long, b long")
