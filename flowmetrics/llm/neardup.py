@@ -60,6 +60,8 @@ SINGLES = 64
 LEAST_EQUAL = 8
 #: words between anchors are aligned up to so many comparisons a gap
 GAP = 1 << 18
+#: up to so many comparisons without arrays
+SHORT_GAP = 100
 DRAWS = 8
 #: buckets of more texts are compared in blocks of about so many texts or labels
 FULL = 16
@@ -226,10 +228,22 @@ def anchored_distance(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarr
     return total + _gap(a[ea:], b[eb:], limit - total)
 
 
+def _short_distance(x: list, y: list) -> int:
+    """Edit distance of a few words, where whole rows of an array do not pay."""
+    row = list(range(len(y) + 1))
+    for i, v in enumerate(x, 1):
+        across, row[0] = row[0], i
+        for j, w in enumerate(y, 1):
+            across, row[j] = row[j], min(across + (v != w), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
 def _gap(x: np.ndarray, y: np.ndarray, limit: int) -> int:
     n, m = len(x), len(y)
     if min(n, m) == 0 or max(n, m) == 1 or n * m > GAP or limit < 0:
         return max(n, m)
+    if n * m <= SHORT_GAP:
+        return _short_distance(x.tolist(), y.tolist())
     return edit_distance(x, y, max(limit, 0))
 
 

@@ -137,6 +137,30 @@ def test_distances_equal_the_whole_table():
             assert neardup.linked(x, y) == alike(a, b)
 
 
+def test_short_gaps_equal_the_band():
+    g = np.random.default_rng(5)
+    for _ in range(300):
+        x, y = (g.integers(0, 4, g.integers(0, 10)).astype(np.uint64) for _ in range(2))
+        assert neardup._short_distance(x.tolist(), y.tolist()) == neardup.edit_distance(x, y, 20)
+
+
+def test_sketches_take_the_smallest_labels():
+    g = np.random.default_rng(6)
+    for n in (1, 2, 3, 60, 70, 500):
+        labels = g.integers(0, 2 ** 63, n, dtype=np.uint64)
+        keys, minima = neardup.sketches(labels)
+        ranks = neardup._ranks(labels, neardup._ODD)
+        assert (minima == ranks.min(axis=1).astype(np.uint32)).all()
+        assert len(keys) == neardup.SINGLES * len(neardup.kinds_of(n))
+        c = neardup.kinds_of(n)[0]
+        for i in (0, 63):
+            at = sorted(sorted(range(n), key=lambda k: ranks[i, k])[:neardup.TAKE[c]])
+            key = np.array([i + 1000 * c + 1], np.uint64)
+            for j in at:
+                key = neardup.mix(key * np.uint64(31) + labels[j])
+            assert key.view(np.int64)[0] == keys[i]
+
+
 def test_classes_of_the_corpus(spark):
     docs = [(r.doc_id, r.text) for r in H.sample(spark).collect()]
     assert {r.doc_id: r.class_id for r in neardup.classes(H.sample(spark)).collect()} == brute_classes(docs)
