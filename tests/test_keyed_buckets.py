@@ -24,3 +24,13 @@ def test_deadlines_kept_by_bucket(spark):
     assert sorted(r.activity_id for r in got if r.activity_id is not None) == [big + i for i in range(n) if i % 3]
     assert sum(r.activity_id is None and r.run_id is None for r in got) == 2
     assert all(r.alert_at == r.scheduled_at + timedelta(seconds=60) for r in got)
+
+
+def test_gates_kept_by_bucket(spark):
+    b = gate_batches(spark)
+    n = 3000
+    b.feed(gates=[(i, i, "a", T0 + S * (i % 5)) for i in range(n)], signals=[(i, i, T0 + S * 10, "approve") for i in range(0, n, 2)])
+    assert b.rows() == [] and b.states[-1] < n
+    b.feed(gates=[(n, 1, "late", None)], signals=[(-1, -1, FAR, "approve")])
+    got = {r.gate_id: r.outcome for r in b.rows() if r.run_id != -1}
+    assert got == {**{i: "timeout" if i % 2 else "approved" for i in range(n)}, n: "late"}
