@@ -26,6 +26,17 @@ def test_deadlines_kept_by_bucket(spark):
     assert all(r.alert_at == r.scheduled_at + timedelta(seconds=60) for r in got)
 
 
+def test_alerts_kept_by_bucket(spark):
+    b = Batches(spark, {"m": METRICS}, lambda s: K.alert_stream(SS.to_event_time(s["m"]), 100, "1.00"))
+    n = 3000
+    b.feed(m=[(i, 60, Decimal("0.6"), T0) for i in range(n)] + [(None, 60, Decimal("0.1"), T0)])
+    assert b.rows() == [] and b.states[-1] < n
+    b.feed(m=[(i, 60, Decimal("0.6"), T0 + S) for i in range(n)] + [(None, 60, Decimal("0.1"), T0 + S)])
+    got = b.rows()
+    assert len(got) == 2 * n + 1 and {(r.alert, r.total) for r in got} == {("cooldown", "120"), ("budget", "1.200000000")}
+    assert [r.alert for r in got if r.run_id is None] == ["cooldown"]
+
+
 def test_gates_kept_by_bucket(spark):
     b = gate_batches(spark)
     n = 3000
