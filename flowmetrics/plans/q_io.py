@@ -270,8 +270,9 @@ def _stream(b, copies: int = 1):
 
 
 FAR = datetime(2200, 1, 1)
-# streams run in UTC, with their state in RocksDB
+# streams run in UTC, with their state in RocksDB; counting its rows would cost a lookup a row
 STREAM_CONF = {"spark__sql__session__timeZone": "UTC",
+               "spark__sql__streaming__stateStore__rocksdb__trackTotalNumberOfRows": "false",
                **{k.replace(".", "__"): v for k, v in K.STATE_STORE.items()}}
 
 
@@ -470,8 +471,8 @@ def _stream_gates(b):
     """S3: sticky approval gates on streams (event-time state machine)."""
     gpath = scratch_path(b.spark, "gates-src")
     spath = scratch_path(b.spark, "signals-src")
-    b.b_gates.repartition(2).write.parquet(gpath)
-    b.b_signals.repartition(2).write.parquet(spath)
+    b.b_gates.write.parquet(gpath)
+    b.b_signals.write.parquet(spath)
     # end-of-input marker: one signal of a sentinel run far in the future
     # advances event time so every buffered gate is decided; it is not output
     _end_marker(b.spark, b.b_signals.schema, {"signal_id": -1, "run_id": -1, "ts": FAR,
@@ -605,8 +606,8 @@ def _stream_stuck(b):
     stream-stream left outer join with watermarks on both sides."""
     sched, done = _activities(b)
     spath, cpath = scratch_path(b.spark, "sched-src"), scratch_path(b.spark, "done-src")
-    sched.repartition(2).write.parquet(spath)
-    done.repartition(2).write.parquet(cpath)
+    sched.write.parquet(spath)
+    done.write.parquet(cpath)
     # end-of-input markers on both sides (a sentinel activity far in the future)
     _end_marker(b.spark, sched.schema, {"activity_id": -1, "run_id": -1, "activity": "marker",
                                         "scheduled_at": FAR, "limit_s": 0}) \
