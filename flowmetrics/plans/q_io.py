@@ -403,11 +403,11 @@ def _stream_dedupe(b):
     cols = ["run_id", "seq", "event_id", "stage", "tokens_used", "cost", "ts"]
     m = m.select(*cols, "slice")
     late = (F.col("event_id") % 50 == 7) & (F.col("slice") == 0)
-    own = m.filter(~late)
-    again = own.filter(F.col("event_id") % 3 == 0)
-    retried = own.filter((F.col("event_id") % 3 == 1) & (F.col("slice") < SLICES - 1)).withColumn("slice", F.col("slice") + 1)
-    rows, schema = _arrivals(b, own.union(again).union(retried).union(
-        m.filter(late).withColumn("slice", F.lit(SLICES - 1))))
+    # the slices each row arrives in: one pass over the numbered rows
+    copies = F.array(F.col("slice"), F.when(F.col("event_id") % 3 == 0, F.col("slice")),
+                     F.when((F.col("event_id") % 3 == 1) & (F.col("slice") < SLICES - 1), F.col("slice") + 1))
+    arrives = F.when(late, F.array(F.lit(SLICES - 1))).otherwise(F.array_compact(copies))
+    rows, schema = _arrivals(b, m.filter(late.isNotNull()).select(*cols, F.explode(arrives).alias("slice")))
     emitted = _by_slices(b, {"metrics": (rows, schema)}, lambda s: SS.dedupe_stream(
         SS.to_event_time(s["metrics"]), f"{int(2 * width) + 1} seconds")).drop("batch_id")
     return emitted.withColumn("late", F.lit(False)).union(

@@ -31,3 +31,16 @@ def test_stuck_activities_read_all_files(spark, tmp_path, monkeypatch):
     q_io._stream_stuck(Bindings(spark, str(tmp_path)))
     assert seen["files"] >= 4
     assert q_io.STREAM_CONF["spark__sql__streaming__stateStore__rocksdb__trackTotalNumberOfRows"] == "false"
+
+
+def test_dedupe_numbers_the_rows_once(spark, tmp_path, monkeypatch):
+    """All copies that arrive come from one numbering: a task holds one sort of its rows."""
+    _events(spark, str(tmp_path))
+    seen = []
+    own = q_io._arrivals
+    monkeypatch.setattr(q_io, "_arrivals", lambda b, rows: seen.append(rows) or own(b, rows))
+    out = q_io._stream_dedupe(Bindings(spark, str(tmp_path)))
+    assert _plan(seen[0]).count("Window [") == 1 and "Union" not in _plan(seen[0])
+    by = {(r.event_id, r.slice): r["count"] for r in seen[0].groupBy("event_id", "slice").count().collect()}
+    assert by[(3, 0)] == 2 and by[(4, 0)] == 1 and by[(4, 1)] == 1 and by[(7, 4)] == 1 and (7, 0) not in by
+    assert out.count() == 200 and [r.event_id for r in out.filter("late").collect()] == [7]
