@@ -49,7 +49,17 @@ def file_lists(files: DataFrame, key: str = "run_id", n: int = FILE_PREVIEW_N,
                size: int = WEBHOOK_PART) -> tuple[DataFrame, DataFrame]:
     """:func:`file_previews` and :func:`file_parts` from one numbering of the
     distinct names: parts first, then one row per key over its parts (names / ``size``)."""
-    numbered = row_number_scan(files.select(key, "path").distinct(), [key], ["path"], "_r")
+    return lists_of(numbered_names(files, key), key, n, size)
+
+
+def numbered_names(files: DataFrame, key: str = "run_id") -> DataFrame:
+    """The distinct names per key with their place ``_r`` in order, from 1."""
+    return row_number_scan(files.select(key, "path").distinct(), [key], ["path"], "_r")
+
+
+def lists_of(numbered: DataFrame, key: str = "run_id", n: int = FILE_PREVIEW_N,
+             size: int = WEBHOOK_PART) -> tuple[DataFrame, DataFrame]:
+    """:func:`file_lists` of names that :func:`numbered_names` has numbered."""
     part = F.floor((F.col("_r") - 1) / F.lit(size)).cast("int")
     parts = numbered.groupBy(key, part.alias("part")).agg(
         F.array_sort(F.collect_list("path")).alias("files_changed"), F.count(F.lit(1)).alias("_c"))

@@ -534,6 +534,11 @@ def _stream_gates_late(b):
     return out.filter(F.col("run_id") >= 0).drop("batch_id")
 
 
+def _static_by_run(b, df):
+    path = scratch_path(b.spark, "static")
+    return LD.write_by_run(df, "fm_" + path.rsplit("-", 1)[1], path, order="run_id", salts=1)
+
+
 @query("stream_outbox")
 def _stream_outbox(b):
     """Gate openings streamed into the outbox by ``foreachBatch``
@@ -543,10 +548,11 @@ def _stream_outbox(b):
     b.b_gates.repartition(3).write.parquet(gpath)
     gs = b.spark.readStream.schema(b.b_gates.schema).option("maxFilesPerTrigger", 1).parquet(gpath)
     out = scratch_path(b.spark, "outbox-stream")
-    # the static side is joined in every micro-batch: compute it once
-    # (reliable checkpoint in the shared folder; one row per run)
-    previews = N.file_previews(b.b_file_status).checkpoint(eager=True)
-    files = N.file_parts(b.b_file_status).checkpoint(eager=True)
+    # the static side is joined in every micro-batch: compute it once, from one
+    # numbering of the names, laid out by run so that no batch shuffles it again
+    names = scratch_path(b.spark, "outbox-names")
+    N.numbered_names(b.b_file_status).write.parquet(names)
+    previews, files = (_static_by_run(b, df) for df in N.lists_of(b.spark.read.parquet(names)))
     with session_conf(b.spark, spark__sql__session__timeZone="UTC"):
         q = (gs.writeStream.foreachBatch(SS.outbox_writer(out, previews, files=files))
              .option("checkpointLocation", scratch_path(b.spark, "outbox-ckpt"))

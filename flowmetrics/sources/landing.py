@@ -74,13 +74,14 @@ def read_corrupt(spark: SparkSession, dest: str) -> DataFrame:
 
 
 def write_by_run(df: DataFrame, name: str, path: str, buckets: int = 64, key: str = "run_id",
-                 order: str = "seq") -> DataFrame:
+                 order: str = "seq", salts: int = SALTS) -> DataFrame:
     """Write ``df`` as table ``name`` under ``path``, bucketed by ``key`` and sorted
-    by ``order`` in each file, and read it back."""
+    by ``order`` in each file, and read it back.  ``salts``: tasks that share a
+    bucket; 1 where no run holds many rows."""
     spark = df.sparkSession
     bucket = F.pmod(F.hash(key), F.lit(buckets))  # as Spark's own buckets
-    salt = F.pmod(F.xxhash64(order), F.lit(SALTS))
+    salt = F.pmod(F.xxhash64(order), F.lit(salts))
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    df.repartition(buckets * SALTS, bucket, salt).write.mode("overwrite").option("path", path) \
+    df.repartition(buckets * salts, bucket, salt).write.mode("overwrite").option("path", path) \
         .bucketBy(buckets, key).sortBy(order).saveAsTable(name)
     return spark.table(name)

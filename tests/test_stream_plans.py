@@ -44,3 +44,22 @@ def test_dedupe_numbers_the_rows_once(spark, tmp_path, monkeypatch):
     by = {(r.event_id, r.slice): r["count"] for r in seen[0].groupBy("event_id", "slice").count().collect()}
     assert by[(3, 0)] == 2 and by[(4, 0)] == 1 and by[(4, 1)] == 1 and by[(7, 4)] == 1 and (7, 0) not in by
     assert out.count() == 200 and [r.event_id for r in out.filter("late").collect()] == [7]
+
+
+def test_outbox_does_not_shuffle_its_lists_again(spark, monkeypatch):
+    b = Bindings(spark, "none")
+    rows = spark.createDataFrame([(i % 50, f"f{i:03d}") for i in range(400)], "run_id long, path string")
+    static = q_io._static_by_run(b, rows)
+    keys = spark.range(10).withColumnRenamed("id", "run_id").hint("merge").join(static, "run_id", "left")
+    plan = keys._jdf.queryExecution().sparkPlan().toString()
+    exchanged = keys._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "SortMergeJoin" in plan and exchanged.count("Exchange hashpartitioning") == 1
+    assert static.count() == 400
+
+
+def test_lists_of_numbered_names_are_the_file_lists(spark):
+    from flowmetrics.operators import notify as N
+    files = spark.createDataFrame([(i % 3, f"f{i % 20:02d}") for i in range(100)], "run_id long, path string")
+    for got, want in zip(N.lists_of(N.numbered_names(files), size=12), (N.file_previews(files), N.file_parts(files, size=12))):
+        cols = sorted(want.columns)
+        assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
