@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..operators import notify as N
 from ..schemas import APPROVAL_TIMEOUT_S
+from ..session import session_conf
 from . import keyed
 
 
@@ -86,7 +87,8 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
     """Run a streaming query to the end of its input (``availableNow``), each
     micro-batch written idempotently under ``path``: append and update mode
     write ``batch_id=<id>`` partitions (a replay overwrites its own), complete
-    mode overwrites the whole table."""
+    mode overwrites the whole table.  State is kept in the RocksDB store, which
+    the keyed operators need."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         if mode == "complete":
             batch.write.mode("overwrite").parquet(path)
@@ -94,8 +96,9 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
             write_batch(batch.withColumn("batch_id", F.lit(batch_id)), path)
 
     make_folder(df.sparkSession, path)
-    q = (df.writeStream.outputMode(mode).foreachBatch(sink)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    with session_conf(df.sparkSession, **{k.replace(".", "__"): v for k, v in keyed.STATE_STORE.items()}):
+        q = (df.writeStream.outputMode(mode).foreachBatch(sink)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return path
 
