@@ -57,6 +57,13 @@ def numbered_names(files: DataFrame, key: str = "run_id") -> DataFrame:
     return row_number_scan(files.select(key, "path").distinct(), [key], ["path"], "_r")
 
 
+def previews_of(numbered: DataFrame, key: str = "run_id", n: int = FILE_PREVIEW_N) -> DataFrame:
+    """:func:`file_previews` of names that :func:`numbered_names` has numbered."""
+    first = F.collect_list(F.when(F.col("_r") <= n, F.struct("_r", "path")))  # a null name keeps its place
+    return numbered.groupBy(key).agg(F.count(F.lit(1)).cast("bigint").alias("files_count"),
+                                     F.transform(F.array_sort(first), lambda x: x["path"]).alias("files_preview"))
+
+
 def lists_of(numbered: DataFrame, key: str = "run_id", n: int = FILE_PREVIEW_N,
              size: int = WEBHOOK_PART) -> tuple[DataFrame, DataFrame]:
     """:func:`file_lists` of names that :func:`numbered_names` has numbered."""

@@ -552,7 +552,9 @@ def _stream_outbox(b):
     # numbering of the names, laid out by run so that no batch shuffles it again
     names = scratch_path(b.spark, "outbox-names")
     N.numbered_names(b.b_file_status).write.parquet(names)
-    previews, files = (_static_by_run(b, df) for df in N.lists_of(b.spark.read.parquet(names)))
+    numbered = b.spark.read.parquet(names)
+    previews = _static_by_run(b, N.previews_of(numbered))
+    files = _static_by_run(b, N.lists_of(numbered)[1])
     with session_conf(b.spark, spark__sql__session__timeZone="UTC"):
         q = (gs.writeStream.foreachBatch(SS.outbox_writer(out, previews, files=files))
              .option("checkpointLocation", scratch_path(b.spark, "outbox-ckpt"))

@@ -63,3 +63,11 @@ def test_lists_of_numbered_names_are_the_file_lists(spark):
     for got, want in zip(N.lists_of(N.numbered_names(files), size=12), (N.file_previews(files), N.file_parts(files, size=12))):
         cols = sorted(want.columns)
         assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
+
+
+def test_null_names_keep_their_place_in_previews(spark):
+    from flowmetrics.operators import notify as N
+    files = spark.createDataFrame([(1, None), (1, "b"), (1, "a"), (2, "c")], "run_id long, path string")
+    got = {r.run_id: (r.files_count, r.files_preview) for r in N.previews_of(N.numbered_names(files), n=2).collect()}
+    want = {r.run_id: (r.files_count, r.files_preview) for r in N.file_previews(files, n=2).collect()}
+    assert got == want == {1: (3, [None, "a"]), 2: (1, ["c"])}
