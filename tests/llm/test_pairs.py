@@ -92,6 +92,26 @@ def test_copies_inside_a_body_of_texts_with_one_passage(spark):
     assert got == {i: i % 10_000 for i, _ in docs}
 
 
+def test_near_copies_are_paired_with_one_hub_a_round(spark, monkeypatch):
+    """400 near copies share some ten thousand buckets; a round verifies no more
+    pairs than there are texts, and labels spread over as many edges at most."""
+    rng = random.Random(12)
+    words = [f"q{i}" for i in range(120)]
+    docs = []
+    for i in range(400):
+        own = list(words)
+        for _ in range(rng.randrange(1, 5)):
+            own[rng.randrange(len(own))] = f"r{rng.randrange(9999)}"
+        docs.append((i, " ".join(own)))
+    pairs, edges = [], []
+    likely, components = neardup._likely, neardup.components
+    monkeypatch.setattr(neardup, "_likely", lambda p, *a: (pairs.append(p.count()), likely(p, *a))[1])
+    monkeypatch.setattr(neardup, "components", lambda e: (edges.append(e.count()), components(e))[1])
+    got = neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {0}
+    assert len(pairs) >= 2 and max(pairs) <= len(docs) and max(edges) <= len(docs)
+
+
 def test_one_word_edits_of_short_texts(spark):
     """One word changed, dropped or added anywhere in 20 to 48 words."""
     rng = random.Random(3)
