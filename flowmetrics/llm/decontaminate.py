@@ -11,6 +11,8 @@ counts.
 The set of windows is broadcast only while its counted size is below
 ``broadcast_windows``; beyond that the same join shuffles on the window hash
 (a benchmark of that size meets each window once, AQE splits a hot one).
+Splitting the texts into words costs most; ``contamination`` does it once, for
+the windows and for the number of words.
 
 Defined results: null or empty texts have no words and no hits; a null
 ``doc_id`` or ``item_id`` is kept (a null item adds no id to the list, its
@@ -56,6 +58,12 @@ def hits(documents: DataFrame, benchmark: DataFrame, n: int = N_WORDS,
          broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row per document text and verified window occurrence:
     (doc_id, text_hash, pos, k, h, gram)."""
+    return _probed(documents, benchmark, n, broadcast_windows, False).drop("n_words")
+
+
+def _probed(documents: DataFrame, benchmark: DataFrame, n: int, broadcast_windows: int, each: bool) -> DataFrame:
+    """:func:`hits` and n_words (null for large benchmarks' hits); ``each``: also
+    one row of ``k`` 0 for every document row."""
     items = item_windows(benchmark, n)
     grams = items.select("k", "h", "gram").distinct()
     # bounded: one row per window length, n at most
@@ -67,12 +75,19 @@ def hits(documents: DataFrame, benchmark: DataFrame, n: int = N_WORDS,
     words = documents.select("doc_id", F.xxhash64("text").alias("text_hash"),
                              words_of(F.col("text")).alias("w"))
     parts = [_windows(F.col("w"), k) for k in sorted(sizes)]
+    if each and small:
+        # the window of no words, which every text has at its start
+        empty = F.slice(F.col("w"), F.lit(1), F.lit(0))
+        none = F.array().cast("array<string>")
+        parts.append(F.array(F.struct(F.lit(1).alias("pos"), F.lit(0).alias("k"),
+                                      F.xxhash64(F.lit(0), empty).alias("h"))))
+        grams = F.broadcast(grams.union(documents.sparkSession.range(1).select(F.xxhash64(F.lit(0), none), none)))
     if not parts:
         parts = [F.array().cast("array<struct<pos:int,k:int,h:bigint>>")]
     every = parts[0] if len(parts) == 1 else F.concat(*parts)
     probe = (words.select("doc_id", "text_hash", "w", every.alias("win"))
              .select("doc_id", "text_hash", "w", F.explode_outer("win").alias("x"))
-             .select("doc_id", "text_hash", "w", "x.pos", "x.k", "x.h"))
+             .select("doc_id", "text_hash", "w", "x.pos", "x.k", "x.h", F.size("w").alias("n_words")))
     own = F.slice(F.col("w"), F.col("pos"), F.col("k"))
     if small:
         # the words are compared for rows whose hash was found only: as
@@ -82,15 +97,21 @@ def hits(documents: DataFrame, benchmark: DataFrame, n: int = N_WORDS,
     else:
         # rows are shuffled here, so each carries its own window, not the text
         probe = probe.filter(F.col("h").isNotNull()).select("doc_id", "text_hash", "pos", "k", "h", own.alias("own"))
-        found = probe.join(grams, (F.col("h") == F.col("g_h")) & (F.col("own") == F.col("gram")))
-    return found.select("doc_id", "text_hash", "pos", "k", "h", "gram")
+        found = probe.join(grams, (F.col("h") == F.col("g_h")) & (F.col("own") == F.col("gram"))) \
+            .withColumn("n_words", F.lit(None).cast("int"))
+        if each:  # not in the join, where all texts' windows of no words would be one group
+            found = found.select("doc_id", "text_hash", "pos", "k", "h", "gram", "n_words").union(words.select(
+                "doc_id", "text_hash", F.lit(1), F.lit(0), F.lit(None).cast("long"),
+                F.lit(None).cast("array<string>"), F.size("w")))
+    return found.select("doc_id", "text_hash", "pos", "k", "h", "gram", "n_words")
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, n: int = N_WORDS,
                   broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit (words inside any
     occurrence), n_items, items_sha256 (ids sorted as strings), contaminated."""
-    found = staged(hits(documents, benchmark, n, broadcast_windows), "hits")  # probed once, read twice
+    probed = staged(_probed(documents, benchmark, n, broadcast_windows, True), "hits")  # once, read three times
+    found = probed.filter(F.col("k") > 0)
     key = ["doc_id", "text_hash"]
     # one row per document and distinct window: its occurrences, item list by join
     per_doc = found.select(*key, F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("k") - 1)).alias("at")) \
@@ -105,8 +126,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = N_WORDS,
         return df.select(F.col("doc_id").alias(f"{tag}_id"), F.col("text_hash").alias(f"{tag}_th"),
                          *[c for c in df.columns if c not in key])
     a, b = renamed(per_doc, "a"), renamed(ids, "b")
-    base = documents.select("doc_id", F.xxhash64("text").alias("text_hash"),
-                            F.size(words_of(F.col("text"))).cast("bigint").alias("n_words"))
+    base = probed.filter(F.col("k") == 0).select(*key, F.col("n_words").cast("bigint").alias("n_words"))
     out = base.join(a, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("text_hash") == F.col("a_th")), "left") \
         .join(b, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("text_hash") == F.col("b_th")), "left")
     items_of = F.coalesce(F.col("items"), F.array().cast("array<string>"))

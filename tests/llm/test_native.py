@@ -166,3 +166,11 @@ def test_contamination_odd_rows_and_empty_tables(spark):
     one = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     kept = decontaminate.clean(odd, one)
     assert kept.columns == odd.columns and kept.count() == len(H.odd_rows()) - 1
+
+
+@pytest.mark.parametrize("bound", [0, 500_000])
+def test_texts_are_split_once_for_windows_and_counts(spark, bound):
+    """What is left after the probe does not read the documents again."""
+    d, b = H.sample(spark), H.sample(spark, "benchmark")
+    plan = decontaminate.contamination(d, b, broadcast_windows=bound)._jdf.queryExecution().optimizedPlan().toString()
+    assert "item_id#" in plan and "lang#" not in plan
