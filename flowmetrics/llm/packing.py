@@ -47,6 +47,19 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: one a Python worker, which does many tasks: a tokenizer read anew for each
+#: would leave a few MB behind every time
+_TOKENIZERS: dict = {}
+
+
+def tokenizer(path: str):
+    """The worker's tokenizer of a file."""
+    if path not in _TOKENIZERS:
+        from tokenizers import Tokenizer
+        _TOKENIZERS[path] = Tokenizer.from_file(path)
+    return _TOKENIZERS[path]
+
+
 class PartCache(dict):
     """Ids, as little-endian bytes, of a text part without white space.  The
     tokenizer never joins across white space, so parts can be kept.  Parts of
@@ -55,8 +68,7 @@ class PartCache(dict):
     whole tokenizer."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer(path)
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
         self.latin = {i: "".join(_BYTE_SIGN[b] for b in chr(i).encode()) for i in range(256)}

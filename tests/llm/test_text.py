@@ -178,3 +178,11 @@ def test_token_counts_of_odd_rows(spark):
     assert len(got) == len(H.odd_rows())
     assert [(r.n_tokens, r.n_chars) for r in got if r.doc_id == 3] == [(0, 0)]
     assert tokencount.token_counts(H.no_documents(spark)).count() == 0
+
+
+def test_a_worker_reads_the_tokenizer_once():
+    """A worker does many tasks, each with a cache of its own."""
+    path = packing.tokenizer_path()
+    a, b = packing.PartCache(path), packing.PartCache(path)
+    assert a.tokenizer is b.tokenizer
+    assert a.ids("one two") == b.ids("one two") and a is not b and a.words is not b.words
